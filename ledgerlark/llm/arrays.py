@@ -144,6 +144,23 @@ def hash_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return mix(out + length.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique of 64-bit hashes with index and inverse; the order is that of the high bits."""
+    n = len(h)
+    bits = max(1, n.bit_length())
+    packed = (h >> U64(bits) << U64(bits)) | np.arange(n, dtype=U64)  # sorting values is faster than finding an order
+    packed.sort()
+    at = (packed & U64((1 << bits) - 1)).astype(np.int64)
+    full = h[at]
+    new = np.ones(n, bool)
+    new[1:] = full[1:] != full[:-1]
+    if n and ((packed[1:] >> U64(bits) == packed[:-1] >> U64(bits)) & new[1:]).any():  # equal high bits of unequal hashes
+        return np.unique(h, return_index=True, return_inverse=True)
+    back = np.empty(n, np.int64)
+    back[at] = np.cumsum(new) - 1
+    return full[new], at[new], back
+
+
 def words(block: Block, lower: bool = False) -> Words:
     """Words [^\\x20\\x09-\\x0D]+ of every row; lower: A-Z count as a-z."""
     data = _LOWER[block.data] if lower else block.data

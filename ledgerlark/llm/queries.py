@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, substring
+from . import bytepair, neardup, packing, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,20 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepair.encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict:
-    return {"op5_minhash": op5_minhash, "op9_recompression": op9_recompression}
+    return {f.__name__: f for f in (op3_packing, op5_minhash, op8_sharding, op9_recompression, op10_bytepair)}
 
 
 def oracle_sql() -> dict:
