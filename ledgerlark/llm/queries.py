@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytepair, neardup, packing, quality, sharding, substring, toxicity
+from . import bytepair, lm, neardup, packing, quality, sharding, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,10 @@ def op6_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), toxicity.fold(F.col("id"), 7) != 2)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_resampling, op3_packing, op5_minhash, op6_factorization, op8_sharding, op9_recompression, op10_bytepair)}
+    return {f.__name__: f for f in (op2_resampling, op3_packing, op5_minhash, op6_factorization, op7_trees, op8_sharding, op9_recompression, op10_bytepair)}
 
 
 def oracle_sql() -> dict:
