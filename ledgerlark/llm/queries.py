@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, lm, neardup, packing, quality, sharding, substring, toxicity
+from . import bytepair, lm, neardup, ordermin, packing, quality, sharding, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_ordermin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +50,7 @@ def op10_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_resampling, op3_packing, op5_minhash, op6_factorization, op7_trees, op8_sharding, op9_recompression, op10_bytepair)}
+    return {f.__name__: f for f in (op1_ordermin, op2_resampling, op3_packing, op5_minhash, op6_factorization, op7_trees, op8_sharding, op9_recompression, op10_bytepair)}
 
 
 def oracle_sql() -> dict:
