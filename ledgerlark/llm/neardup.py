@@ -4,7 +4,8 @@ Each document's set of 5-word shingles is hashed once. The permutation is cut in
 least hash, an empty bin borrows that of another bin by optimal densification (Shrivastava 2017). ROWS bins make a band,
 and documents that agree in a band meet in its bucket. A bucket of m documents proposes m - 1 pairs with its smallest
 document, and all proposed pairs are confirmed on the full sets. What a star can't decide (a member unlike the centre
-may be like another member) is then asked directly, between members that lie in different components so far.
+may be like another member) gets stars around other centres, and then an exact prefix filter, over the members of
+buckets that hold more than one component so far.
 
 Defined cases: null and blank texts have no shingle and no links; texts of fewer than five words have one shingle, the
 whole sequence; equal sets always link; rows that share a doc_id count as one document; a null doc_id links with nothing.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -23,8 +25,8 @@ from .shared import bare, components, partitions, small_batches, stored
 BANDS, ROWS, WIDTH = 32, 4, 5
 #: A table of at most so many rows of 24 bytes is broadcast, a larger one shuffled.
 SMALL_ROWS = 150_000
-#: Pairs between different components of one bucket are listed at once when they are at most so many times the rows.
-LISTED = 30
+#: Further stars, each around another centre of every bucket that holds more than one component.
+STARS = 3
 
 
 def signatures(value: np.ndarray, off: np.ndarray, bins: int = BANDS * ROWS) -> np.ndarray:
@@ -124,38 +126,73 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     full = rows.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key", "low")
     members = stored(rows.join(full, "key"))
     tested = confirmed(texts, members.where("rep != low").select(F.col("rep").alias("a"), F.col("low").alias("c")).distinct())
-    # rows of one doc_id with unequal texts have several classes, which that doc_id links
+    # copies, and rows of one doc_id with unequal texts, hang on the representatives of their sets
     same = real.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    while True:
-        roots = components(tested.where("ok").select(F.col("a").alias("u"), F.col("c").alias("v")))
-        if not (left := _left(members, roots, tested)):
+    roots = components(_links(tested))
+    for k in range(STARS):
+        if (pairs := _star(members, roots, tested, k)) is None:
             break
-        tested = stored(tested.union(confirmed(texts, left)))
-    links = tested.where("ok").select(F.col("a").alias("u"), F.col("c").alias("v")).union(same)
-    roots = components(links)
+        tested = stored(tested.union(confirmed(texts, pairs)))
+        roots = components(_links(tested))
+    if (left := _undecided(texts, members, roots)) is not None:
+        left = stored(left.join(tested.select("a", "c"), ["a", "c"], "left_anti"))
+        tested = tested.union(confirmed(texts, left))
+    roots = components(_links(tested).union(same))
     out = sets.join(roots, sets.id == roots.node, "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), root.alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _left(members: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """Pairs of one bucket but of different components that nobody has compared; None if there are none."""
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.where("ok").select(F.col("a").alias("u"), F.col("c").alias("v"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, root of the members of buckets that hold more than one component."""
     at = members.join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    at = stored(at.join(mixed, "key"))
-    by_root = at.groupBy("key", "root").agg(F.count("*").alias("n"))
-    size = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-    if not size["rows"]:
-        return None
-    before = tested.select("a", "c").union(tested.select("c", "a")).distinct()
-    other = at.select("key", F.col("rep").alias("c"), F.col("root").alias("c_root"))
-    if size["pairs"] > LISTED * size["rows"] + 1_000_000:
-        # too many to list: another star, around the smallest member that is still outside the component of the bucket's smallest
-        low = at.groupBy("key").agg(F.min("root").alias("x"))
-        free = at.join(low, "key").where("root != x")
-        other = free.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep"), "rep", "root")).alias("m")).select("key", F.col("m.rep").alias("c"), F.col("m.root").alias("c_root"))
-        pairs = at.join(other, "key").where("root != c_root").select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("c"))
-    else:
-        pairs = at.join(other, "key").where("rep > c and root != c_root").select(F.col("rep").alias("a"), "c")
-    pairs = stored(pairs.distinct().join(before, ["a", "c"], "left_anti"))
+    return at.join(mixed, "key")
+
+
+def _star(members: DataFrame, roots: DataFrame, tested: DataFrame, k: int) -> DataFrame | None:
+    """Around another centre, the first in an order drawn for k: the pairs of a bucket that link components, if any are new."""
+    at = stored(_mixed(members, roots))
+    centre = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)), "rep", "root")).alias("m")).select("key", F.col("m.rep").alias("c"), F.col("m.root").alias("c_root"))
+    pairs = at.join(centre, "key").where("root != c_root").select(F.col("rep").alias("a"), "c").distinct()
+    pairs = stored(pairs.join(tested.select("a", "c"), ["a", "c"], "left_anti"))
     return None if pairs.isEmpty() else pairs
+
+
+def _shingles(batches):
+    for b in batches:
+        for block in A.blocks(b.column(1)):
+            value, off = A.sets_of_shingles(block, WIDTH)
+            size = np.diff(off)
+            row = np.repeat(np.arange(block.n), size)
+            for k in range(0, len(value), 200_000):
+                part = row[k : k + 200_000]
+                at = pa.array(block.rows.start + part)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(size[part]), pa.array(value[k : k + 200_000].view(np.int64))], ["id", "root", "n", "shingle"])
+
+
+def _undecided(texts: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Pairs (a, c) between the components that meet in a bucket, by an exact prefix filter; None if no bucket is mixed.
+
+    To link, two sets of n and m shingles share at least 3/4 of n. With the shingles of a set in one order for all
+    sets, rarest first, they then share one of the first n - ceil(3n/4) + 1. Shingles of one component only come first
+    of all, so a document with more than a quarter of its own meets nobody, and large groups of half-alike documents
+    make few pairs.
+    """
+    asked = stored(_mixed(members, roots).select(F.col("rep").alias("id"), "root").distinct())
+    if not (n := asked.count()):
+        return None
+    rows = texts.join(F.broadcast(asked) if n <= SMALL_ROWS else asked, "id").select("id", "text", "root")
+    rows = stored(rows.repartition(partitions(texts.sparkSession)).mapInArrow(_shingles, "id long, root long, n long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle", "df")
+    first = W.partitionBy("id").orderBy("df", "shingle")
+    got = rows.join(common, "shingle").withColumn("k", F.row_number().over(first)).withColumn("shared", F.count("*").over(W.partitionBy("id")))
+    # own shingles, n - shared of them, fill the prefix before the k-th shared one
+    head = stored(got.where("n - shared + k <= n - ceil(3 * n / 4) + 1").select("id", "root", "n", "shingle"))
+    other = head.select(F.col("id").alias("c"), F.col("root").alias("c_root"), F.col("n").alias("c_n"), "shingle")
+    pairs = head.join(other, "shingle").where("id > c and root != c_root and 4 * n >= 3 * c_n and 4 * c_n >= 3 * n")
+    return pairs.select(F.col("id").alias("a"), "c").distinct()

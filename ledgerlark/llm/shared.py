@@ -79,13 +79,21 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array(part, np.int64)), pa.array(np.array([root(x) for x in part], np.int64))], ["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task may join.
+LOCAL_EDGES = 400_000
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of edges (u, v), both long: node, root (the smallest node of its component).
 
-    First each partition keeps a spanning star of what it has, then rounds of large-star and small-star
-    (Kiveris et al. 2014) run on the joined tables until nothing changes. Nodes without an edge are left out.
+    First each partition keeps a spanning star of what it has. If these have at most `local` edges (16 bytes each) one
+    task joins them; else rounds of large-star and small-star (Kiveris et al. 2014) run on the joined tables until
+    nothing changes. Nodes without an edge are left out.
     """
     now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_forest, "u long, v long"))
+    if now.count() <= local:
+        now = stored(now.coalesce(1).mapInArrow(_forest, "u long, v long"))
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
     state = None
     while True:
         both = now.union(now.select("v", "u"))
