@@ -7,11 +7,14 @@ in all documents and partitions without a table of names. Equal passages get equ
 each symbol the stretch of words that its parse depends on is kept, and a symbol whose stretch lies in a window of
 words occurs at the same place of every equal window.
 
-1. Of each window of SPAN words the interior symbol with the least name is its anchor. Spark counts the documents of
-   each anchor; a window whose anchor occurs in one document only is unique.
-2. The windows with shared anchors (and the few without interior symbol, such as those inside a long run) are compared
-   by a hash of all their words: the least doc_id of each window is found by a grouped minimum.
-3. Words under a window that a smaller doc_id has are removed.
+1. Of each window of SPAN words the interior symbol with the least name is its anchor (its least word, where no symbol
+   is interior, as inside a long run). Spark counts the documents of each anchor; a window whose anchor occurs in one
+   document only is unique.
+2. Windows in a row with one shared anchor make a stretch, and a hash of all its words names it. Of each stretch the
+   least doc_id is found by a grouped minimum; documents with a larger one lose all its windows.
+3. Where an anchor has several stretches, these may agree in part: the windows of one document for each stretch, that
+   with the least doc_id, are compared one by one, by a hash of all their words, again by a grouped minimum.
+4. Words under a window that a smaller doc_id has are removed.
 
 Whole documents with equal words are settled first, by a grouped minimum of their hashes. Any number of documents may
 share an anchor or a window: both are pre-aggregated minima, and no pairs of documents are made.
@@ -83,13 +86,21 @@ def parse(w: A.Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def anchors(w: A.Words, at: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """For the windows that start at the words `at`: the least name of an interior symbol, 0 where there is none."""
+    """For the windows that start at the words `at`: the least name of an interior symbol, or else of a word."""
     name, dep_lo, dep_hi = parse(w)
     good = (dep_lo >= 0) & (dep_hi < _FAR) & (dep_hi - dep_lo <= span)
-    name, dep_lo, dep_hi = np.maximum(name[good], A.U64(1)), dep_lo[good], dep_hi[good]
+    out, found = _least(np.maximum(name[good], A.U64(1)), dep_lo[good], dep_hi[good], at, span)
+    if not found.all():
+        k = np.arange(len(w.hash))
+        out[~found] = _least(A.mix(w.hash), k, k + 1, at[~found], span)[0]
+    return out
+
+
+def _least(name: np.ndarray, dep_lo: np.ndarray, dep_hi: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least name whose stretch lies in each window, and whether there is one."""
     out = np.zeros(len(at), A.U64)
     if not len(name) or not len(at):
-        return out
+        return out, np.zeros(len(at), bool)
     # both ends of the stretches rise with the symbols, so a window holds a range of them
     dep_lo, dep_hi = np.minimum.accumulate(dep_lo[::-1])[::-1], np.maximum.accumulate(dep_hi)
     a, b = np.searchsorted(dep_lo, at, "left"), np.searchsorted(dep_hi, at + span, "right")
@@ -106,7 +117,7 @@ def anchors(w: A.Words, at: np.ndarray, span: int = SPAN) -> np.ndarray:
         m = some & (exp == j)
         if m.any():
             out[m] = np.minimum(level[j][a[m]], level[j][b[m] - (1 << j)])
-    return out
+    return out, some
 
 
 def _runs(row: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -139,29 +150,55 @@ def _survey(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).slice(block.rows.start, block.n), pa.array(w.count), pa.array(sha), pa.array(same), lists], ["id", "n", "sha", "same", "anchors"])
 
 
-def _suspects(batches):
-    """(hash, id, start) of the windows whose anchor is among the row's shared ones."""
+def _listed(column: pa.Array, block: A.Block) -> tuple[np.ndarray, ...]:
+    """The lists of the block's rows as one array (of a list of structs: one for each field), and the row of each item first."""
+    part = column.slice(block.rows.start, block.n)
+    owner = np.repeat(np.arange(block.n), part.value_lengths().to_numpy(zero_copy_only=False))
+    flat = part.flatten()
+    return owner, *([x.to_numpy(zero_copy_only=False) for x in flat.flatten()] if pa.types.is_struct(flat.type) else [flat.to_numpy(zero_copy_only=False)])
+
+
+def _stretches(batches):
+    """(anchor, name, id, start, size) of the stretches of windows whose anchor is among the row's shared ones."""
     for b in batches:
-        held = b.column(2)
         for block in A.blocks(b.column(1)):
             w = A.words(block)
             value, at = A.windows(w, SPAN)
+            if not len(at):
+                continue
             anchor = anchors(w, at)
             row = np.searchsorted(w.first, at, "right") - 1
-            part = held.slice(block.rows.start, block.n)
-            mine = part.flatten().to_numpy(zero_copy_only=False).view(A.U64) if len(part) else np.zeros(0, A.U64)
-            owner = np.repeat(np.arange(block.n), part.value_lengths().to_numpy(zero_copy_only=False))
-            order = np.lexsort((mine, owner))
-            table = A.mix(mine[order] ^ A.mix(owner[order].astype(A.U64)))
-            keep = np.isin(A.mix(anchor ^ A.mix(row.astype(A.U64))), table)
+            owner, mine = _listed(b.column(2), block)
+            keep = np.isin(A.mix(anchor ^ A.mix(row.astype(A.U64))), A.mix(mine.view(A.U64) ^ A.mix(owner.astype(A.U64))))
+            first = np.flatnonzero(_runs(row, anchor))
+            size = np.diff(np.append(first, len(at)))
+            # a polynomial of the windows' hashes, taken from the stretch's start on
+            place = np.arange(len(at)) - np.repeat(first, size)
+            name = A.mix(np.add.reduceat(value * A.power(place), first) + size.astype(A.U64))
+            sel = np.flatnonzero(keep[first])
+            ids = b.column(0).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False)
+            f = first[sel]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[f].view(np.int64)), pa.array(name[sel].view(np.int64)), pa.array(ids[row[f]]), pa.array((at[f] - w.first[row[f]]).astype(np.int32)), pa.array(size[sel].astype(np.int32))], ["anchor", "name", "id", "start", "size"])
+
+
+def _single(batches):
+    """(hash, id, start) of the windows in the stretches that the row lists."""
+    for b in batches:
+        for block in A.blocks(b.column(1)):
+            w = A.words(block)
+            value, at = A.windows(w, SPAN)
             ids = b.column(0).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False)
-            for k in range(0, int(keep.sum()), 200_000):
-                sel = np.flatnonzero(keep)[k : k + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(value[sel].view(np.int64)), pa.array(ids[row[sel]]), pa.array((at[sel] - w.first[row[sel]]).astype(np.int32))], ["hash", "id", "start"])
+            owner, start, size = _listed(b.column(2), block)
+            word = np.repeat(w.first[owner] + start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            own = np.repeat(owner, size)
+            window = np.searchsorted(at, word)
+            for k in range(0, len(word), 200_000):
+                sel = slice(k, k + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(value[window[sel]].view(np.int64)), pa.array(ids[own[sel]]), pa.array((word[sel] - w.first[own[sel]]).astype(np.int32))], ["hash", "id", "start"])
 
 
 def _cut(batches):
-    """The digest of what is left of a text without the words under the windows at the given starts."""
+    """The digest of what is left of a text without the words under the given stretches of windows."""
     for b in batches:
         starts = b.column(2)
         removed, sha, texts = [], [], []
@@ -169,9 +206,10 @@ def _cut(batches):
             for i in range(block.n):
                 words = block.text(i).split()
                 mark = np.zeros(len(words) + 1, np.int32)
-                at = np.array(starts[block.rows.start + i].as_py(), np.int64)
+                at = [(x["start"], x["size"]) for x in starts[block.rows.start + i].as_py()]
+                at, size = np.array(at, np.int64).reshape(-1, 2).T
                 np.add.at(mark, at, 1)
-                np.add.at(mark, at + SPAN, -1)
+                np.add.at(mark, at + size + SPAN - 1, -1)
                 gone = np.cumsum(mark[:-1]) > 0
                 left = b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])
                 removed.append(int(gone.sum()))
@@ -197,16 +235,24 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     # documents with equal words look alike to all others: the one with the smallest id stands for them
     stands = long_.groupBy("sha").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("id"), F.first("anchors").alias("anchors"))
     sym = stands.select("id", F.explode("anchors").alias("anchor")).distinct()
-    shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y or anchor = 0").select("anchor")
+    shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
     asked = stored(sym.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     real = texts.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
     found = stored(real.join(_few(asked), "id"))
-    rows = stored(found.select("id", "text", "anchors").repartition(partitions(spark)).mapInArrow(_suspects, "hash long, id long, start int"))
-    early = rows.groupBy("hash").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("hash", "x")
-    late = rows.join(early, "hash").where("id > x").select("id", "start")
-    starts = stored(late.groupBy("id").agg(F.collect_set("start").alias("starts")))
+    n = partitions(spark)
+    rows = stored(found.select("id", "text", "anchors").repartition(n).mapInArrow(_stretches, "anchor long, name long, id long, start int, size int"))
+    least = stored(rows.groupBy("anchor", "name").agg(F.min("id").alias("least")))
+    several = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    marked = rows.join(least, ["anchor", "name"])
+    lost = marked.where("id > least").select("id", "start", "size")
+    kept = marked.where("id = least").join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
+    single = found.select("id", "text").join(_few(stored(kept)), "id").select("id", "text", "parts").repartition(n)
+    single = stored(single.mapInArrow(_single, "hash long, id long, start int"))
+    early = single.groupBy("hash").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("hash", "x")
+    late = single.join(early, "hash").where("id > x").select("id", "start", F.lit(1).alias("size"))
+    starts = stored(lost.union(late).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
     cut = found.select("id", "text").join(_few(starts), "id")
-    cut = stored(cut.repartition(partitions(spark)).select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
+    cut = stored(cut.repartition(n).select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
     return whole, cut
 
 
