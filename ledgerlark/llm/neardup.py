@@ -20,11 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import bare, components, partitions, small_batches, stored
+from .shared import SMALL_ROWS, bare, components, partitions, small_batches, stored
 
 BANDS, ROWS, WIDTH = 32, 4, 5
-#: A table of at most so many rows of 24 bytes is broadcast, a larger one shuffled.
-SMALL_ROWS = 150_000
 #: Further stars, each around another centre of every bucket that holds more than one component.
 STARS = 3
 

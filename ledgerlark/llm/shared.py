@@ -32,10 +32,14 @@ def folder(spark: SparkSession) -> str:
     return base
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: A table of at most so many short rows is broadcast, a larger one shuffled.
+SMALL_ROWS = 150_000
+
+
+def stored(df: DataFrame, name: str = "") -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name or 'stored-' + uuid.uuid4().hex}"
     df.write.parquet(path)
     _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -33,10 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import bare, partitions, small_batches, stored
+from .shared import SMALL_ROWS, bare, partitions, small_batches, stored
 
 SPAN, ROUNDS = 50, 4
-SMALL_ROWS = 150_000
 _FAR = 1 << 40
 
 
