@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, lm, neardup, ordermin, packing, quality, sharding, substring, toxicity
+from . import bytepair, lm, neardup, ordermin, packing, quality, sharding, substring, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ordermin, op2_resampling, op3_packing, op5_minhash, op6_factorization, op7_trees, op8_sharding, op9_recompression, op10_bytepair)}
+    return {f.__name__: f for f in (op1_ordermin, op2_resampling, op3_packing, op4_rotation, op5_minhash, op6_factorization, op7_trees, op8_sharding, op9_recompression, op10_bytepair)}
 
 
 def oracle_sql() -> dict:
