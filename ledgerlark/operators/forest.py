@@ -32,9 +32,9 @@ def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -
                 a.append(-1)
             if parent >= 0:
                 (left, right)[side][parent] = at
-            lo, hi = x.min(axis=0), x.max(axis=0)
+            lo, hi = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(x.shape[1]),) * 2
             open_ = np.flatnonzero(hi > lo)
-            if d >= depth or len(x) < 2 or not len(open_):
+            if d >= depth or not len(open_):
                 path[at] = d + _c(len(x))
                 continue
             f = int(rng.choice(open_))
