@@ -7,8 +7,8 @@ in all documents and partitions without a table of names. Equal passages get equ
 each symbol the stretch of words that its parse depends on is kept, and a symbol whose stretch lies in a window of
 words occurs at the same place of every equal window.
 
-1. Of each window of SPAN words the interior symbol with the least name is its anchor (its least word, where no symbol
-   is interior, as inside a long run). Spark counts the documents of each anchor; a window whose anchor occurs in one
+1. Of each window of SPAN words the longest interior symbol is its anchor, of several that with the least name (the
+   window's own hash, where no symbol is interior, as inside a long run). Spark counts the documents of each anchor; a window whose anchor occurs in one
    document only is unique.
 2. Windows in a row with one shared anchor make a stretch, and a hash of all its words names it. Of each stretch the
    least doc_id is found by a grouped minimum; documents with a larger one lose all its windows.
@@ -33,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import SMALL_ROWS, bare, partitions, small_batches, stored
+from .shared import SMALL_ROWS, bare, small_batches, stored
 
-SPAN, ROUNDS = 50, 4
+#: Symbols of at least LONG words count as equally long; windows without an interior symbol after all rounds take one after EARLY.
+SPAN, ROUNDS, EARLY, LONG = 50, 4, 2, 255
 _FAR = 1 << 40
 
 
-def parse(w: A.Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after the rounds: name, and the words [from, to) that its parse depends on (beyond the row at its ends)."""
-    name = w.hash.copy()
+def parse(w: A.Words, rounds: int = ROUNDS, early: int = EARLY) -> list[tuple[np.ndarray, ...]]:
+    """Symbols after all rounds, and after the early ones: name, size in words, and the words [from, to) that its parse depends on (beyond the row at its ends)."""
+    name, out = w.hash.copy(), []
     row = w.row()
     lo = np.arange(len(name))
     hi = lo + 1
@@ -50,7 +51,7 @@ def parse(w: A.Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.
         for step in ("runs", "pairs"):
             n = len(name)
             if n < 2:
-                break
+                continue
             joined = row[1:] == row[:-1]  # to the next one
             if step == "runs":
                 glue = joined & (name[1:] == name[:-1])
@@ -81,17 +82,20 @@ def parse(w: A.Words, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.
             d_hi[k] = np.maximum(d_hi[k], dep_hi[after[k]])
             d_hi[need_hi & ~open_hi] = _FAR
             name, row, lo, hi, dep_lo, dep_hi = new, row[at], lo[at], hi[end - 1], d_lo, d_hi
-    return name, dep_lo, dep_hi
-
-
-def anchors(w: A.Words, at: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """For the windows that start at the words `at`: the least name of an interior symbol, or else of a word."""
-    name, dep_lo, dep_hi = parse(w)
-    good = (dep_lo >= 0) & (dep_hi < _FAR) & (dep_hi - dep_lo <= span)
-    out, found = _least(np.maximum(name[good], A.U64(1)), dep_lo[good], dep_hi[good], at, span)
-    if not found.all():
-        k = np.arange(len(w.hash))
-        out[~found] = _least(A.mix(w.hash), k, k + 1, at[~found], span)[0]
+        if r + 1 in (early, rounds):
+            out.append((name, hi - lo, dep_lo, dep_hi))
+    return out[::-1]
+
+
+def anchors(w: A.Words, value: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """The anchor of each of the windows that start at the words `at` and have the hashes `value`."""
+    out, left = value.copy(), np.arange(len(at))
+    for name, size, dep_lo, dep_hi in parse(w):
+        good = (dep_lo >= 0) & (dep_hi < _FAR) & (dep_hi - dep_lo <= span)
+        order = (LONG - np.minimum(size[good], LONG)).astype(A.U64) << A.U64(56) | name[good] >> A.U64(8)
+        got, found = _least(order, dep_lo[good], dep_hi[good], at[left], span)
+        out[left[found]] = got[found]
+        left = left[~found]
     return out
 
 
@@ -131,8 +135,8 @@ def _survey(batches):
     for b in batches:
         for block in A.blocks(b.column(1)):
             w = A.words(block)
-            _, at = A.windows(w, SPAN)
-            anchor = anchors(w, at)
+            value, at = A.windows(w, SPAN)
+            anchor = anchors(w, value, at)
             row = np.searchsorted(w.first, at, "right") - 1
             first = _runs(row, anchor)
             row, anchor = row[first], anchor[first]
@@ -165,7 +169,7 @@ def _stretches(batches):
             value, at = A.windows(w, SPAN)
             if not len(at):
                 continue
-            anchor = anchors(w, at)
+            anchor = anchors(w, value, at)
             row = np.searchsorted(w.first, at, "right") - 1
             owner, mine = _listed(b.column(2), block)
             keep = np.isin(A.mix(anchor ^ A.mix(row.astype(A.U64))), A.mix(mine.view(A.U64) ^ A.mix(owner.astype(A.U64))))
@@ -233,25 +237,24 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     whole = stored(whole.select("id", "n", "sha", F.coalesce(F.col("least") < F.coalesce("id", F.lit((1 << 63) - 1)), F.lit(False)).alias("gone")))
     # documents with equal words look alike to all others: the one with the smallest id stands for them
     stands = long_.groupBy("sha").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("id"), F.first("anchors").alias("anchors"))
-    sym = stands.select("id", F.explode("anchors").alias("anchor")).distinct()
+    sym = stands.select("id", F.explode("anchors").alias("anchor"))
     shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
     asked = stored(sym.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     real = texts.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
     found = stored(real.join(_few(asked), "id"))
-    n = partitions(spark)
-    rows = stored(found.select("id", "text", "anchors").repartition(n).mapInArrow(_stretches, "anchor long, name long, id long, start int, size int"))
+    rows = stored(found.select("id", "text", "anchors").mapInArrow(_stretches, "anchor long, name long, id long, start int, size int"))
     least = stored(rows.groupBy("anchor", "name").agg(F.min("id").alias("least")))
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     marked = rows.join(least, ["anchor", "name"])
     lost = marked.where("id > least").select("id", "start", "size")
     kept = marked.where("id = least").join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
-    single = found.select("id", "text").join(_few(stored(kept)), "id").select("id", "text", "parts").repartition(n)
+    single = found.select("id", "text").join(_few(stored(kept)), "id").select("id", "text", "parts")
     single = stored(single.mapInArrow(_single, "hash long, id long, start int"))
     early = single.groupBy("hash").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("hash", "x")
     late = single.join(early, "hash").where("id > x").select("id", "start", F.lit(1).alias("size"))
     starts = stored(lost.union(late).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
     cut = found.select("id", "text").join(_few(starts), "id")
-    cut = stored(cut.repartition(n).select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
+    cut = stored(cut.select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
     return whole, cut
 
 
