@@ -27,6 +27,8 @@ from .shared import bare, partitions, small_batches, stored
 
 #: The hash that stands for the end token.
 STOP = A.U64(0x5F3759DF5F3759DF)
+#: Bytes of a bucket's cut-up texts that are kept from counting to scoring; the rest is cut up again.
+KEPT_BYTES = 120_000_000
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -70,6 +72,11 @@ class Tally:
         if len(self.parts) > 15:
             self.parts = [self.total()]
 
+    def add_distinct(self, uniq: np.ndarray) -> None:
+        self.parts.append((np.sort(uniq), np.zeros(len(uniq), np.int64)))
+        if len(self.parts) > 15:
+            self.parts = [self.total()]
+
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
             return np.zeros(0, A.U64), np.zeros(0, np.int64)
@@ -197,11 +204,15 @@ def _answer(shared):
 def _score(ranges: int, tokens: int, distinct: int):
     def run(batches):
         def out(answers, held):
-            tallies = [Tally(), Tally()]
+            tallies, kept, room = [Tally(), Tally()], [], KEPT_BYTES
             for b in held:
                 for block in A.blocks(b.column(5)):
-                    for kind, key, first in _keys(block):
-                        tallies[kind].add(key, np.zeros(first[-1], bool))
+                    parts = [(kind, *A.distinct(key)[::2], first) for kind, key, first in _keys(block)]
+                    for kind, uniq, _, _ in parts:
+                        tallies[kind].add_distinct(uniq)
+                    room -= sum(uniq.nbytes + back.nbytes // 2 for _, uniq, back, _ in parts)
+                    kept.append([(kind, uniq, back.astype(np.int32), first) for kind, uniq, back, first in parts] if room > 0 else None)
+            kept = iter(kept)
             tables = []
             for kind in (0, 1):
                 key = tallies[kind].total()[0]
@@ -216,8 +227,8 @@ def _score(ranges: int, tokens: int, distinct: int):
             for b in held:
                 known, count, base, score = [], [], [], []
                 for block in A.blocks(b.column(5)):
-                    for kind, key, first in _keys(block):
-                        uniq, _, back = A.distinct(key)
+                    parts = next(kept) or [(kind, *A.distinct(key)[::2], first) for kind, key, first in _keys(block)]
+                    for kind, uniq, back, first in parts:
                         value = tables[kind][1][np.searchsorted(tables[kind][0], uniq)]
                         if kind == 0:
                             score.append(np.add.reduceat(value[back], first[:-1]) * -np.log10(2))
