@@ -40,12 +40,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, cut = substring.passages(docs)
     change = cut.select(F.col("id").alias("_id"), F.col("left").alias("_left")).union(whole.where("gone").select("id", F.lit("")))
     change = stored(change.dropDuplicates(["_id"]))
-    if change.count() <= SMALL_ROWS // 10:
-        change = F.broadcast(change)
+    # only ids may be broadcast: the texts that stay don't move, and those that change are small in number
+    ids = change.select(F.col("_id").alias("_of"))
+    ids = F.broadcast(ids) if change.count() <= SMALL_ROWS else ids
     key = F.coalesce(docs.doc_id, F.lit((1 << 63) - 1))
-    out = docs.join(change, key == F.col("_id"), "left")
-    text = F.coalesce("_left", docs.text)
-    return out.select(*[text.alias(c) if c == "text" else F.when(F.col("_left").isNotNull(), F.length("_left").cast("long")).otherwise(docs[c]).alias(c) if c == "n_chars" else docs[c] for c in docs.columns])
+    same = docs.join(ids, key == F.col("_of"), "left_anti")
+    rest = docs.drop("text").join(ids, key == F.col("_of")).join(change, F.col("_of") == F.col("_id"))
+    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
+    return same.unionByName(rest.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
