@@ -149,7 +149,7 @@ def one_hot(df: DataFrame, column: str, prefix: str, values: list[str] | None =
 def frequency(df: DataFrame, column: str, name: str, fill: float | None = None) -> DataFrame:
     """Share of the value among non-null ones; null gives null, or fill."""
     table = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_n"))
-    table = table.withColumn("_share", F.col("_n") / F.sum("_n").over(W.partitionBy(F.lit(0)))).drop("_n")
+    table = table.join(F.broadcast(table.agg(F.sum("_n").alias("_all")))).select("_value", (F.col("_n") / F.col("_all")).alias("_share"))
     share = F.col("_share") if fill is None else F.coalesce("_share", F.lit(float(fill)))
     return df.join(table, F.col(column) == F.col("_value"), "left").withColumn(name, share).drop("_value", "_share")
 

@@ -66,10 +66,18 @@ def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataF
 
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp of every threshold. Scores are counted before they are cumulated."""
+    """score, tp, fp of every threshold: scores are counted, cut into ranges, and cumulated within each range."""
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    down = W.orderBy(F.col("score").desc())
-    return per.select("score", F.sum("p").over(down).alias("tp"), (F.sum("n").over(down) - F.sum("p").over(down)).alias("fp"))
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = per.agg(F.percentile_approx("score", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("_cuts"))
+    per = per.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    sums = per.groupBy("_part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    # one row a range
+    above = W.orderBy(F.col("_part").desc())
+    offsets = sums.select("_part", (F.sum("sp").over(above) - F.col("sp")).alias("p0"), (F.sum("sn").over(above) - F.col("sn")).alias("n0"))
+    down = W.partitionBy("_part").orderBy(F.col("score").desc())
+    out = per.join(F.broadcast(offsets), "_part").withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "k": F.sum("n").over(down) + F.col("n0")})
+    return out.select("score", "tp", (F.col("k") - F.col("tp")).alias("fp"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
