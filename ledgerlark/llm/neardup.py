@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import SMALL_ROWS, bare, components, partitions, small_batches, stored
+from .shared import SMALL_IDS, SMALL_ROWS, among, bare, components, partitions, small_batches, stored
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 #: Further stars, each around another centre of every bucket that holds more than one component.
@@ -105,9 +105,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame, per_part: int = 256) -> DataFr
     members = pairs.join(wide, "c").select(F.col("a").alias("id"), "c", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     centres = wide.select(F.col("c").alias("id"), "c", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     asked = stored(members.union(centres))
-    if asked.count() <= SMALL_ROWS:
-        asked = F.broadcast(asked)
-    rows = texts.join(asked, "id").select("c", "part", "role", "id", "text")
+    few = asked.count() <= SMALL_ROWS
+    rows = (texts.join(F.broadcast(asked), "id") if few else among(texts, asked)).select("c", "part", "role", "id", "text")
     rows = rows.repartition(partitions(spark), "c", "part").sortWithinPartitions("c", "part", "role")
     return stored(rows.mapInArrow(_confirm, "a long, c long, ok boolean").distinct())
 
@@ -184,7 +183,7 @@ def _undecided(texts: DataFrame, members: DataFrame, roots: DataFrame) -> DataFr
     asked = stored(_mixed(members, roots).select(F.col("rep").alias("id"), "root").distinct())
     if not (n := asked.count()):
         return None
-    rows = texts.join(F.broadcast(asked) if n <= SMALL_ROWS else asked, "id").select("id", "text", "root")
+    rows = texts.join(F.broadcast(asked) if n <= SMALL_IDS else asked, "id").select("id", "text", "root")
     rows = stored(rows.repartition(partitions(texts.sparkSession)).mapInArrow(_shingles, "id long, root long, n long, shingle long"))
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle", "df")
     first = W.partitionBy("id").orderBy("df", "shingle")

@@ -36,6 +36,19 @@ def folder(spark: SparkSession) -> str:
 SMALL_ROWS = 150_000
 
 
+#: So many ids are broadcast, more are shuffled.
+SMALL_IDS = 1_000_000
+
+
+def among(texts: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """texts joined with a table on an id. Only ids are ever broadcast, and only a counted number of them: they pick the
+    texts that take part, so that the join moves no others."""
+    ids = stored(table.select(key).distinct())
+    if ids.count() <= SMALL_IDS:
+        texts = texts.join(F.broadcast(ids), key, "left_semi")
+    return texts.join(table, key)
+
+
 def stored(df: DataFrame, name: str = "") -> DataFrame:
     """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import SMALL_ROWS, bare, small_batches, stored
+from .shared import among, bare, small_batches, stored
 
 #: Symbols of at least LONG words count as equally long; windows without an interior symbol after all rounds take one after EARLY.
 SPAN, ROUNDS, EARLY, LONG = 50, 4, 2, 255
@@ -221,10 +221,6 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["id", "removed", "sha", "left"])
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
-
-
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a row per row of docs: id, n, sha, gone; the cut ones: id, removed, sha, left). gone: all words are removed, as a smaller id has the same words."""
     spark = docs.sparkSession
@@ -241,19 +237,19 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
     asked = stored(sym.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
     real = texts.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
-    found = stored(real.join(_few(asked), "id"))
+    found = stored(among(real, asked))
     rows = stored(found.select("id", "text", "anchors").mapInArrow(_stretches, "anchor long, name long, id long, start int, size int"))
     least = stored(rows.groupBy("anchor", "name").agg(F.min("id").alias("least")))
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     marked = rows.join(least, ["anchor", "name"])
     lost = marked.where("id > least").select("id", "start", "size")
     kept = marked.where("id = least").join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
-    single = found.select("id", "text").join(_few(stored(kept)), "id").select("id", "text", "parts")
+    single = among(found.select("id", "text"), stored(kept)).select("id", "text", "parts")
     single = stored(single.mapInArrow(_single, "hash long, id long, start int"))
     early = single.groupBy("hash").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("hash", "x")
     late = single.join(early, "hash").where("id > x").select("id", "start", F.lit(1).alias("size"))
     starts = stored(lost.union(late).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
-    cut = found.select("id", "text").join(_few(starts), "id")
+    cut = among(found.select("id", "text"), starts)
     cut = stored(cut.select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
     return whole, cut
 
