@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup, packing, quality, substring, toxicity
-from .shared import SMALL_ROWS, stored
+from .shared import SMALL_IDS, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; of rows with one doc_id any one; rows without doc_id all."""
     gone = stored(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    if gone.count() <= SMALL_ROWS:
+    if gone.count() <= SMALL_IDS:
         gone = F.broadcast(gone)
     left = docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
     twice = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
@@ -42,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     change = stored(change.dropDuplicates(["_id"]))
     # only ids may be broadcast: the texts that stay don't move, and those that change are small in number
     ids = change.select(F.col("_id").alias("_of"))
-    ids = F.broadcast(ids) if change.count() <= SMALL_ROWS else ids
+    ids = F.broadcast(ids) if change.count() <= SMALL_IDS else ids
     key = F.coalesce(docs.doc_id, F.lit((1 << 63) - 1))
     same = docs.join(ids, key == F.col("_of"), "left_anti")
     rest = docs.drop("text").join(ids, key == F.col("_of")).join(change, F.col("_of") == F.col("_id"))
