@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import SMALL_IDS, SMALL_ROWS, among, bare, components, partitions, small_batches, stored
+from .shared import SMALL_IDS, SMALL_ROWS, among, bare, components, partitions, scratch, small_batches, stored
 
 BANDS, ROWS, WIDTH = 32, 4, 5
 #: Further stars, each around another centre of every bucket that holds more than one component.
@@ -113,8 +113,12 @@ def confirmed(texts: DataFrame, pairs: DataFrame, per_part: int = 256) -> DataFr
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return stored(_near_duplicates(docs, id, text), keep=True)
+
+
+def _near_duplicates(docs: DataFrame, id: str, text: str) -> DataFrame:
     texts = bare(docs, id=id, text=text)
     sets = stored(texts.mapInArrow(_sketches, "id long, n long, s1 long, s2 long, keys array<long>"))
     real = sets.where("n > 0 and id is not null")

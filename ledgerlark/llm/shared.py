@@ -15,9 +15,7 @@ _paths: list[tuple[SparkSession, str]] = []
 
 def _sweep() -> None:
     for spark, path in _paths:
-        with contextlib.suppress(Exception):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _remove(spark, path)
 
 
 atexit.register(_sweep)
@@ -49,11 +47,39 @@ def among(texts: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     return texts.join(table, key)
 
 
-def stored(df: DataFrame, name: str = "") -> DataFrame:
-    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
+#: Paths written within each open scratch(), the innermost last.
+_open: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are removed at the end; what is returned from within must be stored with keep=True."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
+def stored(df: DataFrame, name: str = "", keep: bool = False) -> DataFrame:
+    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing.
+
+    The finished job's shuffle files go as soon as the driver has collected what refers to them, so it is asked to.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name or 'stored-' + uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
+    scopes = _open[:-1] if keep else _open
+    if scopes:
+        scopes[-1].append(path)
     _paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import among, bare, small_batches, stored
+from .shared import among, bare, scratch, small_batches, stored
 
 #: Symbols of at least LONG words count as equally long; windows without an interior symbol after all rounds take one after EARLY.
 SPAN, ROUNDS, EARLY, LONG = 50, 4, 2, 255
@@ -223,14 +223,18 @@ def _cut(batches):
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(a row per row of docs: id, n, sha, gone; the cut ones: id, removed, sha, left). gone: all words are removed, as a smaller id has the same words."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _passages(docs, id, text)
+
+
+def _passages(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
     texts = bare(docs, id=id, text=text)
     survey = stored(texts.mapInArrow(_survey, "id long, n long, sha string, same long, anchors array<long>"))
     long_ = survey.where(F.col("n") >= SPAN)
     least = long_.groupBy("sha").agg(F.min("id").alias("least")).withColumnRenamed("sha", "of")
     whole = survey.select("id", "n", "sha").join(least, (F.col("sha") == F.col("of")) & (F.col("n") >= SPAN), "left")
-    whole = stored(whole.select("id", "n", "sha", F.coalesce(F.col("least") < F.coalesce("id", F.lit((1 << 63) - 1)), F.lit(False)).alias("gone")))
+    whole = stored(whole.select("id", "n", "sha", F.coalesce(F.col("least") < F.coalesce("id", F.lit((1 << 63) - 1)), F.lit(False)).alias("gone")), keep=True)
     # documents with equal words look alike to all others: the one with the smallest id stands for them
     stands = long_.groupBy("sha").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("id"), F.first("anchors").alias("anchors"))
     sym = stands.select("id", F.explode("anchors").alias("anchor"))
@@ -250,7 +254,7 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[D
     late = single.join(early, "hash").where("id > x").select("id", "start", F.lit(1).alias("size"))
     starts = stored(lost.union(late).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
     cut = among(found.select("id", "text"), starts)
-    cut = stored(cut.select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"))
+    cut = stored(cut.select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"), keep=True)
     return whole, cut
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SMALL_ROWS, bare, components, partitions, small_batches, stored
+from .shared import SMALL_ROWS, bare, components, partitions, scratch, small_batches, stored
 
 THRESHOLD, EPSILON, MISS, BLOCK = 0.95, 4.5, 1e-4, 2048
 
@@ -164,8 +164,13 @@ def _linked(k: int, many: int):
 
 def near_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """Per row of vectors: id, n_links, component_id, kept."""
+    small_batches(vectors.sparkSession)
+    with scratch(vectors.sparkSession):
+        return stored(_near_vectors(vectors, id, vector, block), keep=True)
+
+
+def _near_vectors(vectors: DataFrame, id: str, vector: str, block: int) -> DataFrame:
     spark = vectors.sparkSession
-    small_batches(spark)
     rows = bare(vectors, id=id, vector=vector).mapInArrow(_units, "id long, dim int, unit binary")
     rows = stored(rows.select("*", F.xxhash64("unit").alias("h1"), F.xxhash64("unit", F.lit(1)).alias("h2")))
     real = rows.where("dim > 0 and id is not null")
