@@ -84,6 +84,11 @@ def stored(df: DataFrame, name: str = "", keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a key of each row, stored, so that the keys stay the same however often it is read."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of one Arrow batch, so that very long texts don't pile up in a Python worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") or 0) not in range(1, rows + 1):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup, packing, quality, substring, toxicity
-from .shared import SMALL_IDS, stored
+from .shared import SMALL_IDS, numbered, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,15 +37,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; text and n_chars change where words went."""
-    whole, cut = substring.passages(docs)
-    change = cut.select(F.col("id").alias("_id"), F.col("left").alias("_left")).union(whole.where("gone").select("id", F.lit("")))
-    change = stored(change.dropDuplicates(["_id"]))
-    # only ids may be broadcast: the texts that stay don't move, and those that change are small in number
-    ids = change.select(F.col("_id").alias("_of"))
-    ids = F.broadcast(ids) if change.count() <= SMALL_IDS else ids
-    key = F.coalesce(docs.doc_id, F.lit((1 << 63) - 1))
-    same = docs.join(ids, key == F.col("_of"), "left_anti")
-    rest = docs.drop("text").join(ids, key == F.col("_of")).join(change, F.col("_of") == F.col("_id"))
+    rows = numbered(docs, "_row")
+    whole, cut = substring.passages(rows, row="_row")
+    left = whole.where("not gone").join(cut.select("of", "left"), F.col("sha") == F.col("of")).select(F.col("row").alias("_of"), F.col("left").alias("_left"))
+    change = stored(left.union(whole.where("gone").select("row", F.lit(""))))
+    # only row keys may be broadcast: the texts that stay don't move, and those that change are small in number
+    keys = change.select("_of")
+    keys = F.broadcast(keys) if change.count() <= SMALL_IDS else keys
+    same = rows.join(keys, F.col("_row") == F.col("_of"), "left_anti").drop("_row")
+    rest = rows.drop("text").join(keys, F.col("_row") == F.col("_of"), "left_semi").join(change, F.col("_row") == F.col("_of"))
     new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
     return same.unionByName(rest.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns]))
 

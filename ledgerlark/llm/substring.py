@@ -20,7 +20,8 @@ Whole documents with equal words are settled first, by a grouped minimum of thei
 share an anchor or a window: both are pre-aggregated minima, and no pairs of documents are made.
 
 Defined cases: null and blank texts have no words, kept_sha256 is that of the empty string; texts of fewer than SPAN
-words are kept whole; rows with one doc_id never remove each other's words; a null doc_id counts as larger than all others.
+words are kept whole; rows with one doc_id never remove each other's words; a null doc_id counts as the largest long, so
+larger than all others. Every row has a key of its own, written once with its text: ids are only compared, words are cut by row.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .shared import among, bare, scratch, small_batches, stored
+from .shared import among, bare, numbered, scratch, small_batches, stored
 
 #: Symbols of at least LONG words count as equally long; windows without an interior symbol after all rounds take one after EARLY.
 SPAN, ROUNDS, EARLY, LONG = 50, 4, 2, 255
@@ -131,9 +132,9 @@ def _runs(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _survey(batches):
-    """A row per document: words, digest of all, hash of all, anchors of its windows."""
+    """A row per document: its key and id, words, digest of all, anchors of its windows."""
     for b in batches:
-        for block in A.blocks(b.column(1)):
+        for block in A.blocks(b.column(2)):
             w = A.words(block)
             value, at = A.windows(w, SPAN)
             anchor = anchors(w, value, at)
@@ -144,13 +145,10 @@ def _survey(batches):
             row, anchor = row[order], anchor[order]
             first = _runs(row, anchor)
             row, anchor = row[first], anchor[first]
-            sha, same = [], np.empty(block.n, np.int64)
-            for i in range(block.n):
-                whole = hashlib.sha256(b" ".join(block.text(i).split()))
-                sha.append(whole.hexdigest())
-                same[i] = int.from_bytes(whole.digest()[:8], "little", signed=True)
+            sha = [hashlib.sha256(b" ".join(block.text(i).split())).hexdigest() for i in range(block.n)]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(block.n + 1)).astype(np.int32)), pa.array(anchor.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(block.rows.start, block.n), pa.array(w.count), pa.array(sha), pa.array(same), lists], ["id", "n", "sha", "same", "anchors"])
+            own = [b.column(k).slice(block.rows.start, block.n) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(w.count), pa.array(sha), lists], ["row", "id", "n", "sha", "anchors"])
 
 
 def _listed(column: pa.Array, block: A.Block) -> tuple[np.ndarray, ...]:
@@ -162,16 +160,16 @@ def _listed(column: pa.Array, block: A.Block) -> tuple[np.ndarray, ...]:
 
 
 def _stretches(batches):
-    """(anchor, name, id, start, size) of the stretches of windows whose anchor is among the row's shared ones."""
+    """(anchor, name, row, id, start, size) of the stretches of windows whose anchor is among the row's shared ones."""
     for b in batches:
-        for block in A.blocks(b.column(1)):
+        for block in A.blocks(b.column(2)):
             w = A.words(block)
             value, at = A.windows(w, SPAN)
             if not len(at):
                 continue
             anchor = anchors(w, value, at)
             row = np.searchsorted(w.first, at, "right") - 1
-            owner, mine = _listed(b.column(2), block)
+            owner, mine = _listed(b.column(3), block)
             keep = np.isin(A.mix(anchor ^ A.mix(row.astype(A.U64))), A.mix(mine.view(A.U64) ^ A.mix(owner.astype(A.U64))))
             first = np.flatnonzero(_runs(row, anchor))
             size = np.diff(np.append(first, len(at)))
@@ -179,25 +177,25 @@ def _stretches(batches):
             place = np.arange(len(at)) - np.repeat(first, size)
             name = A.mix(np.add.reduceat(value * A.power(place), first) + size.astype(A.U64))
             sel = np.flatnonzero(keep[first])
-            ids = b.column(0).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False)
+            keys, ids = (b.column(k).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False) for k in (0, 1))
             f = first[sel]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[f].view(np.int64)), pa.array(name[sel].view(np.int64)), pa.array(ids[row[f]]), pa.array((at[f] - w.first[row[f]]).astype(np.int32)), pa.array(size[sel].astype(np.int32))], ["anchor", "name", "id", "start", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[f].view(np.int64)), pa.array(name[sel].view(np.int64)), pa.array(keys[row[f]]), pa.array(ids[row[f]]), pa.array((at[f] - w.first[row[f]]).astype(np.int32)), pa.array(size[sel].astype(np.int32))], ["anchor", "name", "row", "id", "start", "size"])
 
 
 def _single(batches):
-    """(hash, id, start) of the windows in the stretches that the row lists."""
+    """(hash, row, id, start) of the windows in the stretches that the row lists."""
     for b in batches:
-        for block in A.blocks(b.column(1)):
+        for block in A.blocks(b.column(2)):
             w = A.words(block)
             value, at = A.windows(w, SPAN)
-            ids = b.column(0).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False)
-            owner, start, size = _listed(b.column(2), block)
+            keys, ids = (b.column(k).slice(block.rows.start, block.n).to_numpy(zero_copy_only=False) for k in (0, 1))
+            owner, start, size = _listed(b.column(3), block)
             word = np.repeat(w.first[owner] + start, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             own = np.repeat(owner, size)
             window = np.searchsorted(at, word)
             for k in range(0, len(word), 200_000):
                 sel = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(value[window[sel]].view(np.int64)), pa.array(ids[own[sel]]), pa.array((word[sel] - w.first[own[sel]]).astype(np.int32))], ["hash", "id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(value[window[sel]].view(np.int64)), pa.array(keys[own[sel]]), pa.array(ids[own[sel]]), pa.array((word[sel] - w.first[own[sel]]).astype(np.int32))], ["hash", "row", "id", "start"])
 
 
 def _cut(batches):
@@ -218,51 +216,53 @@ def _cut(batches):
                 removed.append(int(gone.sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["id", "removed", "sha", "left"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["of", "removed", "sha", "left"])
 
 
-def passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(a row per row of docs: id, n, sha, gone; the cut ones: id, removed, sha, left). gone: all words are removed, as a smaller id has the same words."""
+def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a row per row of docs: row, id, n, sha, gone; of words that are cut: of, removed, sha, left). gone: all words are removed,
+    as a smaller id has the same words; the others with sha = of are cut alike. row: a column of docs with a stored key of each row."""
     small_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return _passages(docs, id, text)
-
-
-def _passages(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    texts = bare(docs, id=id, text=text)
-    survey = stored(texts.mapInArrow(_survey, "id long, n long, sha string, same long, anchors array<long>"))
-    long_ = survey.where(F.col("n") >= SPAN)
+        return _passages(docs, id, text, row)
+
+
+def _passages(docs: DataFrame, id: str, text: str, row: str | None) -> tuple[DataFrame, DataFrame]:
+    with scratch(docs.sparkSession):  # texts stored with their keys go as soon as those that share an anchor are written
+        texts = numbered(bare(docs, id=id, text=text), "row") if row is None else bare(docs, row=row, id=id, text=text)
+        survey = stored(texts.select("row", "id", "text").mapInArrow(_survey, "row long, id long, n long, sha string, anchors array<long>"), keep=True)
+        long_ = survey.where(F.col("n") >= SPAN)
+        # documents with equal words look alike to all others: one with the smallest id stands for them
+        stands = long_.groupBy("sha").agg(F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "row")).alias("m"), F.first("anchors").alias("anchors"))
+        sym = stands.select("m.row", "m.id", F.col("sha").alias("of"), F.explode("anchors").alias("anchor"))
+        shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
+        asked = stored(sym.join(shared, "anchor").groupBy("row", "id", "of").agg(F.collect_set("anchor").alias("anchors")))
+        found = stored(among(texts.select("row", "text"), asked, "row"), keep=True)
     least = long_.groupBy("sha").agg(F.min("id").alias("least")).withColumnRenamed("sha", "of")
-    whole = survey.select("id", "n", "sha").join(least, (F.col("sha") == F.col("of")) & (F.col("n") >= SPAN), "left")
-    whole = stored(whole.select("id", "n", "sha", F.coalesce(F.col("least") < F.coalesce("id", F.lit((1 << 63) - 1)), F.lit(False)).alias("gone")), keep=True)
-    # documents with equal words look alike to all others: the one with the smallest id stands for them
-    stands = long_.groupBy("sha").agg(F.min(F.coalesce("id", F.lit((1 << 63) - 1))).alias("id"), F.first("anchors").alias("anchors"))
-    sym = stands.select("id", F.explode("anchors").alias("anchor"))
-    shared = sym.groupBy("anchor").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("anchor")
-    asked = stored(sym.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")))
-    real = texts.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
-    found = stored(among(real, asked))
-    rows = stored(found.select("id", "text", "anchors").mapInArrow(_stretches, "anchor long, name long, id long, start int, size int"))
+    whole = survey.select("row", "id", "n", "sha").join(least, (F.col("sha") == F.col("of")) & (F.col("n") >= SPAN), "left")
+    whole = stored(whole.select("row", "id", "n", "sha", F.coalesce(F.col("least") < F.coalesce("id", F.lit((1 << 63) - 1)), F.lit(False)).alias("gone")), keep=True)
+    rows = stored(found.select("row", "id", "text", "anchors").mapInArrow(_stretches, "anchor long, name long, row long, id long, start int, size int"))
     least = stored(rows.groupBy("anchor", "name").agg(F.min("id").alias("least")))
     several = least.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     marked = rows.join(least, ["anchor", "name"])
-    lost = marked.where("id > least").select("id", "start", "size")
-    kept = marked.where("id = least").join(several, "anchor").groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
-    single = among(found.select("id", "text"), stored(kept)).select("id", "text", "parts")
-    single = stored(single.mapInArrow(_single, "hash long, id long, start int"))
+    lost = marked.where("id > least").select("row", "start", "size")
+    kept = marked.where("id = least").join(several, "anchor").groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("parts"))
+    single = among(found.select("row", "id", "text"), stored(kept), "row").select("row", "id", "text", "parts")
+    single = stored(single.mapInArrow(_single, "hash long, row long, id long, start int"))
     early = single.groupBy("hash").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("hash", "x")
-    late = single.join(early, "hash").where("id > x").select("id", "start", F.lit(1).alias("size"))
-    starts = stored(lost.union(late).groupBy("id").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
-    cut = among(found.select("id", "text"), starts)
-    cut = stored(cut.select("id", "text", "starts").mapInArrow(_cut, "id long, removed long, sha string, left string"), keep=True)
+    late = single.join(early, "hash").where("id > x").select("row", "start", F.lit(1).alias("size"))
+    starts = stored(lost.union(late).groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
+    cut = among(found.select("row", "of", "text"), starts, "row")
+    cut = stored(cut.select("of", "text", "starts").mapInArrow(_cut, "of string, removed long, sha string, left string"), keep=True)
     return whole, cut
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: id, n_words, n_removed, kept_sha256."""
     whole, cut = passages(docs, id, text)
-    cut = cut.select(F.col("id").alias("cut_id"), "removed", F.col("sha").alias("cut_sha")).dropDuplicates(["cut_id"])
-    out = whole.join(cut, ~F.col("gone") & (F.coalesce("id", F.lit((1 << 63) - 1)) == F.col("cut_id")), "left")
+    cut = cut.select("of", "removed", F.col("sha").alias("cut_sha"))
+    # rows that are gone join with nothing; a key of their own deals them out
+    out = whole.join(cut, F.when(F.col("gone"), F.col("row").cast("string")).otherwise(F.col("sha")) == F.col("of"), "left")
     return out.select(
         F.col("id").alias(id),
         F.col("n").alias("n_words"),

@@ -179,6 +179,35 @@ def test_substring_dedup_equals_all_windows(docs, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+def test_substring_dedup_cuts_by_row(spark):
+    """Several rows without an id and with one id, unlike and equal texts: each row is cut by its own text."""
+    rng = random.Random(9)
+    some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    p, q = some(60), some(70)
+    rows = [(1, p + " " + some(20)), (2, some(30) + " " + q), (5, some(200) + " " + p), (5, some(80)), (5, q + " " + some(5))]
+    rows += [(None, some(150) + " " + p), (None, some(55)), (None, q), (None, some(3)), (None, None), (7, p + " " + some(20))]
+    rows += [(None, rows[5][1]), (None, "  " + rows[5][1]), (5, rows[2][1]), (None, rows[0][1]), (None, some(90) + " " + rows[3][1])]
+    big = 1 << 62
+    want = []
+    for i, t in rows:
+        w = raw(t).split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if any((j or big) < (i or big) and " ".join(x.decode() for x in w[k : k + 50]) in " ".join((u or "").split()) for j, u in rows):
+                gone[k : k + 50] = [True] * 50
+        want.append((i, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    assert sum(x[2] > 0 for x in want) > 6
+    df = spark.createDataFrame([(i, t, "en", k, len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, at int, n_chars long").repartition(5)
+    order = lambda x: [str(y) for y in x]
+    got = [tuple(r) for r in substring.without_repeats(df).collect()]
+    assert sorted(got, key=order) == sorted([(i, n, m, hashlib.sha256(x).hexdigest()) for i, n, m, x in want], key=order)
+    left = {r["at"]: r for r in stages.cut_repeats(spark, df, "").collect()}
+    assert len(left) == len(rows) and df.columns == list(left[0].asDict())
+    for k, (i, _, m, x) in enumerate(want):
+        text = x.decode() if m else rows[k][1]
+        assert (left[k]["doc_id"], left[k]["text"], left[k]["n_chars"]) == (i, text, len(text or ""))
+
+
 def test_bytepair_equals_the_library(docs, empty):
     import tiktoken
 
