@@ -22,22 +22,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, _row: doc_id where each row has one of its own, else a number stored with a copy of the rows."""
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    return docs.withColumn("_row", F.col("doc_id")) if twice.isEmpty() else numbered(docs, "_row")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; of rows with one doc_id any one; rows without doc_id all."""
-    gone = stored(neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    """One row of each group of like texts, that with the smallest doc_id (rows without one come last). Rows are compared,
+    not ids: unlike texts of one doc_id all stay, and rows without doc_id are in the groups. Texts without words are like none."""
+    rows = _keyed(docs)
+    near = neardup.near_duplicates(rows, "_row").select("_row", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = near.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("m")).select("m._row")
+    gone = stored(near.select("_row").join(stay, "_row", "left_anti"))
     if gone.count() <= SMALL_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
-    twice = stored(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    if twice.isEmpty():
-        return left
-    once = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(twice, "doc_id", "left_anti").unionByName(once)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; text and n_chars change where words went."""
-    rows = numbered(docs, "_row")
+    rows = _keyed(docs)
     whole, cut = substring.passages(rows, row="_row")
     left = whole.where("not gone").join(cut.select("of", "left"), F.col("sha") == F.col("of")).select(F.col("row").alias("_of"), F.col("left").alias("_left"))
     change = stored(left.union(whole.where("gone").select("row", F.lit(""))))

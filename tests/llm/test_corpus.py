@@ -155,6 +155,19 @@ def test_near_duplicates_of_half_alike_groups(spark):
     assert len(got) == 62 and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_dedup_stage_decides_on_rows(spark):
+    rng = random.Random(3)
+    some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    a, b, c, d, e = (some(60) for _ in range(5))
+    rows = [(4, a), (4, b), (4, a + " x"), (None, a), (None, c), (None, c + " y"), (None, d), (9, b), (2, d), (2, e), (4, None), (None, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, at int").repartition(5)
+    got = stages.drop_near_copies(spark, df, "")
+    left = {r["at"] for r in got.collect()}
+    assert got.columns == df.columns and len(left) == got.count()
+    # a: one of rows 0 and 2 (same id); b: 1; c: one of 4 and 5 (no id); d: 8; e: 9; texts without words: all
+    assert left - {0, 2, 4, 5} == {1, 8, 9, 10, 11} and len(left & {0, 2}) == 1 and len(left & {4, 5}) == 1
+
+
 def plain_repeats(rows):
     seen, out = {}, {}
     for i, t in sorted(rows):
