@@ -7,28 +7,70 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple] = []
+#: Removes a finished job's shuffle files at once instead of when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: list[tuple[SparkSession, str]] = []
+#: Paths written within each open scratch(), the innermost last.
+_open: list[list[str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @atexit.register
 def _clear() -> None:
     for spark, path in _made:
-        with contextlib.suppress(Exception):
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(spark, path)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df as a table under spark.checkpoint.dir (a temporary folder where that is unset), read back: lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+def folder(spark: SparkSession) -> str:
+    """The shared folder of the cluster: spark.checkpoint.dir. Where it is unset, a temporary folder if driver and executors
+    are one process, and else an error: executors don't see each other's folders."""
+    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
         spark.conf.set("spark.checkpoint.dir", base)
         _made.append((spark, base))
-    path = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return base
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are removed at the end; what is returned from within must be stored with keep=True."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the jobs within; the user's own is put back."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def stored(df: DataFrame, name: str = "", keep: bool = False) -> DataFrame:
+    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name or 'stored-' + uuid.uuid4().hex}"
+    with setting(spark, CLEANUP, "true"):
+        df.write.parquet(path)
+    scopes = _open[:-1] if keep else _open
+    if scopes:
+        scopes[-1].append(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
