@@ -29,21 +29,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(max(n, 1), base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_LOW = _powers(_SPAN, _BASE)
+def factors(at: np.ndarray) -> np.ndarray:
+    """The factor of each place: a random number drawn by the place, the same for all spans."""
+    out = _NEAR[at & (_SPAN - 1)]
+    far = np.flatnonzero(at >= _SPAN)
+    if len(far):
+        out[far] = mix(at[far].astype(U64) * _BASE + _BASE)
+    return out
 
 
-def power(at: np.ndarray) -> np.ndarray:
-    """_BASE ** at modulo 2**64."""
-    out = _LOW[at & (_SPAN - 1)]
-    if len(at) and (top := int(at.max()) >> 16):
-        out = out * _powers(top + 1, _LOW[-1] * _BASE)[at >> 16]
-    return out
+_NEAR = mix(np.arange(_SPAN, dtype=U64) * _BASE + _BASE)
 
 
 @dataclass
@@ -126,7 +121,12 @@ def cut(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes give equal hashes wherever they lie."""
+    """64-bit hash of each span of bytes; equal bytes give equal hashes wherever they lie.
+
+    Each byte is multiplied by the random factor of its place and the products are summed (multilinear hashing), so any
+    two given spans clash with a probability of at most 2**-56, whatever their pattern; a polynomial modulo 2**64 would
+    give equal hashes to some fixed pairs.
+    """
     if not len(start):
         return np.zeros(0, U64)
     if len(start) > 1 and (start[1:] < start[:-1] + length[:-1]).any():
@@ -137,7 +137,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     at -= np.repeat(head[:-1], length)
     source = np.repeat(start, length)
     source += at
-    value = (data[source].astype(U64) + U64(1)) * power(at)
+    value = (data[source].astype(U64) + U64(1)) * factors(at)
     full = length > 0
     out = np.zeros(len(start), U64)
     out[full] = np.add.reduceat(value, head[:-1][full]) if full.any() else 0

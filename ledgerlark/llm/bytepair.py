@@ -112,7 +112,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: as many slots as keys; other strings are told apart by their 64-bit hash."""
+    """Minimal perfect hash of byte strings: as many slots as keys. Other strings are told apart by their 64-bit hash; the encoder compares the bytes."""
 
     def __init__(self, keys: list[bytes], values: list[int]):
         data = np.frombuffer(b"".join(keys), np.uint8)
@@ -227,12 +227,16 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes blocks of rows. misses: another way to merge a pre-token that is not in the vocabulary."""
+    """Encodes blocks of rows. misses: another way to merge a pre-token that is not in the vocabulary.
+
+    Pre-tokens are looked up by hash, and the result is proved: the ids of each pre-token must decode to its own bytes.
+    A block where two pre-tokens clash is encoded again by a dictionary of bytes.
+    """
 
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None, misses=None):
-        self.table = table or PerfectHash(list(ranks), list(ranks.values()))
+        self.ranks, self.table = ranks, table or PerfectHash(list(ranks), list(ranks.values()))
         self.misses = misses or (lambda piece: merge(piece, ranks))
-        self.memory = Memory()
+        self.memory, self.decoder = Memory(), Decoder(ranks)
 
     def encode(self, block: A.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, uint32, and where each row's begin."""
@@ -240,6 +244,26 @@ class Encoder:
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(block.n + 1, np.int64)
         length = np.diff(np.append(at, len(block.data)))
+        ids, upto = self._looked_up(block, at, length)
+        data, begin = self.decoder.decode(ids)
+        if len(data) != len(block.data) or (begin[upto[:-1]] != at).any() or (data != block.data).any():
+            ids, upto = self._exact(block, at, length)
+        return ids, upto[first]
+
+    def _exact(self, block: A.Block, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for s, n in zip(at.tolist(), length.tolist(), strict=True):
+            piece = block.data[s : s + n].tobytes()
+            if piece not in known:
+                known[piece] = [self.ranks[piece]] if piece in self.ranks else self.misses(piece)
+            out.append(known[piece])
+        upto = np.zeros(len(at) + 1, np.int64)
+        np.cumsum([len(x) for x in out], out=upto[1:])
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(upto[-1])), upto
+
+    def _looked_up(self, block: A.Block, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens, and where each one's begin."""
         h, where, back = A.distinct(A.hash_spans(block.data, at, length))
         whole = self.table.find(h)
         size = np.ones(len(h), np.int64)
@@ -267,7 +291,7 @@ class Encoder:
         n = size[back]
         upto = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
-        return pool[spread(begin[back], n)], upto[first]
+        return pool[spread(begin[back], n)], upto
 
 
 class Decoder:
@@ -298,12 +322,12 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text
 
     def run(batches):
         ranks, table = shared.value
-        encoder, decoder = Encoder(ranks, table), Decoder(ranks)
+        encoder = Encoder(ranks, table)
         for b in batches:
             count, sha, back = [], [], []
             for block in A.blocks(b.column(1)):
                 ids, first = encoder.encode(block)
-                data, upto = decoder.decode(ids)
+                data, upto = encoder.decoder.decode(ids)
                 little = ids.astype("<u4").view(np.uint8)
                 for k in range(block.n):
                     i, j = first[k], first[k + 1]
