@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_paths: list[tuple[SparkSession, str]] = []
-
-
-def _sweep() -> None:
-    for spark, path in _paths:
-        _remove(spark, path)
-
-
-atexit.register(_sweep)
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster: spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        base = "file://" + tempfile.mkdtemp(prefix="ledgerlark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-        _paths.append((spark, base))
-    return base
+from ..tables import folder, scratch, setting, stored
 
+__all__ = ["among", "bare", "components", "folder", "fresh", "keyed", "numbered", "parts_of", "partitions", "ranked", "scratch", "setting", "small_batches", "stored"]
 
 #: A table of at most so many short rows is broadcast, a larger one shuffled.
 SMALL_ROWS = 150_000
@@ -47,46 +26,37 @@ def among(texts: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
     return texts.join(table, key)
 
 
-#: Paths written within each open scratch(), the innermost last.
-_open: list[list[str]] = []
-
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a key of each row, stored, so that the keys stay the same however often it is read."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()))
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Tables stored within are removed at the end; what is returned from within must be stored with keep=True."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        for path in _open.pop():
-            _remove(spark, path)
 
+def keyed(df: DataFrame, id: str, name: str) -> DataFrame:
+    """df with a key of each row: the id where each row has one of its own, else a number stored with a copy of the rows."""
+    twice = df.groupBy(df[id].alias("id")).agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    return df.withColumn(name, df[id]) if twice.isEmpty() else numbered(df, name)
 
-def stored(df: DataFrame, name: str = "", keep: bool = False) -> DataFrame:
-    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing.
 
-    The finished job's shuffle files go as soon as the driver has collected what refers to them, so it is asked to.
-    """
-    spark = df.sparkSession
-    path = f"{folder(spark)}/{name or 'stored-' + uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()
-    scopes = _open[:-1] if keep else _open
-    if scopes:
-        scopes[-1].append(path)
-    _paths.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one part of a corpus holds on average.
+PART_BYTES = 32_000_000
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """df with a key of each row, stored, so that the keys stay the same however often it is read."""
-    return stored(df.withColumn(name, F.monotonically_increasing_id()))
+def parts_of(texts: DataFrame, text: str = "text", size: int = PART_BYTES) -> int:
+    """Into how many parts texts are dealt: as many as shuffle partitions, and more where a part would hold over `size` bytes on average."""
+    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(partitions(texts.sparkSession), -(-total // size))
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

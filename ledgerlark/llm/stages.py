@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup, packing, quality, substring, toxicity
-from .shared import SMALL_IDS, numbered, stored
+from .shared import SMALL_IDS, fresh, keyed, stored
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,38 +22,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, _labels(spark, sf_dir))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, _row: doc_id where each row has one of its own, else a number stored with a copy of the rows."""
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    return docs.withColumn("_row", F.col("doc_id")) if twice.isEmpty() else numbered(docs, "_row")
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of like texts, that with the smallest doc_id (rows without one come last). Rows are compared,
     not ids: unlike texts of one doc_id all stay, and rows without doc_id are in the groups. Texts without words are like none."""
-    rows = _keyed(docs)
-    near = neardup.near_duplicates(rows, "_row").select("_row", "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = near.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("m")).select("m._row")
-    gone = stored(near.select("_row").join(stay, "_row", "left_anti"))
-    if gone.count() <= SMALL_IDS:
-        gone = F.broadcast(gone)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    row, gone = fresh(docs, "_row", "_gone")
+    rows = keyed(docs, "doc_id", row)
+    lost = stored(neardup.grouped(rows, row, "doc_id", "text").where("not kept").select(F.col("row").alias(gone)))
+    if lost.count() <= SMALL_IDS:
+        lost = F.broadcast(lost)
+    return rows.join(lost, F.col(row) == F.col(gone), "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; text and n_chars change where words went."""
-    rows = _keyed(docs)
-    whole, cut = substring.passages(rows, row="_row")
-    left = whole.where("not gone").join(cut.select("of", "left"), F.col("sha") == F.col("of")).select(F.col("row").alias("_of"), F.col("left").alias("_left"))
-    change = stored(left.union(whole.where("gone").select("row", F.lit(""))))
+    row, of, left = fresh(docs, "_row", "_of", "_left")
+    rows = keyed(docs, "doc_id", row)
+    whole, cut = substring.passages(rows, row=row)
+    change = whole.where("not gone").join(cut.select(F.col("row").alias("stand"), "left"), "stand").select(F.col("row").alias(of), F.col("left").alias(left))
+    change = stored(change.union(whole.where("gone").select("row", F.lit(""))))
     # only row keys may be broadcast: the texts that stay don't move, and those that change are small in number
-    keys = change.select("_of")
+    keys = change.select(of)
     keys = F.broadcast(keys) if change.count() <= SMALL_IDS else keys
-    same = rows.join(keys, F.col("_row") == F.col("_of"), "left_anti").drop("_row")
-    rest = rows.drop("text").join(keys, F.col("_row") == F.col("_of"), "left_semi").join(change, F.col("_row") == F.col("_of"))
-    new = {"text": F.col("_left"), "n_chars": F.length("_left").cast("long")}
-    return same.unionByName(rest.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns]))
+    same = rows.join(keys, F.col(row) == F.col(of), "left_anti").drop(row)
+    rest = rows.drop("text").join(keys, F.col(row) == F.col(of), "left_semi").join(change, F.col(row) == F.col(of))
+    new = {"text": F.col(left), "n_chars": F.length(left).cast("long")}
+    return same.unionByName(rest.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
