@@ -4,13 +4,15 @@ Two generative models are counted: one of the raw texts, all of them, and one of
 texts labelled good, chosen by a hash of their id.
 Both are bags of hashed n-grams in BUCKETS buckets (Xie et al. 2023): words and pairs of words, and runs of one to
 three word shapes (case, digits, punctuation at the end, length, and whether a word repeats the one before). A text's
-importance is the ratio of its probabilities under the two. Resampling without replacement keeps the k texts with the
-greatest log ratio + temperature * Gumbel noise, where the noise is drawn from a hash of the id. k is the number of texts
-whose log ratio is at least `cut`, and the k-th key is found exactly by counting keys in ever finer bins.
-
-The log ratio is per n-gram, times PER n-grams, so that long and short texts compare.
-Defined cases: null, empty and blank texts have no n-gram and are rejected; without any label nothing is rejected but
-those; ties at the k-th key are all kept; rows with one id and text share their fate.
+importance is the ratio of its probabilities under the two, so its log is a sum over all n-grams. Resampling without replacement
+keeps the k texts with the greatest log ratio + Gumbel noise, where the noise is drawn from a hash of the id: a text is drawn with
+a probability in proportion to its importance, so short and doubtful texts are kept by chance and clear ones are not.
+k is a share of the texts that have n-grams: a parameter, or else the share of good ones among the labelled rows. The k-th key is
+found exactly by counting keys in ever finer bins.
+
+Defined cases: null, empty and blank texts have no n-gram and are rejected; without any good label there is no target and
+nothing is rejected but those; ties at the k-th key are all kept; rows with one id and text share their fate; labels of unknown
+ids and labels other than 0 and 1 don't count.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays as A
-from .shared import bare, small_batches, stored
+from .shared import bare, fresh, small_batches, stored
 
-BUCKETS, PRIOR, PER, CUT, TEMPERATURE, SAMPLE = 1 << 16, 0.5, 100.0, -45.0, 0.5, 40_000
+BUCKETS, PRIOR, SAMPLE = 1 << 16, 0.5, 40_000
 
 _FLAG = np.zeros(256, np.uint8)
 _FLAG[97:123] = 1
@@ -96,11 +98,11 @@ def weigh(block: A.Block, ratio: np.ndarray) -> np.ndarray:
     bucket, row = grams(block)
     n = np.bincount(row, minlength=block.n)
     total = np.bincount(row, ratio[bucket], block.n)
-    return np.where(n > 0, total / np.maximum(n, 1) * PER, -np.inf)
+    return np.where(n > 0, total, -np.inf)
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the columns _weight and _key."""
+def weighed(docs: DataFrame, ratio: np.ndarray, id: str, text: str, weight: str, key: str) -> DataFrame:
+    """docs with two more columns: the log importance, and that with Gumbel noise."""
     spark = docs.sparkSession
     small_batches(spark)
     shared, at = spark.sparkContext.broadcast(ratio), docs.columns.index(text)
@@ -108,11 +110,12 @@ def weighed(docs: DataFrame, ratio: np.ndarray, id: str = "doc_id", text: str =
     def run(batches):
         for b in batches:
             w = [weigh(block, shared.value) for block in A.blocks(b.column(at))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(w) if w else np.zeros(0))], [*b.schema.names, "_weight"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(w) if w else np.zeros(0))], [*b.schema.names, weight])
 
-    u = (F.pmod(F.xxhash64(id, F.lit(2)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_weight", T.DoubleType())]))
-    return out.withColumn("_key", F.col("_weight") - F.lit(TEMPERATURE) * F.log(-F.log(u)))
+    u = (F.pmod(F.xxhash64(docs[id], F.lit(2)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    out = docs.withColumn(key, -F.log(-F.log(u)))
+    out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(weight, T.DoubleType())]))
+    return out.withColumn(key, F.col(weight) + F.col(key))
 
 
 def kth(keys: DataFrame, k: int, bins: int = 4096) -> float:
@@ -137,22 +140,30 @@ def kth(keys: DataFrame, k: int, bins: int = 4096) -> float:
     return lo
 
 
-def _bar(keys: DataFrame, ratio: np.ndarray, cut: float) -> float:
+def labelled_share(labels: DataFrame, id: str = "doc_id", label: str = "quality") -> float:
+    """The share of good rows among those labelled 0 or 1; 1 where there is none."""
+    marks = bare(labels, id=id, label=label).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    return marks.agg(F.avg(F.col("label").cast("double"))).first()[0] or 1.0
+
+
+def _bar(keys: DataFrame, ratio: np.ndarray, share: float) -> float:
     """The least key that is kept."""
     if not ratio.any():
         return -1e300
-    return kth(keys, keys.where(F.col("_weight") >= cut).count())
+    return kth(keys, round(share * keys.where(F.col("_key") > float("-inf")).count()))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
     """Per row of docs: id, weight, key, kept."""
-    ratio = fit(docs, labels, id, text)
-    keys = stored(weighed(docs.select(id, text), ratio, id, text).drop(text))
-    return keys.select(id, F.col("_weight").alias("weight"), F.col("_key").alias("key"), (F.col("_key") >= _bar(keys, ratio, cut)).alias("kept"))
+    ratio, share = fit(docs, labels, id, text), labelled_share(labels) if share is None else share
+    keys = weighed(bare(docs, id=id, text=text), ratio, "id", "text", "_weight", "_key").drop("text")
+    keys = stored(keys)
+    return keys.select(F.col("id").alias(id), F.col("_weight").alias("weight"), F.col("_key").alias("key"), (F.col("_key") >= _bar(keys, ratio, share)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", cut: float = CUT) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
     """The rows of docs that resampling keeps, with all their columns."""
-    ratio = fit(docs, labels, id, text)
-    keys = stored(weighed(docs.select(id, text), ratio, id, text).select("_weight", "_key"))
-    return weighed(docs, ratio, id, text).where(F.col("_key") >= _bar(keys, ratio, cut)).drop("_weight", "_key")
+    ratio, share = fit(docs, labels, id, text), labelled_share(labels) if share is None else share
+    keys = stored(weighed(bare(docs, id=id, text=text), ratio, "id", "text", "_weight", "_key").select("_key"))
+    weight, key = fresh(docs, "_weight", "_key")
+    return weighed(docs, ratio, id, text, weight, key).where(F.col(key) >= _bar(keys, ratio, share)).drop(weight, key)

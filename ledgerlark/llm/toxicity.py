@@ -22,8 +22,11 @@ from .shared import bare, small_batches
 
 SPACE, FACTORS, SAMPLE, EPOCHS, THRESHOLD = 1 << 18, 8, 15_000, 6, 0.7
 STEMS = (4, 5, 6)
-#: A term gets weights from so many texts on, and if its share of marked ones is off by more than so many standard errors.
-LEAST, DEVIATIONS = 3, 2.5
+#: A term has a linear weight if LEAST learnt texts have it and its share of marked ones is off by more than DEVIATIONS standard errors.
+#: It has factors if it has a weight, or if PAIRED learnt texts have it: a term that tells nothing alone may tell with another.
+LEAST, DEVIATIONS, PAIRED = 3, 2.5, 50
+#: Steps of the factors of terms without a weight are shorter by this factor, so that chance pairs weigh little.
+CAREFUL = 0.3
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -61,13 +64,13 @@ class Machine:
     """score = sigmoid(bias + sum of weights + sum over pairs of <factors, factors>)."""
 
     def __init__(self, factors: int = FACTORS, seed: int = 7):
-        self.fitted, self.bias, self.w = False, 0.0, np.zeros(SPACE, np.float32)
+        self.fitted, self.bias, self.w, self.known = False, 0.0, np.zeros(SPACE, np.float32), np.ones(SPACE, bool)
         self.v = np.random.default_rng(seed).normal(0, 0.01, (SPACE, factors)).astype(np.float32)
 
     def raw(self, term: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(off) - 1
         row = np.repeat(np.arange(n), np.diff(off))
-        used = self.w[term] != 0 if self.fitted else slice(None)
+        used = self.known[term] if self.fitted else slice(None)
         term, row = term[used], row[used]
         line = np.bincount(row, self.w[term], n)
         v = self.v[term]
@@ -83,12 +86,12 @@ class Machine:
         p = (label.sum() + 0.5) / (n + 1)
         seen = np.bincount(term, minlength=SPACE)
         marked = np.bincount(term, np.repeat(label, np.diff(off)), SPACE)
-        # terms that are rare, or whose share of marked texts is as that of all texts, keep weight 0
-        known = (seen >= LEAST) & (np.abs(marked - seen * p) > DEVIATIONS * np.sqrt(seen * p * (1 - p)))
+        telling = (seen >= LEAST) & (np.abs(marked - seen * p) > DEVIATIONS * np.sqrt(seen * p * (1 - p)))
+        self.known = known = telling | (seen >= PAIRED)
         self.v[~known] = 0
+        line, pair = telling.astype(np.float32), np.where(telling, 1, CAREFUL).astype(np.float32)[:, None]
         row = np.repeat(np.arange(n), np.diff(off))[known[term]]
         term, off = term[known[term]], np.searchsorted(row, np.arange(n + 1))
-        epochs = max(epochs, min(60, 90_000 // n))
         self.bias = float(np.log(p / (1 - p)))
         gw, gv, gb = np.full(SPACE, 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1.0
         for _ in range(epochs):
@@ -111,8 +114,8 @@ class Machine:
                 np.clip(dv, -1, 1, out=dv)
                 gw[uniq] += dw * dw
                 gv[uniq] += dv * dv
-                self.w[uniq] -= (rate * dw / np.sqrt(gw[uniq])).astype(np.float32)
-                self.v[uniq] -= 0.3 * rate * dv / np.sqrt(gv[uniq])
+                self.w[uniq] -= line[uniq] * (rate * dw / np.sqrt(gw[uniq])).astype(np.float32)
+                self.v[uniq] -= pair[uniq] * (0.3 * rate * dv / np.sqrt(gv[uniq]))
                 gb += float(slope.sum()) ** 2
                 self.bias -= rate * float(slope.sum()) / gb**0.5
         self.fitted = True

@@ -155,6 +155,35 @@ def test_near_duplicates_of_half_alike_groups(spark):
     assert len(got) == 62 and {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == {i: c for i, (_, c) in want.items()}
 
 
+def test_near_duplicates_block_by_block(spark, monkeypatch):
+    """Small blocks, so that groups have several, components have blocks of their own, and stars leave much open."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(8)
+    rows, k = [], 0
+    for g in range(3):
+        base = [f"g{g}w{j}" for j in range(100 + 20 * g)]
+        for n in range(45):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 2, 3, 4])):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    rng.shuffle(rows)
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == plain_near(rows)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id with unlike texts stay apart, whatever their order."""
+    rng = random.Random(12)
+    some = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c = some(), some(), some()
+    rows = [(5, a), (5, b), (3, b + " x"), (7, a + " y"), (None, c), (None, c), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 3, False), (3, 3, True), (7, 5, False), (None, None, True), (None, None, True), (9, 9, True)], key=str)
+
+
 def test_near_dedup_stage_decides_on_rows(spark):
     rng = random.Random(3)
     some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
@@ -236,6 +265,43 @@ def test_bytepair_equals_the_library(docs, empty):
     assert bytepair.encode_and_decode(empty, path).count() == 0
 
 
+def thue_morse():
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_clash_under_polynomials(spark):
+    """Two words whose polynomial hashes modulo 2**64 agree for every odd base, in one batch."""
+    import tiktoken
+
+    one, two = thue_morse()
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytepair.load_ranks(path), special_tokens={})
+    df = spark.createDataFrame([(0, one), (1, two), (2, f"{two} {one}"), (3, one)], "doc_id long, text string").coalesce(1)
+    got = by_id(bytepair.encode_and_decode(df, path))
+    for i, t in ((0, one), (1, two), (2, f"{two} {one}")):
+        assert got[i]["ids_sha256"] == hashlib.sha256(np.array(enc.encode_ordinary(t), "<u4").tobytes()).hexdigest()
+    assert {i: r["component_id"] for i, r in by_id(neardup.near_duplicates(df)).items()} == {0: 0, 1: 1, 2: 2, 3: 0}
+
+
+def test_clashing_hashes_are_found_out(monkeypatch):
+    """With a hash of two bits every pre-token clashes; the ids are still the library's."""
+    import pyarrow as pa
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bytepair.load_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, true = bytepair.Encoder(ranks), A.hash_spans
+    monkeypatch.setattr(A, "hash_spans", lambda *a: true(*a) & A.U64(3))
+    for block in A.blocks(pa.array(texts(n=60)), 3000):
+        ids, first = encoder.encode(block)
+        for i in range(block.n):
+            assert ids[first[i] : first[i + 1]].tolist() == enc.encode_ordinary(block.text(i).decode())
+
+
 def test_pretokens_of_odd_texts():
     import pyarrow as pa
     import regex
@@ -318,6 +384,39 @@ def test_a_hot_group_is_split(spark):
     assert len(n) == 4 and max(n.values()) <= 1.05 * min(n.values())
 
 
+def test_toxicity_learns_pairs_alone(spark):
+    """Neither of two words tells anything alone: a text is marked if it has both or neither. A linear model can't do better than chance."""
+    rng = random.Random(11)
+    plain = [f"word{k}" for k in range(300)]
+    rows, labels = [], []
+    for k in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = [rng.choice(plain) for _ in range(12)] + ["mountain" if a else "river", "people" if b else "stones"]
+        rng.shuffle(w)
+        rows.append((k, " ".join(w), "clash"))
+        labels.append((k, int(a == b)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = by_id(toxicity.score_toxicity(docs, marks))
+    held = [k for k, _ in labels if got[k]["held_out"]]
+    assert np.mean([(got[k]["score"] >= 0.5) == dict(labels)[k] for k in held]) > 0.95
+
+
+def test_machine_equals_the_plain_sum():
+    """score = sigmoid(bias + weights + <factors, factors> over all pairs), summed pair by pair."""
+    import math
+
+    rng, m = np.random.default_rng(3), toxicity.Machine()
+    m.w[:] = rng.normal(size=toxicity.SPACE)
+    m.v[:] = rng.normal(size=m.v.shape)
+    m.bias = 0.3
+    sets = [sorted(rng.choice(toxicity.SPACE, n, replace=False).tolist()) for n in (0, 1, 2, 7, 20)]
+    off = np.append(0, np.cumsum([len(s) for s in sets]))
+    got = m.score(np.array([x for s in sets for x in s], np.int64), off)
+    for s, g in zip(sets, got, strict=True):
+        z = m.bias + sum(float(m.w[x]) for x in s) + sum(float(m.v[x] @ m.v[y]) for i, x in enumerate(s) for y in s[:i])
+        assert g == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-4)
+
+
 def test_toxicity_learns_words_and_pairs(spark, empty):
     rng = random.Random(5)
     plain = [f"word{k}" for k in range(200)]
@@ -344,16 +443,45 @@ def test_toxicity_learns_words_and_pairs(spark, empty):
 def test_quality_keeps_the_good(spark, docs):
     rng = random.Random(6)
     words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(400)]
-    rows = [(k, " ".join(rng.choice(words) + ("***" if k % 6 == 0 else "") for _ in range(60))) for k in range(900)] + [(2000, None), (2001, " ")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    marks = spark.createDataFrame([(k, int(k % 6 != 0)) for k in range(0, 900, 2)], "doc_id long, quality int")
-    got = by_id(quality.resample(d, marks))
+    rows = [(k, " ".join(rng.choice(words) + ("***" if k % 6 == 0 else "") for _ in range(60)), k, "clash") for k in range(900)] + [(2000, None, 1, ""), (2001, " ", 2, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _weight int, _KEY string")
+    marks = spark.createDataFrame([(k, int(k % 6 != 0)) for k in range(0, 900, 2)] + [(5000, None), (None, 1)], "doc_id long, quality int")
+    got = by_id(quality.resample(d, marks, share=750 / 900))
     assert {k for k, r in got.items() if r["kept"]} == {k for k in range(900) if k % 6}
-    assert quality.accepted(d, marks).count() == 750
+    assert abs(quality.labelled_share(marks) - 2 / 3) < 1e-9 and quality.resample(d, marks).where("kept").count() == 600
+    kept = quality.accepted(d, marks, share=750 / 900)
+    assert kept.count() == 750 and kept.columns == d.columns
     assert quality.resample(d.limit(0), marks).count() == 0
     assert quality.resample(d, marks.limit(0)).where("kept").count() == 900
 
 
+def test_resampling_follows_the_target(spark):
+    """Short texts of two words, drawn unlike in target and raw: the log ratios are those of a plain model, the noise decides, and
+    the kept texts have the target's mix."""
+    import math
+
+    rows = [(k, "apple" if k % 2 else "stone") for k in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, 1) for k in range(0, 6000) if (k % 2 and k % 100 < 60) or (not k % 2 and k % 100 < 20)], "doc_id long, quality int")
+    got = by_id(quality.resample(d, marks, share=0.2))
+    weight = {t: [got[k]["weight"] for k, u in rows if u == t][0] for t in ("apple", "stone")}
+    # a text of one word has two n-grams, the word and its shape, which all texts share
+    assert weight["apple"] == pytest.approx(math.log(0.75 / 0.5), abs=0.02) and weight["stone"] == pytest.approx(math.log(0.25 / 0.5), abs=0.02)
+    kept = [k for k, r in got.items() if r["kept"]]
+    assert len(kept) == 1200
+    share = sum(k % 2 for k in kept) / len(kept)
+    assert 0.70 < share < 0.80  # a threshold would give 1.0, chance 0.5
+
+
+def test_quality_of_long_and_repeated_texts(spark):
+    rows = [(1, "good words here " * 30_000), (1, "good words here " * 30_000), (None, "good words"), (2, "x" * 300_000), (2, ""), (3, "bad *** !!! " * 5)]
+    d = spark.createDataFrame(rows * 4, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    got = [tuple(r) for r in quality.resample(d, marks, share=0.5).collect()]
+    assert len(got) == 24 and sorted(got, key=str) == sorted([g for g in set(got) for _ in range(got.count(g))], key=str)
+    assert all(r[3] for r in got if r[0] == 1) and not any(r[3] for r in got if r[0] == 3)
+
+
 def test_kth_is_exact(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=500), np.full(100, 0.25)])
