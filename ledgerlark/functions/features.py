@@ -13,6 +13,8 @@ from ..schema import UNKNOWN, WITHOUT_BALANCE, clip, flag
 TRANSACTIONAL = ["f_log_montant", "f_ratio_montant_solde", "f_delta_solde", "f_log_incoherence", "f_solde_apres_nul", "f_montant_arrondi", "f_montant_tres_arrondi", "f_log_solde_avant", "f_incoherence_recvr"]
 CALENDAR = ["f_heure_sin", "f_heure_cos", "f_jour_sin", "f_jour_cos", "f_est_nuit", "f_est_soiree", "f_est_weekend"]
 BEHAVIOUR = ["f_velocite_7j", "f_log_velocite_7j", "f_montant_7j", "f_log_montant_7j", "f_ratio_vs_profil", "f_zscore_montant", "f_nb_dest_cumul", "f_taux_echec_hist", "f_anciennete_jours", "f_rang_tx"]
+# How the names of block D begin.
+CONTEXTUAL = ("f_statut_", "f_attempt_", "f_gw_", "f_stype_", "f_rtype_", "f_freq_", "f_has_error")
 # Parts of the names of features that are known only after the transfer.
 LEAKS = ["incoherence", "delta_solde", "solde_apres", "statut", "has_error", "attempt"]
 
@@ -181,8 +183,12 @@ def build(df: DataFrame, frozen: dict[str, list[str]] | None = None) -> DataFram
     return context(behaviour(calendar(transactional(df))), frozen)
 
 
-def names(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("f_")]
+def names(df: DataFrame) -> dict[str, list[str]]:
+    """The features that df has, by block; those of block D follow from its values."""
+    have = [c for c in df.columns if c.startswith("f_")]
+    fixed = {"A": TRANSACTIONAL, "B": CALENDAR, "C": BEHAVIOUR}
+    out = {block: [c for c in own if c in have] for block, own in fixed.items()}
+    return out | {"D": [c for c in have if c.startswith(CONTEXTUAL)]}
 
 
 def constant(df: DataFrame, columns: list[str]) -> list[str]:
@@ -193,8 +199,10 @@ def constant(df: DataFrame, columns: list[str]) -> list[str]:
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median of each column, 0 where it has no value."""
-    got = df.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
-    return {c: got[k] if got[k] is not None else 0.0 for k, c in enumerate(columns)}
+    from ..operators.stats import exact_quantiles
+
+    got = exact_quantiles(df, columns, [0.5]).get(None, {})
+    return {c: got[c][0] if got.get(c) else 0.0 for c in columns}
 
 
 def imputed(df: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -206,6 +214,7 @@ def leaking(columns: list[str]) -> list[str]:
     return [c for c in columns if any(x in c.lower() for x in LEAKS)]
 
 
+# The levels, badges, units and bands of the three functions below, as consumers of the exports expect them.
 def risk_level(score: Column) -> Column:
     """Right-closed levels of a score from 0 to 100; null outside."""
     return F.when((score < 0) | (score > 100) | score.isNull(), None).when(score <= 70, "Normal").when(score <= 85, "Modéré").when(score <= 95, "Élevé").otherwise("Critique")

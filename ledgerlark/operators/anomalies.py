@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.features import reasons, segment
 from ..schema import clip
 from . import forest
-from .stats import percent_rank, top_per_group
+from ..tables import stored
+from .stats import exact_quantiles, percent_rank, quantile, top_per_group
 
 
 def segmented(df: DataFrame, bands: tuple[int, int, int] = (10, 100, 1000)) -> DataFrame:
@@ -20,58 +21,64 @@ def segmented(df: DataFrame, bands: tuple[int, int, int] = (10, 100, 1000)) -> D
 
 def peer_deviation(df: DataFrame, value: str = "TRANSACTION_AMOUNT", name: str = "montant_z_segment") -> DataFrame:
     """|x - median| / deviation within the segment, at most 10. A row for each segment is broadcast."""
-    peers = df.groupBy(F.col("SEGMENT").alias("_g")).agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.stddev_samp(value).alias("_d"))
+    middle = exact_quantiles(df, [value], [0.5], "SEGMENT")
+    peers = df.groupBy(F.col("SEGMENT").alias("_g")).agg(F.stddev_samp(value).alias("_d"))
+    peers = peers.withColumn("_m", F.coalesce(*[F.when(F.col("_g") == g, F.lit(float(m[value][0]))) for g, m in middle.items() if g is not None and m[value]], F.lit(None).cast("double")))
     out = df.join(F.broadcast(peers), F.col("SEGMENT") == F.col("_g"), "left")
     return out.withColumn(name, clip(F.abs((F.col(value) - F.col("_m")) / (F.col("_d") + 1e-9)), None, 10)).drop("_g", "_m", "_d")
 
 
 def score(df: DataFrame, models: dict, columns: list[str], budget: int = 200, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """df (with features and SEGMENT) with RISK_SCORE, ALERTE and RAISON."""
-    df = peer_deviation(forest.score(df, models, columns, "SEGMENT"))
-    df = df.withColumn("_iso", -F.col("iso_score"))
+    df = stored(peer_deviation(forest.score(df, models, columns, "SEGMENT")).withColumn("_iso", -F.col("iso_score")))
     df = percent_rank(df, "_iso", "_ri", "SEGMENT")
     df = percent_rank(df, "montant_z_segment", "_re", "SEGMENT")
     df = df.withColumn("RISK_SCORE", clip(100 * (weights[0] * F.col("_ri") + weights[1] * F.col("_re")), 0, 100)).withColumn("_day", F.to_date("CREATED_ON"))
-    df = top_per_group(df, "_day", "RISK_SCORE", budget, "_row_id")
-    fast = df.agg(F.percentile("f_velocite_7j", F.lit(0.99)).alias("_q99"))
-    df = df.join(F.broadcast(fast))
+    df = top_per_group(stored(df), "_day", "RISK_SCORE", budget, "_row_id")
+    return explained(df).drop("_iso", "_ri", "_re", "_day")
+
+
+def explained(df: DataFrame) -> DataFrame:
+    """RAISON of the alerts: which of five rules hold. The 99 % quantile of the velocity is of all rows."""
+    fast = quantile(df, "f_velocite_7j", 0.99)
+    # Texts and bounds of the rules.
     why = reasons(
         "profil globalement atypique",
         (F.col("montant_z_segment") > 3, "montant très élevé vs pairs"),
-        (F.col("f_velocite_7j") > F.col("_q99"), "vélocité anormale"),
+        (F.col("f_velocite_7j") > F.lit(fast), "vélocité anormale"),
         (F.col("f_taux_echec_hist") > 0.5, "historique d'échec élevé"),
         (F.col("f_montant_tres_arrondi") == 1, "montant très arrondi"),
         (F.col("f_est_nuit") == 1, "transaction nocturne"),
     )
-    return df.withColumn("RAISON", F.when(F.col("ALERTE") == 1, why)).drop("_iso", "_ri", "_re", "_day", "_q99")
+    return df.withColumn("RAISON", F.when(F.col("ALERTE") == 1, why))
 
 
 def pseudo_labels(df: DataFrame) -> DataFrame:
     """1 where any of seven expert rules holds; df has the features of blocks A to C and the training variants."""
     from ..schema import WITHOUT_BALANCE
 
-    q = df.agg(F.percentile("TRANSACTION_AMOUNT", F.lit(0.95)).alias("_q1"), F.percentile("f_nb_dest_cumul", F.lit(0.99)).alias("_q2"), F.percentile("f_montant_cumul", F.lit(0.99)).alias("_q3"))
-    df = df.join(F.broadcast(q))
+    df = stored(df)  # the windows of the features are worked out once
+    q1, q2, q3 = quantile(df, "TRANSACTION_AMOUNT", 0.95), quantile(df, "f_nb_dest_cumul", 0.99), quantile(df, "f_montant_cumul", 0.99)
     night = F.col("f_est_nuit") == 1
     rules = [
-        night & (F.col("TRANSACTION_AMOUNT") > F.col("_q1")),
+        night & (F.col("TRANSACTION_AMOUNT") > F.lit(q1)),
         ~F.coalesce(F.col("SERVICE_TYPE").isin(WITHOUT_BALANCE), F.lit(False)) & (F.col("f_ratio_montant_solde") > 0.95),
         (F.col("f_taux_echec_hist") > 0.5) & (F.col("TRANSFER_STATUS") == "TS"),
         (F.col("f_montant_tres_arrondi") == 1) & night,
-        F.col("f_nb_dest_cumul") > F.col("_q2"),
-        F.col("f_montant_cumul") > F.col("_q3"),
+        F.col("f_nb_dest_cumul") > F.lit(q2),
+        F.col("f_montant_cumul") > F.lit(q3),
         F.col("f_rang_tx_compte") > 50,
     ]
     hit = F.lit(False)
     for r in rules:
         hit = hit | F.coalesce(r, F.lit(False))
-    return df.withColumn("PSEUDO_LABEL", hit.cast("int")).drop("_q1", "_q2", "_q3")
+    return df.withColumn("PSEUDO_LABEL", hit.cast("int"))
 
 
 def contamination_flag(df: DataFrame, score: str, share: float = 0.01) -> DataFrame:
     """-1 for scores below the share-quantile, else 1."""
-    q = df.agg(F.percentile(score, F.lit(share)).alias("_q"))
-    return df.join(F.broadcast(q)).withColumn("prediction", F.when(F.col(score) < F.col("_q"), -1).otherwise(1)).drop("_q")
+    q = quantile(df, score, share)
+    return df.withColumn("prediction", F.when(F.col(score) < F.lit(q), -1).otherwise(1))
 
 
 def by_service(df: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
+# The rates that are watched.
 RATES = ["taux_comm_paid", "taux_comm_recv", "comm_par_tx"]
 
 
@@ -72,3 +75,25 @@ def leak(agg: DataFrame) -> DataFrame:
 def pivoted(zmax: DataFrame, days: list) -> DataFrame:
     """Services by the given days."""
     return zmax.groupBy("SERVICE_TYPE").pivot("jour", days).avg("zscore_max")
+
+
+def fused(agg: DataFrame, frozen: DataFrame, threshold: float = 2.5, trees: int = 200, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """agg with RISK_SCORE, anomalie_zscore, anomalie_if, ALERTE and confiance (0 to 2: how many of the two found the day).
+
+    A forest over the robustly scaled rates of day and service, a table of days times services, beside the rule of deviations.
+    """
+    from . import forest
+    from .anomalies import contamination_flag
+    from .graph import robust_scaled
+    from .stats import calibrate
+
+    late = alerts(agg, frozen, threshold).select(F.col("jour").alias("_j"), F.col("service").alias("_s")).distinct()
+    x = agg.join(late, (F.col("jour") == F.col("_j")) & (F.col("SERVICE_TYPE") == F.col("_s")), "left")
+    x = x.withColumn("anomalie_zscore", F.col("_j").isNotNull().cast("int")).drop("_j", "_s")
+    columns = [f"{r}_scaled" for r in RATES]
+    x = robust_scaled(x, RATES)[0].withColumns({"_segment": F.lit("tous"), "_row_id": F.xxhash64("jour", "SERVICE_TYPE")})
+    x = stored(forest.score(x, forest.fit_segments(x, columns, "_segment", 1, trees=trees, seed=seed), columns, "_segment"))
+    x = contamination_flag(x, "iso_score", share).withColumns({"anomalie_if": (F.col("prediction") == -1).cast("int"), "_iso": -F.col("iso_score")})
+    x = calibrate(x, "_iso", "RISK_SCORE")[0]
+    x = x.withColumns({"ALERTE": F.greatest("anomalie_zscore", "anomalie_if"), "confiance": F.col("anomalie_zscore") + F.col("anomalie_if")})
+    return x.drop("_iso", "_segment", "_row_id", "prediction", *columns)

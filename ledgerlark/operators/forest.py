@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,34 +17,35 @@ def _c(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -> dict:
-    """Trees over rows of a bounded sample: arrays feature (-1: leaf), threshold, left, right, path of the leaf."""
+def tree(sample: np.ndarray, size: int, seed: int) -> dict:
+    """One tree over `size` rows of the sample: arrays feature (-1: leaf), threshold, left, right, path of the leaf."""
     rng = np.random.default_rng(seed)
-    size = min(size, len(sample))
     depth = max(1, math.ceil(math.log2(max(size, 2))))
-    out = []
-    for _ in range(trees):
-        rows = sample[rng.choice(len(sample), size, replace=False)]
-        feature, threshold, left, right, path = [], [], [], [], []
-        stack = [(rows, 0, -1, 0)]
-        while stack:
-            x, d, parent, side = stack.pop()
-            at = len(feature)
-            for a in (feature, threshold, left, right, path):
-                a.append(-1)
-            if parent >= 0:
-                (left, right)[side][parent] = at
-            lo, hi = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(x.shape[1]),) * 2
-            open_ = np.flatnonzero(hi > lo)
-            if d >= depth or not len(open_):
-                path[at] = d + _c(len(x))
-                continue
-            f = int(rng.choice(open_))
-            t = float(rng.uniform(lo[f], hi[f]))
-            feature[at], threshold[at] = f, t
-            stack += [(x[x[:, f] < t], d + 1, at, 0), (x[x[:, f] >= t], d + 1, at, 1)]
-        out.append({"feature": feature, "threshold": threshold, "left": left, "right": right, "path": path})
-    return {"size": size, "trees": out}
+    feature, threshold, left, right, path = [], [], [], [], []
+    stack = [(sample[rng.choice(len(sample), size, replace=False)], 0, -1, 0)]
+    while stack:
+        x, d, parent, side = stack.pop()
+        at = len(feature)
+        for a in (feature, threshold, left, right, path):
+            a.append(-1)
+        if parent >= 0:
+            (left, right)[side][parent] = at
+        lo, hi = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(x.shape[1]),) * 2
+        open_ = np.flatnonzero(hi > lo)
+        if d >= depth or not len(open_):
+            path[at] = d + _c(len(x))
+            continue
+        f = int(rng.choice(open_))
+        t = float(rng.uniform(lo[f], hi[f]))
+        feature[at], threshold[at] = f, t
+        stack += [(x[x[:, f] < t], d + 1, at, 0), (x[x[:, f] >= t], d + 1, at, 1)]
+    return {"feature": feature, "threshold": [float(t) for t in threshold], "left": left, "right": right, "path": [float(p) for p in path]}
+
+
+def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -> dict:
+    """A forest over a bounded sample, grown here."""
+    size = min(size, len(sample))
+    return {"size": size, "trees": [tree(sample, size, seed * 100_003 + k) for k in range(trees)]}
 
 
 def scores(model: dict, x: np.ndarray) -> np.ndarray:
@@ -59,30 +62,52 @@ def scores(model: dict, x: np.ndarray) -> np.ndarray:
     return -np.exp2(-total / len(model["trees"]) / max(_c(model["size"]), 1e-9))
 
 
-def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 100, sample: int = 20_000, trees: int = 300, seed: int = 42) -> dict:
-    """A model for each segment with at least `least` rows, from at most `sample` rows of it, chosen by a hash."""
-    from pyspark.sql import Window as W
+TREE = "feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
+
 
-    picked = df.select(F.col(segment).alias("_s"), "_row_id", *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    picked = picked.withColumn("_k", F.row_number().over(W.partitionBy("_s").orderBy(F.xxhash64("_row_id", F.lit(seed)), "_row_id"))).where(F.col("_k") <= sample).toPandas()
-    return {s: fit(g[[f"c{k}" for k in range(len(columns))]].to_numpy(float), trees, seed=seed) for s, g in picked.groupby("_s") if len(g) >= least}
+def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 100, sample: int = 20_000, trees: int = 300, seed: int = 42, size: int = 256) -> dict:
+    """A model for each segment with at least `least` rows, from at most `sample` rows of it, chosen by a hash.
+
+    A threshold on the hash leaves a little more than the sample of each segment before rows are ranked, and the trees are
+    grown by Spark tasks, a bounded number of short arrays.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(segment).alias("_s"), "_row_id", *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).where("_s is not null")
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    share = F.least(F.lit(1.0), (1.1 * sample + 1000) / F.col("_n"))
+    u = F.pmod(F.xxhash64("_row_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.join(F.broadcast(counts.select("_s", share.alias("_share"))), "_s").withColumn("_u", u).where("_u <= _share")  # a row for each segment
+    few = few.withColumn("_k", F.row_number().over(W.partitionBy("_s").orderBy("_u", "_row_id"))).where(F.col("_k") <= sample)
+    picked = {s: g.sort_values("_k")[[f"c{k}" for k in range(len(columns))]].to_numpy(float) for s, g in few.select("_s", "_k", *[f"c{k}" for k in range(len(columns))]).toPandas().groupby("_s") if len(g) >= least}
+    if not picked:
+        return {}
+    shared = spark.sparkContext.broadcast(picked)
+
+    def grow(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = [{"s": s} | tree(shared.value[s], min(size, len(shared.value[s])), seed * 100_003 + k) for s, k in zip(b["s"], b["k"], strict=True)]
+            yield pd.DataFrame(out, columns=["s", "feature", "threshold", "left", "right", "path"])
+
+    asked = spark.createDataFrame([(s, k) for s in picked for k in range(trees)], "s string, k int").repartition(min(64, 4 * spark.sparkContext.defaultParallelism))
+    grown: dict = {s: {"size": min(size, len(x)), "trees": []} for s, x in picked.items()}
+    for r in asked.mapInPandas(grow, f"s string, {TREE}").collect():  # segments times trees rows
+        grown[r["s"]]["trees"].append({k: np.asarray(r[k]) for k in ("feature", "threshold", "left", "right", "path")})
+    return grown
 
 
 def score(df: DataFrame, models: dict, columns: list[str], segment: str, name: str = "iso_score") -> DataFrame:
     """df with the score by the model of the row's segment, 0 where it has none. Models are of fixed size and broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(models)
-    kind = T.DoubleType()
-
-    @F.pandas_udf(kind)
-    def run(seg, x):
-        import pandas as pd
 
-        data = np.stack(x.to_numpy()).astype(float) if len(x) else np.zeros((0, len(columns)))
-        out = np.zeros(len(seg))
+    @F.pandas_udf(T.DoubleType())
+    def run(seg: pd.Series, x: pd.DataFrame) -> pd.Series:
+        data, out = x.to_numpy(float), np.zeros(len(seg))
         for s, model in shared.value.items():
             m = (seg == s).to_numpy()
             if m.any():
                 out[m] = scores(model, data[m])
         return pd.Series(out)
 
-    return df.withColumn(name, run(F.col(segment), F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns])))
+    return df.withColumn(name, run(F.col(segment), F.struct(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)])))

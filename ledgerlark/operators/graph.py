@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.features import reasons
 from ..schema import clip
 from ..tables import stored
-from .stats import percent_rank
+from .stats import exact_quantiles, percent_rank, quantile
 
 FEATURES = ["in_degree", "out_degree", "in_montant", "out_montant", "ratio_transit", "transit_score", "pagerank"]
 # Weights of the ensemble.
@@ -73,8 +73,8 @@ def pagerank(e: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: fl
 def robust_scaled(df: DataFrame, columns: list[str], frozen: dict | None = None) -> tuple[DataFrame, dict]:
     """(x - median) / interquartile range, exact; frozen holds [median, range] of each column."""
     if frozen is None:
-        got = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias(f"c{k}") for k, c in enumerate(columns)]).first()
-        frozen = {c: [got[k][1], (got[k][2] - got[k][0]) or 1.0] if got[k] else [0.0, 1.0] for k, c in enumerate(columns)}
+        got = exact_quantiles(df, columns, [0.25, 0.5, 0.75]).get(None, {})
+        frozen = {c: [got[c][1], (got[c][2] - got[c][0]) or 1.0] if got.get(c) else [0.0, 1.0] for c in columns}
     return df.withColumns({f"{c}_scaled": (F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, (m, s) in frozen.items()}), frozen
 
 
@@ -109,10 +109,9 @@ def dbscan(df: DataFrame, columns: list[str], eps: float = 1.5, least: int = 5,
     return p.select("id").join(label.unionByName(border), "id", "left").select(F.col("id").alias(id), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
-def candidates(t: DataFrame, quantile: float = 0.90, least_degree: int = 3, most: int = 50_000) -> DataFrame:
+def candidates(t: DataFrame, share: float = 0.90, least_degree: int = 3, most: int = 50_000) -> DataFrame:
     """Relays with a high transit score and enough counterparts on both sides, at most `most` of them."""
-    q = t.agg(F.percentile("transit_score", F.lit(quantile)).alias("_q"))
-    x = t.join(F.broadcast(q)).where((F.col("transit_score") >= F.col("_q")) & (F.least("in_degree", "out_degree") >= least_degree)).drop("_q")
+    x = t.where((F.col("transit_score") >= F.lit(quantile(t, "transit_score", share))) & (F.least("in_degree", "out_degree") >= least_degree))
     return x.orderBy(F.col("transit_score").desc(), "node").limit(most)
 
 
@@ -125,6 +124,7 @@ def score(t: DataFrame, budget: int = 500) -> DataFrame:
     t = stored(t.withColumn("RISK_SCORE", clip(total, 0, 100)))
     best = t.orderBy(F.col("RISK_SCORE").desc(), "node").limit(budget).select("node", F.lit(1).alias("_a"))
     t = t.join(best, "node", "left").withColumn("ALERTE", F.coalesce("_a", F.lit(0))).drop("_a")
+    # Texts and bounds of the rules.
     why = reasons(
         "profil de transit atypique",
         (F.col("transit_score") > 0.8, "relais quasi-parfait (entrée≈sortie)"),
@@ -152,3 +152,20 @@ def subgraph(scored: DataFrame, e: DataFrame, cluster: int, external: bool = Tru
     kept = stored(all_.select("node"))
     known = kept.join(scored, "node", "left").withColumn("_external", F.col("RISK_SCORE").isNull())
     return known, near.join(kept.withColumnRenamed("node", "source"), "source", "left_semi").join(kept.withColumnRenamed("node", "target"), "target", "left_semi")
+
+
+def displayed(known: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with size, edges with width) as a drawing of a sub-graph scales them."""
+    # The scales.
+    ends = e.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    nodes_ = known.select("node").join(ends, "node", "left").select("node", (12 + F.least(F.coalesce("degree", F.lit(0)), F.lit(40)) * 1.4).alias("size"))
+    top = e.agg(F.max("montant").alias("top"))
+    width = 1 + 5 * F.coalesce(F.expr("try_divide(ln(1 + montant), ln(1 + top))"), F.lit(0.0))
+    return nodes_, e.join(F.broadcast(top)).select("source", "target", width.alias("width"))  # one row
+
+
+def fuzzy(df: DataFrame, **wanted: list[str]) -> DataFrame:
+    """df with the columns that the aliases name, in whatever case; missing ones are left out."""
+    from ..sources.transfers import resolve
+
+    return df.select(*[F.col(f"`{have}`").alias(name) for name, aliases in wanted.items() if (have := resolve(df, name, *aliases))])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import DATE_FORMAT, REQUIRED, InvalidData, number
+from ..schema import DATE_FORMAT, REQUIRED, InvalidData, MissingArtefact, number
+from .stats import exact_quantiles
 
 
 def measures(df: DataFrame) -> DataFrame:
@@ -66,10 +69,26 @@ def reference(df: DataFrame, column: str, bins: int = 10) -> dict:
     """Edges at distinct exact quantiles, shares of the bins, size, mean and median."""
     x = number(F.col(column))
     steps = [k / bins for k in range(bins + 1)]
-    got = df.agg(F.percentile(x, F.array(*[F.lit(s) for s in steps])), F.count(x), F.avg(x), F.median(x)).first()
-    edges = sorted(set(got[0] or []))
+    values = df.select(x.alias("x"))
+    cuts = exact_quantiles(values, ["x"], [*steps, 0.5]).get(None, {}).get("x") or []
+    got = values.agg(F.count("x"), F.avg("x")).first()
+    edges = sorted(set(cuts[:-1]))
     shares = [r["share"] for r in histogram(df, column, edges).orderBy("bin").collect()] if len(edges) > 1 else []
-    return {"bins": edges, "proportions": shares, "n_reference": got[1], "moyenne": got[2], "mediane": got[3]}
+    return {"bins": edges, "proportions": shares, "n_reference": got[0], "moyenne": got[1], "mediane": cuts[-1] if cuts else None}
+
+
+def save_references(df: DataFrame, columns: list[str], path: str) -> dict:
+    """References of the columns and the number of rows, written as JSON to a path that the driver reaches."""
+    out = {c: reference(df, c) for c in columns if c in df.columns} | {"_volume": df.count()}
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(out, ensure_ascii=False, indent=2), encoding="utf-8")
+    return out
+
+
+def load_references(path: str) -> dict:
+    if not Path(path).exists():
+        raise MissingArtefact(path)
+    return json.loads(Path(path).read_text(encoding="utf-8"))
 
 
 def psi(df: DataFrame, column: str, frozen: dict, floor: float = 1e-4) -> float:
@@ -102,6 +121,12 @@ def drift(df: DataFrame, references: dict, most_volume: float = 0.50) -> dict:
     return out | {"verdict_global": max(said, key=order.index, default="stable")}
 
 
+def totals(df: DataFrame) -> DataFrame:
+    """One row: rows, sum and mean of the amounts, first and last day, and how many days."""
+    day, x = F.to_date("CREATED_ON"), number(F.col("TRANSACTION_AMOUNT"))
+    return df.agg(F.count("*").alias("n"), F.sum(x).alias("montant_total"), F.avg(x).alias("montant_moyen"), F.min(day).alias("debut"), F.max(day).alias("fin"), F.countDistinct(day).alias("jours"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """column, null_rate, n_distinct of every column, by one aggregation."""
     parts = [F.struct(F.lit(c).alias("column"), (1 - F.count(F.col(c)) / F.count("*")).alias("null_rate"), F.countDistinct(F.col(c)).alias("n_distinct")) for c in df.columns]
@@ -114,3 +139,11 @@ def equal_bins(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     x = df.select(F.col(column).cast("double").alias("x")).where("x is not null").join(F.broadcast(ends))
     at = F.when(F.col("lo") == F.col("hi"), 1).otherwise(F.least(F.expr(f"width_bucket(x, lo, hi, {bins})"), F.lit(bins)))
     return x.groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def log_bins(df: DataFrame, column: str, flag: str, bins: int = 50) -> DataFrame:
+    """bin (from 1), n_alerte and n_normal of an equal-width histogram of log10(1 + column), rows with and without the flag apart."""
+    x = df.select(F.log10(1 + F.greatest(number(F.col(column)), F.lit(0.0))).alias("x"), (F.col(flag) == 1).alias("a")).where("x is not null")
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    at = F.when(F.col("lo") == F.col("hi"), 1).otherwise(F.least(F.expr(f"width_bucket(x, lo, hi, {bins})"), F.lit(bins)))
+    return x.join(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count_if("a").alias("n_alerte"), F.count_if(~F.coalesce(F.col("a"), F.lit(False))).alias("n_normal"))  # ends: one row

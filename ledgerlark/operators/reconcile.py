@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import flag, number
+from ..tables import stored
 
-PAIRS = {"TC": "CO", "XX": "RC"}  # prefixes that complement each other
+# Prefixes that complement each other, names of the decisions.
+PAIRS = {"TC": "CO", "XX": "RC"}
 AUTO, SUGGESTED, MANUAL = "AUTOMATIQUE", "A_VALIDER", "MANUEL"
 
 
@@ -58,11 +60,11 @@ def blocked(orphans: DataFrame, d: DataFrame, pairs: dict[str, str] | None = Non
 
 def reconcile(df: DataFrame, pairs: dict[str, str] | None = None, hours: float = 24, auto: float = 85) -> DataFrame:
     """A decision for every row that declares a counterpart."""
-    d = parsed(df)
-    rec = declared(d)
+    d = stored(parsed(df))  # read by every step below
+    rec = stored(declared(d))
     links = direct(rec, hours)
     orphans = rec.where("j_montant is null")
-    found = blocked(orphans, d, pairs).drop("score_criteres")
+    found = stored(blocked(orphans, d, pairs).drop("score_criteres"))
     none = orphans.join(found.select("TRANSFER_ID"), "TRANSFER_ID", "left_anti").select("TRANSFER_ID", F.lit(None).cast("string").alias("jumeau_propose"), F.lit(0).alias("confiance"), F.lit("aucun_candidat").alias("source_appariement"), F.lit("aucun candidat compatible trouvé").alias("RAISON"))
     some = links.unionByName(found).withColumn("decision", F.when(F.col("confiance") >= auto, AUTO).otherwise(SUGGESTED))
     return some.unionByName(none.withColumn("decision", F.lit(MANUAL)))
@@ -80,6 +82,13 @@ def complete(stats: dict) -> None:
         raise AssertionError("decisions do not cover the declared rows")
 
 
+def for_analysts(df: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The declared rows that no automatic or suggested decision settles, with what an analyst needs."""
+    rec = declared(parsed(df))
+    settled = decisions.where(F.col("decision") != MANUAL).select("TRANSFER_ID")
+    return rec.join(settled, "TRANSFER_ID", "left_anti").select("TRANSFER_ID", "TRANSACTION_AMOUNT", "CREATED_ON", "bloc")
+
+
 def prefix_modes(rec: DataFrame) -> DataFrame:
     """The commonest counterpart prefix of each prefix, the smallest on ties."""
     return rec.where("pref_jumeau is not null").groupBy("prefixe").agg(F.mode("pref_jumeau", True).alias("complement"))

@@ -6,7 +6,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import average_rank, clip
+from ..schema import clip
+from ..tables import stored
+
+#: Up to so many values, quantiles come from one aggregation whose buffer holds them; beyond, values are narrowed down by counting.
+SMALL_VALUES = 2_000_000
+#: Up to so many chosen rows are broadcast.
+SMALL_ROWS = 150_000
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], steps: list[float], group: str | None = None, small: int = SMALL_VALUES) -> dict:
+    """{group value (None without group): {column: the value at each step}}, interpolated linearly; a column without values gives None.
+
+    No task holds the values of a group: a pass counts the values in equal bins of each bracket that holds a wanted rank, and
+    the bins that hold one are the brackets of the next pass, until a bracket has one value. The driver gets a bounded table a pass.
+    """
+    key = F.lit(None).cast("string") if group is None else F.col(group)
+    wide = df.select(key.alias("g"), *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    names = [f"c{k}" for k in range(len(columns))]
+    heads = wide.groupBy("g").agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).collect()
+    out: dict = {h["g"]: dict.fromkeys(columns) for h in heads}
+    if sum(h[f"n_{c}"] for h in heads for c in names) <= small:
+        for r in wide.groupBy("g").agg(*[F.percentile(c, F.array(*[F.lit(float(q)) for q in steps])).alias(c) for c in names]).collect():
+            out[r["g"]] = {c: r[n] for c, n in zip(columns, names, strict=True)}
+        return out
+    found: dict[tuple, float] = {}
+    brackets = []
+    for h in heads:
+        for k, c in enumerate(names):
+            if n := h[f"n_{c}"]:
+                at = {x for q in steps for x in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
+                brackets.append((h["g"], k, h[f"lo_{c}"], h[f"hi_{c}"], 0, sorted(at)))
+    long_ = wide.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(n).alias("x")) for k, n in enumerate(names)])).alias("v")).select("g", "v.c", "v.x").where("x is not null")
+    kind = wide.schema["g"].dataType.simpleString()
+    while brackets:
+        bins = max(16, 50_000 // len(brackets))
+        table = df.sparkSession.createDataFrame([(i, *b[:4]) for i, b in enumerate(brackets)], f"i int, bg {kind}, bc int, lo double, hi double")
+        inside = long_.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("bg")) & (F.col("c") == F.col("bc")) & F.col("x").between(F.col("lo"), F.col("hi")))  # at most len(brackets) rows
+        at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(0)
+        rows: dict[int, list] = {}
+        for i, b, n, lo, hi in inside.groupBy("i", at.alias("bin")).agg(F.count("*"), F.min("x"), F.max("x")).collect():
+            rows.setdefault(i, []).append((b, n, lo, hi))
+        after = []
+        for i, (g, c, _, _, above, ranks) in enumerate(brackets):
+            for _, n, lo, hi in sorted(rows.get(i, [])):
+                mine = [r for r in ranks if above <= r < above + n]
+                if mine and lo == hi:
+                    found.update({(g, c, r): lo for r in mine})
+                elif mine:
+                    after.append((g, c, lo, hi, above, mine))
+                above += n
+        brackets = after
+    for h in heads:
+        for k, c in enumerate(columns):
+            if n := h[f"n_c{k}"]:
+                place = [q * (n - 1) for q in steps]
+                ends = [(found[h["g"], k, int(x)], found[h["g"], k, min(int(x) + 1, n - 1)], x - int(x)) for x in place]
+                out[h["g"]][c] = [a if a == b or not t else (1 - t) * a + t * b for a, b, t in ends]
+    return out
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """One exact quantile; None without values."""
+    got = exact_quantiles(df, [column], [q]).get(None, {}).get(column)
+    return got[0] if got else None
 
 
 def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None) -> DataFrame:
@@ -42,7 +105,7 @@ def rescale(df: DataFrame, value: str, name: str) -> tuple[DataFrame, dict]:
 
 def calibrate(df: DataFrame, value: str, name: str) -> tuple[DataFrame, dict]:
     """Percentile score 0..100 and the 101 quantiles that rescore() compares with."""
-    quantiles = df.agg(F.percentile(value, F.array(*[F.lit(k / 100) for k in range(101)]))).first()[0]
+    quantiles = exact_quantiles(df, [value], [k / 100 for k in range(101)]).get(None, {}).get(value)
     return percent_rank(df, value, name).withColumn(name, F.col(name) * 100), {"method": "percentile", "quantiles": quantiles}
 
 
@@ -55,18 +118,26 @@ def rescore(df: DataFrame, value: str, name: str, frozen: dict) -> DataFrame:
     return df.withColumn(name, F.when(F.col(value).isNotNull(), F.least(below / (len(q) - 1) * 100, F.lit(100.0))))
 
 
-def top_per_group(df: DataFrame, group: str, score: str, n: int, tie: str, name: str = "ALERTE") -> DataFrame:
-    """1 for the n best rows of each group by (score, tie), else 0; rows without score are never chosen."""
-    at = F.row_number().over(W.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), tie))
-    return df.withColumn(name, ((at <= n) & F.col(score).isNotNull() & F.col(group).isNotNull()).cast("int"))
+def top_per_group(df: DataFrame, group: str, score: str, n: int, tie: str, name: str = "ALERTE", salts: int = 64) -> DataFrame:
+    """1 for the n best rows of each group by (score, tie), else 0; rows without score are never chosen. tie tells all rows apart.
+
+    A group may hold any share of the rows: the n best of each (group, salt) are found first, then the n best of these.
+    """
+    best = df.where(F.col(score).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(score).alias("_s"), F.col(tie).alias("_t"))
+    best = best.withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(salts)))
+    for keys in (["_g", "_salt"], ["_g"]):
+        best = best.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_s").desc(), "_t"))).where(F.col("_k") <= n)
+    best = stored(best.select("_t"))
+    best = F.broadcast(best) if best.count() <= SMALL_ROWS else best
+    return df.join(best, F.col(tie) == F.col("_t"), "left").withColumn(name, F.col("_t").isNotNull().cast("int")).drop("_t")
 
 
 def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(min(limit, 5000))
 
 
-def curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """score, tp, fp of every threshold: scores are counted, cut into ranges, and cumulated within each range."""
+def curve(df: DataFrame, score: str, label: str, gains: bool = False) -> DataFrame:
+    """score, tp, fp (and gain: how many of tp have this very score) of every threshold: scores are counted, cut into ranges, and cumulated within each range."""
     per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = per.agg(F.percentile_approx("score", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("_cuts"))
@@ -77,7 +148,7 @@ def curve(df: DataFrame, score: str, label: str) -> DataFrame:
     offsets = sums.select("_part", (F.sum("sp").over(above) - F.col("sp")).alias("p0"), (F.sum("sn").over(above) - F.col("sn")).alias("n0"))
     down = W.partitionBy("_part").orderBy(F.col("score").desc())
     out = per.join(F.broadcast(offsets), "_part").withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "k": F.sum("n").over(down) + F.col("n0")})
-    return out.select("score", "tp", (F.col("k") - F.col("tp")).alias("fp"))
+    return out.select("score", "tp", (F.col("k") - F.col("tp")).alias("fp"), *([F.col("p").alias("gain")] if gains else []))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -95,6 +166,20 @@ def precision_recall(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.withColumn("f1", F.expr("try_divide(2 * precision * recall, precision + recall)"))
 
 
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
+    """One row: the sum over thresholds of precision times the gain in recall."""
+    total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label).cast("long")).alias("all"))
+    points = curve(df, score, label, gains=True)
+    return points.agg(F.sum(F.col("gain") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s")).join(F.broadcast(total)).select(F.expr("try_divide(s, all)").alias("pr_auc"))  # one row each
+
+
+def describe(df: DataFrame, columns: list[str], steps: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """A row for each column: count, mean, std, min, max and the exact percentiles, named p25 and so on."""
+    got = exact_quantiles(df, columns, [0.0, *steps, 1.0]).get(None, {})
+    parts = [F.struct(F.lit(c).alias("column"), F.count(F.col(c)).alias("count"), F.avg(F.col(c)).alias("mean"), F.stddev_samp(F.col(c)).alias("std"), *[F.lit(got[c][k] if got.get(c) else None).cast("double").alias(n) for k, n in enumerate(["min", *[f"p{q * 100:g}" for q in steps], "max"])]) for c in columns]
+    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("p")).select("p.*")
+
+
 def best_f1(df: DataFrame, score: str, label: str) -> DataFrame:
     return precision_recall(df, score, label).orderBy(F.col("f1").desc_nulls_last(), F.col("score").desc()).limit(1)
 
@@ -112,4 +197,4 @@ def class_weights(df: DataFrame, label: str, rare: float = 0.02) -> dict:
     return {"share": share, "mode": mode, "weight": weight}
 
 
-__all__ = ["average_rank", "best_f1", "calibrate", "class_weights", "confusion", "curve", "page", "percent_rank", "precision_recall", "rescale", "rescore", "roc_auc", "top_per_group"]
+__all__ = ["average_precision", "best_f1", "calibrate", "class_weights", "confusion", "curve", "describe", "exact_quantiles", "page", "quantile", "percent_rank", "precision_recall", "rescale", "rescore", "roc_auc", "top_per_group"]

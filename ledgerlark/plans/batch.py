@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+import traceback
 from collections.abc import Callable
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,105 +14,183 @@ from pyspark.sql import functions as F
 from ..functions import features
 from ..operators import anomalies, commissions, failure, graph, quality, reconcile
 from ..schema import EngineError, ScoringError
-from ..sources.transfers import normalise
+from ..sources.transfers import normalise, write_csv, write_json
 from ..tables import stored
-from .runs import Run
+from . import registry, runs
+from .log import logger
 
-ENGINES = ["m1_fraude", "m2_mules", "m4_commissions", "m5_echec", "m6_reconciliation"]
+Tables = dict[str, DataFrame]
 
 
-def selected(asked: list[str] | None, config: dict) -> list[str]:
-    """Engines that are asked for (in any case) and not switched off; unknown names are refused."""
-    names = [a.lower() for a in asked] if asked else ENGINES
-    if unknown := [n for n in names if n not in ENGINES]:
-        raise EngineError(f"unknown engines: {unknown}")
-    return [n for n in ENGINES if n in names and config.get(n, {}).get("actif", True)]
+@dataclass(frozen=True)
+class Engine:
+    """score: (batch, or its features if `featured`; artefacts; parameters) -> tables by name."""
 
+    name: str
+    score: Callable[[DataFrame, dict, registry.Parameters], Tables]
+    featured: bool = False
 
-def _m1(df: DataFrame, art: dict, c: dict) -> dict[str, DataFrame]:
-    bands = c.get("seuils_segments", {"faible": 10, "moyen": 100, "eleve": 1000})
+
+def _fraud(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
+    bands = get("seuils_segments", {"faible": 10, "moyen": 100, "eleve": 1000})
     x = anomalies.segmented(df, (bands["faible"], bands["moyen"], bands["eleve"]))
-    x = stored(anomalies.score(features.imputed(x, art["medians"]), art["models"], art["FEATURE_COLS"], c.get("budget_alertes_jour", 200)))
-    alerts = x.where("ALERTE = 1").select("TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "SEGMENT", "RISK_SCORE", features.risk_level(F.col("RISK_SCORE")).alias("RISK_LEVEL"), "RAISON")
-    return {"alertes": alerts, "scores": x.select("TRANSFER_ID", "SEGMENT", "RISK_SCORE", "ALERTE")}
+    x = stored(anomalies.score(features.imputed(x, art["medians"]), art["models"], art["FEATURE_COLS"], get("budget_alertes_jour", 200)))
+    level = features.risk_level(F.col("RISK_SCORE")).alias("RISK_LEVEL")
+    alerts = x.where("ALERTE = 1").select("TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "SEGMENT", "RISK_SCORE", level, "RAISON")
+    return {"alertes": alerts.orderBy(F.col("RISK_SCORE").desc()), "scores": x.select("TRANSFER_ID", "SEGMENT", "RISK_SCORE", "ALERTE")}
 
 
-def _m2(df: DataFrame, art: dict, c: dict) -> dict[str, DataFrame]:
+def mules(df: DataFrame, get: registry.Parameters, scaler: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(relays with pagerank, cluster, score and reasons; edges)."""
     e = stored(graph.edges(df))
     t = stored(graph.transit(graph.nodes(e)))
-    ranks = graph.pagerank(graph.between(e, t))
-    t = stored(t.join(ranks, "node", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))))
-    scaled, _ = graph.robust_scaled(graph.candidates(t, c.get("quantile_candidats", 0.90), most=c.get("max_points_dbscan", 50_000)), graph.FEATURES, art.get("scaler"))
-    clusters = graph.dbscan(scaled, [f"{f}_scaled" for f in graph.FEATURES], c.get("dbscan_eps", 1.5), c.get("dbscan_min_samples", 5))
+    t = stored(t.join(graph.pagerank(graph.between(e, t)), "node", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0))))
+    near = graph.candidates(t, get("quantile_candidats", 0.90), most=get("max_points_dbscan", 50_000))
+    scaled, _ = graph.robust_scaled(near, graph.FEATURES, scaler)
+    clusters = graph.dbscan(scaled, [f"{f}_scaled" for f in graph.FEATURES], get("dbscan_eps", 1.5), get("dbscan_min_samples", 5))
     t = t.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))
-    x = stored(graph.score(t, c.get("budget_mules", 500)))
+    return graph.score(t, get("budget_mules", 500)), e
+
+
+def _mules(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
+    x, e = mules(df, get, art.get("scaler"))
+    x = stored(x)
     own = ["node", "in_degree", "out_degree", "in_montant", "out_montant", "ratio_transit", "transit_score", "pagerank", "cluster", "RISK_SCORE"]
-    return {"alertes": x.where("ALERTE = 1").select(*own, "RAISON"), "scores": x.select(*own, "ALERTE"), "aretes": e}
+    return {"alertes": x.where("ALERTE = 1").select(*own, "RAISON").orderBy(F.col("RISK_SCORE").desc(), "node"), "scores": x.select(*own, "ALERTE"), "aretes": e}
 
 
-def _m4(df: DataFrame, art: dict, c: dict) -> dict[str, DataFrame]:
-    agg = stored(commissions.daily(df, c.get("volume_min_pct_mediane", 0.5)))
-    return {"alertes": commissions.alerts(agg, art["reference"], c.get("seuil_z", 2.5)).orderBy(F.abs("z_score").desc()), "scores": agg, "services_inconnus": commissions.unknown_services(agg, art["reference"])}
+def _commissions(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
+    agg = stored(commissions.daily(df, get("volume_min_pct_mediane", 0.5)))
+    alerts = commissions.alerts(agg, art["reference"], get("seuil_z", 2.5)).orderBy(F.abs("z_score").desc())
+    return {"alertes": alerts, "scores": agg, "services_inconnus": commissions.unknown_services(agg, art["reference"])}
 
 
-def _m5(df: DataFrame, art: dict, c: dict) -> dict[str, DataFrame]:
-    x = failure.score(df, art["model"], art["FEATURE_COLS"], art["medians"], c.get("seuil_alerte_proba", 0.80))
+def _failures(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
+    x = failure.score(df, art["model"], art["FEATURE_COLS"], art["medians"], get("seuil_alerte_proba", 0.80))
     x = stored(x.select("TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "proba_echec", "ALERTE"))
     return {"alertes": x.where("ALERTE = 1").orderBy(F.col("proba_echec").desc()), "scores": x}
 
 
-def _m6(df: DataFrame, art: dict, c: dict) -> dict[str, DataFrame]:
-    x = stored(reconcile.reconcile(df, art.get("complementaires"), c.get("delai_max_h", 24), c.get("seuil_confiance_auto", 85)))
+def _links(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
+    x = stored(reconcile.reconcile(df, get("complementaires", None), get("delai_max_h", 24), get("seuil_confiance_auto", 85)))
     stats = reconcile.summary(x)
     reconcile.complete(stats.first().asDict())
-    return {"scores": x.where(F.col("decision") == reconcile.AUTO), "alertes": x.where(F.col("decision") == reconcile.SUGGESTED), "manuels": x.where(F.col("decision") == reconcile.MANUAL), "stats": stats}
+    by = lambda d: x.where(F.col("decision") == d)
+    return {"scores": by(reconcile.AUTO), "alertes": by(reconcile.SUGGESTED), "manuels": by(reconcile.MANUAL), "stats": stats}
+
+
+TABLE = [Engine("m1_fraude", _fraud, True), Engine("m2_mules", _mules), Engine("m4_commissions", _commissions), Engine("m5_echec", _failures, True), Engine("m6_reconciliation", _links)]
+ENGINES = [e.name for e in TABLE]
+#: Tables that are also written as CSV, with the mark that spreadsheets look for, when they have rows.
+FOR_PEOPLE = ("alertes", "manuels")
+
+
+def selected(asked: list[str] | None, config: dict) -> list[str]:
+    """Engines that are asked for (in any case) and not switched off; unknown names are refused."""
+    names = [a.lower() for a in asked] if asked else ENGINES
+    if unknown := [n for n in names if n not in ENGINES]:
+        raise EngineError(f"unknown engines: {unknown}")
+    return [n for n in ENGINES if n in names and config.get(n, {}).get("actif", True)]
 
 
-SCORERS: dict[str, Callable] = {"m1_fraude": _m1, "m2_mules": _m2, "m4_commissions": _m4, "m5_echec": _m5, "m6_reconciliation": _m6}
+def exported(tables: Tables, at: str) -> dict:
+    """Writes an engine's tables, the people's ones as CSV too, and how many rows each has as JSON; returns the latter."""
+    counts = {}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{at}/{name}")
+        back = df.sparkSession.read.parquet(f"{at}/{name}")
+        counts[f"n_{name}"] = back.count()
+        if name in FOR_PEOPLE:
+            write_csv(df, f"{at}/{name}_csv")
+    write_json(counts, f"{at}/stats.json")
+    return counts
 
 
-def execute(df: DataFrame, artefacts: dict[str, dict], root: str, engines: list[str] | None = None, config: dict | None = None, references: dict | None = None, row_id: str | None = None, run_id: str | None = None) -> dict:
+def execute(df: DataFrame, artefacts: dict[str, dict] | str, root: str, engines: list[str] | None = None, config: dict | None = None, references: dict | str | None = None, row_id: str | None = None, run_id: str | None = None, version: str = "latest") -> dict:
     """Run the engines over a batch and write what they give under root/runs/<id>/<engine>/<table>.
 
-    A failing engine, or failing features, leave the others alone; a report is always written.
+    artefacts: by engine, or the root of a registry; references: by column, or the path of a file of them. A failing
+    engine, or failing features, leave the others alone; a report is always written.
     """
-    config = config or {}
-    run = Run(root, run_id)
+    config, began = config or {}, datetime.now()
+    run_id = run_id or f"{began:%Y%m%d_%H%M%S}"
+    report: dict = {"modeles": {}, "erreurs": {}, "traces": {}}
+    log = logger("ledgerlark.batch")
+    runs.place(root, run_id).mkdir(parents=True, exist_ok=True)
+
+    def failed(what: str, e: Exception) -> None:
+        report["erreurs"][what] = f"{type(e).__name__}: {e}"[:500]
+        report["traces"][what] = traceback.format_exc()[-4000:]
+        log.error("%s failed: %s", what, report["erreurs"][what])
+
     try:
-        run.progress("validation", 2)
         chosen = selected(engines, config)
+        steps = ["validation", "drift", *(["features"] if any(e.featured for e in TABLE if e.name in chosen) else []), *chosen]
+
+        def reached(step: str) -> None:
+            log.info("%s: %s", run_id, step)
+            runs.say(root, run_id, step, 100 * steps.index(step) / len(steps))
+
+        reached("validation")
         df = normalise(df, row_id)
-        span = df.agg(F.min("CREATED_ON"), F.max("CREATED_ON"), F.countDistinct(F.to_date("CREATED_ON"))).first()
-        run.report["periode"] = {"debut": span[0], "fin": span[1], "jours": span[2]}
-        run.report["validation"] = quality.validate(df)
-        run.progress("drift", 5)
-        run.report["drift"] = quality.drift(df, references) if references else None
+        span = quality.totals(df).first()
+        report["periode"] = {"debut": span["debut"], "fin": span["fin"], "jours": span["jours"]}
+        report["validation"] = quality.validate(df)
+        reached("drift")
+        known = quality.load_references(references) if isinstance(references, str) else references
+        report["drift"] = quality.drift(df, known) if known else None
         featured, broken = None, None
-        if {"m1_fraude", "m5_echec"} & set(chosen):
-            run.progress("features", 8)
+        if "features" in steps:
+            reached("features")
             try:
                 featured = stored(features.build(df))
             except Exception as e:
                 broken = e
-        for k, name in enumerate(chosen):
-            run.progress(name, 50 + 46 * k // len(chosen))
-            began = time.time()
+                failed("features", e)
+        for engine in (e for e in TABLE if e.name in chosen):
+            reached(engine.name)
+            at = time.time()
             try:
-                wants = name in ("m1_fraude", "m5_echec")
-                if wants and broken:
+                if engine.featured and broken:
                     raise ScoringError(f"features: {broken}")
-                tables = SCORERS[name](featured if wants else df, artefacts.get(name, {}), config.get(name, {}))
-                counts = {}
-                for table, out in tables.items():
-                    path = f"{root}/runs/{run.id}/{name}/{table}"
-                    out.write.mode("overwrite").parquet(path)
-                    counts[f"n_{table}"] = df.sparkSession.read.parquet(path).count()
-                run.report["modeles"][name] = counts | {"duree_s": round(time.time() - began, 1)}
+                art = registry.artefacts(df.sparkSession, artefacts, engine.name, version) if isinstance(artefacts, str) else artefacts.get(engine.name, {})
+                get = registry.Parameters(config.get(engine.name), art)
+                counts = exported(engine.score(featured if engine.featured else df, art, get), f"{root}/runs/{run_id}/{engine.name}")
+                report["modeles"][engine.name] = counts | {"n_entree": report["validation"]["n_rows"], "duree_s": round(time.time() - at, 1)}
             except Exception as e:
-                run.report["erreurs"][name] = f"{type(e).__name__}: {e}"[:500]
+                failed(engine.name, e)
     except Exception as e:
-        run.report["erreurs"]["run"] = f"{type(e).__name__}: {e}"[:500]
+        failed("run", e)
         raise
     finally:
-        run.finish()
-    return run.report
+        report = runs.close(root, run_id, began, report)
+        runs.say(root, run_id, "terminé", 100)
+    return report
+
+
+def main(args: list[str] | None = None) -> None:
+    """python -m ledgerlark.plans.batch --data FILE --models FOLDER --out FOLDER [--engines A,B] [--references FILE] [--config FILE]"""
+    import argparse
+    import json
+
+    from pyspark.sql import SparkSession
+
+    from ..sources import transfers
+
+    p = argparse.ArgumentParser(description=main.__doc__)
+    p.add_argument("--data", required=True)
+    p.add_argument("--models", required=True)
+    p.add_argument("--out", default="outputs")
+    p.add_argument("--engines", default="")
+    p.add_argument("--references")
+    p.add_argument("--config")
+    p.add_argument("--version", default="latest")
+    a = p.parse_args(args)
+    config = json.loads(open(a.config, encoding="utf-8").read()) if a.config else {}
+    spark = SparkSession.builder.getOrCreate()
+    report = execute(transfers.read(spark, a.data), a.models, a.out, a.engines.split(",") if a.engines else None, config, a.references, version=a.version)
+    print(json.dumps({k: report[k] for k in runs.LINE}, ensure_ascii=False))
+
+
+if __name__ == "__main__":
+    main()

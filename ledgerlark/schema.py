@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The columns kept from an export, in its order.
-COLUMNS = (
-    "TRANSFER_ID SENDER_USER_ID RECEIVER_USER_ID OTHER_MSISDN SENDER_WALLET_NUMBER RECEIVER_WALLET_NUMBER TRANSACTION_AMOUNT "
-    "SENDER_PRE_BAL SENDER_POST_BAL RECEIVER_PRE_BAL RECEIVER_POST_BAL COMMISSIONS_PAID COMMISSIONS_RECEIVED COMMISSIONS_OTHERS "
-    "SERVICE_CHARGE_RECEIVED SERVICE_CHARGE_PAID TRANSFER_STATUS SERVICE_TYPE TRANSFER_SUBTYPE TRANSACTION_TAG ACTION_TYPE "
-    "IS_FINANCIAL TRANSFER_DONE ERROR_CODE ERROR_DESC ATTEMPT_STATUS CREATED_ON MODIFIED_ON TRANSFER_DATETIME SENDER_CITY "
-    "RECEIVER_CITY GATEWAY_TYPE REQUEST_SOURCE TXNMODE SENDER_USER_TYPE RECEIVER_USER_TYPE SENDER_CATEGORY_CODE "
-    "RECEIVER_CATEGORY_CODE SENDER_DOMAIN_CODE RECEIVER_DOMAIN_CODE RECONCILIATION_BY RECONCILIATION_FOR ORIGINAL_REF_NUMBER "
-    "EXT_TXN_NUMBER REFERENCE_NUMBER"
-).split()
-NUMERIC = (
-    "TRANSACTION_AMOUNT SENDER_PRE_BAL SENDER_POST_BAL RECEIVER_PRE_BAL RECEIVER_POST_BAL COMMISSIONS_PAID COMMISSIONS_RECEIVED "
-    "COMMISSIONS_OTHERS SERVICE_CHARGE_RECEIVED SERVICE_CHARGE_PAID ERROR_CODE"
-).split()
+COLUMNS = [
+    "TRANSFER_ID", "SENDER_USER_ID", "RECEIVER_USER_ID", "OTHER_MSISDN", "SENDER_WALLET_NUMBER", "RECEIVER_WALLET_NUMBER",
+    "TRANSACTION_AMOUNT", "SENDER_PRE_BAL", "SENDER_POST_BAL", "RECEIVER_PRE_BAL", "RECEIVER_POST_BAL", "COMMISSIONS_PAID",
+    "COMMISSIONS_RECEIVED", "COMMISSIONS_OTHERS", "SERVICE_CHARGE_RECEIVED", "SERVICE_CHARGE_PAID", "TRANSFER_STATUS",
+    "SERVICE_TYPE", "TRANSFER_SUBTYPE", "TRANSACTION_TAG", "ACTION_TYPE", "IS_FINANCIAL", "TRANSFER_DONE", "ERROR_CODE",
+    "ERROR_DESC", "ATTEMPT_STATUS", "CREATED_ON", "MODIFIED_ON", "TRANSFER_DATETIME", "SENDER_CITY", "RECEIVER_CITY",
+    "GATEWAY_TYPE", "REQUEST_SOURCE", "TXNMODE", "SENDER_USER_TYPE", "RECEIVER_USER_TYPE", "SENDER_CATEGORY_CODE",
+    "RECEIVER_CATEGORY_CODE", "SENDER_DOMAIN_CODE", "RECEIVER_DOMAIN_CODE", "RECONCILIATION_BY", "RECONCILIATION_FOR",
+    "ORIGINAL_REF_NUMBER", "EXT_TXN_NUMBER", "REFERENCE_NUMBER",
+]
+NUMERIC = [
+    "TRANSACTION_AMOUNT", "SENDER_PRE_BAL", "SENDER_POST_BAL", "RECEIVER_PRE_BAL", "RECEIVER_POST_BAL", "COMMISSIONS_PAID",
+    "COMMISSIONS_RECEIVED", "COMMISSIONS_OTHERS", "SERVICE_CHARGE_RECEIVED", "SERVICE_CHARGE_PAID", "ERROR_CODE",
+]
 DATES = ["CREATED_ON", "MODIFIED_ON", "TRANSFER_DATETIME"]
 REQUIRED = ["TRANSFER_ID", "CREATED_ON", "TRANSACTION_AMOUNT", "SENDER_USER_ID", "RECEIVER_USER_ID", "TRANSFER_STATUS", "SERVICE_TYPE"]
 # Services whose sender has no balance, and risk thresholds.
@@ -32,17 +32,17 @@ DATE_FORMAT = "dd/MM/yyyy HH:mm:ss"
 # The columns that each engine reads besides those that all read.
 _COMMON = ["TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "RECEIVER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "TRANSFER_STATUS"]
 _OWN = {
-    "M1": "SENDER_PRE_BAL SENDER_POST_BAL RECEIVER_PRE_BAL RECEIVER_POST_BAL TRANSFER_SUBTYPE ERROR_CODE SENDER_CITY GATEWAY_TYPE TRANSACTION_TAG ATTEMPT_STATUS SENDER_USER_TYPE RECEIVER_USER_TYPE",
-    "M2": "OTHER_MSISDN SENDER_CITY RECEIVER_CITY TRANSACTION_TAG SENDER_USER_TYPE RECEIVER_USER_TYPE",
-    "M4": "COMMISSIONS_PAID COMMISSIONS_RECEIVED COMMISSIONS_OTHERS SERVICE_CHARGE_RECEIVED SERVICE_CHARGE_PAID TRANSFER_SUBTYPE",
-    "M5": "ERROR_CODE SENDER_PRE_BAL TRANSFER_SUBTYPE ATTEMPT_STATUS GATEWAY_TYPE SENDER_USER_TYPE RECEIVER_USER_TYPE",
-    "M6": "RECONCILIATION_BY RECONCILIATION_FOR ORIGINAL_REF_NUMBER EXT_TXN_NUMBER REFERENCE_NUMBER ACTION_TYPE TRANSACTION_TAG",
+    "M1": ["SENDER_PRE_BAL", "SENDER_POST_BAL", "RECEIVER_PRE_BAL", "RECEIVER_POST_BAL", "TRANSFER_SUBTYPE", "ERROR_CODE", "SENDER_CITY", "GATEWAY_TYPE", "TRANSACTION_TAG", "ATTEMPT_STATUS", "SENDER_USER_TYPE", "RECEIVER_USER_TYPE"],
+    "M2": ["OTHER_MSISDN", "SENDER_CITY", "RECEIVER_CITY", "TRANSACTION_TAG", "SENDER_USER_TYPE", "RECEIVER_USER_TYPE"],
+    "M4": ["COMMISSIONS_PAID", "COMMISSIONS_RECEIVED", "COMMISSIONS_OTHERS", "SERVICE_CHARGE_RECEIVED", "SERVICE_CHARGE_PAID", "TRANSFER_SUBTYPE"],
+    "M5": ["ERROR_CODE", "SENDER_PRE_BAL", "TRANSFER_SUBTYPE", "ATTEMPT_STATUS", "GATEWAY_TYPE", "SENDER_USER_TYPE", "RECEIVER_USER_TYPE"],
+    "M6": ["RECONCILIATION_BY", "RECONCILIATION_FOR", "ORIGINAL_REF_NUMBER", "EXT_TXN_NUMBER", "REFERENCE_NUMBER", "ACTION_TYPE", "TRANSACTION_TAG"],
 }
 
 
 def columns_of(engine: str) -> list[str]:
     """What an engine reads; an unknown name reads the common columns."""
-    return list(dict.fromkeys([*_COMMON, *_OWN.get(engine.upper()[:2], "").split()]))
+    return list(dict.fromkeys([*_COMMON, *_OWN.get(engine.upper()[:2], [])]))
 
 
 def struct() -> T.StructType:
@@ -86,12 +86,3 @@ def flag(condition: Column) -> Column:
 def number(x: Column) -> Column:
     """A tolerant cast to double; NaN becomes null."""
     return F.nanvl(x.try_cast("double"), F.lit(None).cast("double"))
-
-
-def average_rank(value: Column, *groups: Column | str) -> Column:
-    """Share of the average rank among non-null values of the group, ties averaged; null stays null."""
-    part = [F.lit(0) if not groups else None] if not groups else list(groups)
-    before = F.rank().over(W.partitionBy(*part).orderBy(value.asc_nulls_last()))
-    ties = F.count("*").over(W.partitionBy(*part, value))
-    known = F.count(value).over(W.partitionBy(*part))
-    return F.when(value.isNotNull(), (before + (ties - 1) / 2) / known)

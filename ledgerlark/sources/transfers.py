@@ -12,15 +12,21 @@ from pyspark.sql import types as T
 from ..schema import COLUMNS, DATE_FORMAT, DATES, NUMERIC, InvalidData, number
 
 
-def read(spark: SparkSession, path: str, columns: list[str] | None = None, fraction: float | None = None, seed: int = 42, limit: int | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, columns: list[str] | None = None, fraction: float | None = None, seed: int = 42, limit: int | None = None, bad: str = "keep") -> DataFrame:
     """Records of a .parquet or .csv path (| separated, ISO-8859-1, header); other suffixes are refused.
 
-    Malformed CSV lines are kept with nulls. fraction samples rows, limit takes some.
+    bad: what becomes of CSV lines with too many or too few fields: "drop", "keep" with nulls, or the name of a column that
+    holds such a line and is null for the others. fraction samples rows, limit takes some.
     """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     elif path.rstrip("/").endswith(".csv"):
-        df = spark.read.option("sep", "|").option("encoding", "ISO-8859-1").option("header", True).option("mode", "PERMISSIVE").csv(path)
+        # The layout of an export.
+        reader = spark.read.option("sep", "|").option("encoding", "ISO-8859-1").option("header", True).option("enforceSchema", True)
+        df = reader.option("mode", "DROPMALFORMED" if bad == "drop" else "PERMISSIVE").csv(path)
+        if bad not in ("drop", "keep"):
+            kinds = T.StructType([*df.schema.fields, T.StructField(bad, T.StringType())])
+            df = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(kinds).csv(path)
     else:
         raise InvalidData(f"neither .parquet nor .csv: {path}")
     if columns is not None:
@@ -37,8 +43,8 @@ def peek(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows, the same ones for the same seed: the first in the order of a digest of seed and key."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def normalise(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -69,11 +75,27 @@ def convert(spark: SparkSession, csv: str, parquet: str) -> list[str]:
     return missing
 
 
+BOM = "\ufeff"
+
+
 def write_csv(df: DataFrame, path: str) -> bool:
-    """One CSV file with a header, only when there are rows."""
+    """CSV with a header and the mark that spreadsheets look for, only when there are rows. Meant for tables that people read:
+    one file, written by one task, row by row."""
     if df.isEmpty():
         return False
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    quoted = [F.when(F.col(f"`{c}`").cast("string").rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(F.col(f"`{c}`").cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in df.columns]
+    lines = df.select(F.concat_ws(",", *quoted).alias("value")).coalesce(1)
+    header = BOM + ",".join(df.columns)
+
+    def headed(batches):
+        import pyarrow as pa
+
+        for k, b in enumerate(batches):
+            if not k:
+                yield pa.RecordBatch.from_arrays([pa.array([header], b.schema.field(0).type)], schema=b.schema)
+            yield b
+
+    lines.mapInArrow(headed, "value string").write.mode("overwrite").text(path)
     return True
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ import pytest
 from ledgerlark.functions import features
 from ledgerlark.operators import forest, graph, quality, reconcile, stats
 from ledgerlark.plans import batch, registry, runs
-from ledgerlark.schema import InvalidData, LeakError, average_rank, clip
+from ledgerlark.schema import InvalidData, LeakError, clip
 from ledgerlark.sources import sample, transfers
 from pyspark.sql import functions as F
 
@@ -39,14 +40,83 @@ def test_row_features_of_nulls(spark):
     assert r["f_log_montant"] is None and r["f_montant_arrondi"] == 0
 
 
-def test_clip_and_average_rank(spark):
+def test_clip_and_percent_rank(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,), (None,)], "x double")
-    got = sorted((r[0], r[1]) for r in df.select("x", average_rank(F.col("x"))).collect() if r[0] is not None)
+    got = sorted((r["x"], r["r"]) for r in stats.percent_rank(df, "x", "r").collect() if r["x"] is not None)
     assert got == [(1.0, 0.25), (2.0, 0.625), (2.0, 0.625), (4.0, 1.0)]
-    assert stats.percent_rank(df, "x", "r").where("x = 2").first()["r"] == 0.625
     assert df.select(clip(F.col("x"), 0, 3)).where("x is null").count() == 1
 
 
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_quantiles_are_exact_both_ways(spark, small):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.lognormal(0, 4, 900), np.full(300, 5.0), [-1e9, 1e12]])
+    rows = [(float(v), None if k % 7 == 0 else float(k % 50), "ab"[k % 2]) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, y double, g string")
+    steps = [0, 0.01, 0.25, 0.5, 0.9, 0.99, 1]
+    got = stats.exact_quantiles(df, ["x", "y"], steps, "g", small)
+    for g in "ab":
+        for k, c in enumerate(("x", "y")):
+            want = np.quantile([r[k] for r in rows if r[2] == g and r[k] is not None], steps)
+            assert got[g][c] == pytest.approx(want.tolist(), rel=1e-12)
+    assert stats.exact_quantiles(df.limit(0), ["x"], steps, small=small) == {} and stats.quantile(df.limit(0), "x", 0.5) is None
+    assert stats.exact_quantiles(df.select(F.lit(None).cast("double").alias("x")), ["x"], steps, small=small) == {None: {"x": None}}
+
+
+def test_top_per_group_with_one_large_group(spark):
+    df = spark.createDataFrame([(k, "a" if k % 10 else "b", float(k % 37) if k % 5 else None) for k in range(2000)], "id int, g string, s double")
+    got = {r["id"] for r in stats.top_per_group(df, "g", "s", 25, "id").where("ALERTE = 1").collect()}
+    rows = df.collect()
+    want = set()
+    for g in "ab":
+        want |= {r["id"] for r in sorted([r for r in rows if r["g"] == g and r["s"] is not None], key=lambda r: (-r["s"], r["id"]))[:25]}
+    assert got == want and stats.top_per_group(df, "g", "s", 25, "id").count() == 2000
+
+
+def test_average_precision_and_describe(spark):
+    rng = np.random.default_rng(7)
+    s, y = rng.integers(0, 40, 500) / 4.0, rng.random(500) < 0.2
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "s double, y int")
+    want, seen = 0.0, 0
+    for t in sorted(set(s), reverse=True):
+        tp = (y & (s >= t)).sum()
+        want += tp / (s >= t).sum() * (tp - seen) / y.sum()
+        seen = tp
+    assert stats.average_precision(df, "s", "y").first()[0] == pytest.approx(want)
+    row = stats.describe(df, ["s"]).first()
+    assert (row["count"], row["p50"], row["max"]) == (500, np.median(s), s.max()) and row["std"] == pytest.approx(s.std(ddof=1))
+
+
+def test_forest_beside_the_rule_of_deviations(spark):
+    from ledgerlark.operators import commissions
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(60)]
+    rng = np.random.default_rng(5)
+    rows = [(d, "RC", 100, 1e5, 0.0, 0.0, 0.01 + 0.0005 * rng.normal(), 0.02 + 0.0005 * rng.normal(), 3 + 0.1 * rng.normal()) for d in days[:-1]] + [(days[-1], "RC", 100, 1e5, 0.0, 0.0, 0.09, 0.2, 30.0)]
+    agg = spark.createDataFrame(rows, "jour date, SERVICE_TYPE string, volume long, montant double, comm_paid double, comm_recv double, taux_comm_paid double, taux_comm_recv double, comm_par_tx double")
+    got = {r["jour"]: r for r in commissions.fused(agg, commissions.reference(agg), trees=50).collect()}
+    assert got[days[-1]]["confiance"] == 2 and got[days[-1]]["RISK_SCORE"] == 100 and len(got) == 60
+    assert all(r["ALERTE"] == int(r["confiance"] > 0) and r["confiance"] == r["anomalie_zscore"] + r["anomalie_if"] for r in got.values())
+
+
+def test_log_has_a_file_for_each_day(tmp_path):
+    from ledgerlark.plans import log
+
+    for _ in range(2):
+        log.logger("ledgerlark.test", str(tmp_path)).info("one line")
+    text = next(tmp_path.glob("*.log")).read_text(encoding="utf-8")
+    assert text.count("one line") == 2 and "| INFO | ledgerlark.test |" in text
+
+
+def test_bad_lines_of_a_csv(spark, tmp_path):
+    p = tmp_path / "x.csv"
+    p.write_text("A|B\n1|2\n3|4|5|6\n7|8\n", encoding="latin-1")
+    assert [tuple(r) for r in transfers.read(spark, str(p), bad="drop").orderBy("A").collect()] == [("1", "2"), ("7", "8")]
+    kept = {r["A"]: r["_bad"] for r in transfers.read(spark, str(p), bad="_bad").collect()}
+    assert kept == {"1": None, "3": "3|4|5|6", "7": None}
+    assert transfers.read(spark, str(p), limit=2).count() == 2
+
+
 def test_levels_and_badges_differ_at_their_edges(spark):
     df = spark.createDataFrame([(70.0,), (85.0,), (95.0,), (101.0,)], "s double")
     assert [r[0] for r in df.select(features.risk_level(F.col("s"))).collect()] == ["Normal", "Modéré", "Élevé", None]
@@ -127,10 +197,13 @@ def test_csv_round_trip(spark, tmp_path):
 def test_registry(tmp_path):
     (tmp_path / "params.json").write_text('{"a": 1}')
     (tmp_path / "params_v2.json").write_text('{"a": 2}')
-    r = registry.Registry(str(tmp_path / "models"))
-    first = r.publish("M4", [str(tmp_path / "params.json"), str(tmp_path / "params_v2.json")])
-    second = r.publish("M4", [str(tmp_path / "params.json")])
-    assert first != second and r.params("M4")["a"] == 1 and r.params("M4", first)["a"] == 2 and r.models() == ["M4"]
+    root = str(tmp_path / "models")
+    one = registry.publish(root, "M4", [str(tmp_path / "params.json"), str(tmp_path / "params_v2.json")])
+    two = registry.publish(root, "M4", [str(tmp_path / "params.json")])
+    assert one != two and registry.params(registry.folder(root, "M4"))["a"] == 1 and registry.params(registry.folder(root, "M4", one))["a"] == 2
+    assert registry.published(root) == ["M4"] and registry.ledger(root, "M4")["latest"] == two
+    get = registry.Parameters({"x": 1, "y": None}, {"x": 2, "y": 3})
+    assert (get("x", 0), get("y", 0), get("z", 9)) == (1, 3, 9)
 
 
 def test_batch_runs_all_five_engines(spark, tmp_path):
@@ -144,15 +217,31 @@ def test_batch_runs_all_five_engines(spark, tmp_path):
     columns = ["f_log_montant", "f_velocite_7j", "f_rang_tx"]
     model, fill = failure.fit(f, columns, rounds=2, depth=2)
     seg = features.imputed(anomalies.segmented(f), fill)
-    art = {
-        "m1_fraude": {"FEATURE_COLS": columns, "medians": fill, "models": forest.fit_segments(seg, columns, "SEGMENT", sample=300, trees=10)},
-        "m4_commissions": {"reference": commissions.reference(commissions.daily(df))},
-        "m5_echec": {"FEATURE_COLS": columns, "medians": fill, "model": model},
-    }
-    refs = {"TRANSACTION_AMOUNT": quality.reference(df, "TRANSACTION_AMOUNT"), "_volume": df.count()}
-    report = batch.execute(df, art, str(tmp_path), references=refs, config={"m1_fraude": {"budget_alertes_jour": 5}}, row_id="_row_id", run_id="r1")
+    models = forest.fit_segments(seg, columns, "SEGMENT", sample=300, trees=10)
+    # everything the engines need is published, and comes back from the registry alone
+    own, root = tmp_path / "own", str(tmp_path / "models")
+    for name in ("m1", "m2", "m4", "m5", "m6"):
+        (own / name).mkdir(parents=True)
+        (own / name / "params.json").write_text(json.dumps({"FEATURE_COLS": columns, "medians": fill, "budget_alertes_jour": 7, "complementaires": {"RC": "CI"}}))
+    registry.freeze_forests(models, str(own / "m1" / "forets.json"))
+    registry.freeze_table(commissions.reference(commissions.daily(df)), "SERVICE_TYPE", str(own / "m4" / "stats_par_service.json"))
+    model.write().overwrite().save(str(own / "m5" / "gbt"))
+    for engine, name in zip(batch.ENGINES, ("m1", "m2", "m4", "m5", "m6"), strict=True):
+        registry.publish(root, registry.FOLDERS[engine], [str(p) for p in (own / name).iterdir()])
+    refs = str(tmp_path / "drift.json")
+    quality.save_references(df, ["TRANSACTION_AMOUNT"], refs)
+    report = batch.execute(df, root, str(tmp_path), references=refs, config={"m1_fraude": {"budget_alertes_jour": 5}}, row_id="_row_id", run_id="r1")
     assert report["modeles_ok"] == sorted(batch.ENGINES), report["erreurs"]
     assert report["drift"]["verdict_global"] == "stable"
     total, rows = runs.alerts(spark, str(tmp_path), "r1", "m1_fraude", "TRANSFER_ID", 10)
     assert total == 5 * 30 and rows.count() == 10
     assert runs.history(spark, str(tmp_path)).count() == 1 and runs.running(str(tmp_path)) == []
+    assert runs.drift(str(tmp_path), "r1")["verdict_global"] == "stable"
+    assert runs.alerts_by_run(spark, str(tmp_path)).first()["total"] == sum(m["n_alertes"] for m in report["modeles"].values())
+    text = next((tmp_path / "runs/r1/m1_fraude/alertes_csv").glob("part-*")).read_text(encoding="utf-8")
+    assert text.startswith("\ufeffTRANSFER_ID,") and text.count("\n") == 151
+    # a frozen parameter goes before the default, and the configuration before both
+    frozen = batch.execute(df, root, str(tmp_path), ["M1_fraude"], row_id="_row_id", run_id="r2")
+    assert frozen["modeles"]["m1_fraude"]["n_alertes"] == 7 * 30
+    broken = batch.execute(df, {}, str(tmp_path), ["m4_commissions", "m6_reconciliation"], row_id="_row_id", run_id="r3")
+    assert broken["modeles_ko"] == ["m4_commissions"] and broken["modeles_ok"] == ["m6_reconciliation"] and "KeyError" in broken["traces"]["m4_commissions"]
