@@ -43,7 +43,7 @@ def folder(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables stored within are removed at the end; what is returned from within must be stored with keep=True."""
+    """Tables stored within are removed at the end; what is returned from within must be stored with keep=1, from within two with keep=2."""
     _open.append([])
     try:
         yield
@@ -63,13 +63,14 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-def stored(df: DataFrame, name: str = "", keep: bool = False) -> DataFrame:
-    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing."""
+def stored(df: DataFrame, name: str = "", keep: int = 0) -> DataFrame:
+    """df, written as a table in the shared folder and read back: its lineage ends there, and lost executors lose nothing.
+    keep: how many of the open scopes it outlives."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name or 'stored-' + uuid.uuid4().hex}"
     with setting(spark, CLEANUP, "true"):
         df.write.parquet(path)
-    scopes = _open[:-1] if keep else _open
+    scopes = _open[: max(0, len(_open) - int(keep))]
     if scopes:
         scopes[-1].append(path)
     _made.append((spark, path))
