@@ -53,10 +53,9 @@ def keyed(df: DataFrame, id: str, name: str) -> DataFrame:
 PART_BYTES = 32_000_000
 
 
-def parts_of(texts: DataFrame, text: str = "text", size: int = PART_BYTES) -> int:
-    """Into how many parts texts are dealt: as many as shuffle partitions, and more where a part would hold over `size` bytes on average."""
-    total = texts.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(partitions(texts.sparkSession), -(-total // size))
+def parts_of(spark: SparkSession, total: int, size: int = PART_BYTES) -> int:
+    """Into how many parts texts of `total` bytes are dealt: as many as shuffle partitions, and more where a part would hold over `size` on average."""
+    return max(partitions(spark), -(-total // size))
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

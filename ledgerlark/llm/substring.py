@@ -53,8 +53,8 @@ FAR = 200
 #: The id of rows without one.
 LAST = (1 << 63) - 1
 KEYS = ["a", "b", "c", "d"]
-#: Keys of a range, on average; there are at most MOST_RANGES ranges.
-RANGE_KEYS, MOST_RANGES = 20_000, 4096
+#: Keys of a range, on average; there are at most MOST_RANGES ranges. Packed bytes of a part of the state, on average.
+RANGE_KEYS, MOST_RANGES, STATE_BYTES = 100_000, 4096, 2_000_000
 
 
 # -- exact keys of several columns ------------------------------------------------------------------------------------
@@ -281,7 +281,8 @@ class Heard:
         keys = KEYS[: len(columns)]
         if kind not in self.tables:
             got = {k: np.concatenate([p[k] for p in self.parts[kind]]) if self.parts[kind] else np.zeros(0, np.int64) for k in (*keys, *values)}
-            self.tables[kind] = Table([got[k] for k in keys], [got[k] for k in values])
+            first = grouped([got[k] for k in keys])[0]  # a key that several tasks of the part asked for is answered as often
+            self.tables[kind] = Table([got[k][first] for k in keys], [got[k][first] for k in values])
         at, hit = self.tables[kind].find(columns)
         out = [hit]
         for v in self.tables[kind].values:
@@ -412,10 +413,10 @@ def _named(many: int, ids: bool):
     return run
 
 
-def _answers(asks: DataFrame, ranges: int, many: int, ids: bool = False) -> tuple[DataFrame, list[int], int]:
+def _answers(asks: DataFrame, ranges: int, many: int, ids: bool = False, keep: bool = False) -> tuple[DataFrame, list[int], int]:
     """(the answers, stored; the base of the numbers of each range; how many keys have one). The driver gets a count for each range."""
     dealt = asks.select("range", "part", "data").repartition(ranges, "range").sortWithinPartitions("range", "part")
-    table = stored(dealt.mapInArrow(_named(many, ids), ANSWERS))
+    table = stored(dealt.mapInArrow(_named(many, ids), ANSWERS), keep=keep)
     counts = dict(table.where("part = -1").select("range", "n").collect())
     base, upto = [], 0
     for r in range(ranges):
@@ -623,22 +624,21 @@ def _plain(chunks: DataFrame) -> DataFrame:
     return chunks.select("part", F.lit(9).alias("kind"), F.lit(0).alias("range"), "data")
 
 
-def _first_state(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, int]:
-    """(whole: row, id, n, sha, stand, gone; the chunks before the first round; how many words are named)."""
-    spark, ranges = texts.sparkSession, min(parts, MOST_RANGES)
+def _first_state(texts: DataFrame, parts: int, size: int) -> tuple[DataFrame, DataFrame, int]:
+    """size: bytes of all texts. (whole: row, id, n, sha, stand, gone; the chunks before the first round; how many words are named)."""
+    spark, ranges = texts.sparkSession, _ranges(size // 20, parts)
     dealt = texts.select(F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int").alias("part"), "row", "id", "text")
     with scratch(spark):
-        with scratch(spark):
+        with scratch(spark):  # the words go as soon as they are named
             survey = stored(dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_survey(ranges), SURVEY))
             docs = survey.where("data is null").select("part", "row", "id", "n", "sha")
             # documents with equal words look alike to all others: one with the smallest id stands for them
             id_ = F.coalesce("id", F.lit(LAST))
             first = docs.where(F.col("n") >= SPAN).groupBy("sha").agg(F.min(F.struct(id_.alias("id"), "row")).alias("m")).select("sha", F.col("m.id").alias("least"), F.col("m.row").alias("stand"))
             whole = docs.join(first, "sha", "left").withColumn("stand", F.when(F.col("n") >= SPAN, F.col("stand"))).withColumn("gone", F.coalesce((F.col("n") >= SPAN) & (F.col("least") < id_), F.lit(False)))
-            whole = stored(whole.select("part", "row", "id", "n", "sha", "stand", "gone"), keep=True)
-            answers, base, named = _answers(survey.where("data is not null"), ranges, 1)
-            answers = stored(answers, keep=True)
-        whole, none = stored(whole, keep=True), {"row": F.lit(None).cast("long"), "id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "range": F.lit(0), "data": F.lit(None).cast("binary")}
+            whole = stored(whole.select("part", "row", "id", "n", "sha", "stand", "gone"), keep=3)
+            answers, base, named = _answers(survey.where("data is not null"), ranges, 1, keep=True)
+        none = {"row": F.lit(None).cast("long"), "id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "range": F.lit(0), "data": F.lit(None).cast("binary")}
         order = ["part", "kind", "row", "id", "text", "range", "data"]
         rows = answers.withColumns({"kind": F.lit(0)} | {k: none[k] for k in ("row", "id", "text")}).select(order)
         rows = rows.union(whole.where("row != stand").select("part", F.lit(1).alias("kind"), "row").withColumns({k: none[k] for k in ("id", "text", "range", "data")}).select(order))
@@ -647,6 +647,13 @@ def _first_state(texts: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, in
     return whole, state, named
 
 
+def _redealt(state: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """(the state in as few parts as its size asks for, how many these are)."""
+    size = state.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    fewer = max(1, min(parts, -(-size // STATE_BYTES)))
+    return state.withColumn("part", F.col("part") % F.lit(fewer)), fewer
+
+
 def _round(state: DataFrame, r: int, named: int, ranges: int, parts: int) -> tuple[DataFrame, int]:
     """The state after round r, and how many names it gave. named: how many there were."""
     with scratch(state.sparkSession):
@@ -670,15 +677,17 @@ def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", row: str |
     small_batches(spark)
     with scratch(spark):
         texts = keyed(bare(docs, id=id, text=text), "id", "row") if row is None else bare(docs, row=row, id=id, text=text)
-        parts = parts_of(texts)
-        whole, state, named = _first_state(texts, parts)
-        whole, ranges = stored(whole, keep=True), _ranges(8 * named, parts)
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = parts_of(texts.sparkSession, size)
+        whole, state, named = _first_state(texts, parts, size)
         for r in range(ROUNDS):
-            state, n = _round(state, r, named, ranges, parts)
-            named, ranges = named + n, _ranges(8 * n, parts)
+            state, parts = _redealt(state, parts)
+            state, n = _round(state, r, named, _ranges(8 * named if not r else 8 * n, parts), parts)
+            named += n
             if not n:
                 break
-        cut = among(texts.select("row", "text"), _repeats(state, _ranges(2 * state.count() * RANGE_KEYS, parts), parts), "row").select("row", "text", "starts")
+        state, parts = _redealt(state, parts)
+        cut = among(texts.select("row", "text"), _repeats(state, parts, parts), "row").select("row", "text", "starts")
         return whole, stored(cut.mapInArrow(_cut, "row long, removed long, cut_sha string, left string"), keep=True)
 
 
