@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from . import trees as T
-from .shared import bare, partitions, small_batches, stored
+from .shared import bare, parts_of, small_batches, stored
 
 #: The hash that stands for the end token.
 STOP = A.U64(0x5F3759DF5F3759DF)
@@ -262,8 +262,9 @@ def score_texts(docs: DataFrame, learns: Column, id: str = "doc_id", text: str =
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score. learns: a condition on column id."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
-    texts = bare(docs, id=id, text=text).select("id", F.coalesce(learns, F.lit(True)).alias("learns"), "text", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
+    texts = bare(docs, id=id, text=text)
+    n = parts_of(spark, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    texts = texts.select("id", F.coalesce(learns, F.lit(True)).alias("learns"), "text", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
     dealt = texts.select("bucket", "learns", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
     counts = stored(dealt.mapInArrow(_count(n), "bucket int, kind int, range int, keys binary, counts binary"))
     by_range = counts.repartition(n, "range").sortWithinPartitions("range", "kind")

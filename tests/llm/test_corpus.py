@@ -105,6 +105,65 @@ def test_fingerprints(spark, docs, empty):
     assert alone["near_next"] == 1.0
 
 
+def plain_print(text):
+    """Order MinHash from its definition: every element of every sketch, no shortcuts."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    xx = lambda data, seed: xxhash.xxh64_intdigest(data, seed & (1 << 64) - 1)
+    of_long = lambda x, seed: xx(struct.pack("<q", signed(x & (1 << 64) - 1)), seed)
+    tokens = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
+    if len(tokens) >= 2:
+        kmers = [xx(b.encode(), xx(a.encode(), 42)) for a, b in zip(tokens, tokens[1:])]
+    else:
+        kmers = [xx(" ".join(tokens).encode(), 42)] if tokens else []
+    if not kmers:
+        return None
+    seen, places = {}, []
+    for i, h in enumerate(kmers):
+        name = signed(h << 24 & (1 << 64) - 1) >> 24
+        o = seen[name] = seen.get(name, -1) + 1
+        element = xx(struct.pack("<i", o), of_long(name, 42))
+        places.append((element >> 25 << 24) | i)
+    places.sort()
+    out = []
+    for j in range(32):
+        later = [p for p in places if p >= j << 58]
+        taken = sorted(p & 0xFFFFFF for p in (later + places)[: min(2, len(places))])
+        h = 42
+        for p in taken:
+            h = of_long(kmers[p], h)
+        out.append(f"{h & 0xFFFFFFFF:08x}")
+    return out
+
+
+def test_fingerprints_equal_the_definition(docs):
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy("doc_id").collect()]
+    got = by_id(ordermin.fingerprints(docs))
+
+    def like(a, b):
+        return 1.0 if a == b else 0.0 if a is None or b is None else sum(x == y for x, y in zip(a, b)) / 32
+
+    prints = [plain_print(t) for _, t in rows]
+    for k, (i, t) in enumerate(rows):
+        q, n = len(t) // 4, (k + 1) % len(rows)
+        edited = plain_print(t[: len(t) - q] + rows[n][1][:q])
+        assert got[i]["fingerprint"] == "".join(prints[k] or []) and got[i]["edited_fingerprint"] == "".join(edited or [])
+        assert got[i]["near_edited"] == pytest.approx(like(prints[k], edited)) and got[i]["near_next"] == pytest.approx(like(prints[k], prints[n]))
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    rows = [(7, "a b c d"), (7, "a b c d"), (7, "b c d e"), (None, "z y x"), (None, None), (9, "word " * 40_000)]
+    got = [tuple(r) for r in ordermin.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    prints = {}
+    for r in got:
+        prints.setdefault((r[0], r[1], r[3]), 0)
+        prints[r[0], r[1], r[3]] += 1
+    assert len(got) == 6 and sorted(prints.values()) == [1, 1, 1, 1, 2]
+
+
 def test_order_matters(spark):
     words = [f"w{k}" for k in range(60)]
     df = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[30:] + words[:30]))], "doc_id long, text string")
@@ -378,6 +437,44 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_by_classes(spark):
+    """More groups than are placed one by one: most go by classes, and all three measures come out near equal."""
+    rng = random.Random(21)
+    rows = [(k, " \t\n".join("w" * rng.randint(1, 12) + str(k) for _ in range(int(rng.lognormvariate(2, 1)) + 1))) for k in range(6000)]
+    rows += [(10_000 + k, "copies of one text") for k in range(2500)] + [(20_000, None), (20_000, ""), (None, "x y z"), (20_001, "long " * 30_000)]
+    df = spark.createDataFrame([(*r, 1, "a") for r in rows], "doc_id long, text string, size int, shard string").repartition(5)
+    got = sharding.shard(df, 8, singles=300).collect()
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, []).append(t or "")
+    assert len(got) == len(rows) and {r["shard"] for r in got} == set(range(8))
+    loads = np.zeros((8, 3))
+    for r in got:
+        loads[r["shard"]] += [r["size"], r["n_tokens"], 1]
+    for i in (5, 77, 20_001):
+        assert [r["n_tokens"] for r in got if r["doc_id"] == i] == [len(text[i][0].split())]
+    big = 150_016  # one text that no shard can share
+    assert loads[:, 0].max() - loads[:, 0].min() <= max(big, 0.02 * loads[:, 0].mean())
+    light = np.sort(loads[:, 2])
+    assert light[-1] <= 1.5 * light[0] or loads[:, 0].max() >= big
+    by = {}
+    for r in got:
+        by.setdefault((r["group"], r["size"], r["text_crc32"]), set()).add(r["shard"])
+    assert max(len(v) for k, v in by.items() if k[1] != len("copies of one text") + 16) == 1
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(int(loads[s, 2])))
+
+
+def test_measures_are_balanced_jointly(spark):
+    rng = random.Random(22)
+    rows = [(k, " ".join(["a" * rng.choice([2, 30])] * rng.randint(1, 60)) + str(k)) for k in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, singles=500).collect()
+    loads = np.zeros((10, 3))
+    for r in got:
+        loads[r["shard"]] += [r["size"], r["n_tokens"], 1]
+    assert (loads.max(axis=0) / loads.min(axis=0) < [1.002, 1.15, 1.15]).all()
+
+
 def test_a_hot_group_is_split(spark):
     df = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 200, "same text " * 20).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
     n = {r["shard"]: r["n"] for r in sharding.shard(df, 4).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
@@ -510,6 +607,33 @@ def test_language_model(spark, docs, empty):
     assert all(r["base_score"] == 0 and r["train_tokens"] == 0 for r in nothing.values())
 
 
+def test_scores_equal_one_model_over_all_texts(spark, docs):
+    """The trees of all grams, grown at once, score each text as the ranges and buckets do."""
+    import pyarrow as pa
+
+    rows = docs.orderBy("doc_id").collect()
+    grams = {}
+    for r in rows:
+        block = next(A.blocks(pa.array([r["text"]], pa.string())))
+        grams[r["doc_id"]] = trees.grams(block)[0]
+    learnt = np.concatenate([g for i, g in grams.items() if zlib.crc32(str(i).encode()) % 7 != 2])
+    others = np.setdiff1d(np.concatenate(list(grams.values())), learnt)
+    key, count = np.unique(learnt, return_counts=True)
+    key, count = np.concatenate([key, others]), np.concatenate([count, np.zeros(len(others), np.int64)])
+    order = np.argsort(key)
+    levels = trees.grow(key[order], count[order], 0)
+    got = by_id(lm.score_texts(docs, toxicity.fold(F.col("id"), 7) != 2))
+    for i, g in grams.items():
+        assert got[i]["score"] == pytest.approx(float(-trees.lengths(g, levels).sum() * np.log10(2)), rel=1e-4)
+
+
+def test_language_model_of_repeated_and_long_texts(spark):
+    rows = [(3, "a b c"), (3, "a b c"), (3, "q r"), (None, "a b c"), (4, "lorem ipsum " * 60_000), (5, None)]
+    got = [tuple(r) for r in lm.score_texts(spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, id string, score double"), F.lit(True)).collect()]
+    assert len(got) == 6 and got.count(next(g for g in got if g[0] == 3 and g[2] == 4)) == 2
+    assert {g[2] for g in got if g[0] == 4} == {120_001}
+
+
 def test_trees_are_a_distribution_and_equal_the_recursion():
     rng = np.random.default_rng(2)
     gram = np.unique(rng.integers(0, 3, (200, 4)) @ (1 << 8 * np.arange(4)))
