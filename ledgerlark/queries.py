@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import pathlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import features
 from .operators import anomalies, commissions, failure, forest, graph, quality, reconcile, stats
-from .sources import sample
+from .plans import batch, registry, runs
+from .schema import COLUMNS, columns_of
+from .sources import sample, transfers
+from .tables import folder, stored
 
 BANDS = (60, 65, 75)  # segments of the test tables
 PAIRS = {"RC": "CI", "MP": "CO"}
@@ -73,6 +80,16 @@ def query(sql: str | None = None, digits: int = 4):
     return add
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one, as a path that the driver reaches too: runs and registries keep small files there."""
+    home = f"{folder(spark)}/own-{uuid.uuid4().hex}"
+    if "://" in home and not home.startswith("file://"):
+        raise RuntimeError(f"the driver can't write to {home}")
+    home = home.removeprefix("file://").replace("file:", "", 1) if home.startswith("file:") else home
+    pathlib.Path(home).mkdir(parents=True)
+    return home
+
+
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.transfers(spark, sf_dir)
 
@@ -140,12 +157,12 @@ def peer_deviation(spark, d):
     return anomalies.peer_deviation(anomalies.segmented(tx(spark, d), BANDS)).select("TRANSFER_ID", "SEGMENT", "montant_z_segment")
 
 
-@query(f"with {SEG} select id as TRANSFER_ID, round((rank() over (partition by segment order by amount) + (count(*) over (partition by segment, amount) - 1) / 2) / count(*) over (partition by segment), 4) as rang from sg")
+@query(f"with {SEG} select id as TRANSFER_ID, round((rank() over (partition by segment order by amount) + (count(*) over (partition by segment, amount) - 1) / 2) / count(*) over (partition by segment), 8) as rang from sg", digits=8)
 def pct_rank_segment(spark, d):
     return stats.percent_rank(anomalies.segmented(tx(spark, d), BANDS), "TRANSACTION_AMOUNT", "rang", "SEGMENT").select("TRANSFER_ID", "rang")
 
 
-@query(f"with {TX} select id as TRANSFER_ID, round((rank() over (order by amount) + (count(*) over (partition by amount) - 1) / 2) / count(*) over (), 4) as rang from tx")
+@query(f"with {TX} select id as TRANSFER_ID, round((rank() over (order by amount) + (count(*) over (partition by amount) - 1) / 2) / count(*) over (), 8) as rang from tx", digits=8)
 def pct_rank_global(spark, d):
     return stats.percent_rank(tx(spark, d), "TRANSACTION_AMOUNT", "rang").select("TRANSFER_ID", "rang")
 
@@ -180,16 +197,19 @@ def transit_edges(spark, d):
     return _transit_edges(spark, d).select("source", "target", "nb_tx")
 
 
-_PR = EDGE + """, te as (select * from ed where source in (select node from tr) and target in (select node from tr)), pn as (select distinct unnest([source, target]) as node from te),
-ou as (select source, sum(montant) as o from te group by 1), p0 as (select node, 1.0::double / (select count(*) from pn) as r from pn)"""
-for _k in range(1, 4):
-    _PR += f""", p{_k} as (select n.node, 0.85 * (coalesce(g.g, 0) + (select coalesce(sum(r), 0) from p{_k - 1} where node not in (select source from ou)) / (select count(*) from pn)) + 0.15 / (select count(*) from pn) as r
-  from pn n left join (select target, sum(p.r * te.montant / ou.o) as g from te join ou using (source) join p{_k - 1} p on p.node = te.source group by 1) g on g.target = n.node)"""
+# a hundred rounds; the query stops where ranks change by less than 1e-9
+PAGERANK = EDGE + """, te as (select * from ed where source in (select node from tr) and target in (select node from tr)), pn as (select distinct unnest([source, target]) as node from te),
+ou as (select source, sum(montant) as o from te group by 1), sh as (select te.source, te.target, te.montant / ou.o as share from te join ou using (source)), nn as (select count(*)::double as n from pn),
+dg as (select node from pn where node not in (select source from ou)),
+rr(k, node, r) as (select 0, node, 1 / n from pn, nn union all
+  select x.k + 1, pn.node, 0.85 * (coalesce(g.g, 0) + x.lost / n) + 0.15 / n from pn, nn, (select max(k) as k, coalesce(sum(r) filter (node in (select node from dg)), 0) as lost from rr) x
+  left join (select target, sum(rr.r * share) as g from sh join rr on rr.node = sh.source group by 1) g on g.target = pn.node where x.k < 100),
+pr as (select node, r as pagerank from rr where k = 100), tp as (select tr.*, coalesce(pagerank, 0) as pagerank from tr left join pr using (node))"""
 
 
-@query(f"with {_PR} select node, round(r, 8) as pagerank from p3", digits=8)
-def pagerank_three(spark, d):
-    return graph.pagerank(_transit_edges(spark, d), rounds=3)
+@query(f"with recursive {PAGERANK} select node, round(pagerank, 8) as pagerank from pr", digits=8)
+def pagerank(spark, d):
+    return graph.pagerank(_transit_edges(spark, d))
 
 
 @query(f"with {EDGE}, q as (select quantile_cont(transit_score, 0.5) as q from tr) select node, round(transit_score, 4) as transit_score from tr, q where transit_score >= q and least(in_degree, out_degree) >= 3 order by tr.transit_score desc, node limit 40")
@@ -216,22 +236,67 @@ def robust_scaled(spark, d):
     return graph.robust_scaled(graph.transit(graph.nodes(graph.edges(tx(spark, d)))), ["in_montant"])[0].select("node", "in_montant_scaled")
 
 
-@query()
+def _clusters(share: float) -> str:
+    """Candidates, their seven scaled features, neighbours within 1.5, and clusters of at least 5."""
+    scaled = ", ".join(f"(c.{f} - median(c.{f}) over ()) / coalesce(nullif(quantile_cont(c.{f}, 0.75) over () - quantile_cont(c.{f}, 0.25) over (), 0), 1) as s{k}" for k, f in enumerate(graph.FEATURES))
+    apart = " + ".join(f"(a.s{k} - b.s{k}) * (a.s{k} - b.s{k})" for k in range(len(graph.FEATURES)))
+    return f"""{PAGERANK}, cq as (select quantile_cont(transit_score, {share}) as q from tr), cd as (select tp.* from tp, cq where transit_score >= q and least(in_degree, out_degree) >= 3),
+sd as (select node, {scaled} from cd c), nb as (select a.node as id, b.node as other from sd a, sd b where {apart} <= 2.25), co as (select id from nb group by 1 having count(*) >= 5),
+lk as (select * from nb where id in (select id from co) and other in (select id from co)), re(id, root) as (select id, id from co union select re.id, lk.other from re join lk on lk.id = re.root),
+cc as (select id, dense_rank() over (order by root) - 1 as cluster from (select id, min(root) as root from re group by 1)),
+cl as (select node, coalesce((select cluster from cc where id = node), (select min(cluster) from nb join cc on cc.id = nb.other where nb.id = node), -1) as cluster from cd)"""
+
+
+@query(f"with recursive {_clusters(0.5)} select node, cast(cluster as int) as cluster from cl")
 def mule_clusters(spark, d):
-    t = graph.transit(graph.nodes(graph.edges(tx(spark, d)))).withColumn("pagerank", F.lit(0.0))
-    scaled, _ = graph.robust_scaled(t, ["in_montant", "ratio_transit", "transit_score"])
-    return graph.dbscan(scaled, ["in_montant_scaled", "ratio_transit_scaled", "transit_score_scaled"], 0.5, 5)
+    e = graph.edges(tx(spark, d))
+    t = graph.transit(graph.nodes(e))
+    t = t.join(graph.pagerank(graph.between(e, t)), "node", "left").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
+    scaled, _ = graph.robust_scaled(graph.candidates(t, 0.5), graph.FEATURES)
+    return graph.dbscan(scaled, [f"{f}_scaled" for f in graph.FEATURES])
 
 
-_MULE = EDGE + """, rk as (select *, 100 * (rank() over (order by transit_score) + (count(*) over (partition by transit_score) - 1) / 2) / count(*) over () as rt,
-100 * (rank() over (order by diversite) + (count(*) over (partition by diversite) - 1) / 2) / count(*) over () as rd from tr),
-sc as (select *, 0.35 * rt + 0.25 * rd + 0.2 * 100 * (count(*) over () + 1) / 2 / count(*) over () as risk from rk)"""
+def _rank(x: str) -> str:
+    return f"100 * (rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2) / count(*) over ()"
 
 
-@query(f"with {_MULE} select node, round(risk, 4) as RISK_SCORE from sc")
+_MULE = _clusters(0.9) + f""", rk as (select tp.*, coalesce(cl.cluster, -1) as cluster, {_rank('transit_score')} as rt, {_rank('diversite')} as rd, {_rank('pagerank')} as rp from tp left join cl using (node)),
+sc as (select *, least(greatest(0.35 * rt + 0.25 * rd + 0.2 * rp + case when cluster >= 0 then 20 else 0 end, 0), 100) as risk from rk), al as (select *, cast(row_number() over (order by round(risk, 9) desc, node) <= 20 as int) as a from sc)"""
+
+
+@query(f"""with recursive {_MULE} select node, cast(cluster as int) as cluster, round(risk, 6) as RISK_SCORE, a as ALERTE, case when a = 1 then coalesce(nullif(concat_ws(' + ',
+case when transit_score > 0.8 then 'relais quasi-parfait (entrée≈sortie)' end, case when in_degree >= 10 then in_degree::bigint || ' sources' end, case when out_degree >= 10 then out_degree::bigint || ' destinations' end,
+case when cluster >= 0 then 'membre d''un réseau organisé' end, case when rp > 95 then 'position centrale dans le réseau' end), ''), 'profil de transit atypique') end as RAISON from al""", digits=6)
 def mule_score(spark, d):
-    t = graph.transit(graph.nodes(graph.edges(tx(spark, d)))).withColumns({"pagerank": F.lit(0.0), "cluster": F.lit(-1)})
-    return graph.score(t, 50).select("node", "RISK_SCORE")
+    scored, _ = batch.mules(tx(spark, d), registry.Parameters({"budget_mules": 20}, {}))
+    return scored.select("node", "cluster", "RISK_SCORE", "ALERTE", "RAISON")
+
+
+@query(f"""with {EDGE}, x as (select node, cast(node[2:] as int) % 7 as cluster, transit_score * 100 as risk, in_degree + out_degree as degree, in_montant from tr)
+select cast(cluster as int) as cluster, count(*) as taille, round(avg(risk), 4) as risque_moyen, round(avg(degree), 4) as degre_moyen, round(sum(in_montant), 2) as montant from x group by 1""")
+def cluster_summary(spark, d):
+    t = graph.transit(graph.nodes(graph.edges(tx(spark, d)))).withColumns({"cluster": (F.substring("node", 2, 20).cast("int") % 7).cast("int"), "RISK_SCORE": F.col("transit_score") * 100})
+    return graph.cluster_summary(t).withColumn("montant", F.round("montant", 2))
+
+
+_SHOWN = EDGE + ", te as (select * from ed where source in (select node from tr) and target in (select node from tr)), dg as (select node, count(*) as n from (select source as node from te union all select target from te) group by 1)"
+
+
+@query(f"with {_SHOWN} select tr.node, round(12 + least(coalesce(n, 0), 40) * 1.4, 4) as size from tr left join dg using (node)")
+def graph_node_sizes(spark, d):
+    return graph.displayed(graph.transit(graph.nodes(graph.edges(tx(spark, d)))), _transit_edges(spark, d))[0]
+
+
+@query(f"with {_SHOWN} select source, target, round(1 + 5 * ln(1 + montant) / ln(1 + (select max(montant) from te)), 4) as width from te")
+def graph_edge_widths(spark, d):
+    e = _transit_edges(spark, d)
+    return graph.displayed(e.select(F.col("source").alias("node")), e)[1]
+
+
+@query(f"with {EDGE} select source, target, round(montant, 2) as montant from ed")
+def graph_export(spark, d):
+    export = graph.edges(tx(spark, d)).select(F.col("source").alias("SRC"), F.col("target").alias("Dst"), F.round("montant", 2).alias("Amount"), F.lit(1).alias("other"))
+    return graph.fuzzy(export, source=["src", "from"], target=["dst", "to"], montant=["amount", "sum"], nb_tx=["n"])
 
 
 @query(f"with {COMM} select jour, service as SERVICE_TYPE, volume, round(montant, 2) as montant, round(taux_comm_paid, 6) as taux_comm_paid, round(taux_comm_recv, 6) as taux_comm_recv, round(comm_par_tx, 4) as comm_par_tx from d", digits=6)
@@ -252,16 +317,33 @@ lg as (select jour, service, volume, 'taux_comm_paid' as metrique, taux_comm_pai
 union all select jour, service, volume, 'comm_par_tx', comm_par_tx, m3, s3 from d join rf using (service)), zz as (select *, (v - mu) / greatest(sd, 0.05 * abs(mu), 1e-9) as z from lg where mu is not null and sd is not null)"""
 
 
-@query(f"with {_LONG} select jour, service, metrique, round(v, 6) as valeur, round(mu, 6) as reference, round(greatest(least(z, 100), -100), 2) as z_score, volume from zz where abs(z) > 2.5", digits=6)
+_WHY = "metrique || ' anormal (' || case when mu > 0 then 'x' || printf('%.1f', v / mu) else 'réf. nulle' end || ' vs norme, z=' || printf('%.1f', least(abs(z), 100)) || ')'"
+
+
+@query(f"with {_LONG} select jour, service, metrique, round(v, 6) as valeur, round(mu, 6) as reference, round(greatest(least(z, 100), -100), 2) as z_score, volume, {_WHY} as RAISON from zz where abs(z) > 2.5", digits=6)
 def commission_alerts(spark, d):
     agg = comm(spark, d)
-    return commissions.alerts(agg, commissions.reference(agg)).drop("RAISON")
+    return commissions.alerts(agg, commissions.reference(agg))
+
+
+@query(SQL["commission_alerts"], digits=6)
+def alerts_from_registry(spark, d):
+    """The reference is frozen as JSON, published, resolved and read back by the engine's artefacts."""
+    agg, home = stored(comm(spark, d)), _own_folder(spark)
+    registry.freeze_table(commissions.reference(agg), "SERVICE_TYPE", f"{home}/stats_par_service.json")
+    for name, threshold in (("params.json", 99.0), ("params_v2.json", 2.5)):
+        pathlib.Path(home, name).write_text(json.dumps({"seuil_z": threshold}), encoding="utf-8")
+    registry.publish(f"{home}/models", "M4_commissions", [f"{home}/{n}" for n in ("stats_par_service.json", "params.json", "params_v2.json")])
+    art = registry.artefacts(spark, f"{home}/models", "m4_commissions")
+    return commissions.alerts(agg, art["reference"], registry.Parameters({}, art)("seuil_z", 3.0))
 
 
-@query(f"with {COMM} select distinct service as SERVICE_TYPE from d where service not in (select distinct p_type from part where p_partkey % 3 = 0)")
+@query(f"with {COMM}, rf as (select service, avg(taux_comm_paid) as m from d group by 1) select distinct service as SERVICE_TYPE from d where service not in (select service from rf where m >= (select avg(m) from rf))")
 def unknown_services(spark, d):
-    known = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 3 = 0").select(F.col("p_type").alias("SERVICE_TYPE")).distinct()
-    return commissions.unknown_services(comm(spark, d), known)
+    """Of a reference that lacks the services with a rate below the mean."""
+    agg = comm(spark, d)
+    frozen = commissions.reference(agg)
+    return commissions.unknown_services(agg, frozen.join(F.broadcast(frozen.agg(F.avg("taux_comm_paid_mean").alias("m")))).where("taux_comm_paid_mean >= m"))  # one row
 
 
 @query(f"with {COMM}, n as (select jour, count(*) as n from cx group by 1) select jour, n from n where n < 0.9 * (select median(n) from n)")
@@ -305,9 +387,15 @@ def recon_decisions(spark, d):
     return reconcile.reconcile(sample.declared(spark, d), PAIRS, 3).select("TRANSFER_ID", "jumeau_propose", "confiance", "decision")
 
 
-@query(f"with {REC} select count(*) as total, count(*) filter (decision = 'AUTOMATIQUE') as n_auto_fiable, count(*) filter (decision = 'A_VALIDER') as n_suggestion, count(*) filter (decision = 'MANUEL') as n_manuel from de")
+@query(f"with {REC} select count(*) as total, count(*) filter (decision = 'AUTOMATIQUE') as n_auto_fiable, count(*) filter (decision = 'A_VALIDER') as n_suggestion, count(*) filter (decision = 'MANUEL') as n_manuel, round(count(*) filter (decision = 'AUTOMATIQUE') * 100.0 / count(*), 1) as taux_auto_pct, cast(round(count(*) filter (decision = 'AUTOMATIQUE') * 3 / 60) as bigint) as gain_heures from de")
 def recon_stats(spark, d):
-    return reconcile.summary(reconcile.reconcile(sample.declared(spark, d), PAIRS, 3)).select("total", "n_auto_fiable", "n_suggestion", "n_manuel")
+    return reconcile.summary(reconcile.reconcile(sample.declared(spark, d), PAIRS, 3))
+
+
+@query(f"with {REC} select id as TRANSFER_ID, amount as TRANSACTION_AMOUNT, bloc from rec where id not in (select id from de where decision <> 'MANUEL')")
+def analyst_file(spark, d):
+    x = sample.declared(spark, d)
+    return reconcile.for_analysts(x, reconcile.reconcile(x, PAIRS, 3)).select("TRANSFER_ID", "TRANSACTION_AMOUNT", "bloc")
 
 
 @query(f"with {REC}, x as (select prefixe, j_prefixe, count(*) as n from rec where j_prefixe is not null group by 1, 2) select prefixe, j_prefixe as complement from (select *, row_number() over (partition by prefixe order by n desc, j_prefixe) as k from x) where k = 1")
@@ -320,11 +408,11 @@ def block_sizes(spark, d):
     return reconcile.block_sizes(rec(spark, d)[0])
 
 
-@query(f"with {REC} select count(*) filter (b.jumeau = r.wanted) as tp, count(*) filter (b.jumeau <> r.wanted) as fp, count(*) filter (b.jumeau is null) as nr from rec r left join (select id, jumeau from bl union all select id, jumeau from di where confiance >= 70) b on b.id = r.id")
+@query(f"with {REC} select count(*) filter (b.jumeau = r.wanted) as tp, count(*) filter (b.jumeau <> r.wanted) as fp, count(*) filter (b.jumeau is null) as nr, round(tp / nullif(tp + fp, 0), 4) as precision, round(tp / nullif(tp + fp + nr, 0), 4) as recall from rec r left join (select id, jumeau from bl union all select id, jumeau from di where confiance >= 70) b on b.id = r.id")
 def linkage_quality(spark, d):
     parsed, r = rec(spark, d)
     found = reconcile.blocked(r.where("j_montant is null"), parsed, PAIRS).select("TRANSFER_ID", "jumeau_propose").union(reconcile.direct(r, 3).where("confiance >= 70").select("TRANSFER_ID", "jumeau_propose"))
-    return reconcile.linkage_quality(found, r.select("TRANSFER_ID", F.col("RECONCILIATION_FOR").alias("jumeau"))).select("tp", "fp", "nr")
+    return reconcile.linkage_quality(found, r.select("TRANSFER_ID", F.col("RECONCILIATION_FOR").alias("jumeau")))
 
 
 @query(f"with {REC} select round(avg(cast(a.bloc = b.bloc as int)), 4) as same_block, round(avg(cast((a.s = b.s and a.r = b.r) or (a.s = b.r and a.r = b.s) as int)), 4) as same_parties from p a join p b on b.id = a.wanted")
@@ -341,11 +429,11 @@ def drift_reference(spark, d):
     return quality.histogram(e, "value", quality.reference(e, "value")["bins"]).select("bin", "n")
 
 
-@query(f"""with {_BINS}, b as (select i, x as lo, lead(x) over (order by i) as hi from q), c as (select i, count(value) as n, count(value) filter (user_id % 2 = 0) as m from b left join events on value >= lo and (value < hi or (i = 9 and value <= hi)) where hi is not null group by 1),
+@query(f"""with {_BINS}, b as (select i, x as lo, lead(x) over (order by i) as hi from q), c as (select i, count(value) as n, count(value) filter (ts >= timestamp '2024-01-20') as m from b left join events on value >= lo and (value < hi or (i = 9 and value <= hi)) where hi is not null group by 1),
 s as (select greatest(n / sum(n) over (), 1e-4) as pr, greatest(m / sum(m) over (), 1e-4) as pn from c) select round(sum((pn - pr) * ln(pn / pr)), 6) as psi from s""", digits=6)
 def drift_psi(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
-    return spark.createDataFrame([(quality.psi(e.where("user_id % 2 = 0"), "value", quality.reference(e, "value")),)], "psi double")
+    return spark.createDataFrame([(quality.psi(e.where("ts >= timestamp '2024-01-20'"), "value", quality.reference(e, "value")),)], "psi double")
 
 
 @query("with h as (select min(value) as lo, max(value) as hi from events) select cast(least(floor((value - lo) / ((hi - lo) / 50)) + 1, 50) as int) as bin, count(*) as n from events, h group by 1")
@@ -371,11 +459,12 @@ def score_calibration(spark, d):
 _Q101 = "[" + ", ".join(str(k / 100) for k in range(101)) + "]"
 
 
-@query(f"with {TX}, q as (select quantile_cont(amount, {_Q101}) as q from tx where row_id % 2 = 0) select id as TRANSFER_ID, round(least(cast(len(list_filter(q, lambda x: x < amount)) as double), 100), 4) as score from tx, q where row_id % 2 = 1")
+@query(f"with {TX}, q as (select quantile_cont(amount, {_Q101}) as q from tx where ts < timestamp '2024-01-20') select id as TRANSFER_ID, round(least(cast(len(list_filter(q, lambda x: x < amount)) as double), 100), 4) as score from tx, q")
 def rescore_new(spark, d):
+    """All rows against the quantiles of the earlier days."""
     t = tx(spark, d)
-    frozen = stats.calibrate(t.where("_row_id % 2 = 0"), "TRANSACTION_AMOUNT", "score")[1]
-    return stats.rescore(t.where("_row_id % 2 = 1"), "TRANSACTION_AMOUNT", "score", frozen).select("TRANSFER_ID", "score")
+    frozen = stats.calibrate(failure.split(t, "2024-01-20")[0], "TRANSACTION_AMOUNT", "score")[1]
+    return stats.rescore(t, "TRANSACTION_AMOUNT", "score", frozen).select("TRANSFER_ID", "score")
 
 
 _LEVEL = "case when x > 95 then 'Critique' when x > 85 then 'Élevé' when x > 70 then 'Modéré' when x >= 0 then 'Normal' end"
@@ -473,8 +562,6 @@ FOREST = ["f_log_montant", "f_delta_solde", "f_heure_sin", "f_heure_cos", "f_vel
 
 
 def _featured(spark, d):
-    from .tables import stored
-
     return stored(anomalies.segmented(features.behaviour(features.calendar(features.transactional(tx(spark, d)))), BANDS))
 
 
@@ -482,16 +569,265 @@ def _featured(spark, d):
 def isoforest_alerts(spark, d):
     f = _featured(spark, d)
     f = features.imputed(f, features.medians(f, FOREST))
-    models = forest.fit_segments(f, FOREST, "SEGMENT", sample=2_000, trees=100)
-    return anomalies.score(f, models, FOREST, 50).select("TRANSFER_ID", "SEGMENT", "iso_score", "RISK_SCORE", "ALERTE", "RAISON")
+    models = forest.fit_segments(f, FOREST, "SEGMENT")
+    return anomalies.score(f, models, FOREST).select("TRANSFER_ID", "SEGMENT", "iso_score", "RISK_SCORE", "ALERTE", "RAISON")
 
 
 @query()
 def gbt_failure(spark, d):
     f = _featured(spark, d)
     columns = ["f_log_montant", "f_heure_sin", "f_heure_cos", "f_velocite_7j", "f_taux_echec_hist", "f_rang_tx"]
-    model, fill = failure.fit(failure.split(f, "2024-01-20")[0], columns, rounds=5, depth=3)
-    return failure.score(failure.split(f, "2024-01-20")[1], model, columns, fill, 0.5).select("TRANSFER_ID", "proba_echec", "ALERTE")
+    model, fill = failure.fit(failure.split(f, "2024-01-20")[0], columns)
+    return failure.score(failure.split(f, "2024-01-20")[1], model, columns, fill).select("TRANSFER_ID", "proba_echec", "ALERTE")
+
+
+# -- reading and normalising -------------------------------------------------------------------------------------------
+
+
+@query("select event_id, value from events")
+def projected_read(spark, d):
+    return transfers.read(spark, f"{d}/events.parquet", ["event_id", "value", "absent"])
+
+
+@query("select event_id, value from events order by md5('42:' || event_id), event_id limit 500")
+def seeded_sample(spark, d):
+    return transfers.exact_sample(spark.read.parquet(f"{d}/events.parquet"), 500, "event_id").select("event_id", "value")
+
+
+@query(f"with {TX} select id as TRANSFER_ID, s as SENDER_USER_ID, r as RECEIVER_USER_ID, round(amount, 4) as TRANSACTION_AMOUNT, service as SERVICE_TYPE, status as TRANSFER_STATUS, city as SENDER_CITY, stype as SENDER_USER_TYPE from tx")
+def engine_columns(spark, d):
+    t = tx(spark, d)
+    return t.select([c for c in columns_of("M2_mules") if c in t.columns]).drop("CREATED_ON", "RECEIVER_USER_TYPE")
+
+
+@query(f"with {TX} select id as TRANSFER_ID, round(amount, 4) as TRANSACTION_AMOUNT, date_trunc('second', ts) as CREATED_ON, city as SENDER_CITY from tx")
+def csv_to_parquet(spark, d):
+    """The whole table as an export (| and ISO-8859-1, dates as text), converted to Parquet and read back."""
+    home = f"{folder(spark)}/export-{uuid.uuid4().hex}"
+    t = tx(spark, d).select("TRANSFER_ID", F.date_format("CREATED_ON", "dd/MM/yyyy HH:mm:ss").alias("CREATED_ON"), "TRANSACTION_AMOUNT", "SENDER_CITY")
+    t.write.option("sep", "|").option("encoding", "ISO-8859-1").option("header", True).csv(f"{home}/x.csv")
+    transfers.convert(spark, f"{home}/x.csv", f"{home}/x.parquet")
+    return transfers.read(spark, f"{home}/x.parquet", ["TRANSFER_ID", "CREATED_ON", "TRANSACTION_AMOUNT", "SENDER_CITY"])
+
+
+@query("select * from (values " + ", ".join(f"('{c}', {str(c in ('event_id', 'SERVICE_TYPE')).lower()})" for c in [*COLUMNS]) + ") t(\"column\", present)")
+def header_peek(spark, d):
+    have, missing = transfers.peek(spark, _peeked(spark, d))
+    return spark.createDataFrame([(c, c in have) for c in [*have, *missing]], "column string, present boolean")
+
+
+def _peeked(spark, d):
+    path = f"{folder(spark)}/peek-{uuid.uuid4().hex}.parquet"
+    spark.read.parquet(f"{d}/events.parquet").select("event_id", F.col("event_type").alias("SERVICE_TYPE")).write.parquet(path)
+    return path
+
+
+@query("""select event_type as SERVICE_TYPE, count(*) as n, count(*) filter (event_type not in ('error', 'signup')) as n_montant, round(sum(value) filter (event_type not in ('error', 'signup')), 2) as montant,
+count(*) filter (event_type <> 'error') as n_date, max(date_trunc('second', ts)) filter (event_type <> 'error') as derniere from events group by 1""")
+def tolerant_casts(spark, d):
+    """Amounts and dates as text, some of them not numbers and not dates, in two layouts."""
+    e, kind = spark.read.parquet(f"{d}/events.parquet"), F.col("event_type")
+    amount = F.when(kind == "error", "n/a").when(kind == "signup", "nan").otherwise(F.col("value").cast("string"))
+    when = F.when(kind == "error", "31/02 bad").when(kind == "click", F.date_format("ts", "dd/MM/yyyy HH:mm:ss")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    t = transfers.normalise(e.select(kind.alias("SERVICE_TYPE"), amount.alias("TRANSACTION_AMOUNT"), when.alias("CREATED_ON")))
+    return t.groupBy("SERVICE_TYPE").agg(F.count("*").alias("n"), F.count("TRANSACTION_AMOUNT").alias("n_montant"), F.round(F.sum("TRANSACTION_AMOUNT"), 2).alias("montant"), F.count("CREATED_ON").alias("n_date"), F.max("CREATED_ON").alias("derniere"))
+
+
+@query(f"with {TX} select count(*) as n_rows, count(*) < 1000 as few, cast(count(*) < 1000 as int) + cast(count(*) > count(amount) as int) + cast(count(*) > count(ts) as int) + cast(count(*) > count(distinct id) as int) as n_warnings from tx")
+def validation_warnings(spark, d):
+    got = quality.validate(tx(spark, d))
+    return spark.createDataFrame([(got["n_rows"], any(w.startswith("only") for w in got["warnings"]), len(got["warnings"]))], "n_rows long, few boolean, n_warnings int")
+
+
+@query(f"with {TX} select count(*) as n, round(sum(amount), 2) as montant_total, round(avg(amount), 4) as montant_moyen, cast(min(ts) as date) as debut, cast(max(ts) as date) as fin, count(distinct cast(ts as date)) as jours from tx")
+def batch_totals(spark, d):
+    return quality.totals(tx(spark, d)).withColumn("montant_total", F.round("montant_total", 2))
+
+
+# -- features ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {TX} select id as TRANSFER_ID, cast(coalesce(pre < 1000, false) as int) as f_solde_avant_faible, cast(service = 'view' as int) as f_has_msisdn, cast(status = 'TS' as int) as f_is_financial, round(sin(2 * pi() * minute(ts) / 60), 4) as f_minute_sin, round(cos(2 * pi() * minute(ts) / 60), 4) as f_minute_cos from tx")
+def feat_training_row(spark, d):
+    t = tx(spark, d).withColumns({"OTHER_MSISDN": F.when(F.col("SERVICE_TYPE") == "view", "034"), "IS_FINANCIAL": F.when(F.col("TRANSFER_STATUS") == "TS", "Y").otherwise("N")})
+    return features.transactional_training(t).select("TRANSFER_ID", "f_solde_avant_faible", "f_has_msisdn", "f_is_financial", "f_minute_sin", "f_minute_cos")
+
+
+@query(f"""with {TX}, n as (select *, cast(row_number() over (partition by s, service order by ts, row_id) = 1 as int) as new from tx)
+select id as TRANSFER_ID, round(sum(amount) over w, 2) as f_montant_cumul, round(avg(amount) over w, 4) as f_moyenne, round(coalesce(stddev_samp(amount) over w, 0), 4) as f_ecart, cast(sum(new) over w as bigint) as f_nb_services, least(count(*) over w - 1, 500) as f_rang_tx_compte
+from n window w as (partition by s order by ts, row_id rows unbounded preceding)""")
+def feat_training_account(spark, d):
+    t = features.behaviour_training(tx(spark, d))
+    return t.select("TRANSFER_ID", F.round("f_montant_cumul", 2).alias("f_montant_cumul"), "f_moyenne", "f_ecart", "f_nb_services", F.col("f_rang_tx_compte").cast("long").alias("f_rang_tx_compte"))
+
+
+_LOST = TX + ", u as (select * from tx where service in ('signup', 'error', 'view'))"
+
+
+@query(f"""with {_LOST} select id as TRANSFER_ID, 1.0::double as f_velocite_7j, 0.0::double as f_log_velocite_7j, round(amount, 2) as f_montant_7j, round(ln(1 + greatest(amount, 0)), 4) as f_log_montant_7j, 1.0::double as f_ratio_vs_profil, 0.0::double as f_zscore_montant,
+1.0::double as f_nb_dest_cumul, 0.0::double as f_taux_echec_hist, round(least((epoch_us(ts) - epoch_us((select min(ts) from u))) / 86400000000.0, 32), 4) as f_anciennete_jours, 0.0::double as f_rang_tx from u""")
+def feat_unknown_accounts(spark, d):
+    """Accounts that are null, empty or the text nan: one group without a past."""
+    kind = F.col("SERVICE_TYPE")
+    t = tx(spark, d).withColumn("SENDER_USER_ID", F.when(kind == "signup", "nan").when(kind == "error", "").when(kind != "view", F.col("SENDER_USER_ID")))
+    t = features.behaviour(t).where("SENDER_USER_ID = '__UNKNOWN__'")
+    return t.select("TRANSFER_ID", *features.BEHAVIOUR).withColumn("f_montant_7j", F.round("f_montant_7j", 2))
+
+
+@query(f"""with {TX} select 'f_gw_' || service as feature, count(*) as n from tx group by 1 union all select 'f_stype_' || stype, count(*) from tx where stype is not null group by 1
+union all select 'f_statut_' || status, count(*) from tx group by 1 union all select 'f_attempt_' || case when status = 'TF' then 'KO' else 'OK' end, count(*) from tx group by 1""")
+def feat_one_hot(spark, d):
+    """How many rows have each of block D's 0/1 columns; the receiver's type has too many values and is left out."""
+    t = tx(spark, d).withColumns({"GATEWAY_TYPE": F.col("SERVICE_TYPE"), "ATTEMPT_STATUS": F.when(F.col("TRANSFER_STATUS") == "TF", "KO").otherwise("OK"), "RECEIVER_USER_TYPE": F.col("RECEIVER_USER_ID")})
+    t = features.context(t)
+    hot = [c for c in t.columns if c.startswith(("f_gw_", "f_stype_", "f_rtype_", "f_statut_", "f_attempt_"))]
+    return t.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.sum(F.col(f"`{c}`")).cast("long").alias("n")) for c in hot]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query(f"""with {TX}, a as (select city, count(*) / (select count(city) from tx) as y from tx where city is not null group by 1), b as (select service, count(*) / (select count(*) from tx) as x from tx group by 1), g as (select stype, count(*) / (select count(stype) from tx) as z from tx where stype is not null group by 1)
+select id as TRANSFER_ID, round(coalesce(y, 0), 4) as f_city_freq, cast(status = 'TF' as int) as f_status_TF, round(coalesce(x, 0), 4) as f_freq_subtype, round(coalesce(z, 0), 4) as f_freq_tag from tx left join a using (city) left join b using (service) left join g using (stype)""")
+def feat_encoders(spark, d):
+    """Many cities by frequency, two states by 0/1, and a column with few values left out; subtype and tag by frequency."""
+    t = tx(spark, d).withColumns({"TRANSFER_SUBTYPE": F.col("SERVICE_TYPE"), "TRANSACTION_TAG": F.col("SENDER_USER_TYPE")})
+    t = features.adaptive(t, "SENDER_CITY", "f_city", 3, 0)
+    t = features.adaptive(t, "TRANSFER_STATUS", "f_status", 15, 0)
+    t = features.adaptive(t, "ERROR_CODE", "f_error", 15, 1 << 40)
+    t = features.frequency(features.frequency(t, "TRANSFER_SUBTYPE", "f_freq_subtype", 0), "TRANSACTION_TAG", "f_freq_tag", 0)
+    return t.select("TRANSFER_ID", *[c for c in t.columns if c.startswith(("f_city", "f_status_TF", "f_error", "f_freq"))])
+
+
+_BLOCKS = [("A", features.TRANSACTIONAL), ("B", features.CALENDAR), ("C", features.BEHAVIOUR)]
+
+
+@query(f"""with {TX} select * from (values {", ".join(f"('{b}', '{n}')" for b, ns in _BLOCKS for n in ns)}, ('D', 'f_has_error'), ('D', 'f_freq_service'), ('D', 'f_freq_ville')) t(block, feature)
+union all select distinct 'D', 'f_statut_' || status from tx union all select distinct 'D', 'f_stype_' || stype from tx where stype is not null""")
+def feature_names(spark, d):
+    got = features.names(features.build(tx(spark, d).drop("RECEIVER_USER_TYPE")))
+    return spark.createDataFrame([(b, n) for b, ns in got.items() for n in ns], "block string, feature string")
+
+
+@query(f"""select feature from (values {", ".join(f"('{n}')" for _, ns in _BLOCKS for n in ns)}, ('f_has_error'), ('f_freq_service'), ('f_freq_ville'), ('f_statut_TF')) t(feature) where regexp_matches(feature, 'incoherence|delta_solde|solde_apres|statut|has_error|attempt')""")
+def leak_guard(spark, d):
+    """The features that the guard refuses."""
+    names = [n for ns in features.names(features.build(tx(spark, d))).values() for n in ns if n == "f_statut_TF" or not n.startswith(("f_statut_", "f_stype_", "f_rtype_"))]
+    return spark.createDataFrame([(n,) for n in features.leaking(names)], "feature string")
+
+
+@query(f"with {TX}, s as (select coalesce(stddev_samp(amount), 0) as a, coalesce(stddev_samp(err), 0) as e, coalesce(stddev_samp(pre), 0) as p from tx) select 'TRANSACTION_AMOUNT' as \"column\" from s where a = 0 union all select 'ERROR_CODE' from s where e = 0 union all select 'SENDER_PRE_BAL' from s where p = 0 union all select 'one'")
+def constant_columns(spark, d):
+    t = tx(spark, d).withColumn("one", F.lit(1))
+    return spark.createDataFrame([(c,) for c in features.constant(t, ["TRANSACTION_AMOUNT", "ERROR_CODE", "SENDER_PRE_BAL", "one"])], "column string")
+
+
+@query(f"with {TX}, m as (select median(pre) as p, median(rpre) as q from tx where service <> 'view') select service as SERVICE_TYPE, round(sum(case when service = 'view' then p else coalesce(pre, p) end), 2) as pre, round(sum(coalesce(rpre, q)), 2) as rpre from tx, m group by 1")
+def median_imputation(spark, d):
+    """Balances of views are unknown; all take the median of the others."""
+    t = tx(spark, d)
+    fill = features.medians(t.where("SERVICE_TYPE <> 'view'"), ["SENDER_PRE_BAL", "RECEIVER_PRE_BAL"])
+    t = features.imputed(t.withColumn("SENDER_PRE_BAL", F.when(F.col("SERVICE_TYPE") != "view", F.col("SENDER_PRE_BAL"))), fill)
+    return t.groupBy("SERVICE_TYPE").agg(F.round(F.sum("SENDER_PRE_BAL"), 2).alias("pre"), F.round(F.sum("RECEIVER_PRE_BAL"), 2).alias("rpre"))
+
+
+@query(f"with {TX} select case when cast(ts as date) < date '2024-01-20' then 'train' else 'test' end as side, count(*) as n, round(avg(cast(status = 'TF' as int)), 6) as taux from tx group by 1", digits=6)
+def temporal_split(spark, d):
+    train, test = failure.split(tx(spark, d), "2024-01-20")
+    both = train.withColumn("side", F.lit("train")).union(test.withColumn("side", F.lit("test")))
+    return both.groupBy("side").agg(F.count("*").alias("n"), F.avg((F.col("TRANSFER_STATUS") == "TF").cast("int")).alias("taux"))
+
+
+# -- scores, drift and display -----------------------------------------------------------------------------------------
+
+
+@query(f"""with {SEG}, w as (select *, count(*) over b as n, count(*) over o as n0, coalesce(avg(cast(status = 'TF' as int)) over p, 0) as fail from pd
+window b as (partition by s order by ts, row_id rows unbounded preceding), p as (partition by s order by ts, row_id rows between unbounded preceding and 1 preceding),
+o as (partition by s order by ts range between unbounded preceding and interval '7 days 1 microsecond' preceding)), q as (select quantile_cont(least(n - n0, 5000), 0.99) as q99 from w)
+select id as TRANSFER_ID, coalesce(nullif(concat_ws(' + ', case when z > 3 then 'montant très élevé vs pairs' end, case when least(n - n0, 5000) > q99 then 'vélocité anormale' end, case when fail > 0.5 then 'historique d''échec élevé' end,
+case when amount % 10000 = 0 then 'montant très arrondi' end, case when hour(ts) <= 5 then 'transaction nocturne' end), ''), 'profil globalement atypique') as RAISON from w, q""")
+def alert_reasons(spark, d):
+    """The reason that each transfer would have as an alert."""
+    return anomalies.explained(anomalies.peer_deviation(_featured(spark, d)).withColumn("ALERTE", F.lit(1))).select("TRANSFER_ID", "RAISON")
+
+
+@query(f"with {_PRC}, gg as (select *, tp - lag(tp, 1, 0) over (order by score desc) as gain from cu) select round(sum(gain * tp / k) / max(a), 6) as pr_auc from gg", digits=6)
+def pr_auc(spark, d):
+    return stats.average_precision(_labelled(spark, d), "TRANSACTION_AMOUNT", "y")
+
+
+@query(f"with {TX}, s as (select avg(cast(status = 'TF' as int)) as share from tx) select round(share, 6) as share, case when share < 0.02 then 'scale_pos_weight' else 'balanced' end as mode, round((1 - share) / share, 6) as weight from s", digits=6)
+def class_weights(spark, d):
+    got = stats.class_weights(_labelled(spark, d), "y")
+    return spark.createDataFrame([(got["share"], got["mode"], got["weight"])], "share double, mode string, weight double")
+
+
+@query("""select 'value' as "column", count(value) as count, round(avg(value), 4) as mean, round(stddev_samp(value), 4) as std, round(min(value), 4) as min, round(quantile_cont(value, 0.05), 4) as p5, round(quantile_cont(value, 0.5), 4) as p50, round(quantile_cont(value, 0.95), 4) as p95, round(max(value), 4) as max from events
+union all select 'user_id', count(user_id), round(avg(user_id), 4), round(stddev_samp(user_id), 4), min(user_id), round(quantile_cont(user_id::double, 0.05), 4), round(quantile_cont(user_id::double, 0.5), 4), round(quantile_cont(user_id::double, 0.95), 4), max(user_id) from events""")
+def describe(spark, d):
+    return stats.describe(spark.read.parquet(f"{d}/events.parquet"), ["value", "user_id"], (0.05, 0.5, 0.95))
+
+
+@query(f"with {_AL}, x as (select log10(1 + greatest(amount, 0)) as x, risk > 95 as a from al), h as (select min(x) as lo, max(x) as hi from x) select cast(least(floor((x - lo) / ((hi - lo) / 40)) + 1, 40) as int) as bin, count(*) filter (a) as n_alerte, count(*) filter (not a) as n_normal from x, h group by 1")
+def log_histogram(spark, d):
+    return quality.log_bins(_alerted(spark, d), "TRANSACTION_AMOUNT", "ALERTE", 40)
+
+
+@query("""select label, count(*) as n from (select case when x is null then '—' when x >= 1e9 then format('{:.2f} Mrd MGA', x / 1e9) when x >= 1e6 then format('{:.1f} M MGA', x / 1e6) when x >= 1e3 then format('{:.0f} K MGA', x / 1e3) else format('{:.0f} MGA', x) end as label
+from (select case event_type when 'click' then value * 3.7 when 'view' then value * 1234.567 when 'purchase' then value * 1234567.89 when 'signup' then value * 12345678.9 end as x from events)) group by 1""")
+def amount_labels(spark, d):
+    kind, v = F.col("event_type"), F.col("value")
+    x = F.when(kind == "click", v * 3.7).when(kind == "view", v * 1234.567).when(kind == "purchase", v * 1234567.89).when(kind == "signup", v * 12345678.9)
+    return spark.read.parquet(f"{d}/events.parquet").select(features.money(x).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"with {COMM}, z as (select jour, service, greatest({', '.join(f'abs(({r} - avg({r}) over w) / (stddev_samp({r}) over w + 1e-9))' for r in commissions.RATES)}) as z from d window w as (partition by service)) select service as SERVICE_TYPE, round(avg(z) filter (jour = date '1994-03-01'), 4) as \"1994-03-01\", round(avg(z) filter (jour = date '1995-06-15'), 4) as \"1995-06-15\" from z group by 1")
+def commission_pivot(spark, d):
+    return commissions.pivoted(commissions.batch_zmax(comm(spark, d)).withColumn("jour", F.col("jour").cast("string")), ["1994-03-01", "1995-06-15"])
+
+
+_PSI = f"""{_BINS.replace("from events", "from events where ts < timestamp '2024-01-20'")}, b as (select i, x as lo, lead(x) over (order by i) as hi from q),
+c as (select i, count(value) filter (ts < timestamp '2024-01-20') as n, count(value) filter (event_type = 'error') as m from b left join events on value >= lo and (value < hi or (i = 9 and value <= hi)) where hi is not null group by 1),
+s as (select greatest(n / sum(n) over (), 1e-4) as pr, greatest(m / sum(m) over (), 1e-4) as pn from c), p as (select round(sum((pn - pr) * ln(pn / pr)), 4) as psi from s),
+v as (select count(*) filter (ts < timestamp '2024-01-20') as was, count(*) filter (event_type = 'error') as now from events)"""
+
+
+@query(f"""with {_PSI} select 'value' as variable, psi as value, case when psi >= 0.25 then 'ALERTE' when psi >= 0.1 then 'ATTENTION' else 'stable' end as verdict from p
+union all select '_volume', round(abs(now - was) * 100.0 / was, 1), case when abs(now - was) / was > 0.5 then 'ALERTE' else 'stable' end from v
+union all select '_global', null, case when psi >= 0.25 or abs(now - was) / was > 0.5 then 'ALERTE' when psi >= 0.1 then 'ATTENTION' else 'stable' end from p, v""")
+def drift_report(spark, d):
+    """Failed transfers against references of the earlier days, which are written and read back."""
+    e, at = spark.read.parquet(f"{d}/events.parquet"), f"{_own_folder(spark)}/drift_references.json"
+    quality.save_references(e.where("ts < timestamp '2024-01-20'"), ["value", "absent"], at)
+    got = quality.drift(e.where("event_type = 'error'"), quality.load_references(at))
+    volume = got["globaux"]["volume"]
+    rows = [(k, float(v["psi"]), v["verdict"]) for k, v in got["variables"].items()]
+    return spark.createDataFrame([*rows, ("_volume", float(volume["variation_pct"]), volume["verdict"]), ("_global", None, got["verdict_global"])], "variable string, value double, verdict string")
+
+
+# -- the batch --------------------------------------------------------------------------------------------------------
+
+
+def _batch(spark, d, engines: list[str]) -> tuple[str, dict]:
+    t = tx(spark, d).join(sample.declared(spark, d).select("_row_id", "RECONCILIATION_FOR"), "_row_id")
+    home = _own_folder(spark)
+    return home, batch.execute(t, {"m6_reconciliation": {"complementaires": PAIRS, "delai_max_h": 3}}, home, engines, row_id="_row_id", run_id="run")
+
+
+@query(f"""with {EDGE} select source, target, nb_tx, round(montant, 2) as montant from ed""")
+def batch_edges(spark, d):
+    """What the batch exports of the graph, read back from its run."""
+    home, report = _batch(spark, d, ["M2_mules"])
+    if report["erreurs"]:
+        raise RuntimeError(report["erreurs"])
+    return spark.read.parquet(f"{home}/runs/run/m2_mules/aretes").withColumn("montant", F.round("montant", 2))
+
+
+@query("select count(*) filter (event_id % 50 in (0, 25)) as declares, count(*) as n_entree, 'm6_reconciliation' as modeles, 0 as erreurs, 1 as executions from events")
+def batch_report(spark, d):
+    """The report, the history and the counts of a run of one engine."""
+    home, report = _batch(spark, d, ["m6_RECONCILIATION"])
+    told, past = runs.report(home, "run"), runs.history(spark, home).collect()
+    counts = told["modeles"]["m6_reconciliation"]
+    row = (counts["n_scores"] + counts["n_alertes"] + counts["n_manuels"], counts["n_entree"], ",".join(past[0]["modeles_ok"]), len(told["erreurs"]), len(past))
+    return spark.createDataFrame([row], "declares long, n_entree long, modeles string, erreurs int, executions int")
 
 
 __all__ = ["QUERIES", "SQL"]

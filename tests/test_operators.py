@@ -127,6 +127,9 @@ def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     e = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "c", 1, 1.0), ("c", "a", 1, 1.0), ("a", "d", 1, 2.0)], "source string, target string, nb_tx int, montant double")
     got = {r[0]: r[1] for r in graph.pagerank(e).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and got["d"] > got["b"]
+    by_joins = {r[0]: r[1] for r in graph.pagerank(e, rounds=25, local=0).collect()}
+    in_one = {r[0]: r[1] for r in graph.pagerank(e, rounds=25).collect()}
+    assert by_joins == pytest.approx(in_one) and graph.pagerank(e.limit(0)).count() == 0
 
 
 def test_dbscan_equals_plain(spark):
