@@ -48,18 +48,48 @@ def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -
     return {"size": size, "trees": [tree(sample, size, seed * 100_003 + k) for k in range(trees)]}
 
 
-def scores(model: dict, x: np.ndarray) -> np.ndarray:
+def flat(model: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(depth, feature and threshold of the inner places of complete trees, path of their lowest places), a row for each tree.
+    A leaf above the lowest level goes left all the way."""
+    depth = max(1, math.ceil(math.log2(max(model["size"], 2))))
+    inner = (1 << depth) - 1
+    feature = np.zeros((len(model["trees"]), inner), np.int64)
+    threshold = np.full((len(model["trees"]), inner), np.inf)
+    path = np.zeros((len(model["trees"]), inner + 1))
+    for k, t in enumerate(model["trees"]):
+        stack = [(0, 0)]
+        while stack:
+            node, at = stack.pop()
+            if t["feature"][node] < 0:
+                while at < inner:
+                    at = 2 * at + 1
+                path[k, at - inner] = t["path"][node]
+            else:
+                feature[k, at], threshold[k, at] = t["feature"][node], t["threshold"][node]
+                stack += [(t["left"][node], 2 * at + 1), (t["right"][node], 2 * at + 2)]
+    return depth, feature, threshold, path
+
+
+def scores(model: dict, x: np.ndarray, rows: int = 8192) -> np.ndarray:
     """From -1 (isolated at once) to 0."""
-    total = np.zeros(len(x))
-    for t in model["trees"]:
-        feature, threshold, left, right, path = (np.asarray(t[k]) for k in ("feature", "threshold", "left", "right", "path"))
-        at = np.zeros(len(x), np.int64)
-        while (inner := feature[at] >= 0).any():
-            k = np.flatnonzero(inner)
-            n = at[k]
-            at[k] = np.where(x[k, feature[n]] < threshold[n], left[n], right[n])
-        total += path[at]
-    return -np.exp2(-total / len(model["trees"]) / max(_c(model["size"]), 1e-9))
+    if "flat" not in model:
+        model["flat"] = flat(model)
+    depth, feature, threshold, path = model["flat"]
+    out = np.empty(len(x))
+    for lo in range(0, len(x), rows):
+        part = np.ascontiguousarray(x[lo : lo + rows].T)
+        n, values = part.shape[1], part.ravel()
+        base, total = np.arange(n), np.zeros(n)
+        start = feature * n  # of each place's feature in values
+        for k in range(len(feature)):
+            at = np.zeros(n, np.int64)
+            for _ in range(depth):
+                right = values[start[k][at] + base] >= threshold[k][at]
+                at += at + 1
+                at += right
+            total += path[k][at - feature.shape[1]]
+        out[lo : lo + rows] = total
+    return -np.exp2(-out / len(model["trees"]) / max(_c(model["size"]), 1e-9))
 
 
 TREE = "feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
