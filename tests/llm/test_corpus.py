@@ -698,6 +698,41 @@ def test_estimates_are_unbiased_and_bounded():
     assert (error <= vectors.EPSILON * np.sqrt((1 - f * f) / (f * f) / 255) + 1e-9).mean() > 0.9999 and abs((estimate - x @ x.T).mean()) < 0.002
 
 
+def test_stages_with_clashing_columns_and_odd_rows(spark):
+    """Extra columns named like our own, repeated and null ids, null and very long texts, nulls everywhere: rows come through whole."""
+    sf = "/root/testdata/sf0.001"
+    extra = ["_weight", "_KEY", "_row", "_of", "_left", "_gone", "_id", "row", "id", "kind", "part", "stand", "sha", "label", "score", "terms", "component_id"]
+    rng = random.Random(31)
+    vocabulary = [f"{a}{b}" for a in ("sol", "mar", "ven", "tor", "lin") for b in ("a", "os", "en", "ita", "ar", "us")]
+    some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    passage = some(80)
+    rows = [(k if k % 9 else None, None if k == 5 else "" if k == 6 else some(30) + " " + passage if k % 4 == 0 else some(60)) for k in range(60)]
+    rows += [(3, rows[3][1]), (3, some(70)), (100, some(50_000)), (101, None)]
+    df = spark.createDataFrame([(i, t, None, "s", len(t or ""), *[None if k % 3 else f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)).repartition(3)
+    for stage in (stages.keep_good, stages.drop_toxic, stages.drop_near_copies, stages.cut_repeats):
+        out = stage(spark, df, sf)
+        got = out.collect()
+        assert out.columns == df.columns and len(got) <= len(rows)
+        if stage is stages.cut_repeats:
+            assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"] or "") for r in got)
+            assert sum(passage in (r["text"] or "") for r in got) == 1
+        if stage is stages.drop_near_copies:
+            assert len(got) == len(rows) - 1  # one exact copy; texts without words are like none
+    packed = stages.pack(spark, df, sf)
+    assert packed.groupBy("doc_id", "piece").count().count() <= packed.count() and packed.agg(F.max("length")).first()[0] <= 2048
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(k, "calm words " * 5 if k % 2 else "vile words " * 5) for k in range(60)] + [(1, "vile " * 50_000), (1, "calm words"), (None, "vile words"), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, label int, terms string")
+    marks = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)] + [(0, 1), (1, 7), (2, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, marks).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    assert np.mean([r["predicted"] == 1 - r["doc_id"] % 2 for r in got if r["doc_id"] is not None and r["doc_id"] > 1]) == 1
+    kept = toxicity.without_toxic(docs, marks)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
