@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN, WITHOUT_BALANCE, clip, flag
+from ..tables import stored
 
 TRANSACTIONAL = ["f_log_montant", "f_ratio_montant_solde", "f_delta_solde", "f_log_incoherence", "f_solde_apres_nul", "f_montant_arrondi", "f_montant_tres_arrondi", "f_log_solde_avant", "f_incoherence_recvr"]
 CALENDAR = ["f_heure_sin", "f_heure_cos", "f_jour_sin", "f_jour_cos", "f_est_nuit", "f_est_soiree", "f_est_weekend"]
@@ -164,23 +165,45 @@ def adaptive(df: DataFrame, column: str, name: str, most: int = 15, least_rows:
     return one_hot(df, column, f"{name}_") if k <= most else frequency(df, column, f"{name}_freq", 0)
 
 
-def context(df: DataFrame, frozen: dict[str, list[str]] | None = None) -> DataFrame:
-    """Block D: one-hot and frequency encodings, and whether there is an error code."""
+# The columns that block D encodes; 0/1 columns: (column, prefix, most values), shares: (column, name, fill).
+HOT = [("TRANSFER_STATUS", "f_statut_", None), ("ATTEMPT_STATUS", "f_attempt_", None), ("GATEWAY_TYPE", "f_gw_", 5), ("SENDER_USER_TYPE", "f_stype_", 6), ("RECEIVER_USER_TYPE", "f_rtype_", 6)]
+SHARES = [("SERVICE_TYPE", "f_freq_service", None), ("SENDER_CITY", "f_freq_ville", 0), ("TRANSFER_SUBTYPE", "f_freq_subtype", 0), ("TRANSACTION_TAG", "f_freq_tag", 0)]
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, n of the non-null values of all columns, stored: one pass over df."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
+    return stored(df.select(pairs).select("p.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n")))
+
+
+def context(df: DataFrame, frozen: dict[str, list[str]] | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Block D: one-hot and frequency encodings, and whether there is an error code. counts: value_counts of the same rows."""
     frozen = frozen or {}
-    for column, prefix, most in (("TRANSFER_STATUS", "f_statut_", None), ("ATTEMPT_STATUS", "f_attempt_", None), ("GATEWAY_TYPE", "f_gw_", 5), ("SENDER_USER_TYPE", "f_stype_", 6), ("RECEIVER_USER_TYPE", "f_rtype_", 6)):
-        if column in df.columns:
-            df = one_hot(df, column, prefix, frozen.get(column), most)
-    for column, name, fill in (("SERVICE_TYPE", "f_freq_service", None), ("SENDER_CITY", "f_freq_ville", 0), ("TRANSFER_SUBTYPE", "f_freq_subtype", 0), ("TRANSACTION_TAG", "f_freq_tag", 0)):
-        if column in df.columns:
-            df = frequency(df, column, name, fill)
+    hot, shares = [x for x in HOT if x[0] in df.columns], [x for x in SHARES if x[0] in df.columns]
+    if hot or shares:
+        counts = value_counts(df, [x[0] for x in (*hot, *shares)]) if counts is None else counts
+        sizes = {r["column"]: r for r in counts.groupBy("column").agg(F.count("*").alias("values"), F.sum("n").alias("n")).collect()}
+        few = [c for c, _, most in hot if c not in frozen and (most is None or c in sizes and sizes[c]["values"] <= most)]
+        found: dict[str, list[str]] = {c: [] for c in few}
+        for r in counts.where(F.col("column").isin(few)).select("column", "value").collect() if few else []:  # statuses and types
+            found[r["column"]].append(r["value"])
+        for column, prefix, most in hot:
+            df = one_hot(df, column, prefix, sorted(found[column]) if column in found else frozen.get(column, []), most)
+        for k, (column, name, fill) in enumerate(shares):
+            total = sizes[column]["n"] if column in sizes else 1
+            table = counts.where(F.col("column") == column).select(F.col("value").alias(f"_v{k}"), (F.col("n") / F.lit(total)).alias(f"_n{k}"))
+            share = F.col(f"_n{k}") if fill is None else F.coalesce(f"_n{k}", F.lit(float(fill)))
+            df = df.join(table, F.col(column).cast("string") == F.col(f"_v{k}"), "left").withColumn(name, share).drop(f"_v{k}", f"_n{k}")
     if "ERROR_CODE" in df.columns:
         df = df.withColumn("f_has_error", F.col("ERROR_CODE").isNotNull().cast("int"))
     return df
 
 
 def build(df: DataFrame, frozen: dict[str, list[str]] | None = None) -> DataFrame:
-    """All four blocks."""
-    return context(behaviour(calendar(transactional(df))), frozen)
+    """All four blocks. The values of block D are counted on the rows as they come in, not on those that the windows give."""
+    dated = df.where(F.col("CREATED_ON").isNotNull())
+    encoded = [x[0] for x in (*HOT, *SHARES) if x[0] in df.columns]
+    return context(behaviour(calendar(transactional(dated))), frozen, value_counts(dated, encoded) if encoded else None)
 
 
 def names(df: DataFrame) -> dict[str, list[str]]:
