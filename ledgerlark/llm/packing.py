@@ -49,19 +49,21 @@ def plan(counts: np.ndarray, size: int = LENGTH) -> Plan:
         used[length] += n
         left[length] -= n
 
-    def fix(a: int, b: int, n: int) -> None:
-        """n sequences of a piece of length a and one of b (0: none)."""
-        if a == b:
-            put(a, 2 * n, out.sequences, 2, 0)
-        else:
-            put(a, n, out.sequences, 1, 0)
-            if b:
-                put(b, n, out.sequences, 1, a)
+    def fix(n: int, *lengths: int) -> None:
+        """n sequences of a piece of each of the lengths."""
+        offset = 0
+        for length in sorted(set(lengths), reverse=True):
+            many = lengths.count(length)
+            put(length, many * n, out.sequences, many, offset)
+            offset += many * length
         out.sequences += n
         out.fixed += n
 
+    def most(*lengths: int) -> int:
+        return min(int(left[x]) // lengths.count(x) for x in lengths)
+
     # Dominance, from the longest piece j on. A set that fits beside j dominates all others when each of them can be
-    # exchanged for it, part by part, without need of more sequences.
+    # exchanged for it, part by part, without need of more sequences. Sets of more than three pieces are not tried.
     for j in range(size, 0, -1):
         while left[j]:
             room = size - j
@@ -69,15 +71,20 @@ def plan(counts: np.ndarray, size: int = LENGTH) -> Plan:
             others[j] -= 1
             fits = np.flatnonzero(others[: room + 1])
             if not len(fits):
-                fix(j, 0, int(left[j]))
+                fix(int(left[j]), j)
                 break
             best = int(fits[-1])
             small = np.repeat(fits[:3], np.minimum(others[fits[:3]], 3))[:3]
             if best != room and len(small) > 1 and small[0] + small[1] <= room:
                 # two more would fit: one piece dominates only if no pair is longer, and no three fit
-                if len(small) > 2 and small.sum() <= room or _best_pair(others, fits, room) > best:
+                if len(small) > 2 and small.sum() <= room:
                     break
-            fix(j, best, int(left[j] // 2 if best == j else min(left[j], left[best])))
+                if _best_pair(others, fits, room) > best:
+                    if (pair := _full_pair(others, fits, room)) is None:
+                        break
+                    fix(most(j, *pair), j, *pair)
+                    continue
+            fix(most(j, best), j, best)
 
     # Best fit of the rest, longest first. Sequences with the same room are alike: a group is (first, how many).
     groups: dict[int, list[tuple[int, int]]] = {}
@@ -127,6 +134,21 @@ def _best_pair(others: np.ndarray, fits: np.ndarray, room: int) -> int:
     return int((a + b)[ok].max()) if ok.any() else 0
 
 
+def _full_pair(others: np.ndarray, fits: np.ndarray, room: int) -> tuple[int, int] | None:
+    """Two pieces that fill the room and dominate all that fits there, where at most two do: no more than one piece lies between them,
+    or the two pieces next above the shorter one don't fit together."""
+    half = fits[fits <= room // 2]
+    for b in half[::-1].tolist():
+        a = room - b
+        if others[a] >= 1 + (a == b):
+            above = np.flatnonzero(others[b + 1 :])[:2] + b + 1
+            next_two = np.repeat(above, np.minimum(others[above], 2))[:2]
+            if a == b or others[b + 1 : a].sum() <= 1 or len(next_two) == 2 and next_two.sum() > room:
+                return a, b
+            return None  # pairs further apart have more between them
+    return None
+
+
 def pieces(docs: DataFrame, vocabulary: str, id: str, text: str, size: int = LENGTH, end: int = END) -> DataFrame:
     """id, piece, start, length, crc of every piece: a document's ids and the end id, cut when longer than size."""
     import tiktoken

@@ -422,6 +422,47 @@ def test_plans_are_valid_and_near_the_bound():
         assert used.max() <= size and (used > 0).all() and p.sequences <= 11 / 9 * max(-(-items.sum() // size), (items > size / 2).sum()) + 2
 
 
+def least_sequences(items, size):
+    """The fewest sequences, by trying everything (few items)."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for r in sorted(set(rooms)):
+            if r >= items[k]:
+                rest = list(rooms)
+                rest.remove(r)
+                place(k + 1, [*rest, r - items[k]])
+        place(k + 1, [*rooms, size - items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_reduction_loses_no_sequence():
+    """What dominance fixes is part of a best packing: the fixed sequences and the best of the rest are the best of all."""
+    rng, triples = np.random.default_rng(6), 0
+    for case in range(250):
+        size = int(rng.integers(8, 24))
+        items = rng.integers(max(1, size // 5), size + 1, int(rng.integers(3, 10)))
+        p = packing.plan(np.bincount(items, minlength=size + 1), size)
+        rows, held = p.table(), {}
+        key = rows[:, 0] << 42 | rows[:, 1]
+        rank = {}
+        for x in items.tolist():
+            k = rank[x] = rank.get(x, -1) + 1
+            _, lo, s, per, _ = rows[np.searchsorted(key, x << 42 | k, "right") - 1]
+            held.setdefault(int(s + (k - lo) // per), []).append(x)
+        rest = [x for s, own in held.items() if s >= p.fixed for x in own]
+        triples += sum(len(own) == 3 for s, own in held.items() if s < p.fixed)
+        assert p.fixed + (least_sequences(rest, size) if rest else 0) == least_sequences(items.tolist(), size)
+    assert triples > 5
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard(docs, 5).collect()
     by = {}
