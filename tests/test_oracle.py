@@ -19,5 +19,5 @@ def test_same_rows_as_sql(spark, con, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert len(__spark_entry__.entry(spark).columns) == 7
+    assert len(__spark_entry__.entry(spark).columns) == 8
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
