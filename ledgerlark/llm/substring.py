@@ -508,7 +508,7 @@ def _windows_asked(heard, c, asked):
 
 
 def _lost(batches):
-    """row, start, size: runs of windows that a smaller id has, start counted in the document's words."""
+    """row, starts: the runs of a document's windows that a smaller id has, one row a document, starts counted in its words."""
     for _, heard, c in _chunked(batches, {1: None, 2: None}):
         s, gone, window, region = _judged(heard, c)
         hit, least, _ = heard.find(2, [s["value"][window]], "v", "w")
@@ -516,9 +516,22 @@ def _lost(batches):
         word = np.concatenate([s["word"][s["first"][gone]], s["word"][window[late]]])
         region = np.concatenate([s["region"][gone], region[late]])
         size = np.concatenate([s["windows"][gone], np.ones(int(late.sum()), np.int64)])
-        begin = np.cumsum(c["size"]) - c["size"]
-        start, key = c["at"][region] + word - begin[region], c["key"][c["doc"][region]]
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(size)], ["row", "start", "size"])
+        if not len(word):
+            continue
+        start, doc = c["at"][region] + word - (np.cumsum(c["size"]) - c["size"])[region], c["doc"][region]
+        # runs that touch are one
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], (start + size)[order]
+        far = int(end.max()) + 1
+        reach = np.maximum.accumulate(end + doc * far) - doc * far  # of the document's runs so far
+        first = np.ones(len(doc), bool)
+        first[1:] = (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])
+        at = np.flatnonzero(first)
+        last = np.append(at[1:], len(doc)) - 1
+        used, begin = np.unique(doc[at], return_index=True)
+        runs = pa.StructArray.from_arrays([pa.array(start[at]), pa.array(reach[last] - start[at])], ["start", "size"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(at)).astype(np.int32)), runs)
+        yield pa.RecordBatch.from_arrays([pa.array(c["key"][used]), lists], ["row", "starts"])
 
 
 SURVEY = "part int, row long, id long, n long, sha string, range int, data binary"
@@ -666,8 +679,7 @@ def _repeats(state: DataFrame, ranges: int, parts: int) -> DataFrame:
     whole = _answers(_plain(state).mapInArrow(_asking({}, 2, ranges, True, _stretches_asked), ASKS), ranges, 2, True)[0]
     single = _gathered(state, [(1, whole)], parts).mapInArrow(_asking({1: None}, 1, ranges, True, _windows_asked), ASKS)
     lone = _answers(single, ranges, 1, True)[0]
-    lost = _gathered(state, [(1, whole), (2, lone)], parts).mapInArrow(_lost, "row long, start long, size long")
-    return stored(lost.groupBy("row").agg(F.collect_list(F.struct("start", "size")).alias("starts")))
+    return stored(_gathered(state, [(1, whole), (2, lone)], parts).mapInArrow(_lost, "row long, starts array<struct<start:long,size:long>>"))
 
 
 def passages(docs: DataFrame, id: str = "doc_id", text: str = "text", row: str | None = None) -> tuple[DataFrame, DataFrame]:
