@@ -5,8 +5,8 @@ terms with the ones seen), lower-cased and hashed into SPACE weights. The machin
 weights a product of two factor vectors for each pair of terms, so a pair such as an insult with a group mention weighs
 more than the sum of its parts; with sums of factors this takes time linear in the terms.
 
-It is fitted by AdaGrad on the driver on at most SAMPLE labelled rows, chosen by a hash of their id; only rows that
-`learns` admits are used. Everything else covers all texts. Defined cases: null, empty and blank texts have no terms
+It is fitted by AdaGrad in EPOCHS rounds on the driver on at most SAMPLE labelled rows, chosen by a hash of their id; only rows
+that `learns` admits are used. Everything else covers all texts. Defined cases: null, empty and blank texts have no terms
 and score the bias alone; rows without label are scored but not learnt from; without any label all scores are 0.
 """
 
@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from . import arrays as A
 from .shared import bare, small_batches
 
-SPACE, FACTORS, SAMPLE, EPOCHS, THRESHOLD = 1 << 18, 8, 15_000, 6, 0.7
+SPACE, FACTORS, SAMPLE, EPOCHS, THRESHOLD = 1 << 18, 8, 15_000, 10, 0.7
 STEMS = (4, 5, 6)
 #: A term has a linear weight if LEAST learnt texts have it and its share of marked ones is off by more than DEVIATIONS standard errors.
-#: It has factors if it has a weight, or if PAIRED learnt texts have it: a term that tells nothing alone may tell with another.
-LEAST, DEVIATIONS, PAIRED = 3, 2.5, 50
+#: It has factors if it has a weight, or if a share PAIRED of the learnt texts has it: a term that tells nothing alone may tell with another.
+LEAST, DEVIATIONS, PAIRED = 3, 2.5, 0.015
 #: Steps of the factors of terms without a weight are shorter by this factor, so that chance pairs weigh little.
-CAREFUL = 0.3
+CAREFUL = 0.1
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -87,7 +87,7 @@ class Machine:
         seen = np.bincount(term, minlength=SPACE)
         marked = np.bincount(term, np.repeat(label, np.diff(off)), SPACE)
         telling = (seen >= LEAST) & (np.abs(marked - seen * p) > DEVIATIONS * np.sqrt(seen * p * (1 - p)))
-        self.known = known = telling | (seen >= PAIRED)
+        self.known = known = telling | (seen >= max(LEAST, PAIRED * n))
         self.v[~known] = 0
         line, pair = telling.astype(np.float32), np.where(telling, 1, CAREFUL).astype(np.float32)[:, None]
         row = np.repeat(np.arange(n), np.diff(off))[known[term]]
