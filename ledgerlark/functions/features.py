@@ -249,8 +249,8 @@ def badge(score: Column) -> Column:
 
 
 def money(x: Column, unit: str = "MGA") -> Column:
-    """An amount in the unit that fits its size."""
-    return F.when(x.isNull(), "—").when(x >= 1e9, F.format_string(f"%.2f Mrd {unit}", x / 1e9)).when(x >= 1e6, F.format_string(f"%.1f M {unit}", x / 1e6)).when(x >= 1e3, F.format_string(f"%.0f K {unit}", x / 1e3)).otherwise(F.format_string(f"%.0f {unit}", x))
+    """An amount in the unit that fits its size; halves of whole numbers go to the even one."""
+    return F.when(x.isNull(), "—").when(x >= 1e9, F.format_string(f"%.2f Mrd {unit}", x / 1e9)).when(x >= 1e6, F.format_string(f"%.1f M {unit}", x / 1e6)).when(x >= 1e3, F.format_string(f"%.0f K {unit}", F.bround(x / 1e3, 0))).otherwise(F.format_string(f"%.0f {unit}", F.bround(x, 0)))
 
 
 def segment(volume: Column, low: int = 10, mid: int = 100, high: int = 1000) -> Column:
