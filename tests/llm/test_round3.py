@@ -103,7 +103,7 @@ def mined(rows, k_pos=5, k=5, low=80):
     return sorted(out)
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e8])
+@pytest.mark.parametrize("scale", [1.0, 3e5])
 def test_negatives_equal_all_pairs(spark, monkeypatch, scale):
     monkeypatch.setattr(negatives, "GROUP", 90)
     monkeypatch.setattr(negatives, "BLOCK", 3)
