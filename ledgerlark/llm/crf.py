@@ -64,7 +64,7 @@ def gradients(chain: Chain, feature: np.ndarray, place: np.ndarray, start: np.nd
     return float(value), Chain(np.bincount(feature, residual[inside][:, 1][place], len(chain.weight)), seen - joint, ends)
 
 
-def fit(feature, place, start, label, width: int, steps: int = 150, rate: float = 0.1, penalty: float = 1e-4) -> Chain:
+def fit(feature, place, start, label, width: int, steps: int = 150, rate: float = 0.1, penalty: float = 1e-5) -> Chain:
     """Weights of `width` features. Sequences of like length are worked out together."""
     chain = Chain(np.zeros(width), np.zeros((2, 2)), np.zeros((2, 2)))
     first = np.searchsorted(place, start)

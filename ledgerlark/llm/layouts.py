@@ -66,7 +66,8 @@ class Page:
     def prose(self) -> str:
         """Blocks of the article."""
         r, out = self.rng, []
-        for k in range(r.choice((1, 2, 4, 6, 9, 14))):
+        cuts = r.choice((0, 0.1, 0.3))
+        for _ in range(r.choice((1, 2, 4, 6, 9, 14))):
             text = MARK + (html.escape(r.choice(self.texts), quote=False) if r.random() < 0.5 else self.words(1, 60) + r.choice((".", ".", "!", "?", ":", "")))
             kind = r.random()
             if kind < 0.72:
@@ -83,8 +84,8 @@ class Page:
                 out.append("<table>" + "".join(f"<tr><td>{MARK}{self.words(1, 4)}<td>{MARK}{r.randint(0, 9999)}" for _ in range(r.randint(2, 4))) + "</table>")
             else:
                 out.append(f'<p>{MARK}{self.words(2, 12)} <a href="/x">{self.words(1, 4)}</a> {self.words(2, 25)}.</p>')
-            if r.random() < 0.07:
-                out.append(self.element("ad", r.choice((self.words(2, 25), f"<p>{self.words(2, 25)}</p>"))))
+            if r.random() < cuts:
+                out.append(self.box(r.choice(("ad", "ad", "ad", "aside", "form", "share"))))
         return "".join(out)
 
     def heading(self, text: str) -> str:

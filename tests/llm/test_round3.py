@@ -137,7 +137,7 @@ def article(page: str) -> str:
 
 @pytest.fixture(scope="module")
 def chain(spark):
-    return webpages.fit(spark.read.parquet(f"{SF}/pages.parquet"), sample=30, anew=700)
+    return webpages.fit(spark.read.parquet(f"{SF}/pages.parquet"), sample=30, anew=900)
 
 
 def test_main_text_of_pages(spark):
