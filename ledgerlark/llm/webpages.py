@@ -153,15 +153,22 @@ def labelled(html: str) -> tuple[list, list[int]] | None:
     return (blocks, own) if any(own) else None
 
 
+def picked(few: DataFrame, order: list, sample: int) -> list[str]:
+    """About `sample` pages, first by their hash. A threshold on the hash keeps nearly all others from the driver."""
+    share = min(1.0, (2 * sample + 100) / max(few.count(), 1))
+    near = few.where(F.pmod(order[0], F.lit(1 << 30)) < int(share * (1 << 30)))
+    return [r[0] for r in near.orderBy(*order).limit(sample).collect()]
+
+
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE, anew: int = ANEW, seed: int = 7) -> crf.Chain:
     """A field fitted on at most `sample` labelled pages and `anew` pages laid out with their texts."""
     few = bare(pages, html=html).where(F.col("html").isNotNull() & (F.length("html") <= LONGEST))
     order = [F.xxhash64("html", F.lit(seed)), F.col("html")]
     marked = few.where(F.col("html").rlike("(?i)<article[\\s>]"))
-    rows = [r[0] for r in marked.orderBy(*order).limit(sample).collect()]
+    rows = picked(marked, order, sample)
     known = [x for x in map(labelled, rows) if x]
     if not known:
-        rows = [r[0] for r in few.orderBy(*order).limit(sample).collect()]
+        rows = picked(few, order, sample)
         known = [(b, [int(len(t) > 80) for _, t, _ in b]) for b in map(leaves, rows) if b]
     texts = [t for b, own in known for (_, t, _), y in zip(b, own, strict=True) if y] or list(layouts.PROSE)
     sequences = list(known)
