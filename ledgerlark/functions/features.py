@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import UNKNOWN, WITHOUT_BALANCE, clip, flag
 from ..tables import stored
+from . import scans
 
 TRANSACTIONAL = ["f_log_montant", "f_ratio_montant_solde", "f_delta_solde", "f_log_incoherence", "f_solde_apres_nul", "f_montant_arrondi", "f_montant_tres_arrondi", "f_log_solde_avant", "f_incoherence_recvr"]
 CALENDAR = ["f_heure_sin", "f_heure_cos", "f_jour_sin", "f_jour_cos", "f_est_nuit", "f_est_soiree", "f_est_weekend"]
@@ -63,18 +64,8 @@ def calendar(df: DataFrame) -> DataFrame:
     })
 
 
-def behaviour(df: DataFrame) -> DataFrame:
-    """Block C: what an account did before, by windows over (account, time, _row_id).
-
-    Rows without a date are dropped. Rows without an account have constant features and stay out of the windows, so
-    that their one large group is never sorted into one task.
-    """
-    sender = F.col("SENDER_USER_ID")
-    blank = sender.isNull() | sender.isin("nan", "None", "", UNKNOWN)
-    df = df.where(F.col("CREATED_ON").isNotNull()).withColumn("SENDER_USER_ID", F.when(blank, UNKNOWN).otherwise(sender))
-    df = df.withColumn("_amount", F.coalesce("TRANSACTION_AMOUNT", F.lit(0.0)))
-    known, unknown = df.where(sender != UNKNOWN), df.where(sender == UNKNOWN)
-
+def _windowed(known: DataFrame) -> DataFrame:
+    """Running figures of accounts, each sorted by one task."""
     rows = W.partitionBy("SENDER_USER_ID").orderBy("CREATED_ON", "_row_id")
     upto, before = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("SENDER_USER_ID")
@@ -83,7 +74,7 @@ def behaviour(df: DataFrame) -> DataFrame:
     receiver = W.partitionBy("SENDER_USER_ID", "RECEIVER_USER_ID").orderBy("CREATED_ON", "_row_id")
     known = known.withColumn("_new", (F.row_number().over(receiver) == 1).cast("int"))
     amount = F.col("_amount")
-    known = known.withColumns({
+    return known.withColumns({
         "_v": F.count("*").over(upto) - F.expr(f"count(*) {old}"),
         "_s": F.sum(amount).over(upto) - F.coalesce(F.expr(f"sum(_amount) {old}"), F.lit(0.0)),
         "_mean": F.coalesce(F.avg(amount).over(before), F.first(amount).over(rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))),
@@ -93,6 +84,48 @@ def behaviour(df: DataFrame) -> DataFrame:
         "_born": F.min("CREATED_ON").over(whole),
         "_rank": F.row_number().over(rows) - 1,
     })
+
+
+def _chunked(known: DataFrame, few: DataFrame, chunk: int) -> DataFrame:
+    """The same figures of large accounts, from sums carried over chunks."""
+    r = scans.scanned(known, few, "SENDER_USER_ID", "CREATED_ON", "_row_id", "_amount", "RECEIVER_USER_ID", F.col("TRANSFER_STATUS") == "TF", chunk)
+    d, n = F.col("_amount") - F.col("_r_mean"), F.nullif(F.col("_r_n") - 1, F.lit(0))  # without the row itself
+    s1, s2 = F.col("_r_s1") - d, F.col("_r_s2") - d * d
+    spread = F.sqrt(F.greatest((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))
+    bad = F.col("_r_bad") - flag(F.col("TRANSFER_STATUS") == "TF")
+    born = F.expr("cast(timestamp_micros(_r_born) as timestamp_ntz)") if dict(known.dtypes)["CREATED_ON"] == "timestamp_ntz" else F.timestamp_micros("_r_born")
+    out = r.withColumns({
+        "_v": F.col("_r_v"),
+        "_s": F.col("_r_s"),
+        "_mean": F.when(n > 0, F.col("_r_mean") + s1 / n).otherwise(F.col("_amount")),
+        "_std": F.when(n > 1, spread).otherwise(0.0),
+        "_dest": F.col("_r_new"),
+        "_fail": F.when(n > 0, bad / n).otherwise(0.0),
+        "_born": born,
+        "_rank": F.col("_r_n") - 1,
+    })
+    return out.drop(*[c for c in out.columns if c.startswith("_r_")]).withColumn("_new", F.lit(0))
+
+
+def behaviour(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
+    """Block C: what an account did before, by windows over (account, time, _row_id).
+
+    Rows without a date are dropped. Rows without an account have constant features and stay out of the windows, so
+    that their one large group is never sorted into one task. Accounts with more than `chunk` rows are scanned in chunks.
+    """
+    sender = F.col("SENDER_USER_ID")
+    blank = sender.isNull() | sender.isin("nan", "None", "", UNKNOWN)
+    df = df.where(F.col("CREATED_ON").isNotNull()).withColumn("SENDER_USER_ID", F.when(blank, UNKNOWN).otherwise(sender))
+    df = df.withColumn("_amount", F.coalesce("TRANSACTION_AMOUNT", F.lit(0.0)))
+    known, unknown = df.where(sender != UNKNOWN), df.where(sender == UNKNOWN)
+
+    few = scans.large(known, "SENDER_USER_ID", chunk)
+    if few.isEmpty():
+        known = _windowed(known)
+    else:
+        small, big = scans.apart(known, "SENDER_USER_ID", few)
+        known = _windowed(small).unionByName(_chunked(big, few, chunk))
+    amount = F.col("_amount")
     days = (F.unix_micros(F.col("CREATED_ON").cast("timestamp")) - F.unix_micros(F.col("_born").cast("timestamp"))) / 86_400_000_000.0
     known = known.withColumns({
         "f_velocite_7j": F.least("_v", F.lit(5000)).cast("double"),
@@ -122,8 +155,28 @@ def behaviour(df: DataFrame) -> DataFrame:
     return known.unionByName(unknown)
 
 
-def behaviour_training(df: DataFrame) -> DataFrame:
-    """Unshifted variants that fitting uses: running sum, mean, deviation, distinct services, capped rank."""
+def behaviour_training(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
+    """Unshifted variants that fitting uses: running sum, mean, deviation, distinct services, capped rank. Accounts with more than `chunk`
+    rows are scanned in chunks; rows without a date come first."""
+    few = scans.large(df, "SENDER_USER_ID", chunk)
+    names = ["f_montant_cumul", "f_moyenne", "f_ecart", "f_nb_services", "f_rang_tx_compte"]
+    if few.isEmpty():
+        return _windowed_training(df)
+    small, big = scans.apart(df, "SENDER_USER_ID", few)
+    big = big.withColumn("_at", F.coalesce(F.col("CREATED_ON").cast("timestamp"), F.lit("0001-01-01").cast("timestamp")))
+    r = scans.scanned(big, few, "SENDER_USER_ID", "_at", "_row_id", "TRANSACTION_AMOUNT", "SERVICE_TYPE", F.lit(False), chunk)
+    n, k, s1, s2 = (F.col(f"_r_{c}") for c in ("n", "k", "s1", "s2"))
+    r = r.withColumns({
+        "f_montant_cumul": F.when(k > 0, s1 + k * F.col("_r_mean")),
+        "f_moyenne": F.when(k > 0, F.col("_r_mean") + s1 / k),
+        "f_ecart": F.when(k > 1, F.sqrt(F.greatest((s2 - s1 * s1 / F.nullif(k, F.lit(0))) / F.nullif(k - 1, F.lit(0)), F.lit(0.0)))).otherwise(0.0),
+        "f_nb_services": F.col("_r_new"),
+        "f_rang_tx_compte": F.least(n - 1, F.lit(500)),
+    })
+    return _windowed_training(small).unionByName(r.select(*df.columns, *names))
+
+
+def _windowed_training(df: DataFrame) -> DataFrame:
     upto = W.partitionBy("SENDER_USER_ID").orderBy("CREATED_ON", "_row_id").rowsBetween(W.unboundedPreceding, 0)
     new = F.row_number().over(W.partitionBy("SENDER_USER_ID", "SERVICE_TYPE").orderBy("CREATED_ON", "_row_id")) == 1
     df = df.withColumn("_new", new.cast("int"))

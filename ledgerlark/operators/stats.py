@@ -76,7 +76,7 @@ def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None)
     """Average-rank percentile of value, without a global window.
 
     Values are counted first; distinct values are cut into ranges whose sums, one row a range, give the
-    ranks before each range, so a task ranks one range of one group.
+    ranks before each range, so a task ranks one range of one group. Ranks of common values are broadcast, all others joined.
     """
     if group is not None:
         df, key = df, F.col(group)
@@ -91,9 +91,28 @@ def percent_rank(df: DataFrame, value: str, name: str, group: str | None = None)
     offsets = sums.select("_g", "_part", (F.sum("_s").over(W.partitionBy("_g").orderBy("_part")) - F.col("_s")).alias("_before"), F.sum("_s").over(W.partitionBy("_g")).alias("_total"))
     inner = F.sum("_n").over(W.partitionBy("_g", "_part").orderBy("_v")) - F.col("_n")
     ranks = counts.withColumn("_in", inner).join(F.broadcast(offsets), ["_g", "_part"])
-    ranks = ranks.select("_g", "_v", ((F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2) / F.col("_total")).alias("_rank"))
-    keyed = df.withColumn("_key", key)
-    return keyed.join(ranks, (F.col("_key") == F.col("_g")) & (F.col(value) == F.col("_v")), "left").withColumn(name, F.col("_rank")).drop("_g", "_v", "_rank", "_key")
+    ranks = ranks.select("_g", "_v", "_n", ((F.col("_before") + F.col("_in") + (F.col("_n") + 1) / 2) / F.col("_total")).alias("_rank"))
+    return _looked_up(df, value, key, stored(ranks), name)
+
+
+#: A value held by at least one row in so many is broadcast; there can't be more of them than this.
+HEAVY = 4_000
+
+
+def _looked_up(df: DataFrame, value: str, key, ranks: DataFrame, name: str) -> DataFrame:
+    """df with the rank of its value. A value that many rows hold never gathers them in one task: such ranks are broadcast, and the rows
+    that found theirs are dealt by the hash of the row to the join that looks up all other values."""
+    total = ranks.agg(F.sum("_n")).first()[0] or 0
+    heavy = (F.col("_n") * HEAVY >= F.lit(total)) & (F.col("_n") > 1)
+    common = ranks.where(heavy).select(F.col("_g").alias("_hg"), F.col("_v").alias("_hv"), F.col("_rank").alias("_hr"))
+    rare = ranks.where(~heavy).select("_g", "_v", "_rank", F.lit(0).alias("_salt"))
+    plain = [f"`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    out = df.withColumn("_key", key).join(F.broadcast(common), (F.col("_key") == F.col("_hg")) & (F.col(value) == F.col("_hv")), "left")
+    settled = F.col("_hr").isNotNull() | F.col(value).isNull() | F.col("_key").isNull()
+    out = out.withColumn("_s", F.when(settled, F.pmod(F.xxhash64(*plain), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
+    out = out.withColumn("_w", F.when(~settled, F.col(value))).withColumn("_w", F.coalesce("_w", F.lit(0).cast(df.schema[value].dataType)))
+    out = out.join(rare, (F.col("_key").eqNullSafe(F.col("_g"))) & (F.col("_w") == F.col("_v")) & (F.col("_s") == F.col("_salt")), "left")
+    return out.withColumn(name, F.coalesce("_hr", "_rank")).drop("_g", "_v", "_rank", "_key", "_hg", "_hv", "_hr", "_s", "_w", "_salt")
 
 
 def rescale(df: DataFrame, value: str, name: str) -> tuple[DataFrame, dict]:
@@ -119,17 +138,31 @@ def rescore(df: DataFrame, value: str, name: str, frozen: dict) -> DataFrame:
 
 
 def top_per_group(df: DataFrame, group: str, score: str, n: int, tie: str, name: str = "ALERTE", salts: int = 64) -> DataFrame:
-    """1 for the n best rows of each group by (score, tie), else 0; rows without score are never chosen. tie tells all rows apart.
+    """1 for the n best rows of each group by (score, tie), else 0; rows without score, group or tie are never chosen.
 
-    A group may hold any share of the rows: the n best of each (group, salt) are found first, then the n best of these.
+    A group may hold any share of the rows: the n best of each (group, salt) are found first, then the n best of these. Rows
+    that tie doesn't tell apart come out as often as they went in, and no more than n of a group are chosen.
     """
-    best = df.where(F.col(score).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(score).alias("_s"), F.col(tie).alias("_t"))
+    best = df.where(F.col(score).isNotNull() & F.col(group).isNotNull() & F.col(tie).isNotNull()).select(F.col(group).alias("_g"), F.col(score).alias("_s"), F.col(tie).alias("_t"))
     best = best.withColumn("_salt", F.pmod(F.xxhash64("_t"), F.lit(salts)))
-    for keys in (["_g", "_salt"], ["_g"]):
-        best = best.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_s").desc(), "_t"))).where(F.col("_k") <= n)
-    best = stored(best.select("_t"))
-    best = F.broadcast(best) if best.count() <= SMALL_ROWS else best
-    return df.join(best, F.col(tie) == F.col("_t"), "left").withColumn(name, F.col("_t").isNotNull().cast("int")).drop("_t")
+    for keys in (["_g", "_salt"], ["_g"]):  # one more than n, to see whether the last one has equals that are not chosen
+        best = best.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_s").desc(), "_t"))).where(F.col("_k") <= n + 1)
+    best = stored(best.groupBy("_g", "_s", "_t").agg(F.count_if(F.col("_k") <= n).alias("_take"), (F.max("_k") > n).alias("_cut")).where("_take > 0"))
+    count, cut = best.agg(F.count("*"), F.count_if("_cut")).first()
+    small = F.broadcast if count <= SMALL_ROWS else lambda x: x
+    same = (F.col(group) == F.col("_g")) & (F.col(score) == F.col("_s")) & (F.col(tie) == F.col("_t"))
+    chosen = df.join(small(best), same, "left").withColumn(name, F.col("_g").isNotNull().cast("int"))
+    if cut:
+        # equal rows of which only some are chosen: they are numbered, and the first of them taken
+        some = F.coalesce(F.col("_cut"), F.lit(False))
+        equal = stored(chosen.where(some).withColumn("_at", F.monotonically_increasing_id()))
+        first = equal.select("_g", "_s", "_t", "_take", "_at").withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)))
+        for keys in (["_g", "_s", "_t", "_salt"], ["_g", "_s", "_t"]):
+            first = first.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy("_at"))).where(F.col("_k") <= F.col("_take"))
+        first = stored(first.select(F.col("_at").alias("_hit")))  # at most n a group
+        equal = equal.join(first, F.col("_at") == F.col("_hit"), "left").withColumn(name, F.col("_hit").isNotNull().cast("int")).drop("_at", "_hit")
+        chosen = chosen.where(~some).unionByName(equal)
+    return chosen.drop("_g", "_s", "_t", "_take", "_cut")
 
 
 def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -137,6 +137,17 @@ def feat_behaviour(spark, d):
     return features.behaviour(tx(spark, d)).select("TRANSFER_ID", *features.BEHAVIOUR).withColumn("f_montant_7j", F.round("f_montant_7j", 2))
 
 
+# nine rows of ten have one sender: the account is scanned in chunks
+_LARGE = TX.replace("'U' || user_id as s", "case when event_id % 10 <> 0 then 'U0' else 'U' || user_id end as s")
+SQL["feat_large_account"] = SQL["feat_behaviour"].replace(TX, _LARGE)
+
+
+@query(SQL["feat_large_account"])
+def feat_large_account(spark, d):
+    df = tx(spark, d).withColumn("SENDER_USER_ID", F.when(F.col("_row_id") % 10 != 0, "U0").otherwise(F.col("SENDER_USER_ID")))
+    return features.behaviour(df, chunk=200).select("TRANSFER_ID", *features.BEHAVIOUR).withColumn("f_montant_7j", F.round("f_montant_7j", 2))
+
+
 @query(f"""with {TX}, a as (select service, count(*) / (select count(service) from tx) as x from tx group by 1), b as (select city, count(*) / (select count(city) from tx) as y from tx where city is not null group by 1)
 select id as TRANSFER_ID, round(x, 4) as f_freq_service, round(coalesce(y, 0), 4) as f_freq_ville, cast(err is not null as int) as f_has_error, cast(status = 'TF' as int) as f_statut_TF, cast(status = 'TS' as int) as f_statut_TS from tx left join a using (service) left join b using (city)""")
 def feat_context(spark, d):
@@ -167,6 +178,23 @@ def pct_rank_global(spark, d):
     return stats.percent_rank(tx(spark, d), "TRANSACTION_AMOUNT", "rang").select("TRANSFER_ID", "rang")
 
 
+# every other amount is the same
+_COMMON = TX + ", cm as (select id, case when row_id % 2 = 0 then 500.0 else amount end as amount from tx)"
+
+
+@query(f"with {_COMMON} select id as TRANSFER_ID, round((rank() over (order by amount) + (count(*) over (partition by amount) - 1) / 2) / count(*) over (), 8) as rang from cm", digits=8)
+def pct_rank_common_value(spark, d):
+    df = tx(spark, d).withColumn("TRANSACTION_AMOUNT", F.when(F.col("_row_id") % 2 == 0, 500.0).otherwise(F.col("TRANSACTION_AMOUNT")))
+    return stats.percent_rank(df, "TRANSACTION_AMOUNT", "rang").select("TRANSFER_ID", "rang")
+
+
+@query(f"with {TX}, rp as (select * from tx union all select * from tx where row_id % 3 = 0) select id as TRANSFER_ID, cast(row_number() over (partition by cast(ts as date) order by amount desc, row_id) <= 21 as int) as ALERTE from rp")
+def daily_budget_repeated_rows(spark, d):
+    df = tx(spark, d)
+    df = df.unionByName(df.where("_row_id % 3 = 0")).withColumn("day", F.to_date("CREATED_ON"))
+    return stats.top_per_group(df, "day", "TRANSACTION_AMOUNT", 21, "_row_id").select("TRANSFER_ID", "ALERTE")
+
+
 @query(f"with {TX} select id as TRANSFER_ID, cast(row_number() over (partition by cast(ts as date) order by amount desc, row_id) <= 20 as int) as ALERTE from tx")
 def daily_alert_budget(spark, d):
     return stats.top_per_group(tx(spark, d).withColumn("day", F.to_date("CREATED_ON")), "day", "TRANSACTION_AMOUNT", 20, "_row_id").select("TRANSFER_ID", "ALERTE")
@@ -661,6 +689,16 @@ def feat_training_account(spark, d):
     return t.select("TRANSFER_ID", F.round("f_montant_cumul", 2).alias("f_montant_cumul"), "f_moyenne", "f_ecart", "f_nb_services", F.col("f_rang_tx_compte").cast("long").alias("f_rang_tx_compte"))
 
 
+SQL["feat_training_large_account"] = SQL["feat_training_account"].replace(TX, _LARGE)
+
+
+@query(SQL["feat_training_large_account"])
+def feat_training_large_account(spark, d):
+    df = tx(spark, d).withColumn("SENDER_USER_ID", F.when(F.col("_row_id") % 10 != 0, "U0").otherwise(F.col("SENDER_USER_ID")))
+    t = features.behaviour_training(df, chunk=200)
+    return t.select("TRANSFER_ID", F.round("f_montant_cumul", 2).alias("f_montant_cumul"), "f_moyenne", "f_ecart", "f_nb_services", F.col("f_rang_tx_compte").cast("long").alias("f_rang_tx_compte"))
+
+
 _LOST = TX + ", u as (select * from tx where service in ('signup', 'error', 'view'))"
 
 

@@ -73,6 +73,51 @@ def test_top_per_group_with_one_large_group(spark):
     assert got == want and stats.top_per_group(df, "g", "s", 25, "id").count() == 2000
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
+def test_top_per_group_of_equal_rows(spark, n):
+    rows = [("a", 1.0, 7)] * 3 + [("a", 2.0, 8)] * 2 + [("a", 0.5, 9)] * 40 + [("b", 1.0, 7)] * 2 + [("b", None, 1), (None, 1.0, 2), ("c", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, s double, t long")
+    got = stats.top_per_group(df, "g", "s", n, "t")
+    assert got.columns == ["g", "s", "t", "ALERTE"] and sorted(map(str, (tuple(r)[:3] for r in got.collect()))) == sorted(map(str, rows))
+    flagged = sorted(tuple(r)[:3] for r in got.where("ALERTE = 1").collect())
+    want = ([("a", 2.0, 8)] * 2 + [("a", 1.0, 7)] * 3 + [("a", 0.5, 9)] * 40)[:n] + [("b", 1.0, 7)] * min(n, 2)
+    assert flagged == sorted(want)
+
+
+@pytest.mark.parametrize("chunk", [7, 60])
+def test_large_accounts_equal_windows(spark, chunk):
+    rng = np.random.default_rng(0)
+    at = lambda: T0 + dt.timedelta(hours=int(rng.integers(0, 600)))  # noqa: E731  many ties
+    rows = [("a" if rng.random() < 0.8 else None if rng.random() < 0.1 else f"s{rng.integers(3)}", rng.choice(["x", "y", "z", None]), at(), None if rng.random() < 0.1 else float(rng.integers(1, 9)) * 1000, rng.choice(["TS", "TF"])) for _ in range(400)]
+    df = frame(spark, rows)
+    df = df.unionByName(df.where("_row_id < 20"))  # repeated rows
+    for f in (features.behaviour, features.behaviour_training):
+        want, got = ([sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in f(df, chunk=c).collect()) for c in (10**9, chunk)])
+        assert want == got
+
+
+def test_chunks_have_like_sizes(spark):
+    from ledgerlark.functions import scans
+
+    df = frame(spark, [("a", f"r{k % 50}", T0 + dt.timedelta(minutes=k), 1.0, "TS") for k in range(5000)])
+    few = scans.large(df, "SENDER_USER_ID", 100)
+    r = scans.scanned(df, few, "SENDER_USER_ID", "CREATED_ON", "_row_id", "TRANSACTION_AMOUNT", "RECEIVER_USER_ID", F.lit(False), 100)
+    assert [x["_r_n"] for x in r.orderBy("_row_id").collect()] == list(range(1, 5001))
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_a" in plan and "_chunk" in plan
+
+
+def test_percent_rank_of_common_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "HEAVY", 5)
+    rows = [(k, 1.0 if k % 2 else float(k % 37) if k % 5 else None) for k in range(600)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    values = sorted(v for _, v in rows if v is not None)
+    got = {r["k"]: r["p"] for r in stats.percent_rank(df, "v", "p").collect()}
+    for k, v in rows:
+        want = None if v is None else (np.searchsorted(values, v) + np.searchsorted(values, v, "right") + 1) / 2 / len(values)
+        assert got[k] == want or got[k] == pytest.approx(want)
+
+
 def test_average_precision_and_describe(spark):
     rng = np.random.default_rng(7)
     s, y = rng.integers(0, 40, 500) / 4.0, rng.random(500) < 0.2
