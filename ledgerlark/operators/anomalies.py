@@ -30,12 +30,12 @@ def peer_deviation(df: DataFrame, value: str = "TRANSACTION_AMOUNT", name: str =
 
 def score(df: DataFrame, models: dict, columns: list[str], budget: int = 200, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
     """df (with features and SEGMENT) with RISK_SCORE, ALERTE and RAISON."""
-    df = stored(peer_deviation(forest.score(df, models, columns, "SEGMENT")).withColumn("_iso", -F.col("iso_score")))
+    df = stored(peer_deviation(forest.score(df, models, columns, "SEGMENT")).withColumns({"_iso": -F.col("iso_score"), "_z": F.round("montant_z_segment", 9)}))
     df = percent_rank(df, "_iso", "_ri", "SEGMENT")
-    df = percent_rank(df, "montant_z_segment", "_re", "SEGMENT")
+    df = percent_rank(df, "_z", "_re", "SEGMENT")  # amounts as far above the median as below it are equal
     df = df.withColumn("RISK_SCORE", clip(100 * (weights[0] * F.col("_ri") + weights[1] * F.col("_re")), 0, 100)).withColumn("_day", F.to_date("CREATED_ON"))
     df = top_per_group(stored(df), "_day", "RISK_SCORE", budget, "_row_id")
-    return explained(df).drop("_iso", "_ri", "_re", "_day")
+    return explained(df).drop("_iso", "_z", "_ri", "_re", "_day")
 
 
 def explained(df: DataFrame) -> DataFrame:

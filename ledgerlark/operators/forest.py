@@ -1,7 +1,11 @@
-"""Isolation forest (Liu et al. 2008): fitted on small samples, frozen to plain arrays, scored by an Arrow function."""
+"""Isolation forest (Liu et al. 2008): fitted on small samples, frozen to plain arrays, scored by an Arrow function.
+
+All draws are hashes of the seed, segment, tree and node, so that SQL can grow the same trees. Scores are rounded to 9 digits: the order
+in which path lengths are added doesn't show."""
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -17,14 +21,23 @@ def _c(n: float) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def tree(sample: np.ndarray, size: int, seed: int) -> dict:
-    """One tree over `size` rows of the sample: arrays feature (-1: leaf), threshold, left, right, path of the leaf."""
-    rng = np.random.default_rng(seed)
-    depth = max(1, math.ceil(math.log2(max(size, 2))))
+def draws(key: str) -> tuple[float, float]:
+    """Two numbers between 0 and 1 that only the key decides, the same for every engine that has MD5."""
+    h = hashlib.md5(key.encode(), usedforsecurity=False).hexdigest()
+    return tuple((int(h[k : k + 8], 16) + 0.5) / 2**32 for k in (0, 8))
+
+
+def tree(x: np.ndarray, key: str) -> dict:
+    """One tree over the rows of x: arrays feature (-1: leaf), threshold, left, right, path of the leaf.
+
+    Node k of a complete tree splits one of the columns that vary there, at a value between its ends; both come from draws of
+    "key.k". Rows below the value go to node 2k + 1, others to 2k + 2.
+    """
+    depth = max(1, math.ceil(math.log2(max(len(x), 2))))
     feature, threshold, left, right, path = [], [], [], [], []
-    stack = [(sample[rng.choice(len(sample), size, replace=False)], 0, -1, 0)]
+    stack = [(x, 0, 0, -1, 0)]
     while stack:
-        x, d, parent, side = stack.pop()
+        x, d, node, parent, side = stack.pop()
         at = len(feature)
         for a in (feature, threshold, left, right, path):
             a.append(-1)
@@ -35,17 +48,19 @@ def tree(sample: np.ndarray, size: int, seed: int) -> dict:
         if d >= depth or not len(open_):
             path[at] = d + _c(len(x))
             continue
-        f = int(rng.choice(open_))
-        t = float(rng.uniform(lo[f], hi[f]))
+        u, v = draws(f"{key}.{node}")
+        f = int(open_[int(u * len(open_))])
+        t = float(lo[f] + v * (hi[f] - lo[f]))
         feature[at], threshold[at] = f, t
-        stack += [(x[x[:, f] < t], d + 1, at, 0), (x[x[:, f] >= t], d + 1, at, 1)]
+        stack += [(x[x[:, f] < t], d + 1, 2 * node + 1, at, 0), (x[x[:, f] >= t], d + 1, 2 * node + 2, at, 1)]
     return {"feature": feature, "threshold": [float(t) for t in threshold], "left": left, "right": right, "path": [float(p) for p in path]}
 
 
 def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -> dict:
-    """A forest over a bounded sample, grown here."""
-    size = min(size, len(sample))
-    return {"size": size, "trees": [tree(sample, size, seed * 100_003 + k) for k in range(trees)]}
+    """A forest over a bounded sample, grown here. Tree k has the next `size` rows of the sample in a random order, from its beginning again
+    where it ends."""
+    size, order = min(size, len(sample)), np.random.default_rng(seed).permutation(len(sample))
+    return {"size": size, "trees": [tree(sample[order[np.arange(k * size, (k + 1) * size) % len(sample)]], f"{seed}.{k}") for k in range(trees)]}
 
 
 def flat(model: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,41 +104,41 @@ def scores(model: dict, x: np.ndarray, rows: int = 8192) -> np.ndarray:
                 at += right
             total += path[k][at - feature.shape[1]]
         out[lo : lo + rows] = total
-    return -np.exp2(-out / len(model["trees"]) / max(_c(model["size"]), 1e-9))
+    return np.round(-np.exp2(-out / len(model["trees"]) / max(_c(model["size"]), 1e-9)), 9)
 
 
+#: Digits of a feature after the point: sums that were added in another order are the same feature.
+DIGITS = 6
 TREE = "feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
 
 
 def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 100, sample: int = 20_000, trees: int = 300, seed: int = 42, size: int = 256) -> dict:
-    """A model for each segment with at least `least` rows, from at most `sample` rows of it, chosen by a hash.
+    """A model for each segment with at least `least` rows, from at most `sample` rows of it, the first by the MD5 of _row_id.
 
-    A threshold on the hash leaves a little more than the sample of each segment before rows are ranked, and the trees are
-    grown by Spark tasks, a bounded number of short arrays.
+    A threshold on the hash leaves a little more than the sample of each segment before rows are ranked. Tree k has ranks k * size
+    to (k + 1) * size - 1 of the sample, from its beginning again where it ends; each tree's rows meet in one task, which grows it. The
+    driver gets the trees, arrays of at most 2 * size nodes.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(segment).alias("_s"), "_row_id", *[F.col(f"`{c}`").cast("double").alias(f"c{k}") for k, c in enumerate(columns)]).where("_s is not null")
-    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    width = len(columns)
+    rows = df.select(F.col(segment).alias("_s"), F.md5(F.col("_row_id").cast("string")).alias("_h"), "_row_id", F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("x")).where("_s is not null")
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     share = F.least(F.lit(1.0), (1.1 * sample + 1000) / F.col("_n"))
-    u = F.pmod(F.xxhash64("_row_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    few = rows.join(F.broadcast(counts.select("_s", share.alias("_share"))), "_s").withColumn("_u", u).where("_u <= _share")  # a row for each segment
-    few = few.withColumn("_k", F.row_number().over(W.partitionBy("_s").orderBy("_u", "_row_id"))).where(F.col("_k") <= sample)
-    picked = {s: g.sort_values("_k")[[f"c{k}" for k in range(len(columns))]].to_numpy(float) for s, g in few.select("_s", "_k", *[f"c{k}" for k in range(len(columns))]).toPandas().groupby("_s") if len(g) >= least}
-    if not picked:
-        return {}
-    shared = spark.sparkContext.broadcast(picked)
-
-    def grow(batches):
-        import pandas as pd
-
-        for b in batches:
-            out = [{"s": s} | tree(shared.value[s], min(size, len(shared.value[s])), seed * 100_003 + k) for s, k in zip(b["s"], b["k"], strict=True)]
-            yield pd.DataFrame(out, columns=["s", "feature", "threshold", "left", "right", "path"])
-
-    asked = spark.createDataFrame([(s, k) for s in picked for k in range(trees)], "s string, k int").repartition(min(64, 4 * spark.sparkContext.defaultParallelism))
-    grown: dict = {s: {"size": min(size, len(x)), "trees": []} for s, x in picked.items()}
-    for r in asked.mapInPandas(grow, f"s string, {TREE}").collect():  # segments times trees rows
-        grown[r["s"]]["trees"].append({k: np.asarray(r[k]) for k in ("feature", "threshold", "left", "right", "path")})
+    u = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / float(1 << 32)
+    few = rows.join(F.broadcast(counts.select("_s", share.alias("_share"), F.least("_n", F.lit(sample)).alias("_p"))), "_s").where(u <= F.col("_share"))  # a row for each segment
+    few = few.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", "_row_id")) - 1).where(F.col("_r") < sample)
+    own = F.least(F.lit(size), F.col("_p"))
+    dealt = few.select("_s", "_r", "x", F.explode(F.sequence(F.lit(0), F.floor((own * trees - 1 - F.col("_r")) / F.col("_p")).cast("int"))).alias("_w"), "_p", own.alias("_size")).where(F.col("_r") < own * trees)
+    place = F.col("_r") + F.col("_w") * F.col("_p")
+    dealt = dealt.select(F.col("_s").cast("string").alias("s"), F.floor(place / F.col("_size")).cast("int").alias("k"), "x")
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        s, k = rows["s"].iloc[0], int(rows["k"].iloc[0])
+        return pd.DataFrame([{"s": s, "k": k, "size": len(rows)} | tree(np.round(np.stack(rows["x"].to_numpy()).reshape(-1, width), DIGITS), f"{seed}.{s}.{k}")])
+
+    grown: dict = {}
+    for r in sorted(dealt.groupBy("s", "k").applyInPandas(grow, f"s string, k int, size int, {TREE}").collect(), key=lambda r: (r["s"], r["k"])):
+        model = grown.setdefault(r["s"], {"size": r["size"], "trees": []})
+        model["trees"].append({k: np.asarray(r[k]) for k in ("feature", "threshold", "left", "right", "path")})
     return grown
 
 
@@ -133,7 +148,7 @@ def score(df: DataFrame, models: dict, columns: list[str], segment: str, name: s
 
     @F.pandas_udf(T.DoubleType())
     def run(seg: pd.Series, x: pd.DataFrame) -> pd.Series:
-        data, out = x.to_numpy(float), np.zeros(len(seg))
+        data, out = np.round(x.to_numpy(float), DIGITS), np.zeros(len(seg))
         for s, model in shared.value.items():
             m = (seg == s).to_numpy()
             if m.any():

@@ -586,19 +586,66 @@ def pseudo_labels(spark, d):
     return anomalies.pseudo_labels(t).select("TRANSFER_ID", "PSEUDO_LABEL")
 
 
-FOREST = ["f_log_montant", "f_delta_solde", "f_heure_sin", "f_heure_cos", "f_velocite_7j", "f_zscore_montant", "f_nb_dest_cumul", "f_taux_echec_hist"]
+# what is known before a transfer is done, of the columns that the test tables have
+BEFORE = [c for c in (*features.TRANSACTIONAL, *features.CALENDAR, *features.BEHAVIOUR) if not features.leaking([c])] + ["f_freq_service", "f_freq_ville"]
 
 
 def _featured(spark, d):
-    return stored(anomalies.segmented(features.behaviour(features.calendar(features.transactional(tx(spark, d)))), BANDS))
+    return stored(anomalies.segmented(features.build(tx(spark, d)), BANDS))
 
 
-@query()
+def _before(f: DataFrame) -> list[str]:
+    return BEFORE + sorted(c for c in f.columns if c.startswith("f_stype_"))
+
+
+_X = ["ln(1 + greatest(amount, 0))", "case when pre > 0 then greatest(least(amount / (pre + 1), 10), 0) else -1 end", "cast(coalesce(amount % 1000 = 0, false) as int)", "cast(coalesce(amount % 10000 = 0, false) as int)",
+    "coalesce(ln(1 + greatest(pre, 0)), median(ln(1 + greatest(pre, 0))) over ())", "sin(hour(ts) * (2 * pi() / 24))", "cos(hour(ts) * (2 * pi() / 24))", "sin((isodow(ts) - 1) * (2 * pi() / 7))", "cos((isodow(ts) - 1) * (2 * pi() / 7))",
+    "cast(hour(ts) <= 5 as int)", "cast(hour(ts) >= 20 as int)", "cast(isodow(ts) >= 6 as int)", "least(n - n0, 5000)", "ln(1 + n - n0)", "m - m0", "ln(1 + greatest(m - m0, 0))", "case when mean > 0 then least(amount / (mean + 1), 50) else 1 end",
+    "case when sd > 0 then greatest(least((amount - mean) / (sd + 1), 10), -10) else 0 end", "least(sum(new) over (partition by s order by ts, row_id rows unbounded preceding), 200)", "fail", "least((epoch_us(ts) - epoch_us(born)) / 86400000000.0, 32)", "least(n - 1, 1000)",
+    "count(*) over (partition by service) / (count(*) over ())", "case when city is null then 0 else count(city) over (partition by city) / (count(city) over ()) end",
+    *(f"cast(coalesce(stype = '{x}', false) as int)" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))]
+# every row with its segment, deviation from peers, and x, the features in the order of BEFORE and the types
+_FEATURED = SEG + f""", w as (select *, count(*) over b as n, sum(amount) over b as m, coalesce(avg(amount) over p, first_value(amount) over b) as mean, coalesce(stddev_samp(amount) over p, 0) as sd,
+coalesce(avg(cast(status = 'TF' as int)) over p, 0) as fail, count(*) over o as n0, coalesce(sum(amount) over o, 0) as m0, min(ts) over (partition by s) as born,
+cast(row_number() over (partition by s, r order by ts, row_id) = 1 as int) as new from pd
+window b as (partition by s order by ts, row_id rows unbounded preceding), p as (partition by s order by ts, row_id rows between unbounded preceding and 1 preceding),
+o as (partition by s order by ts range between unbounded preceding and interval '7 days 1 microsecond' preceding)),
+ft as materialized (select row_id, id, ts, segment, status, z, [{", ".join(f"round(cast({x} as double), 6)" for x in _X)}] as x from w)"""
+
+
+def _forest(trees: int = 300, size: int = 256, sample: int = 20_000, least: int = 100, seed: int = 42) -> str:
+    """The forest of operators.forest in SQL: samples by MD5, nodes level by level, and every row's walk."""
+    k, depth, mean_path = len(_X), (size - 1).bit_length(), "case when {n} < 2 then 0.0 when {n} = 2 then 1.0 else 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1) / {n} end"
+    ends = ", ".join("[" + ", ".join(f"{f}(x[{i}])" for i in range(1, k + 1)) + f"] as {n}" for f, n in (("min", "lo"), ("max", "hi")))
+    out = f"""{_FEATURED}, ct as (select segment as s, count(*) as cn, least(count(*), {sample}) as p, least(count(*), {sample}, {size}) as sz, greatest(1, ceil(log2(greatest(least(count(*), {size}), 2)))) as dp from ft where segment is not null group by 1 having count(*) >= {least}),
+pl as (select s, row_number() over (partition by s order by md5(cast(row_id as varchar)), row_id) - 1 as r, p, sz, x from ft join ct on s = segment),
+pw as (select *, unnest(range(0, cast((sz * {trees} - 1 - r) // p + 1 as bigint))) as w from pl where r < p and r < sz * {trees}),
+l0 as materialized (select s, cast((r + w * p) // sz as bigint) as k, cast(0 as bigint) as node, x from pw)"""
+    for d in range(depth + 1):
+        out += f""", a{d} as materialized (select s, k, node, count(*) as n, {ends}, md5('{seed}.' || s || '.' || k || '.' || node) as h from l{d} group by s, k, node),
+o{d} as (select a.*, dp, [i for i in range(1, {k + 1}) if hi[i] > lo[i]] as op, (('0x' || substr(h, 1, 8))::bigint + 0.5) / 4294967296 as u, (('0x' || substr(h, 9, 8))::bigint + 0.5) / 4294967296 as v from a{d} a join ct using (s)),
+f{d} as (select *, case when {d} < dp and len(op) > 0 then op[1 + cast(floor(u * len(op)) as int)] end as f from o{d}),
+b{d} as materialized (select s, k, node, f, lo[f] + v * (hi[f] - lo[f]) as t, {d} + {mean_path.format(n="n")} as path from f{d})"""
+        if d < depth:
+            out += f", l{d + 1} as materialized (select s, k, 2 * node + 1 + cast(x[f] >= t as int) as node, x from l{d} join b{d} using (s, k, node) where f is not null)"
+    out += ", nb as materialized (" + " union all ".join(f"select * from b{d}" for d in range(depth + 1)) + f"), q0 as (select row_id, s, k, cast(0 as bigint) as node from ft join ct on s = segment, range({trees}) rg(k))"
+    for d in range(depth):
+        out += f", q{d + 1} as materialized (select row_id, s, k, case when f is null then node else 2 * node + 1 + cast(x[f] >= t as int) end as node from q{d} join nb using (s, k, node) join ft using (row_id))"
+    return out + f", ii as (select row_id, round(-pow(2, -(sum(path) / {trees}) / greatest({mean_path.format(n='any_value(sz)')}, 1e-9)), 9) as iso from q{depth} join nb using (s, k, node) join ct using (s) group by 1)"
+
+
+@query(f"""with {_forest()}, sc as (select ft.*, coalesce(iso, 0.0) as iso from ft left join ii using (row_id)),
+rk as (select *, (rank() over (partition by segment order by -iso) + (count(*) over (partition by segment, iso) - 1) / 2) / count(*) over (partition by segment) as ri,
+  (rank() over (partition by segment order by round(z, 9)) + (count(*) over (partition by segment, round(z, 9)) - 1) / 2) / count(*) over (partition by segment) as re from sc),
+al as (select *, least(greatest(100 * (0.7 * ri + 0.3 * re), 0), 100) as risk from rk), bu as (select *, cast(row_number() over (partition by cast(ts as date) order by risk desc, row_id) <= 200 as int) as a from al), fa as (select quantile_cont(x[13], 0.99) as fast from ft)
+select id as TRANSFER_ID, segment as SEGMENT, round(iso, 4) as iso_score, round(risk, 4) as RISK_SCORE, a as ALERTE, case when a = 1 then coalesce(nullif(concat_ws(' + ', case when z > 3 then 'montant très élevé vs pairs' end,
+case when x[13] > fast then 'vélocité anormale' end, case when x[20] > 0.5 then 'historique d''échec élevé' end, case when x[4] = 1 then 'montant très arrondi' end, case when x[10] = 1 then 'transaction nocturne' end), ''), 'profil globalement atypique') end as RAISON from bu, fa""")
 def isoforest_alerts(spark, d):
     f = _featured(spark, d)
-    f = features.imputed(f, features.medians(f, FOREST))
-    models = forest.fit_segments(f, FOREST, "SEGMENT")
-    return anomalies.score(f, models, FOREST).select("TRANSFER_ID", "SEGMENT", "iso_score", "RISK_SCORE", "ALERTE", "RAISON")
+    columns = _before(f)
+    f = features.imputed(f, features.medians(f, columns))
+    models = forest.fit_segments(f, columns, "SEGMENT")
+    return anomalies.score(f, models, columns).select("TRANSFER_ID", "SEGMENT", "iso_score", "RISK_SCORE", "ALERTE", "RAISON")
 
 
 @query()
