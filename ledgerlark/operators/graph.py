@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.features import reasons
@@ -112,35 +116,82 @@ def robust_scaled(df: DataFrame, columns: list[str], frozen: dict | None = None)
     return df.withColumns({f"{c}_scaled": (F.col(c) - F.lit(float(m))) / F.lit(float(s)) for c, (m, s) in frozen.items()}), frozen
 
 
-def dbscan(df: DataFrame, columns: list[str], eps: float = 1.5, least: int = 5, id: str = "node") -> DataFrame:
-    """id, cluster (-1: noise), numbered by their first core point in the order of id.
+#: Core points of a cell that stand for it when cells are linked first.
+REPRESENTATIVES = 16
 
-    Points meet in grid cells of side eps over the first two columns and are compared on all columns; core points
-    are joined by repeated minima; a border point takes the least cluster among its core neighbours.
-    """
-    cell = [F.floor(F.col(c) / eps).cast("long") for c in columns[:2]]
-    p = df.select(F.col(id).alias("id"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.array(*cell).alias("cell"))
-    shifts = F.array(*[F.array(*[F.lit(v) for v in s]) for s in ([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)] if len(columns) > 1 else [(-1,), (0,), (1,)])])
-    q = p.select(F.col("id").alias("other"), F.col("x").alias("y"), F.explode(F.transform(shifts, lambda s: F.zip_with("cell", s, lambda a, b: a + b))).alias("cell"))
-    distance = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    near = stored(p.join(q, "cell").where(distance <= eps * eps).select("id", "other"))
-    core = stored(near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id"))
-    links = stored(near.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "other"), "other", "left_semi"))
-    label = core.select("id", F.col("id").alias("root"))
+
+def _components(nodes_: DataFrame, links: DataFrame) -> DataFrame:
+    """c, root: the least node of its component, by repeated minima and jumps. links have both directions."""
+    label = nodes_.select("c", F.col("c").alias("root"))
     while True:
-        low = links.join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("root").alias("m"))
-        jump = label.join(low, "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("root"))
-        far = label.select(F.col("id").alias("root"), F.col("root").alias("r2"))
-        new = stored(jump.join(far, "root", "left").select("id", "was", F.least("root", F.coalesce("r2", "root")).alias("root")))
-        label = new.select("id", "root")
+        low = links.join(label.withColumnRenamed("c", "o"), "o").groupBy("c").agg(F.min("root").alias("m"))
+        step = label.join(low, "c", "left").select("c", F.col("root").alias("was"), F.least("root", F.coalesce("m", "root")).alias("root"))
+        far = label.select(F.col("c").alias("root"), F.col("root").alias("r2"))
+        new = stored(step.join(far, "root", "left").select("c", "was", F.least("root", F.coalesce("r2", "root")).alias("root")))
+        label = new.select("c", "root")
         if new.where("was != root").isEmpty():
-            break
-    from pyspark.sql import Window as W
+            return label
 
-    numbers = label.select("root").distinct().withColumn("cluster", F.row_number().over(W.orderBy("root")) - 1)
-    label = label.join(numbers, "root").select("id", "cluster")
-    border = near.join(core, "id", "left_anti").join(label.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
-    return p.select("id").join(label.unionByName(border), "id", "left").select(F.col("id").alias(id), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+def dbscan(df: DataFrame, columns: list[str], eps: float = 1.5, least: int = 5, id: str = "node", seen: dict | None = None) -> DataFrame:
+    """id, cluster (-1: noise), numbered by their first core point in the order of id. Rows without a coordinate are noise.
+
+    Points lie in cells over all columns whose diagonal is eps, so points of one cell are neighbours: all points of a cell with
+    `least` of them are core, without a comparison, and core points of a cell are in one cluster. Only points of smaller cells are
+    compared with those of cells within eps. Cells are linked by a few core points of each first, and all core points are compared
+    only where that leaves neighbouring cells in different clusters. A border point takes the least cluster among its core
+    neighbours. seen: gets the number of cells, of pairs of near cells, and of points that were compared.
+    """
+    d = len(columns)
+    side = eps / math.sqrt(d) * (1 - 1e-9)
+    names = [f"x{k}" for k in range(d)]
+    p = df.select(F.col(id).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True)])
+    sound = p.dropna().where(F.greatest(*[F.abs(x) for x in names], F.lit(0.0)) < 1e15 * side)
+    keyed = stored(sound.withColumn("cell", F.array(*[F.floor(F.col(x) / side) for x in names])))
+    cells = stored(keyed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()))
+    # cells within eps differ by at most `reach` in each column; candidates meet in blocks of the columns that tell most cells apart
+    reach = 1 + math.isqrt(d)
+    block = lambda k: F.floor(F.get("cell", F.lit(k)) / reach)
+    spread = cells.agg(*[F.countDistinct(block(k)) for k in range(d)]).first()
+    told = sorted(range(d), key=lambda k: (-spread[k], k))[: min(3, d)]
+    shifts = F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in itertools.product((-1, 0, 1), repeat=len(told))])
+    left = cells.select("c", "cell", F.array(*map(block, told)).alias("b"))
+    right = cells.select(F.col("c").alias("o"), F.col("cell").alias("other"), F.explode(F.transform(shifts, lambda s: F.zip_with(F.array(*map(block, told)), s, lambda u, v: u + v))).alias("b"))
+    gap = sum((F.pow(F.greatest(F.abs(F.get("cell", F.lit(k)) - F.get("other", F.lit(k))) - 1, F.lit(0)).cast("double"), F.lit(2.0)) for k in range(d)), F.lit(0.0))
+    pairs = stored(left.join(right, "b").where(gap <= d).select("c", "o"))
+    p = keyed.join(cells, "cell").select("id", "c", "n", *names)
+    q = p.select(F.col("c").alias("o"), F.col("id").alias("other"), *[F.col(x).alias(f"y{x}") for x in names])
+    close = sum(((F.col(x) - F.col(f"y{x}")) * (F.col(x) - F.col(f"y{x}")) for x in names), F.lit(0.0)) <= eps * eps
+    sparse = p.where(F.col("n") < least)
+    counted = sparse.join(pairs, "c").join(q, "o").where(close).groupBy("id").agg(F.count("*").alias("near"))
+    p = stored(p.join(counted, "id", "left").select("id", "c", "n", *names, ((F.col("n") >= least) | (F.coalesce("near", F.lit(0)) >= least)).alias("core")))
+    core = p.where("core").select("id", "c", *names)
+    full = core.groupBy("c").agg(F.min("id").alias("first"))
+    near = pairs.where("c < o").join(full.select("c"), "c", "left_semi").join(full.select(F.col("c").alias("o")), "o", "left_semi")
+    near = stored(near.select("c", "o"))
+
+    def linked(asked: DataFrame, points: DataFrame) -> DataFrame:
+        """Of pairs of cells, those with two of the points within eps."""
+        other = points.select(F.col("c").alias("o"), *[F.col(x).alias(f"y{x}") for x in names])
+        return stored(asked.join(points, "c").join(other, "o").where(close).select("c", "o").distinct())
+
+    few = core.withColumn("_k", F.row_number().over(W.partitionBy("c").orderBy("id"))).where(F.col("_k") <= REPRESENTATIVES)
+    found = linked(near, few)
+    label = _components(full, found.union(found.select("o", "c")))
+    apart = near.join(label, "c").join(label.select(F.col("c").alias("o"), F.col("root").alias("r2")), "o").where("root != r2").select("c", "o")
+    more = linked(apart, core)
+    if not more.isEmpty():
+        found = found.union(more)
+        label = _components(full, found.union(found.select("o", "c")))
+    if seen is not None:
+        seen |= {"cells": cells.count(), "pairs": pairs.count(), "compared": sparse.count(), "apart": apart.count()}
+    roots = label.join(full, "c").groupBy("root").agg(F.min("first").alias("first"))
+    numbers = roots.withColumn("cluster", F.row_number().over(W.orderBy("first")) - 1).select("root", "cluster")  # a row for each cluster
+    label = stored(label.join(numbers, "root").select("c", "cluster"))
+    inside = core.join(label, "c").select("id", "cluster")
+    other = core.join(label, "c").select(F.col("c").alias("o"), "cluster", *[F.col(x).alias(f"y{x}") for x in names])
+    border = p.where("not core").join(pairs, "c").join(other, "o").where(close).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    return df.select(F.col(id).alias("id")).join(inside.unionByName(border), "id", "left").select(F.col("id").alias(id), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
 def candidates(t: DataFrame, share: float = 0.90, least_degree: int = 3, most: int = 50_000) -> DataFrame:

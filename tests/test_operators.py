@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ledgerlark.functions import features
@@ -177,13 +178,9 @@ def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     assert by_joins == pytest.approx(in_one) and graph.pagerank(e.limit(0)).count() == 0
 
 
-def test_dbscan_equals_plain(spark):
-    rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(0, 0.3, (30, 3)), rng.normal(3, 0.3, (30, 3)), rng.uniform(-5, 8, (20, 3))])
-    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "node int, a double, b double, c double")
-    got = {r["node"]: r["cluster"] for r in graph.dbscan(df, ["a", "b", "c"], 0.6, 4).collect()}
-    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.6
-    core, label, n = near.sum(1) >= 4, np.full(len(x), -1), 0
+def plain_dbscan(x, eps, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+    core, label, n = near.sum(1) >= least, np.full(len(x), -1), 0
     for k in range(len(x)):
         if core[k] and label[k] < 0:
             stack = [k]
@@ -194,7 +191,32 @@ def test_dbscan_equals_plain(spark):
                     if core[p]:
                         stack += list(np.flatnonzero(near[p] & (label < 0)))
             n += 1
-    assert [got[k] for k in range(len(x))] == label.tolist()
+    return label.tolist()
+
+
+@pytest.mark.parametrize(("d", "eps", "least", "few"), [(3, 0.6, 4, 16), (1, 0.2, 3, 16), (7, 1.5, 5, 16), (2, 0.35, 12, 1)])
+def test_dbscan_equals_plain(spark, monkeypatch, d, eps, least, few):
+    monkeypatch.setattr(graph, "REPRESENTATIVES", few)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.3, (120, d)), rng.normal(3, 0.3, (40, d)), rng.uniform(-5, 8, (40, d)), np.repeat(rng.uniform(-5, 8, (1, d)), 9, axis=0)])
+    names = [f"v{k}" for k in range(d)]
+    schema = ", ".join(f"{c} double" for c in names)
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)] + [(900, *[None] * d), (901, *[float("nan")] * d)], f"node int, {schema}")
+    got = {r["node"]: r["cluster"] for r in graph.dbscan(df, names, eps, least).collect()}
+    assert got.pop(900) == got.pop(901) == -1
+    assert [got[k] for k in range(len(x))] == plain_dbscan(x, eps, least)
+
+
+def test_dbscan_of_one_heap_compares_few_points(spark):
+    """50,000 points in two heaps that no core pair links: points of full cells are never compared one by one."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(0, 0.05, (50_000, 7))
+    x[40_000:, 0] += 3
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcdefg")).assign(node=range(50_000)))
+    seen: dict = {}
+    got = graph.dbscan(df, list("abcdefg"), 1.5, 5, seen=seen).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 40_000), (1, 10_000)]
+    assert seen["compared"] < 500 and seen["apart"] == 0
 
 
 def test_forest_ranks_an_outlier_above_inliers():
