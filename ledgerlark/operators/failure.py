@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import imputed, leaking, medians
 from ..schema import LeakError
+from . import boosting
 from .stats import class_weights
 
 
@@ -24,23 +22,23 @@ def guard(columns: list[str]) -> None:
         raise LeakError(f"features known only after the transfer: {bad}")
 
 
-def fit(df: DataFrame, columns: list[str], rounds: int = 20, depth: int = 5, rate: float = 0.1, seed: int = 42) -> tuple[GBTClassificationModel, dict]:
-    """(model, frozen medians). The label is a failed status; classes are weighted."""
+def fit(df: DataFrame, columns: list[str], valid: DataFrame | None = None, rounds: int = 100, leaves: int = 31, depth: int = 6, rate: float = 0.1, patience: int = 10) -> tuple[dict, dict]:
+    """(model, frozen medians). The label is a failed status; failures weigh as much as their class is rarer. Rounds stop early by the rows of valid."""
     guard(columns)
     fill = medians(df, columns)
-    data = imputed(df, fill).withColumn("_label", F.coalesce((F.col("TRANSFER_STATUS") == "TF").cast("double"), F.lit(0.0)))
-    weight = class_weights(data, "_label")
-    data = data.withColumn("_w", F.when(F.col("_label") == 1, float(weight["weight"])).otherwise(1.0))
-    data = VectorAssembler(inputCols=columns, outputCol="_x").transform(data).select("_x", "_label", "_w")
-    return GBTClassifier(featuresCol="_x", labelCol="_label", weightCol="_w", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(data), fill
+    label = F.coalesce((F.col("TRANSFER_STATUS") == "TF").cast("double"), F.lit(0.0))
+    weight = float(class_weights(df.select(label.alias("_label")), "_label")["weight"])
+    parts = [x.select(*[F.col(f"`{c}`") for c in columns], label.alias("_label"), F.lit(held).alias("_held")) for x, held in ((df, False), (valid, True)) if x is not None]
+    data = parts[0] if valid is None else parts[0].unionByName(parts[1])
+    data = data.withColumn("_w", F.when(F.col("_label") == 1, weight).otherwise(1.0))
+    return boosting.fit(data, columns, fill, "_label", "_w", "_held", rounds, leaves, depth, rate, patience=patience), fill
 
 
-def score(df: DataFrame, model: GBTClassificationModel, columns: list[str], fill: dict, threshold: float = 0.80) -> DataFrame:
-    """df with proba_echec and ALERTE."""
+def score(df: DataFrame, model: dict, columns: list[str], fill: dict, threshold: float = 0.80) -> DataFrame:
+    """df, nulls of the columns filled, with proba_echec and ALERTE."""
     guard(columns)
-    x = VectorAssembler(inputCols=columns, outputCol="_x").transform(imputed(df, fill))
-    out = model.transform(x).withColumn("proba_echec", vector_to_array("probability")[1])
-    return out.withColumn("ALERTE", (F.col("proba_echec") >= threshold).cast("int")).drop("_x", "rawPrediction", "probability", "prediction")
+    out = boosting.score(imputed(df, fill), model, fill, "proba_echec")
+    return out.withColumn("ALERTE", (F.col("proba_echec") >= threshold).cast("int"))
 
 
 def by_service(df: DataFrame) -> DataFrame:

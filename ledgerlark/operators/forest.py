@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def settled(x: np.ndarray) -> np.ndarray:
+    """Values to six digits after the point: sums that were added in another order are the same."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
+
+
 def _c(n: float) -> float:
     """Mean path length of an unsuccessful search among n points."""
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
@@ -107,8 +112,6 @@ def scores(model: dict, x: np.ndarray, rows: int = 8192) -> np.ndarray:
     return np.round(-np.exp2(-out / len(model["trees"]) / max(_c(model["size"]), 1e-9)), 9)
 
 
-#: Digits of a feature after the point: sums that were added in another order are the same feature.
-DIGITS = 6
 TREE = "feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
 
 
@@ -133,7 +136,7 @@ def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 1
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         s, k = rows["s"].iloc[0], int(rows["k"].iloc[0])
-        return pd.DataFrame([{"s": s, "k": k, "size": len(rows)} | tree(np.round(np.stack(rows["x"].to_numpy()).reshape(-1, width), DIGITS), f"{seed}.{s}.{k}")])
+        return pd.DataFrame([{"s": s, "k": k, "size": len(rows)} | tree(settled(np.stack(rows["x"].to_numpy()).reshape(-1, width)), f"{seed}.{s}.{k}")])
 
     grown: dict = {}
     for r in sorted(dealt.groupBy("s", "k").applyInPandas(grow, f"s string, k int, size int, {TREE}").collect(), key=lambda r: (r["s"], r["k"])):
@@ -148,7 +151,7 @@ def score(df: DataFrame, models: dict, columns: list[str], segment: str, name: s
 
     @F.pandas_udf(T.DoubleType())
     def run(seg: pd.Series, x: pd.DataFrame) -> pd.Series:
-        data, out = np.round(x.to_numpy(float), DIGITS), np.zeros(len(seg))
+        data, out = settled(x.to_numpy(float)), np.zeros(len(seg))
         for s, model in shared.value.items():
             m = (seg == s).to_numpy()
             if m.any():

@@ -100,19 +100,24 @@ HEAVY = 4_000
 
 
 def _looked_up(df: DataFrame, value: str, key, ranks: DataFrame, name: str) -> DataFrame:
-    """df with the rank of its value. A value that many rows hold never gathers them in one task: such ranks are broadcast, and the rows
-    that found theirs are dealt by the hash of the row to the join that looks up all other values."""
+    """df with the rank of its value. A value that many rows hold never gathers them in one task: ranks of such values are broadcast to
+    their rows, and only rows of other values are dealt by value; rows without a value stay where they are."""
     total = ranks.agg(F.sum("_n")).first()[0] or 0
     heavy = (F.col("_n") * HEAVY >= F.lit(total)) & (F.col("_n") > 1)
-    common = ranks.where(heavy).select(F.col("_g").alias("_hg"), F.col("_v").alias("_hv"), F.col("_rank").alias("_hr"))
-    rare = ranks.where(~heavy).select("_g", "_v", "_rank", F.lit(0).alias("_salt"))
-    plain = [f"`{c}`" for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    out = df.withColumn("_key", key).join(F.broadcast(common), (F.col("_key") == F.col("_hg")) & (F.col(value) == F.col("_hv")), "left")
-    settled = F.col("_hr").isNotNull() | F.col(value).isNull() | F.col("_key").isNull()
-    out = out.withColumn("_s", F.when(settled, F.pmod(F.xxhash64(*plain), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
-    out = out.withColumn("_w", F.when(~settled, F.col(value))).withColumn("_w", F.coalesce("_w", F.lit(0).cast(df.schema[value].dataType)))
-    out = out.join(rare, (F.col("_key").eqNullSafe(F.col("_g"))) & (F.col("_w") == F.col("_v")) & (F.col("_s") == F.col("_salt")), "left")
-    return out.withColumn(name, F.coalesce("_hr", "_rank")).drop("_g", "_v", "_rank", "_key", "_hg", "_hv", "_hr", "_s", "_w", "_salt")
+    keyed = df.withColumn("_key", key)
+    same = (F.col("_key") == F.col("_g")) & (F.col(value) == F.col("_v"))
+    some = F.col(value).isNotNull() & F.col("_key").isNotNull()
+    common = ranks.where(heavy).select("_g", "_v", "_rank")
+    if total and common.isEmpty():
+        common = None
+    rare = keyed.where(some)
+    if common is not None:
+        rare = rare.join(F.broadcast(common), same, "left_anti")
+    out = rare.join(ranks.where(~heavy).select("_g", "_v", "_rank"), same, "left")
+    rest = keyed.where(~some).withColumn("_rank", F.lit(None).cast("double"))
+    if common is not None:
+        rest = rest.unionByName(keyed.join(F.broadcast(common), same).drop("_g", "_v"))
+    return out.drop("_g", "_v").unionByName(rest).withColumn(name, F.col("_rank")).drop("_rank", "_key")
 
 
 def rescale(df: DataFrame, value: str, name: str) -> tuple[DataFrame, dict]:

@@ -610,7 +610,7 @@ coalesce(avg(cast(status = 'TF' as int)) over p, 0) as fail, count(*) over o as
 cast(row_number() over (partition by s, r order by ts, row_id) = 1 as int) as new from pd
 window b as (partition by s order by ts, row_id rows unbounded preceding), p as (partition by s order by ts, row_id rows between unbounded preceding and 1 preceding),
 o as (partition by s order by ts range between unbounded preceding and interval '7 days 1 microsecond' preceding)),
-ft as materialized (select row_id, id, ts, segment, status, z, [{", ".join(f"round(cast({x} as double), 6)" for x in _X)}] as x from w)"""
+ft as materialized (select row_id, id, ts, segment, status, z, [{", ".join(f"floor(cast({x} as double) * 1e6 + 0.5) / 1e6" for x in _X)}] as x from w)"""
 
 
 def _forest(trees: int = 300, size: int = 256, sample: int = 20_000, least: int = 100, seed: int = 42) -> str:
@@ -648,12 +648,36 @@ def isoforest_alerts(spark, d):
     return anomalies.score(f, models, columns).select("TRANSFER_ID", "SEGMENT", "iso_score", "RISK_SCORE", "ALERTE", "RAISON")
 
 
-@query()
+def _boosted(rounds: int = 5, leaves: int = 6, depth: int = 3, bins: int = 32, rate: float = 0.1, least: int = 20, penalty: float = 1.0, day: str = "2024-01-20") -> str:
+    """The boosting of operators.boosting in SQL: quantile cuts, gradient sums by leaf, column and bin, best splits, and margins."""
+    k, steps = len(_X), [j / bins for j in range(1, bins)]
+    out = f"""{_FEATURED}, fl as (select *, cast(status = 'TF' as int) as y, cast(ts as date) >= date '{day}' as late from ft),
+cw as (select (1 - avg(y)) / avg(y) as w1 from fl where not late), ed as (select f, list_sort(list_distinct([floor(e * 1e6 + 0.5) / 1e6 for e in quantile_cont(v, {steps})])) as e
+  from (select unnest(range(1, {k + 1})) as f, unnest(x) as v from fl where not late) group by f),
+lb as materialized (select row_id, f, len([c for c in e if c < v]) as bin from (select row_id, unnest(range(1, {k + 1})) as f, unnest(x) as v from fl) join ed using (f)),
+ba as (select ln(p / (1 - p)) as base from (select sum(case when y = 1 then w1 else 0 end) / sum(case when y = 1 then w1 else 1 end) as p from fl, cw where not late)),
+m0 as materialized (select row_id, late, y, case when y = 1 then w1 else 1.0 end as w, base as m from fl, cw, ba)"""
+    for r in range(rounds):
+        out += f""", g{r} as materialized (select row_id, late, w * (y - 1 / (1 + exp(-m))) as g, w * (1 / (1 + exp(-m))) * (1 - 1 / (1 + exp(-m))) as h from m{r}), n{r}_0 as materialized (select row_id, cast(0 as bigint) as leaf from g{r})"""
+        for d in range(depth):
+            used = " - ".join([str(leaves - 1), *(f"(select count(*) from s{r}_{x})" for x in range(d))])
+            opened = "" if not d else f" and leaf in (select unnest([2 * leaf + 1, 2 * leaf + 2]) from s{r}_{d - 1})"
+            out += f""", h{r}_{d} as (select leaf, f, bin, sum(g) as g, sum(h) as h, count(*) as n from g{r} join n{r}_{d} using (row_id) join lb using (row_id) where not late{opened} group by all),
+c{r}_{d} as (select leaf, f, bin, sum(g) over u as gl, sum(h) over u as hl, sum(n) over u as nl, sum(g) over t as ga, sum(h) over t as ha, sum(n) over t as na from h{r}_{d} window u as (partition by leaf, f order by bin), t as (partition by leaf, f)),
+k{r}_{d} as (select *, floor((gl * gl / (hl + {penalty}) + (ga - gl) * (ga - gl) / (ha - hl + {penalty}) - ga * ga / (ha + {penalty})) * 1e6 + 0.5) / 1e6 as gain from c{r}_{d} where nl >= {least} and na - nl >= {least}),
+s{r}_{d} as materialized (select * from (select *, row_number() over (order by gain desc, leaf) as pl from (select *, row_number() over (partition by leaf order by gain desc, f, bin) as one from k{r}_{d} where gain > 0) where one = 1) where pl <= {used}),
+n{r}_{d + 1} as materialized (select n.row_id, case when s.leaf is null then n.leaf else 2 * n.leaf + 1 + cast(lb.bin > s.bin as int) end as leaf from n{r}_{d} n left join s{r}_{d} s on s.leaf = n.leaf left join lb on lb.row_id = n.row_id and lb.f = s.f)"""
+        out += f""", v{r} as (select leaf, {rate} * sum(g) / (sum(h) + {penalty}) as v from g{r} join n{r}_{depth} using (row_id) where not late group by 1),
+m{r + 1} as materialized (select row_id, late, y, w, m + coalesce(v, 0.0) as m from m{r} join n{r}_{depth} using (row_id) left join v{r} using (leaf))"""
+    return out
+
+
+@query(f"with {_boosted()} select id as TRANSFER_ID, round(1 / (1 + exp(-m)), 4) as proba_echec, cast(1 / (1 + exp(-m)) >= 0.55 as int) as ALERTE from m5 join ft using (row_id) where m5.late")
 def gbt_failure(spark, d):
     f = _featured(spark, d)
-    columns = ["f_log_montant", "f_heure_sin", "f_heure_cos", "f_velocite_7j", "f_taux_echec_hist", "f_rang_tx"]
-    model, fill = failure.fit(failure.split(f, "2024-01-20")[0], columns)
-    return failure.score(failure.split(f, "2024-01-20")[1], model, columns, fill).select("TRANSFER_ID", "proba_echec", "ALERTE")
+    columns = _before(f)
+    model, fill = failure.fit(failure.split(f, "2024-01-20")[0], columns, rounds=5, leaves=6, depth=3)
+    return failure.score(failure.split(f, "2024-01-20")[1], model, columns, fill, 0.55).select("TRANSFER_ID", "proba_echec", "ALERTE")
 
 
 # -- reading and normalising -------------------------------------------------------------------------------------------
