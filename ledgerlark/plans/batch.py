@@ -93,29 +93,67 @@ def selected(asked: list[str] | None, config: dict) -> list[str]:
     return [n for n in ENGINES if n in names and config.get(n, {}).get("actif", True)]
 
 
-def exported(tables: Tables, at: str) -> dict:
-    """Writes an engine's tables, the people's ones as CSV too, and how many rows each has as JSON; returns the latter."""
-    counts = {}
+# The keys of each engine's figures, and how many digits they have.
+def _fraud_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    a = F.col("ALERTE") == 1
+    got = t["scores"].agg(F.count_if(a).alias("n"), F.avg(a.cast("int")).alias("share"), F.avg(F.when(a, F.col("RISK_SCORE"))).alias("mean")).first()
+    segments = {r[0]: r[1] for r in t["scores"].where(F.col("SEGMENT").isNotNull()).groupBy("SEGMENT").count().collect()}
+    return {"n_alertes": got["n"], "pct_alertes": round((got["share"] or 0.0) * 100, 4), "budget_jour": get("budget_alertes_jour", 200), "segments": segments, "score_moyen_alertes": None if got["mean"] is None else round(got["mean"], 1)}
+
+
+def _mule_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    top = t["scores"].agg(F.max("cluster")).first()[0]
+    return {"n_alertes": counts["n_alertes"], "n_transit": counts["n_scores"], "n_clusters": 0 if top is None else top + 1, "n_aretes": counts["n_aretes"]}
+
+
+def _commission_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    unknown = sorted(str(r[0]) for r in t["services_inconnus"].collect())  # names of services
+    return {"moteur": "z_score_historique", "seuil_z": get("seuil_z", 2.5), "n_alertes": counts["n_alertes"], "n_jours_services": counts["n_scores"], "services_inconnus": unknown}
+
+
+def _failure_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    got = t["scores"].agg(F.sum("ALERTE").alias("n"), F.avg("ALERTE").alias("share"), F.avg("proba_echec").alias("mean")).first()
+    return {"n_alertes": got["n"] or 0, "pct_alertes": round((got["share"] or 0.0) * 100, 3), "proba_moyenne": None if got["mean"] is None else round(got["mean"], 4), "seuil": get("seuil_alerte_proba", 0.80)}
+
+
+def _link_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    auto, asked, manual = counts["n_scores"], counts["n_alertes"], counts["n_manuels"]
+    total = auto + asked + manual
+    return {"n_alertes": asked, "n_a_reconcilier": total, "n_auto_fiable": auto, "n_suggestion": asked, "n_manuel": manual, "taux_auto_pct": round(auto / max(total, 1) * 100, 1), "gain_heures": round(auto * 3 / 60, 0)}
+
+
+FIGURES = dict(zip(ENGINES, (_fraud_figures, _mule_figures, _commission_figures, _failure_figures, _link_figures), strict=True))
+
+
+def written(tables: Tables, at: str) -> tuple[Tables, dict]:
+    """An engine's tables, written as Parquet and read back, and how many rows each has."""
+    back, counts = {}, {}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{at}/{name}")
-        back = df.sparkSession.read.parquet(f"{at}/{name}")
-        counts[f"n_{name}"] = back.count()
-        if name in FOR_PEOPLE:
-            write_csv(df, f"{at}/{name}_csv")
-    write_json(counts, f"{at}/stats.json")
-    return counts
+        back[name] = df.sparkSession.read.schema(df.schema).parquet(f"{at}/{name}")
+        counts[f"n_{name}"] = back[name].count()
+    return back, counts
+
+
+def exported(tables: Tables, figures: dict, at: str) -> None:
+    """The people's tables as CSV, and the figures as JSON."""
+    for name in FOR_PEOPLE:
+        if name in tables:
+            write_csv(tables[name], f"{at}/{name}_csv")
+    write_json(figures, f"{at}/stats.json")
 
 
 def execute(df: DataFrame, artefacts: dict[str, dict] | str, root: str, engines: list[str] | None = None, config: dict | None = None, references: dict | str | None = None, row_id: str | None = None, run_id: str | None = None, version: str = "latest") -> dict:
     """Run the engines over a batch and write what they give under root/runs/<id>/<engine>/<table>.
 
     artefacts: by engine, or the root of a registry; references: by column, or the path of a file of them. A failing
-    engine, or failing features, leave the others alone; a report is always written.
+    engine, or failing features, leave the others alone; an export that fails leaves its engine's scores; a report is always
+    written. The day's log lies under root/logs.
     """
     config, began = config or {}, datetime.now()
     run_id = run_id or f"{began:%Y%m%d_%H%M%S}"
-    report: dict = {"modeles": {}, "erreurs": {}, "traces": {}}
-    log = logger("ledgerlark.batch")
+    report: dict = {"modeles": {}, "erreurs": {}, "traces": {}, "exports": {}}
+    log = logger("ledgerlark.batch", f"{root}/logs")
     runs.place(root, run_id).mkdir(parents=True, exist_ok=True)
 
     def failed(what: str, e: Exception) -> None:
@@ -155,8 +193,15 @@ def execute(df: DataFrame, artefacts: dict[str, dict] | str, root: str, engines:
                     raise ScoringError(f"features: {broken}")
                 art = registry.artefacts(df.sparkSession, artefacts, engine.name, version) if isinstance(artefacts, str) else artefacts.get(engine.name, {})
                 get = registry.Parameters(config.get(engine.name), art)
-                counts = exported(engine.score(featured if engine.featured else df, art, get), f"{root}/runs/{run_id}/{engine.name}")
-                report["modeles"][engine.name] = counts | {"n_entree": report["validation"]["n_rows"], "duree_s": round(time.time() - at, 1)}
+                place = f"{root}/runs/{run_id}/{engine.name}"
+                tables, counts = written(engine.score(featured if engine.featured else df, art, get), place)
+                figures = counts | FIGURES[engine.name](tables, counts, art, get)
+                report["modeles"][engine.name] = figures | {"n_entree": report["validation"]["n_rows"], "duree_s": round(time.time() - at, 1)}
+                try:
+                    exported(tables, figures, place)
+                except Exception as e:
+                    report["exports"][engine.name] = f"{type(e).__name__}: {e}"[:500]
+                    log.error("export of %s failed, its scores are written: %s", engine.name, e)
             except Exception as e:
                 failed(engine.name, e)
     except Exception as e:

@@ -914,8 +914,11 @@ def drift_report(spark, d):
 # -- the batch --------------------------------------------------------------------------------------------------------
 
 
-def _batch(spark, d, engines: list[str]) -> tuple[str, dict]:
-    t = tx(spark, d).join(sample.declared(spark, d).select("_row_id", "RECONCILIATION_FOR"), "_row_id")
+def _batch(spark, d, engines: list[str], own: bool = False) -> tuple[str, dict]:
+    """own: with the amounts and parties that the declarations go with."""
+    links = sample.declared(spark, d)
+    fitting = ["TRANSACTION_AMOUNT", "SENDER_USER_ID", "RECEIVER_USER_ID"] if own else []
+    t = tx(spark, d).drop(*fitting).join(links.select("_row_id", "RECONCILIATION_FOR", *fitting), "_row_id")
     home = _own_folder(spark)
     return home, batch.execute(t, {"m6_reconciliation": {"complementaires": PAIRS, "delai_max_h": 3}}, home, engines, row_id="_row_id", run_id="run")
 
@@ -929,14 +932,27 @@ def batch_edges(spark, d):
     return spark.read.parquet(f"{home}/runs/run/m2_mules/aretes").withColumn("montant", F.round("montant", 2))
 
 
-@query("select count(*) filter (event_id % 50 in (0, 25)) as declares, count(*) as n_entree, 'm6_reconciliation' as modeles, 0 as erreurs, 1 as executions from events")
+@query(f"""with {REC} select (select count(*) filter (event_id % 50 in (0, 25)) from events) as declares, (select count(*) from events) as n_entree, 'm6_reconciliation' as modeles, 0 as erreurs, 1 as executions,
+count(*) filter (decision = 'AUTOMATIQUE') as n_auto_fiable, count(*) filter (decision = 'A_VALIDER') as n_suggestion, count(*) filter (decision = 'MANUEL') as n_manuel,
+round(count(*) filter (decision = 'AUTOMATIQUE') / greatest(count(*), 1) * 100, 1) as taux_auto_pct, round_even(count(*) filter (decision = 'AUTOMATIQUE') * 3 / 60, 0) as gain_heures from de""")
 def batch_report(spark, d):
-    """The report, the history and the counts of a run of one engine."""
-    home, report = _batch(spark, d, ["m6_RECONCILIATION"])
+    """The report, the history, the counts and the figures of a run of one engine."""
+    home, report = _batch(spark, d, ["m6_RECONCILIATION"], own=True)
     told, past = runs.report(home, "run"), runs.history(spark, home).collect()
-    counts = told["modeles"]["m6_reconciliation"]
-    row = (counts["n_scores"] + counts["n_alertes"] + counts["n_manuels"], counts["n_entree"], ",".join(past[0]["modeles_ok"]), len(told["erreurs"]), len(past))
-    return spark.createDataFrame([row], "declares long, n_entree long, modeles string, erreurs int, executions int")
+    got = told["modeles"]["m6_reconciliation"]
+    row = (got["n_a_reconcilier"], got["n_entree"], ",".join(past[0]["modeles_ok"]), len(told["erreurs"]), len(past), got["n_auto_fiable"], got["n_suggestion"], got["n_manuel"], got["taux_auto_pct"], got["gain_heures"])
+    return spark.createDataFrame([row], "declares long, n_entree long, modeles string, erreurs int, executions int, n_auto_fiable long, n_suggestion long, n_manuel long, taux_auto_pct double, gain_heures double")
+
+
+@query(f"with recursive {_MULE} select count(*) as n_transit, cast(max(cluster) + 1 as int) as n_clusters, (select count(*) from ed) as n_aretes, least(count(*), 500) as n_alertes from rk")
+def batch_mule_figures(spark, d):
+    """stats.json of the graph engine, read back from its run."""
+    home, report = _batch(spark, d, ["m2_mules"])
+    if report["erreurs"] or report["exports"]:
+        raise RuntimeError(report["erreurs"] | report["exports"])
+    got = json.loads(pathlib.Path(home, "runs/run/m2_mules/stats.json").read_text(encoding="utf-8"))
+    names = ["n_transit", "n_clusters", "n_aretes", "n_alertes"]
+    return spark.createDataFrame([tuple(got[c] for c in names)], "n_transit long, n_clusters int, n_aretes long, n_alertes long")
 
 
 __all__ = ["QUERIES", "SQL"]

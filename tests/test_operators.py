@@ -310,8 +310,66 @@ def test_batch_runs_all_five_engines(spark, tmp_path):
     assert runs.alerts_by_run(spark, str(tmp_path)).first()["total"] == sum(m["n_alertes"] for m in report["modeles"].values())
     text = next((tmp_path / "runs/r1/m1_fraude/alertes_csv").glob("part-*")).read_text(encoding="utf-8")
     assert text.startswith("\ufeffTRANSFER_ID,") and text.count("\n") == 151
+    assert report["modeles"]["m1_fraude"]["pct_alertes"] == round(150 / df.count() * 100, 4) and report["modeles"]["m1_fraude"]["budget_jour"] == 5 and sum(report["modeles"]["m1_fraude"]["segments"].values()) == df.count()
+    assert report["modeles"]["m5_echec"]["seuil"] == 0.8 and 0 < report["modeles"]["m5_echec"]["proba_moyenne"] < 1 and report["modeles"]["m4_commissions"]["services_inconnus"] == []
+    assert json.loads((tmp_path / "runs/r1/m6_reconciliation/stats.json").read_text())["n_a_reconcilier"] > 0 and list((tmp_path / "logs").glob("*.log"))
     # a frozen parameter goes before the default, and the configuration before both
     frozen = batch.execute(df, root, str(tmp_path), ["M1_fraude"], row_id="_row_id", run_id="r2")
     assert frozen["modeles"]["m1_fraude"]["n_alertes"] == 7 * 30
     broken = batch.execute(df, {}, str(tmp_path), ["m4_commissions", "m6_reconciliation"], row_id="_row_id", run_id="r3")
     assert broken["modeles_ko"] == ["m4_commissions"] and broken["modeles_ok"] == ["m6_reconciliation"] and "KeyError" in broken["traces"]["m4_commissions"]
+
+
+def test_boosting_beats_a_plain_score_and_stops_early(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ledgerlark.operators import failure
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 4))
+    p = 1 / (1 + np.exp(-(2 * np.sign(x[:, 0] * x[:, 1]) + x[:, 2])))
+    rows = pd.DataFrame(x, columns=list("abcd")).assign(TRANSFER_STATUS=np.where(rng.random(4000) < p * 0.5, "TF", "TS"), k=range(4000))
+    df = spark.createDataFrame(rows).withColumn("c", F.when(F.col("k") > 30, F.col("c")))
+    train, test, columns = df.where("k < 2500"), df.where("k >= 2500"), list("abcd")
+    label = (F.col("TRANSFER_STATUS") == "TF").cast("int")
+    auc = lambda d: stats.roc_auc(d.select("p", label.alias("y")), "p", "y").first()[0]
+    model, fill = failure.fit(train, columns, rounds=12, depth=5)
+    own = auc(failure.score(test, model, columns, fill).withColumn("p", F.col("proba_echec")))
+    ready = VectorAssembler(inputCols=columns, outputCol="x").transform(features.imputed(df, fill).withColumn("y", label.cast("double")))
+    m = GBTClassifier(featuresCol="x", labelCol="y", maxIter=12, maxDepth=5, seed=1).fit(ready.where("k < 2500"))
+    theirs = auc(m.transform(ready.where("k >= 2500")).withColumn("p", vector_to_array("probability")[1]))
+    assert own > theirs - 0.01 and own > 0.7
+    stopped, _ = failure.fit(train, columns, valid=test.withColumn("TRANSFER_STATUS", F.when(F.col("k") % 2 == 0, "TF").otherwise("TS")), rounds=30, patience=2)
+    assert len(stopped["trees"]) < 10
+    assert failure.score(test.limit(0), model, columns, fill).collect() == []
+    json.loads(json.dumps(model))
+
+
+def test_first_split_equals_all_splits(spark):
+    from ledgerlark.operators import boosting
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 3)), 2)
+    y = (x[:, 1] > 0.3).astype(float) * (rng.random(300) < 0.8)
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(y=y, w=1.0, held=False))
+    model = boosting.fit(df, list("abc"), dict.fromkeys("abc", 0.0), "y", "w", "held", rounds=1, depth=1, rate=1.0)
+    g, h = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+    best = max((sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (left, ~left)), -c, -cut) for c in range(3) for cut in np.unique(boosting.settled(np.percentile(x[:, c], [100 * k / 32 for k in range(1, 32)])))
+        if 20 <= (left := x[:, c] <= cut).sum() <= 280)
+    ((node, column, cut),) = model["trees"][0]["split"]
+    assert (node, column, cut) == (0, -best[1], -best[2])
+    left = x[:, column] <= cut
+    assert dict(map(tuple, model["trees"][0]["value"])) == pytest.approx({1: g[left].sum() / (h[left].sum() + 1), 2: g[~left].sum() / (h[~left].sum() + 1)})
+
+
+def test_failing_export_keeps_the_scores(spark, tmp_path, monkeypatch):
+    def broken(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(batch, "write_json", broken)
+    df = sample.transfers(spark, "/root/testdata/sf0.001").join(sample.declared(spark, "/root/testdata/sf0.001").select("_row_id", "RECONCILIATION_FOR"), "_row_id")
+    report = batch.execute(df, {}, str(tmp_path), ["m6_reconciliation"], row_id="_row_id", run_id="r")
+    assert report["modeles_ok"] == ["m6_reconciliation"] and report["erreurs"] == {} and "disk" in report["exports"]["m6_reconciliation"]
+    assert spark.read.parquet(str(tmp_path / "runs/r/m6_reconciliation/scores")).count() == report["modeles"]["m6_reconciliation"]["n_auto_fiable"]
