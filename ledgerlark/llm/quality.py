@@ -153,17 +153,17 @@ def _bar(keys: DataFrame, ratio: np.ndarray, share: float) -> float:
     return kth(keys, round(share * keys.where(F.col("_key") > float("-inf")).count()))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
-    """Per row of docs: id, weight, key, kept."""
-    ratio, share = fit(docs, labels, id, text), labelled_share(labels) if share is None else share
+def resample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None, label: str = "quality") -> DataFrame:
+    """Per row of docs: id, weight, key, kept. labels has the same id, and the label."""
+    ratio, share = fit(docs, labels, id, text, label), labelled_share(labels, id, label) if share is None else share
     keys = weighed(bare(docs, id=id, text=text), ratio, "id", "text", "_weight", "_key").drop("text")
     keys = stored(keys)
     return keys.select(F.col("id").alias(id), F.col("_weight").alias("weight"), F.col("_key").alias("key"), (F.col("_key") >= _bar(keys, ratio, share)).alias("kept"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", share: float | None = None, label: str = "quality") -> DataFrame:
     """The rows of docs that resampling keeps, with all their columns."""
-    ratio, share = fit(docs, labels, id, text), labelled_share(labels) if share is None else share
+    ratio, share = fit(docs, labels, id, text, label), labelled_share(labels, id, label) if share is None else share
     keys = stored(weighed(bare(docs, id=id, text=text), ratio, "id", "text", "_weight", "_key").select("_key"))
     weight, key = fresh(docs, "_weight", "_key")
     return weighed(docs, ratio, id, text, weight, key).where(F.col(key) >= _bar(keys, ratio, share)).drop(weight, key)

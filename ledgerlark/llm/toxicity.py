@@ -130,13 +130,18 @@ def _featured(batches):
 
 
 def learn(docs: DataFrame, labels: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
-    """A machine fitted on at most `sample` rows of docs with a label of 0 or 1; learns is a condition on column id."""
+    """A machine fitted on at most `sample` rows of docs with a label of 0 or 1, however often ids are repeated; learns is a condition on column id."""
     texts = bare(docs, id=id, text=text)
     marked = bare(labels, id=id, label=label).where(learns & F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     n = max(marked.count(), 1)
     u = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
     chosen = marked.where(u < min(1.0, 0.95 * sample / n)).orderBy(u, "id").limit(sample)
-    got = texts.join(F.broadcast(chosen), "id").select("id", "text", F.col("label").cast("int")).mapInArrow(_featured, "terms array<int>, label int").toArrow()
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", F.col("label").cast("int"))
+    if rows.count() > sample:  # repeated ids: each text of an id once, and of these a share by their hash
+        rows = rows.groupBy("id", "text").agg(F.max("label").alias("label"))
+        u = F.pmod(F.xxhash64("id", "text", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+        rows = rows.where(u < min(1.0, 0.95 * sample / max(rows.count(), 1))).limit(sample)
+    got = rows.mapInArrow(_featured, "terms array<int>, label int").toArrow()
     machine = Machine()
     if not got.num_rows:
         machine.bias = -40.0

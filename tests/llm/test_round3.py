@@ -14,7 +14,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import align, crf, layouts, negatives, queries, webpages
+from ledgerlark.llm import align, crf, layouts, negatives, quality, queries, toxicity, webpages
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -201,3 +201,24 @@ def test_field_against_all_sequences():
     for f in feats:
         best = max(itertools.product((0, 1), repeat=len(f)), key=lambda y: score(f, y))
         assert tuple(crf.viterbi(chain, [chain.weight[x].sum() for x in f])) == best
+
+
+def test_other_names_of_id_and_label(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    want = {r["doc_id"]: r["kept"] for r in quality.resample(docs, labels).collect()}
+    named = labels.withColumnsRenamed({"doc_id": "x", "quality": "good"})
+    got = quality.resample(docs.withColumnsRenamed({"doc_id": "x", "text": "body"}), named, "x", "body", label="good")
+    assert got.columns[0] == "x" and {r["x"]: r["kept"] for r in got.collect()} == want
+    assert quality.accepted(docs.withColumnRenamed("doc_id", "x"), named, "x", label="good").count() == sum(want.values())
+
+
+def test_a_hot_labelled_id_does_not_grow_the_sample(spark, monkeypatch):
+    seen = []
+    fit = toxicity.Machine.fit
+    monkeypatch.setattr(toxicity.Machine, "fit", lambda self, term, off, label, *a, **b: (seen.append(len(label)), fit(self, term, off, label, *a, **b)))
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("same id text "), F.col("id") % 900).alias("text"))
+    docs = docs.union(spark.range(2, 200).select("id", F.concat(F.lit("word"), F.col("id") % 7, F.when(F.col("id") % 2 == 0, " bad").otherwise(" fine"))))
+    labels = docs.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2 == 0).cast("int"))
+    toxicity.learn(docs, labels, F.lit(True), sample=300)
+    assert 100 < seen[0] <= 300
