@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.features import reasons
 from ..schema import clip
 from ..tables import stored
+from .ranks import pagerank
 from .stats import exact_quantiles, percent_rank, quantile
 
 FEATURES = ["in_degree", "out_degree", "in_montant", "out_montant", "ratio_transit", "transit_score", "pagerank"]
@@ -46,68 +47,6 @@ def between(e: DataFrame, n: DataFrame) -> DataFrame:
     return e.join(s.withColumnRenamed("node", "source"), "source", "left_semi").join(s.withColumnRenamed("node", "target"), "target", "left_semi")
 
 
-#: Edges that one task may hold, some tens of bytes each.
-LOCAL_EDGES = 5_000_000
-
-
-def _ranked_in_one_task(alpha: float, rounds: int, tolerance: float):
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        e = pd.concat(parts, ignore_index=True)
-        at, nodes_ = pd.factorize(pd.concat([e.iloc[:, 0], e.iloc[:, 1]], ignore_index=True))
-        s, t, w, n = at[: len(e)], at[len(e) :], e.iloc[:, 2].to_numpy(float), len(nodes_)
-        out = np.bincount(s, w, n)
-        some = out[s] > 0
-        s, t, share = s[some], t[some], w[some] / out[s[some]]
-        r = np.full(n, 1.0 / n)
-        for _ in range(rounds):
-            new = alpha * (np.bincount(t, r[s] * share, n) + r[out <= 0].sum() / n) + (1 - alpha) / n
-            change, r = np.abs(new - r).sum(), new
-            if change < tolerance:
-                break
-        yield pd.DataFrame({"node": nodes_, "pagerank": r})
-
-    return run
-
-
-def pagerank(e: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-9, weight: str = "montant", keep: int = 5, local: int = LOCAL_EDGES) -> DataFrame:
-    """node, pagerank. Weighted, dangling mass spread evenly; stops at an L1 change below tolerance.
-
-    Up to `local` edges, counted first, one task has all of them and runs the rounds. Beyond, each round is one join and
-    one aggregation; every few rounds the ranks are written and read back, which bounds the plan and survives lost
-    executors. Only scalars come to the driver.
-    """
-    e = stored(e.select("source", "target", F.col(weight).cast("double").alias(weight)))
-    if e.count() <= local:
-        kind = e.schema["source"].dataType.simpleString()
-        return stored(e.coalesce(1).mapInPandas(_ranked_in_one_task(alpha, rounds, tolerance), f"node {kind}, pagerank double"))
-    both = e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    out = e.groupBy("source").agg(F.sum(weight).alias("_out"))
-    links = stored(e.join(out, "source").where("_out > 0").select("source", "target", (F.col(weight) / F.col("_out")).alias("share")))
-    ranks = stored(both.join(out.withColumnRenamed("source", "node"), "node", "left").select("node", (F.coalesce("_out", F.lit(0.0)) <= 0).alias("dangling")))
-    n = ranks.count()
-    if not n:
-        return ranks.select("node", F.lit(0.0).alias("pagerank"))
-    ranks = ranks.withColumn("r", F.lit(1.0 / n))
-    for k in range(1, rounds + 1):
-        lost = ranks.agg(F.sum(F.when(F.col("dangling"), F.col("r")).otherwise(0.0)).alias("lost"))
-        got = links.join(ranks.select(F.col("node").alias("source"), "r"), "source").groupBy(F.col("target").alias("node")).agg(F.sum(F.col("r") * F.col("share")).alias("g"))
-        new = ranks.join(got, "node", "left").join(F.broadcast(lost))  # one row
-        new = new.select("node", "dangling", F.col("r").alias("before"), (alpha * (F.coalesce("g", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) / n).alias("r"))
-        if k % keep == 0 or k == rounds:
-            new = stored(new)
-            if (new.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] or 0) < tolerance:
-                ranks = new.drop("before")
-                break
-        ranks = new.drop("before")
-    return ranks.select("node", F.col("r").alias("pagerank"))
-
-
 def robust_scaled(df: DataFrame, columns: list[str], frozen: dict | None = None) -> tuple[DataFrame, dict]:
     """(x - median) / interquartile range, exact; frozen holds [median, range] of each column."""
     if frozen is None:

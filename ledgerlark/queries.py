@@ -225,7 +225,7 @@ def transit_edges(spark, d):
     return _transit_edges(spark, d).select("source", "target", "nb_tx")
 
 
-# a hundred rounds; the query stops where ranks change by less than 1e-9
+# a hundred rounds; the query stops where less than 1e-9 of all mass is left to pass on
 PAGERANK = EDGE + """, te as (select * from ed where source in (select node from tr) and target in (select node from tr)), pn as (select distinct unnest([source, target]) as node from te),
 ou as (select source, sum(montant) as o from te group by 1), sh as (select te.source, te.target, te.montant / ou.o as share from te join ou using (source)), nn as (select count(*)::double as n from pn),
 dg as (select node from pn where node not in (select source from ou)),
@@ -240,6 +240,12 @@ def pagerank(spark, d):
     return graph.pagerank(_transit_edges(spark, d))
 
 
+@query(SQL["pagerank"], digits=8)
+def pagerank_in_parts(spark, d):
+    """Accounts in several parts, as graphs of many accounts have them, and small blocks."""
+    return graph.pagerank(_transit_edges(spark, d), accounts=5, block=100)
+
+
 @query(f"with {EDGE}, q as (select quantile_cont(transit_score, 0.5) as q from tr) select node, round(transit_score, 4) as transit_score from tr, q where transit_score >= q and least(in_degree, out_degree) >= 3 order by tr.transit_score desc, node limit 40")
 def cluster_candidates(spark, d):
     return graph.candidates(graph.transit(graph.nodes(graph.edges(tx(spark, d)))), 0.5, 3, 40).select("node", "transit_score")

@@ -173,9 +173,25 @@ def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     e = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "c", 1, 1.0), ("c", "a", 1, 1.0), ("a", "d", 1, 2.0)], "source string, target string, nb_tx int, montant double")
     got = {r[0]: r[1] for r in graph.pagerank(e).collect()}
     assert abs(sum(got.values()) - 1) < 1e-9 and got["d"] > got["b"]
-    by_joins = {r[0]: r[1] for r in graph.pagerank(e, rounds=25, local=0).collect()}
-    in_one = {r[0]: r[1] for r in graph.pagerank(e, rounds=25).collect()}
-    assert by_joins == pytest.approx(in_one) and graph.pagerank(e.limit(0)).count() == 0
+    assert graph.pagerank(e.limit(0)).count() == 0
+    unpaid = e.withColumn("montant", F.lit(0.0))
+    assert [r[1] for r in graph.pagerank(unpaid).collect()] == pytest.approx([0.25] * 4)
+
+
+@pytest.mark.parametrize("accounts", [1 << 18, 700])
+def test_pagerank_of_parts_equals_plain_rounds(spark, accounts):
+    rng = np.random.default_rng(3)
+    s, t = rng.integers(0, 2000, 9000), rng.integers(0, 2500, 9000)
+    s[:2000], t[:2000] = 7, np.arange(2000)  # an account that pays all others
+    e = pd.DataFrame({"source": s, "target": t, "montant": rng.random(9000)}).query("source != target").drop_duplicates(["source", "target"])
+    ids, at = np.unique(e[["source", "target"]].to_numpy(), return_inverse=True)
+    i, j, w, n = at.reshape(-1, 2)[:, 0], at.reshape(-1, 2)[:, 1], e.montant.to_numpy(), len(ids)
+    out = np.bincount(i, w, n)
+    r = np.full(n, 1 / n)
+    for _ in range(200):
+        r = 0.85 * (np.bincount(j, r[i] * w / out[i], n) + r[out <= 0].sum() / n) + 0.15 / n
+    got = graph.pagerank(spark.createDataFrame(e), accounts=accounts, block=500).toPandas().sort_values("node")
+    assert got.node.tolist() == ids.tolist() and np.abs(got.pagerank.to_numpy() - r).sum() < 1e-8
 
 
 def plain_dbscan(x, eps, least):
