@@ -174,19 +174,21 @@ def page(df: DataFrame, order: list, limit: int = 100, offset: int = 0) -> DataF
     return df.orderBy(*order).offset(offset).limit(min(limit, 5000))
 
 
-def curve(df: DataFrame, score: str, label: str, gains: bool = False) -> DataFrame:
-    """score, tp, fp (and gain: how many of tp have this very score) of every threshold: scores are counted, cut into ranges, and cumulated within each range."""
-    per = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+def curve(df: DataFrame, score: str, label: str, gains: bool = False, group: str | None = None) -> DataFrame:
+    """score, tp, fp (and gain: how many of tp have this very score) of every threshold: scores are counted, cut into ranges, and cumulated within
+    each range. With group, a column of few values, one curve for each of these."""
+    keys = [] if group is None else [group]
+    per = df.where(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cuts = per.agg(F.percentile_approx("score", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("_cuts"))
-    per = per.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
-    sums = per.groupBy("_part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
+    cuts = per.groupBy(*keys).agg(F.percentile_approx("score", F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10_000).alias("_cuts"))
+    per = per.join(F.broadcast(cuts), keys or None).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    sums = per.groupBy(*keys, "_part").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
     # one row a range
-    above = W.orderBy(F.col("_part").desc())
-    offsets = sums.select("_part", (F.sum("sp").over(above) - F.col("sp")).alias("p0"), (F.sum("sn").over(above) - F.col("sn")).alias("n0"))
-    down = W.partitionBy("_part").orderBy(F.col("score").desc())
-    out = per.join(F.broadcast(offsets), "_part").withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "k": F.sum("n").over(down) + F.col("n0")})
-    return out.select("score", "tp", (F.col("k") - F.col("tp")).alias("fp"), *([F.col("p").alias("gain")] if gains else []))
+    above = W.partitionBy(*keys).orderBy(F.col("_part").desc())
+    offsets = sums.select(*keys, "_part", (F.sum("sp").over(above) - F.col("sp")).alias("p0"), (F.sum("sn").over(above) - F.col("sn")).alias("n0"))
+    down = W.partitionBy(*keys, "_part").orderBy(F.col("score").desc())
+    out = per.join(F.broadcast(offsets), [*keys, "_part"]).withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "k": F.sum("n").over(down) + F.col("n0")})
+    return out.select(*keys, "score", "tp", (F.col("k") - F.col("tp")).alias("fp"), *([F.col("p").alias("gain")] if gains else []))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -204,11 +206,45 @@ def precision_recall(df: DataFrame, score: str, label: str) -> DataFrame:
     return out.withColumn("f1", F.expr("try_divide(2 * precision * recall, precision + recall)"))
 
 
-def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: the sum over thresholds of precision times the gain in recall."""
-    total = df.where(F.col(score).isNotNull()).agg(F.sum(F.col(label).cast("long")).alias("all"))
-    points = curve(df, score, label, gains=True)
-    return points.agg(F.sum(F.col("gain") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s")).join(F.broadcast(total)).select(F.expr("try_divide(s, all)").alias("pr_auc"))  # one row each
+def average_precision(df: DataFrame, score: str, label: str, group: str | None = None) -> DataFrame:
+    """The sum over thresholds of precision times the gain in recall: one row, or one for each value of group, of which there are few."""
+    keys = [] if group is None else [group]
+    total = df.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.sum(F.col(label).cast("long")).alias("all"))
+    points = curve(df, score, label, True, group)
+    area = points.groupBy(*keys).agg(F.sum(F.col("gain") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
+    return area.join(F.broadcast(total), keys or None).select(*keys, F.expr("try_divide(s, all)").alias("pr_auc"))  # a row each
+
+
+def numbered(df: DataFrame, *by, name: str = "_at") -> DataFrame:
+    """df, stored, with the place of each row in the order of by, from 0: rows are cut into ranges, numbered within each, and a range adds the sizes
+    of those before it. Rows that by doesn't tell apart come in any order."""
+    cut = stored(df.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()))
+    sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*by)) - 1 + F.col("_before")
+    return stored(cut.join(F.broadcast(before), "_part").withColumn(name, at).drop("_part", "_before"))
+
+
+def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, scored, score: str) -> DataFrame:
+    """column, pr_auc, importance: how much PR-AUC falls when a column's values are dealt anew; a row for each column, and one of null with that of the
+    values as they are. Rows without label don't count; none without rows.
+
+    All rows take part. They stand in the order of md5(key), which is random, and column k of K gives its value to the row
+    1 + k * (n - 1) / K places on, so equal input is dealt equally everywhere. Each row sends its values in one exchange; scored(df), which
+    adds the column score, then sees each row once for each column.
+    """
+    own = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("_y"), F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`") for c in columns])
+    at = numbered(own, F.md5("_key"), F.col("_key")).drop("_key")
+    n, width = at.count(), len(columns)
+    to = [F.pmod(F.col("_at") + 1 + k * (n - 1) // width, F.lit(max(n, 1))) for k in range(width)]
+    sent = at.select(F.explode(F.array(*[F.struct(to[k].alias("_at"), F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns)])).alias("s")).select("s.*")
+    got = sent.groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_got"))  # an entry a column
+    dealt = at.join(got, "_at").withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(-1, width)])))
+    dealt = dealt.withColumns({c: F.when(F.col("_k") == k, F.element_at("_got", k)).otherwise(F.col(f"`{c}`").cast("double")) for k, c in enumerate(columns)})
+    area = average_precision(scored(dealt.drop("_got", "_at")).select("_k", "_y", score), score, "_y", "_k")
+    area = area.withColumn("_base", F.max(F.when(F.col("_k") == -1, F.col("pr_auc"))).over(W.partitionBy()))  # a row a column
+    names = F.array(*[F.lit(c) for c in columns])
+    return area.select(F.get(names, F.col("_k")).alias("column"), "pr_auc", (F.col("_base") - F.col("pr_auc")).alias("importance"))
 
 
 def describe(df: DataFrame, columns: list[str], steps: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -235,4 +271,4 @@ def class_weights(df: DataFrame, label: str, rare: float = 0.02) -> dict:
     return {"share": share, "mode": mode, "weight": weight}
 
 
-__all__ = ["average_precision", "best_f1", "calibrate", "class_weights", "confusion", "curve", "describe", "exact_quantiles", "page", "quantile", "percent_rank", "precision_recall", "rescale", "rescore", "roc_auc", "top_per_group"]
+__all__ = ["average_precision", "best_f1", "calibrate", "class_weights", "confusion", "curve", "describe", "exact_quantiles", "numbered", "page", "permutation_importance", "quantile", "percent_rank", "precision_recall", "rescale", "rescore", "roc_auc", "top_per_group"]

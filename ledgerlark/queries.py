@@ -686,6 +686,34 @@ def gbt_failure(spark, d):
     return failure.score(failure.split(f, "2024-01-20")[1], model, columns, fill, 0.55).select("TRANSFER_ID", "proba_echec", "ALERTE")
 
 
+def _importance(rounds: int = 5, depth: int = 3) -> str:
+    """The trees of _boosted walked by the late rows, as they are (k = 0) and with the bins of one column dealt anew."""
+    width = len(_X)
+    out = f"""{_boosted()}, ps as materialized (select row_id, row_number() over (order by md5(id), id) - 1 as pos from ft join fl using (row_id, id) where fl.late), pn as (select count(*) as n from ps),
+lp as materialized (select b.row_id, f, bin from lb join ps a using (row_id), pn, ps b where b.pos = (a.pos + 1 + (f - 1) * (n - 1) // {width}) % n),
+w0 as materialized (select row_id, k, base as m from ps, ba, (select unnest(range(0, {width + 1})) as k))"""
+    for r in range(rounds):
+        out += f", x{r}_0 as materialized (select row_id, k, cast(0 as bigint) as leaf from w0)"
+        for d in range(depth):
+            out += f""", x{r}_{d + 1} as materialized (select x.row_id, x.k, case when s.leaf is null then x.leaf else 2 * x.leaf + 1 + cast(case when s.f = x.k then lp.bin else lb.bin end > s.bin as int) end as leaf
+  from x{r}_{d} x left join s{r}_{d} s on s.leaf = x.leaf left join lb on lb.row_id = x.row_id and lb.f = s.f left join lp on lp.row_id = x.row_id and lp.f = s.f)"""
+        out += f", w{r + 1} as materialized (select row_id, k, m + coalesce(v, 0.0) as m from w{r} join x{r}_{depth} using (row_id, k) left join v{r} using (leaf))"
+    return out + f""", pg as (select k, round(1 / (1 + exp(-m)), 9) as score, sum(y) as p, count(*) as n from w{rounds} join fl using (row_id) group by 1, 2),
+pc as (select k, p, sum(p) over u as tp, sum(n) over u as al from pg window u as (partition by k order by score desc)), pa as (select k, sum(p * tp / al) / sum(p) as auc from pc group by 1)"""
+
+
+@query(f"with {_importance()} select cast(k as int) as position, round(auc, 6) as pr_auc, round((select auc from pa where k = 0) - auc, 6) as importance from pa", digits=6)
+def gbt_importance(spark, d):
+    """What each feature is worth to the classifier of failures on later transfers; types that no transfer has count as well."""
+    f = _featured(spark, d)
+    f = f.withColumns({c: F.lit(0) for c in (f"f_stype_{x}" for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) if c not in f.columns})
+    columns = _before(f)
+    model, fill = failure.fit(failure.split(f, "2024-01-20")[0], columns, rounds=5, leaves=6, depth=3)
+    late = failure.split(f, "2024-01-20")[1].withColumn("y", F.coalesce((F.col("TRANSFER_STATUS") == "TF").cast("int"), F.lit(0)))
+    rows = stats.permutation_importance(late, columns, "y", "TRANSFER_ID", lambda x: failure.score(x, model, columns, fill).withColumn("proba_echec", F.round("proba_echec", 9)), "proba_echec")
+    return rows.select(F.coalesce(F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")), F.lit(0)).cast("int").alias("position"), "pr_auc", "importance")
+
+
 # -- reading and normalising -------------------------------------------------------------------------------------------
 
 

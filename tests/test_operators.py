@@ -389,3 +389,33 @@ def test_failing_export_keeps_the_scores(spark, tmp_path, monkeypatch):
     report = batch.execute(df, {}, str(tmp_path), ["m6_reconciliation"], row_id="_row_id", run_id="r")
     assert report["modeles_ok"] == ["m6_reconciliation"] and report["erreurs"] == {} and "disk" in report["exports"]["m6_reconciliation"]
     assert spark.read.parquet(str(tmp_path / "runs/r/m6_reconciliation/scores")).count() == report["modeles"]["m6_reconciliation"]["n_auto_fiable"]
+
+
+def test_permutation_importance_deals_every_value_once(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    x = pd.DataFrame({"key": [f"k{i}" for i in range(n)], "told": rng.random(n), "idle": rng.random(n), "flat": 1.0})
+    x["y"] = (x.told + 0.2 * rng.random(n) > 0.9).astype(int)
+    seen = []
+
+    def scored(df):
+        seen.append(df)
+        return df.withColumn("p", F.col("told") + 0.001 * F.col("idle") + F.col("flat"))
+
+    got = {r["column"]: r for r in stats.permutation_importance(spark.createDataFrame(x), ["told", "idle", "flat"], "y", "key", scored, "p").collect()}
+    assert got[None]["importance"] == 0 and got["flat"]["importance"] == 0 and abs(got["idle"]["importance"]) < 0.01
+    # values that tell nothing have the share of ones as their precision
+    assert got["told"]["pr_auc"] == pytest.approx(x.y.mean(), abs=0.06) and got[None]["pr_auc"] > 0.8
+    dealt = seen[0].toPandas()
+    assert len(dealt) == 4 * n
+    told = dealt[dealt._k == 0].told.to_numpy()
+    assert np.allclose(np.sort(told), np.sort(x.told)) and np.allclose(dealt[dealt._k == 1].idle.sort_values(), x.idle.sort_values())
+    assert stats.permutation_importance(spark.createDataFrame(x).limit(0), ["told"], "y", "key", lambda d: d.withColumn("p", F.col("told")), "p").count() == 0
+    one = stats.permutation_importance(spark.createDataFrame(x.query("y == 1").head(1)), ["told", "idle"], "y", "key", lambda d: d.withColumn("p", F.col("told")), "p").collect()
+    assert [r["importance"] for r in one] == [0, 0, 0]
+
+
+def test_numbered_rows_have_each_place_once(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("v"), "id")
+    got = stats.numbered(df, "v", "id", name="at").orderBy("at").collect()
+    assert [r["at"] for r in got] == list(range(5000)) and [(r["v"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(5000))
