@@ -40,22 +40,25 @@ def direct(rec: DataFrame, hours: float = 24) -> DataFrame:
 
 def blocked(orphans: DataFrame, d: DataFrame, pairs: dict[str, str] | None = None) -> DataFrame:
     """The best counterpart of each orphan in its block: amount alike, then expected prefix if any has it, then the same
-    parties if any has them, then nearest in time."""
+    parties if any has them, then nearest in time.
+
+    The amounts of a pair differ by less than 1, so their floors are the same or next to each other: a second join key. Orphans, not the pool, are
+    repeated for it. The best one is the least of an order, so candidates are reduced to one where the join makes them.
+    """
     expected = F.coalesce(*[F.when(F.col("prefixe") == k, v) for k, v in (PAIRS if pairs is None else pairs).items()], F.lit(None).cast("string"))
     o = orphans.select("TRANSFER_ID", F.col("bloc").alias("o_bloc"), F.col("TRANSACTION_AMOUNT").alias("o_amount"), F.col("CREATED_ON").alias("o_date"), F.col("SENDER_USER_ID").alias("o_s"), F.col("RECEIVER_USER_ID").alias("o_r"), expected.alias("wanted"))
+    o = o.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor("o_amount") + k)))
     c = d.select(F.col("TRANSFER_ID").alias("c_id"), "bloc", F.col("TRANSACTION_AMOUNT").alias("c_amount"), F.col("CREATED_ON").alias("c_date"), F.col("prefixe").alias("c_prefix"), F.col("SENDER_USER_ID").alias("c_s"), F.col("RECEIVER_USER_ID").alias("c_r"), F.col("_row_id").alias("c_row"))
-    # the amounts of a pair differ by less than 1, so their floors are the same or next to each other: a second join key
-    c = c.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor("c_amount") + k)))
-    near = (F.col("o_bloc") == F.col("bloc")) & (F.floor("o_amount") == F.col("cell")) & (F.abs(F.col("c_amount") - F.col("o_amount")) < 1) & (F.col("c_id") != F.col("TRANSFER_ID"))
-    own = W.partitionBy("TRANSFER_ID")
-    x = o.join(c, near)
-    x = x.withColumn("p", flag(F.col("c_prefix") == F.col("wanted"))).withColumn("any_p", F.max("p").over(own)).where("p = any_p")
+    near = (F.col("o_bloc") == F.col("bloc")) & (F.col("cell") == F.floor("c_amount")) & (F.abs(F.col("c_amount") - F.col("o_amount")) < 1) & (F.col("c_id") != F.col("TRANSFER_ID"))
     same = ((F.col("c_s") == F.col("o_s")) & (F.col("c_r") == F.col("o_r"))) | ((F.col("c_s") == F.col("o_r")) & (F.col("c_r") == F.col("o_s")))
-    x = x.withColumn("several", (F.count("*").over(own) > 1).cast("int")).withColumn("q", flag(same) * F.col("several")).withColumn("any_q", F.max("q").over(own)).where("q = any_q")
     gap = F.abs(F.unix_micros(F.col("c_date").cast("timestamp")) - F.unix_micros(F.col("o_date").cast("timestamp")))
-    x = x.withColumn("k", F.row_number().over(own.orderBy(gap.asc_nulls_last(), "c_row"))).where("k = 1")
-    score = 1 + F.col("any_p") + 2 * F.col("any_q")
-    return x.select("TRANSFER_ID", F.col("c_id").alias("jumeau_propose"), F.least(40 + 15 * score, F.lit(100)).alias("confiance"), score.alias("score_criteres"), F.lit("blocking").alias("source_appariement"), F.lit("candidat trouvé par bloc, montant, préfixe et parties").alias("RAISON"))
+    x = o.join(c, near).select("TRANSFER_ID", "c_id", "c_row", flag(F.col("c_prefix") == F.col("wanted")).alias("p"), flag(same).alias("q"), gap.alias("gap"))
+    first = F.struct(-F.col("p"), -F.col("q"), F.col("gap").isNull(), "gap", "c_row")
+    x = x.groupBy("TRANSFER_ID").agg(F.min_by(F.struct("c_id", "p", "q"), first).alias("best"), F.count("*").alias("n"), F.count_if(F.col("p") == 1).alias("n_p"))
+    # parties count where there was something left to choose
+    several = F.when(F.col("best.p") == 1, F.col("n_p")).otherwise(F.col("n")) > 1
+    score = 1 + F.col("best.p") + 2 * F.col("best.q") * several.cast("int")
+    return x.select("TRANSFER_ID", F.col("best.c_id").alias("jumeau_propose"), F.least(40 + 15 * score, F.lit(100)).alias("confiance"), score.alias("score_criteres"), F.lit("blocking").alias("source_appariement"), F.lit("candidat trouvé par bloc, montant, préfixe et parties").alias("RAISON"))
 
 
 def reconcile(df: DataFrame, pairs: dict[str, str] | None = None, hours: float = 24, auto: float = 85) -> DataFrame:

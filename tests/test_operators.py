@@ -419,3 +419,29 @@ def test_numbered_rows_have_each_place_once(spark):
     df = spark.range(5000).select((F.col("id") % 7).alias("v"), "id")
     got = stats.numbered(df, "v", "id", name="at").orderBy("at").collect()
     assert [r["at"] for r in got] == list(range(5000)) and [(r["v"], r["id"]) for r in got] == sorted((i % 7, i) for i in range(5000))
+
+
+def test_best_counterpart_equals_a_search_of_the_block(spark):
+    rng = np.random.default_rng(8)
+
+    def some(n, first):
+        return pd.DataFrame({"TRANSFER_ID": [f"{i}" for i in range(first, first + n)], "bloc": rng.choice(["a", "b", None], n, p=[0.7, 0.2, 0.1]), "prefixe": rng.choice(["TC", "CO", "XX", "RC"], n), "TRANSACTION_AMOUNT": rng.integers(0, 40, n) * 0.5 - 3, "CREATED_ON": [None if rng.random() < 0.1 else T0 + dt.timedelta(hours=int(h)) for h in rng.integers(0, 9, n)], "SENDER_USER_ID": rng.choice(["x", "y", None], n), "RECEIVER_USER_ID": rng.choice(["x", "y"], n), "_row_id": range(first, first + n)})
+
+    kind = "TRANSFER_ID string, bloc string, prefixe string, TRANSACTION_AMOUNT double, CREATED_ON timestamp_ntz, SENDER_USER_ID string, RECEIVER_USER_ID string, _row_id long"
+    pool, asked = some(300, 0), some(120, 1000)
+    pool = pd.concat([pool, asked.head(20)])  # nothing is its own counterpart
+    rows = [[tuple(None if v is None or v is pd.NaT else v for v in r) for r in f.astype(object).itertuples(index=False)] for f in (asked, pool)]
+    want = {}
+    for i, b, pre, amount, at, s, r, _ in rows[0]:
+        found = [c for c in rows[1] if b is not None and c[1] == b and abs(c[3] - amount) < 1 and c[0] != i]
+        for score, test in ((1, lambda c: c[2] == {"TC": "CO", "XX": "RC"}.get(pre)), (2, lambda c: None not in (s, c[5]) and (c[5], c[6]) in ((s, r), (r, s)))):
+            kept = [c for c in found if test(c)]
+            hit = bool(kept) and (score == 1 or len(found) > 1)
+            found, want[i] = kept if hit else found, want.get(i, 1) + score * hit
+        if found:
+            want[i] = (min(found, key=lambda c: (None in (at, c[4]), abs(c[4] - at) if None not in (at, c[4]) else 0, c[7]))[0], want[i])
+        else:
+            del want[i]
+    frames = [spark.createDataFrame([tuple(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r) for r in x], kind) for x in rows]
+    got = {r["TRANSFER_ID"]: (r["jumeau_propose"], r["score_criteres"]) for r in reconcile.blocked(*frames).collect()}
+    assert got == want and len(got) > 60
