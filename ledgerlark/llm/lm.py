@@ -259,12 +259,15 @@ def _score(ranges: int, tokens: int, distinct: int):
 
 
 def score_texts(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score. learns: a condition on column id."""
+    """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score. learns: a condition on column id.
+
+    Texts are dealt by id and text, so texts of one id, or of none, lie in different parts.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = bare(docs, id=id, text=text)
     n = parts_of(spark, texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    texts = texts.select("id", F.coalesce(learns, F.lit(True)).alias("learns"), "text", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("bucket"))
+    texts = texts.select("id", F.coalesce(learns, F.lit(True)).alias("learns"), "text", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("bucket"))
     dealt = texts.select("bucket", "learns", "text").repartition(n, "bucket").sortWithinPartitions("bucket")
     counts = stored(dealt.mapInArrow(_count(n), "bucket int, kind int, range int, keys binary, counts binary"))
     by_range = counts.repartition(n, "range").sortWithinPartitions("range", "kind")

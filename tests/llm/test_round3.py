@@ -222,3 +222,17 @@ def test_a_hot_labelled_id_does_not_grow_the_sample(spark, monkeypatch):
     labels = docs.select("doc_id").distinct().withColumn("toxic", (F.col("doc_id") % 2 == 0).cast("int"))
     toxicity.learn(docs, labels, F.lit(True), sample=300)
     assert 100 < seen[0] <= 300
+
+
+def test_texts_without_id_are_scored_in_all_parts(spark, monkeypatch):
+    from ledgerlark.llm import lm
+
+    rows = [(None if i % 3 else 7, f"text {i} of {i % 11} words " + "tail " * (i % 5)) for i in range(300)] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    for n in (1, 8):
+        monkeypatch.setattr(lm, "parts_of", lambda *_, n=n: n)
+        got = lm.score_texts(docs, F.lit(True))
+        assert n == 1 or got.groupBy(F.spark_partition_id().alias("part")).agg(F.max("score")).count() > 4
+        seen.append(sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in got.collect()))
+    assert len(seen[0]) == len(rows) and seen[0] == seen[1]
