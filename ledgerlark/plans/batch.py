@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import traceback
 from collections.abc import Callable
@@ -117,9 +118,10 @@ def _failure_figures(t: Tables, counts: dict, art: dict, get: registry.Parameter
 
 
 def _link_figures(t: Tables, counts: dict, art: dict, get: registry.Parameters) -> dict:
+    """Halves of the share go up, as SQL rounds."""
     auto, asked, manual = counts["n_scores"], counts["n_alertes"], counts["n_manuels"]
     total = auto + asked + manual
-    return {"n_alertes": asked, "n_a_reconcilier": total, "n_auto_fiable": auto, "n_suggestion": asked, "n_manuel": manual, "taux_auto_pct": round(auto / max(total, 1) * 100, 1), "gain_heures": round(auto * 3 / 60, 0)}
+    return {"n_alertes": asked, "n_a_reconcilier": total, "n_auto_fiable": auto, "n_suggestion": asked, "n_manuel": manual, "taux_auto_pct": math.floor(auto / max(total, 1) * 100 * 10 + 0.5) / 10, "gain_heures": round(auto * 3 / 60, 0)}
 
 
 FIGURES = dict(zip(ENGINES, (_fraud_figures, _mule_figures, _commission_figures, _failure_figures, _link_figures), strict=True))
