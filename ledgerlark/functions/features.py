@@ -268,9 +268,13 @@ def names(df: DataFrame) -> dict[str, list[str]]:
 
 
 def constant(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns without spread, by one aggregation."""
-    got = df.agg(*[F.coalesce(F.stddev_samp(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)]).first()
-    return [c for k, c in enumerate(columns) if got[k] == 0]
+    """Columns without spread (fewer than two values, or one finite value only), by one aggregation.
+
+    Least and greatest value tell: a deviation merged from partial means of equal values may be a little above 0."""
+    x = [F.col(f"`{c}`").cast("double") for c in columns]
+    same = [(F.count(v) < 2) | (F.min(v) == F.max(v)) & (F.abs(F.max(v)) < float("inf")) for v in x]
+    got = df.agg(*[s.alias(f"c{k}") for k, s in enumerate(same)]).first()
+    return [c for k, c in enumerate(columns) if got[k]]
 
 
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
