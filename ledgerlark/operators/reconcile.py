@@ -14,10 +14,12 @@ PAIRS = {"TC": "CO", "XX": "RC"}
 AUTO, SUGGESTED, MANUAL = "AUTOMATIQUE", "A_VALIDER", "MANUEL"
 
 
-def parsed(df: DataFrame) -> DataFrame:
-    """One row for each TRANSFER_ID, the first by _row_id, with prefix, date, session and block of the id."""
-    first = F.row_number().over(W.partitionBy("TRANSFER_ID").orderBy("_row_id"))
-    d = df.withColumn("_k", first).where("_k = 1").drop("_k")
+def parsed(df: DataFrame, unique: bool = True) -> DataFrame:
+    """Rows with prefix, date, session and block of the id; if unique, one for each TRANSFER_ID, the first by _row_id."""
+    d = df
+    if unique:
+        first = F.row_number().over(W.partitionBy("TRANSFER_ID").orderBy("_row_id"))
+        d = df.withColumn("_k", first).where("_k = 1").drop("_k")
     parts = F.split(F.col("TRANSFER_ID"), "[.]")
     head = F.get(parts, F.lit(0))
     d = d.withColumns({"TRANSACTION_AMOUNT": F.coalesce(number(F.col("TRANSACTION_AMOUNT")), F.lit(0.0)), "prefixe": F.substring(head, 1, 2), "id_date": F.substring(head, 3, 1 << 20), "session": F.coalesce(F.get(parts, F.lit(1)), F.lit(""))})
@@ -61,9 +63,10 @@ def blocked(orphans: DataFrame, d: DataFrame, pairs: dict[str, str] | None = Non
     return x.select("TRANSFER_ID", F.col("best.c_id").alias("jumeau_propose"), F.least(40 + 15 * score, F.lit(100)).alias("confiance"), score.alias("score_criteres"), F.lit("blocking").alias("source_appariement"), F.lit("candidat trouvé par bloc, montant, préfixe et parties").alias("RAISON"))
 
 
-def reconcile(df: DataFrame, pairs: dict[str, str] | None = None, hours: float = 24, auto: float = 85) -> DataFrame:
-    """A decision for every row that declares a counterpart."""
-    d = stored(parsed(df))  # read by every step below
+def reconcile(df: DataFrame, pairs: dict[str, str] | None = None, hours: float = 24, auto: float = 85, unique: bool = True) -> DataFrame:
+    """A decision for every row that declares a counterpart. Where rows that share an id are kept (unique: false), there is one for each declared link,
+    and one best counterpart for each id of orphans."""
+    d = stored(parsed(df, unique))  # read by every step below
     rec = stored(declared(d))
     links = direct(rec, hours)
     orphans = rec.where("j_montant is null")
@@ -85,9 +88,9 @@ def complete(stats: dict) -> None:
         raise AssertionError("decisions do not cover the declared rows")
 
 
-def for_analysts(df: DataFrame, decisions: DataFrame) -> DataFrame:
+def for_analysts(df: DataFrame, decisions: DataFrame, unique: bool = True) -> DataFrame:
     """The declared rows that no automatic or suggested decision settles, with what an analyst needs."""
-    rec = declared(parsed(df))
+    rec = declared(parsed(df, unique))
     settled = decisions.where(F.col("decision") != MANUAL).select("TRANSFER_ID")
     return rec.join(settled, "TRANSFER_ID", "left_anti").select("TRANSFER_ID", "TRANSACTION_AMOUNT", "CREATED_ON", "bloc")
 
@@ -103,10 +106,13 @@ def block_sizes(d: DataFrame) -> DataFrame:
 
 
 def linkage_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision and recall of proposals (TRANSFER_ID, jumeau_propose) against truth (TRANSFER_ID, jumeau)."""
-    x = truth.join(found.select("TRANSFER_ID", "jumeau_propose"), "TRANSFER_ID", "left")
-    hit = F.col("jumeau_propose") == F.col("jumeau")
-    got = x.agg(F.count_if(hit).alias("tp"), F.count_if(F.col("jumeau_propose").isNotNull() & ~hit).alias("fp"), F.count_if(F.col("jumeau_propose").isNull()).alias("nr"))
+    """Precision and recall of proposals (TRANSFER_ID, jumeau_propose) against truth (TRANSFER_ID, jumeau): all pairs of rows of one id,
+    which are counted, as an id may have many rows on both sides."""
+    times = lambda df, n: df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    x = times(truth.select("TRANSFER_ID", "jumeau"), "_t").join(times(found.select("TRANSFER_ID", "jumeau_propose"), "_f"), "TRANSFER_ID", "left")
+    hit, pairs = F.col("jumeau_propose") == F.col("jumeau"), F.col("_t") * F.coalesce("_f", F.lit(1))
+    total = lambda c: F.coalesce(F.sum(F.when(c, pairs)), F.lit(0))
+    got = x.agg(total(hit).alias("tp"), total(F.col("jumeau_propose").isNotNull() & ~hit).alias("fp"), total(F.col("jumeau_propose").isNull()).alias("nr"))
     return got.select("*", F.expr("try_divide(tp, tp + fp)").alias("precision"), F.expr("try_divide(tp, tp + fp + nr)").alias("recall"))
 
 

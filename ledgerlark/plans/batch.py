@@ -73,7 +73,7 @@ def _failures(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
 
 
 def _links(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
-    x = stored(reconcile.reconcile(df, get("complementaires", None), get("delai_max_h", 24), get("seuil_confiance_auto", 85)))
+    x = stored(reconcile.reconcile(df, get("complementaires", None), get("delai_max_h", 24), get("seuil_confiance_auto", 85), get("ids_uniques", True)))
     stats = reconcile.summary(x)
     reconcile.complete(stats.first().asDict())
     by = lambda d: x.where(F.col("decision") == d)
