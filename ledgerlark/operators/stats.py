@@ -225,24 +225,32 @@ def numbered(df: DataFrame, *by, name: str = "_at") -> DataFrame:
     return stored(cut.join(F.broadcast(before), "_part").withColumn(name, at).drop("_part", "_before"))
 
 
-def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, scored, score: str) -> DataFrame:
+def permutation_importance(df: DataFrame, columns: list[str], label: str, key: str, scored, score: str, used: list[str] | None = None) -> DataFrame:
     """column, pr_auc, importance: how much PR-AUC falls when a column's values are dealt anew; a row for each column, and one of null with that of the
     values as they are. Rows without label don't count; none without rows.
 
     All rows take part. They stand in the order of md5(key), which is random, and column k of K gives its value to the row
     1 + k * (n - 1) / K places on, so equal input is dealt equally everywhere. Each row sends its values in one exchange; scored(df), which
-    adds the column score, then sees each row once for each column.
+    adds the column score, then sees each row once for each column. Columns that the scores don't depend on (a tree model reads those of its splits only)
+    change nothing when they are dealt: where used names the others, these alone are sent and scored, and scored(df) gets null for the rest.
     """
-    own = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("_y"), F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`") for c in columns])
+    ks = [k for k, c in enumerate(columns) if used is None or c in used]
+    rest = [k for k in range(len(columns)) if k not in ks]
+    own = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("_y"), F.col(key).cast("string").alias("_key"), *[F.col(f"`{columns[k]}`") for k in ks])
     at = numbered(own, F.md5("_key"), F.col("_key")).drop("_key")
     n, width = at.count(), len(columns)
-    to = [F.pmod(F.col("_at") + 1 + k * (n - 1) // width, F.lit(max(n, 1))) for k in range(width)]
-    sent = at.select(F.explode(F.array(*[F.struct(to[k].alias("_at"), F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(columns)])).alias("s")).select("s.*")
-    got = sent.groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_got"))  # an entry a column
-    dealt = at.join(got, "_at").withColumn("_k", F.explode(F.array(*[F.lit(k) for k in range(-1, width)])))
-    dealt = dealt.withColumns({c: F.when(F.col("_k") == k, F.element_at("_got", k)).otherwise(F.col(f"`{c}`").cast("double")) for k, c in enumerate(columns)})
+    to = {k: F.pmod(F.col("_at") + 1 + k * (n - 1) // width, F.lit(max(n, 1))) for k in ks}
+    if ks:
+        sent = at.select(F.explode(F.array(*[F.struct(to[k].alias("_at"), F.lit(k).alias("k"), F.col(f"`{columns[k]}`").cast("double").alias("v")) for k in ks])).alias("s")).select("s.*")
+        got = sent.groupBy("_at").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_got"))  # an entry a column
+        at = at.join(got, "_at")
+    else:
+        at = at.withColumn("_got", F.lit(None).cast("map<int,double>"))
+    dealt = at.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in (-1, *ks)])))
+    dealt = dealt.withColumns({c: F.when(F.col("_k") == k, F.element_at("_got", k)).otherwise(F.col(f"`{c}`").cast("double")) if k in ks else F.lit(None).cast("double") for k, c in enumerate(columns)})
     area = average_precision(scored(dealt.drop("_got", "_at")).select("_k", "_y", score), score, "_y", "_k")
     area = area.withColumn("_base", F.max(F.when(F.col("_k") == -1, F.col("pr_auc"))).over(W.partitionBy()))  # a row a column
+    area = area.withColumn("_k", F.explode(F.when(F.col("_k") == -1, F.array(*[F.lit(k) for k in (-1, *rest)])).otherwise(F.array("_k"))))
     names = F.array(*[F.lit(c) for c in columns])
     return area.select(F.get(names, F.col("_k")).alias("column"), "pr_auc", (F.col("_base") - F.col("pr_auc")).alias("importance"))
 
