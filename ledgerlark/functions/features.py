@@ -65,7 +65,8 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def _windowed(known: DataFrame) -> DataFrame:
-    """Running figures of accounts, each sorted by one task."""
+    """Running figures of accounts, each sorted by one task. Rows are dealt by account once; the pairs of an account lie in its task."""
+    known = known.repartition("SENDER_USER_ID")
     rows = W.partitionBy("SENDER_USER_ID").orderBy("CREATED_ON", "_row_id")
     upto, before = rows.rowsBetween(W.unboundedPreceding, 0), rows.rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("SENDER_USER_ID")
@@ -83,6 +84,7 @@ def _windowed(known: DataFrame) -> DataFrame:
         "_fail": F.coalesce(F.avg(flag(F.col("TRANSFER_STATUS") == "TF")).over(before), F.lit(0.0)),
         "_born": F.min("CREATED_ON").over(whole),
         "_rank": F.row_number().over(rows) - 1,
+        "_all": F.count("*").over(whole),
     })
 
 
@@ -104,14 +106,17 @@ def _chunked(known: DataFrame, few: DataFrame, chunk: int) -> DataFrame:
         "_born": born,
         "_rank": F.col("_r_n") - 1,
     })
+    sizes = F.broadcast(few.select(F.col("account").alias("_account"), F.col("n").alias("_all")))  # at most rows / chunk short rows
+    out = out.join(sizes, F.col("SENDER_USER_ID") == F.col("_account")).drop("_account")
     return out.drop(*[c for c in out.columns if c.startswith("_r_")]).withColumn("_new", F.lit(0))
 
 
-def behaviour(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
+def behaviour(df: DataFrame, chunk: int = scans.CHUNK, volume: str | None = None) -> DataFrame:
     """Block C: what an account did before, by windows over (account, time, _row_id).
 
     Rows without a date are dropped. Rows without an account have constant features and stay out of the windows, so
     that their one large group is never sorted into one task. Accounts with more than `chunk` rows are scanned in chunks.
+    volume: the name of a column for the number of rows that the row's account has here.
     """
     sender = F.col("SENDER_USER_ID")
     blank = sender.isNull() | sender.isin("nan", "None", "", UNKNOWN)
@@ -125,7 +130,7 @@ def behaviour(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
     else:
         small, big = scans.apart(known, "SENDER_USER_ID", few)
         known = _windowed(small).unionByName(_chunked(big, few, chunk))
-    amount = F.col("_amount")
+    amount, counted = F.col("_amount"), {} if volume is None else {volume: F.col("_all")}
     days = (F.unix_micros(F.col("CREATED_ON").cast("timestamp")) - F.unix_micros(F.col("_born").cast("timestamp"))) / 86_400_000_000.0
     known = known.withColumns({
         "f_velocite_7j": F.least("_v", F.lit(5000)).cast("double"),
@@ -138,8 +143,8 @@ def behaviour(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
         "f_taux_echec_hist": F.col("_fail"),
         "f_anciennete_jours": clip(days, 0, 32),
         "f_rang_tx": F.least("_rank", F.lit(1000)).cast("double"),
-    }).drop("_v", "_s", "_mean", "_std", "_dest", "_fail", "_born", "_rank", "_new", "_amount")
-    first = unknown.agg(F.min("CREATED_ON").alias("_born"))
+    } | counted).drop("_v", "_s", "_mean", "_std", "_dest", "_fail", "_born", "_rank", "_new", "_amount", "_all")
+    first = unknown.agg(F.min("CREATED_ON").alias("_born"), F.count("*").alias("_all"))
     unknown = unknown.join(F.broadcast(first)).withColumns({  # one row
         "f_velocite_7j": F.lit(1.0),
         "f_log_velocite_7j": F.lit(0.0),
@@ -151,7 +156,7 @@ def behaviour(df: DataFrame, chunk: int = scans.CHUNK) -> DataFrame:
         "f_taux_echec_hist": F.lit(0.0),
         "f_anciennete_jours": clip(days, 0, 32),
         "f_rang_tx": F.lit(0.0),
-    }).drop("_born", "_amount")
+    } | counted).drop("_born", "_amount", "_all")
     return known.unionByName(unknown)
 
 
@@ -252,11 +257,12 @@ def context(df: DataFrame, frozen: dict[str, list[str]] | None = None, counts: D
     return df
 
 
-def build(df: DataFrame, frozen: dict[str, list[str]] | None = None) -> DataFrame:
-    """All four blocks. The values of block D are counted on the rows as they come in, not on those that the windows give."""
+def build(df: DataFrame, frozen: dict[str, list[str]] | None = None, volume: str | None = None) -> DataFrame:
+    """All four blocks. The values of block D are counted on the rows as they come in, not on those that the windows give. volume: as for behaviour()."""
     dated = df.where(F.col("CREATED_ON").isNotNull())
     encoded = [x[0] for x in (*HOT, *SHARES) if x[0] in df.columns]
-    return context(behaviour(calendar(transactional(dated))), frozen, value_counts(dated, encoded) if encoded else None)
+    # blocks A and B are of the row alone: added after the windows, they need not be dealt and sorted
+    return context(calendar(transactional(behaviour(dated, volume=volume))), frozen, value_counts(dated, encoded) if encoded else None)
 
 
 def names(df: DataFrame) -> dict[str, list[str]]:
@@ -277,11 +283,17 @@ def constant(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for k, c in enumerate(columns) if got[k]]
 
 
+def gaps(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns in which a value is missing, by one aggregation: no other needs a median to be filled with."""
+    got = df.agg(*[F.count_if(F.col(f"`{c}`").cast("double").isNull()).alias(f"c{k}") for k, c in enumerate(columns)]).first()
+    return [c for k, c in enumerate(columns) if got[k]]
+
+
 def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Median of each column, 0 where it has no value."""
     from ..operators.stats import exact_quantiles
 
-    got = exact_quantiles(df, columns, [0.5]).get(None, {})
+    got = exact_quantiles(df, columns, [0.5]).get(None, {}) if columns else {}
     return {c: got[c][0] if got.get(c) else 0.0 for c in columns}
 
 

@@ -12,8 +12,11 @@ from ..tables import stored
 from .stats import exact_quantiles, percent_rank, quantile, top_per_group
 
 
-def segmented(df: DataFrame, bands: tuple[int, int, int] = (10, 100, 1000)) -> DataFrame:
-    """SEGMENT by the number of transfers of the sender. Counted by aggregation, so no account is sorted into one task."""
+def segmented(df: DataFrame, bands: tuple[int, int, int] = (10, 100, 1000), volume: str | None = None) -> DataFrame:
+    """SEGMENT by the number of transfers of the sender. Counted by aggregation, so no account is sorted into one task, or taken from the
+    column `volume`, which features.behaviour() gives without a further exchange."""
+    if volume is not None:
+        return df.withColumn("SEGMENT", segment(F.col(f"`{volume}`"), *bands))
     n = df.groupBy(F.col("SENDER_USER_ID").alias("_s")).agg(F.count("*").alias("volume_compte"))
     out = df.join(n, F.col("SENDER_USER_ID") == F.col("_s"), "left").drop("_s")
     return out.withColumn("SEGMENT", segment(F.col("volume_compte"), *bands))
@@ -28,14 +31,23 @@ def peer_deviation(df: DataFrame, value: str = "TRANSACTION_AMOUNT", name: str =
     return out.withColumn(name, clip(F.abs((F.col(value) - F.col("_m")) / (F.col("_d") + 1e-9)), None, 10)).drop("_g", "_m", "_d")
 
 
-def score(df: DataFrame, models: dict, columns: list[str], budget: int = 200, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
-    """df (with features and SEGMENT) with RISK_SCORE, ALERTE and RAISON."""
-    df = stored(peer_deviation(forest.score(df, models, columns, "SEGMENT")).withColumns({"_iso": -F.col("iso_score"), "_z": F.round("montant_z_segment", 9)}))
+#: Features that the rules of explained() read.
+RULES = ["f_velocite_7j", "f_taux_echec_hist", "f_montant_tres_arrondi", "f_est_nuit"]
+
+
+def score(df: DataFrame, models: dict, columns: list[str], budget: int = 200, weights: tuple[float, float] = (0.7, 0.3), keep: list[str] | None = None) -> DataFrame:
+    """df (with features and SEGMENT) with RISK_SCORE, ALERTE and RAISON. keep: the columns of df that come out, by default all; the rows are
+    written and dealt by their values several times, so the features are left behind once they are scored."""
+    added = ["iso_score", "montant_z_segment"]
+    kept = [c for c in df.columns if c not in added and (keep is None or c in keep)]
+    carried = [c for c in df.columns if c in {*kept, "SEGMENT", "CREATED_ON", "_row_id", *RULES}]
+    df = peer_deviation(forest.score(df, models, columns, "SEGMENT")).select(*[F.col(f"`{c}`") for c in (*carried, *added)])
+    df = stored(df.withColumns({"_iso": -F.col("iso_score"), "_z": F.round("montant_z_segment", 9)}))
     df = percent_rank(df, "_iso", "_ri", "SEGMENT")
     df = percent_rank(df, "_z", "_re", "SEGMENT")  # amounts as far above the median as below it are equal
     df = df.withColumn("RISK_SCORE", clip(100 * (weights[0] * F.col("_ri") + weights[1] * F.col("_re")), 0, 100)).withColumn("_day", F.to_date("CREATED_ON"))
     df = top_per_group(stored(df), "_day", "RISK_SCORE", budget, "_row_id")
-    return explained(df).drop("_iso", "_z", "_ri", "_re", "_day")
+    return explained(df).select(*[F.col(f"`{c}`") for c in (*kept, *added)], "RISK_SCORE", "ALERTE", "RAISON")
 
 
 def explained(df: DataFrame) -> DataFrame:

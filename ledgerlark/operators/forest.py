@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,46 +70,102 @@ def fit(sample: np.ndarray, trees: int = 300, size: int = 256, seed: int = 42) -
     return {"size": size, "trees": [tree(sample[order[np.arange(k * size, (k + 1) * size) % len(sample)]], f"{seed}.{k}") for k in range(trees)]}
 
 
-def flat(model: dict) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(depth, feature and threshold of the inner places of complete trees, path of their lowest places), a row for each tree.
-    A leaf above the lowest level goes left all the way."""
-    depth = max(1, math.ceil(math.log2(max(model["size"], 2))))
-    inner = (1 << depth) - 1
-    feature = np.zeros((len(model["trees"]), inner), np.int64)
-    threshold = np.full((len(model["trees"]), inner), np.inf)
-    path = np.zeros((len(model["trees"]), inner + 1))
-    for k, t in enumerate(model["trees"]):
-        stack = [(0, 0)]
-        while stack:
-            node, at = stack.pop()
-            if t["feature"][node] < 0:
-                while at < inner:
-                    at = 2 * at + 1
-                path[k, at - inner] = t["path"][node]
-            else:
-                feature[k, at], threshold[k, at] = t["feature"][node], t["threshold"][node]
-                stack += [(t["left"][node], 2 * at + 1), (t["right"][node], 2 * at + 2)]
-    return depth, feature, threshold, path
-
-
-def scores(model: dict, x: np.ndarray, rows: int = 8192) -> np.ndarray:
-    """From -1 (isolated at once) to 0."""
-    if "flat" not in model:
-        model["flat"] = flat(model)
-    depth, feature, threshold, path = model["flat"]
+def choices(model: dict) -> tuple[list[np.ndarray], list, int]:
+    """(sorted thresholds of each feature, groups of trees, most nodes on a way down).
+
+    A group is (for each feature, the number of the group's own thresholds among the first k of all; (paths, root) of each tree): trees are
+    grouped so that these numbers fit into a byte. A node is (feature, place of its threshold in the group, what is below it, what isn't, difference of
+    the two if both are numbers); a subtree in which all leaves have the same path is that path's number, an array of no dimension. The most
+    frequent path has number 0.
+    """
+    width = 1 + max((int(f) for t in model["trees"] for f in t["feature"]), default=-1)
+    all_, groups = [set() for _ in range(width)], []
+    for t in model["trees"]:
+        own = [set() for _ in range(width)]
+        for f, x in zip(t["feature"], t["threshold"], strict=True):
+            if f >= 0:
+                own[int(f)].add(float(x))
+        if not groups or any(len(a | b) > 255 for a, b in zip(groups[-1][0], own, strict=True)):
+            groups.append(([set() for _ in range(width)], []))
+        for f, x in enumerate(own):
+            groups[-1][0][f].update(x)
+            all_[f].update(x)
+        groups[-1][1].append(t)
+    cuts = [np.array(sorted(x), float) for x in all_]
+    depth, out = 1, []
+    for found, trees in groups:
+        short = [np.array(sorted(x), float) for x in found]
+        place = np.min_scalar_type(max(map(len, short), default=0)).type
+        roots = []
+        for t in trees:
+            leaves = Counter(float(p) for f, p in zip(t["feature"], t["path"], strict=True) if f < 0)
+            paths = np.array([p for p, _ in leaves.most_common()])
+            number = {p: np.array(k, np.min_scalar_type(len(paths) - 1)) for k, p in enumerate(paths)}
+            with np.errstate(over="ignore"):
+                root, n = _grown(t, 0, short, place, number)
+            depth = max(depth, n)
+            roots.append((paths, root))
+        out.append(([np.concatenate([[0], np.cumsum(np.isin(c, own))]).astype(place) for c, own in zip(cuts, short, strict=True)], roots))
+    return cuts, out, depth
+
+
+def _grown(t: dict, k: int, cuts: list[np.ndarray], place: type, number: dict) -> tuple:
+    """(node k of a tree as choices() has it, most nodes on a way down from it)."""
+    if (f := int(t["feature"][k])) < 0:
+        return number[float(t["path"][k])], 0
+    (a, m), (b, n) = (_grown(t, t[side][k], cuts, place, number) for side in ("left", "right"))
+    x, whole = float(t["threshold"][k]), type(a) is not tuple and type(b) is not tuple
+    if x != x or whole and a == b:  # no value reaches a threshold that is no number
+        return a, m
+    return (f, np.array(np.searchsorted(cuts[f], x), place), a, b, b - a if whole else None), 1 + max(m, n)
+
+
+def _choose(node: tuple, codes: list[np.ndarray], mask: tuple[np.ndarray, np.ndarray], out: list[np.ndarray], level: int) -> None:
+    """The number of each row's path below the node, in out[level]; out[level + 1] and beyond are for the other side. Whole columns are
+    compared and chosen from, without a look-up for each row: a - m * (a - b) with unsigned numbers that wrap around."""
+    f, place, a, b, d = node
+    x, y = out[level], out[level + 1]
+    left, right = type(a) is tuple, type(b) is tuple
+    if left:
+        _choose(a, codes, mask, out, level)
+    if right:
+        _choose(b, codes, mask, out, level + left)
+    np.greater(codes[f], place, out=mask[0])
+    if left:
+        np.subtract(y if right else b, x, out=y)
+        np.multiply(y, mask[1], out=y)
+        np.add(x, y, out=x)
+        return
+    if right and a:
+        np.subtract(x, a, out=x)
+    np.multiply(mask[1], x if right else d, out=x)
+    if a:
+        np.add(x, a, out=x)
+
+
+def scores(model: dict, x: np.ndarray, rows: int = 32_768) -> np.ndarray:
+    """From -1 (isolated at once) to 0. Values become their places among the forest's thresholds, so that the trees compare bytes."""
+    if "choices" not in model:
+        model["choices"] = choices(model)
+    cuts, groups, depth = model["choices"]
     out = np.empty(len(x))
     for lo in range(0, len(x), rows):
         part = np.ascontiguousarray(x[lo : lo + rows].T)
-        n, values = part.shape[1], part.ravel()
-        base, total = np.arange(n), np.zeros(n)
-        start = feature * n  # of each place's feature in values
-        for k in range(len(feature)):
-            at = np.zeros(n, np.int64)
-            for _ in range(depth):
-                right = values[start[k][at] + base] >= threshold[k][at]
-                at += at + 1
-                at += right
-            total += path[k][at - feature.shape[1]]
+        n, total, kept = part.shape[1], np.zeros(part.shape[1]), {}
+        mask, path = np.empty(n, bool), np.empty(n)
+        mask = mask, mask.view(np.uint8)
+        places = [np.where(np.isnan(v), 0, np.searchsorted(c, v, "right")) for c, v in zip(cuts, part, strict=False)]
+        for short, roots in groups:
+            codes = [c.take(v) for c, v in zip(short, places, strict=True)]
+            for paths, root in roots:
+                if type(root) is not tuple:
+                    total += paths[root]
+                    continue
+                kind = np.min_scalar_type(len(paths) - 1)
+                if kind not in kept:
+                    kept[kind] = [np.empty(n, kind) for _ in range(depth + 1)]
+                _choose(root, codes, mask, kept[kind], 0)
+                total += np.take(paths, kept[kind][0], out=path, mode="clip")
         out[lo : lo + rows] = total
     return np.round(-np.exp2(-out / len(model["trees"]) / max(_c(model["size"]), 1e-9)), 9)
 
@@ -123,11 +181,12 @@ def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 1
     driver gets the trees, arrays of at most 2 * size nodes.
     """
     width = len(columns)
-    rows = df.select(F.col(segment).alias("_s"), F.md5(F.col("_row_id").cast("string")).alias("_h"), "_row_id", F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns]).alias("x")).where("_s is not null")
+    rows = df.select(F.col(segment).alias("_s"), F.md5(F.col("_row_id").cast("string")).alias("_h"), "_row_id", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)]).where("_s is not null")
     counts = rows.groupBy("_s").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
     share = F.least(F.lit(1.0), (1.1 * sample + 1000) / F.col("_n"))
     u = F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") / float(1 << 32)
     few = rows.join(F.broadcast(counts.select("_s", share.alias("_share"), F.least("_n", F.lit(sample)).alias("_p"))), "_s").where(u <= F.col("_share"))  # a row for each segment
+    few = few.select("_s", "_h", "_row_id", "_p", F.array(*[f"c{k}" for k in range(width)]).alias("x"))
     few = few.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", "_row_id")) - 1).where(F.col("_r") < sample)
     own = F.least(F.lit(size), F.col("_p"))
     dealt = few.select("_s", "_r", "x", F.explode(F.sequence(F.lit(0), F.floor((own * trees - 1 - F.col("_r")) / F.col("_p")).cast("int"))).alias("_w"), "_p", own.alias("_size")).where(F.col("_r") < own * trees)
@@ -139,23 +198,38 @@ def fit_segments(df: DataFrame, columns: list[str], segment: str, least: int = 1
         return pd.DataFrame([{"s": s, "k": k, "size": len(rows)} | tree(settled(np.stack(rows["x"].to_numpy()).reshape(-1, width)), f"{seed}.{s}.{k}")])
 
     grown: dict = {}
-    for r in sorted(dealt.groupBy("s", "k").applyInPandas(grow, f"s string, k int, size int, {TREE}").collect(), key=lambda r: (r["s"], r["k"])):
+    for r in sorted(dealt.repartition("s", "k").groupBy("s", "k").applyInPandas(grow, f"s string, k int, size int, {TREE}").collect(), key=lambda r: (r["s"], r["k"])):
         model = grown.setdefault(r["s"], {"size": r["size"], "trees": []})
         model["trees"].append({k: np.asarray(r[k]) for k in ("feature", "threshold", "left", "right", "path")})
     return grown
 
 
+#: Rows scored at a time, gathered from Arrow batches: a step of a tree costs a call for all of them.
+BLOCK = 100_000
+
+
 def score(df: DataFrame, models: dict, columns: list[str], segment: str, name: str = "iso_score") -> DataFrame:
     """df with the score by the model of the row's segment, 0 where it has none. Models are of fixed size and broadcast."""
     shared = df.sparkSession.sparkContext.broadcast(models)
 
-    @F.pandas_udf(T.DoubleType())
-    def run(seg: pd.Series, x: pd.DataFrame) -> pd.Series:
-        data, out = settled(x.to_numpy(float)), np.zeros(len(seg))
+    def block(parts: list[tuple[pd.Series, pd.DataFrame]]) -> pd.Series:
+        seg, data = (pd.concat(p, ignore_index=True) for p in zip(*parts, strict=True))
+        data, out = settled(data.to_numpy(float)), np.zeros(len(seg))
         for s, model in shared.value.items():
             m = (seg == s).to_numpy()
             if m.any():
                 out[m] = scores(model, data[m])
         return pd.Series(out)
 
+    @F.pandas_udf(T.DoubleType())
+    def run(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.Series]:
+        parts, n = [], 0
+        for seg, x in batches:
+            parts, n = [*parts, (seg, x)], n + len(seg)
+            if n >= BLOCK:
+                yield block(parts)
+                parts, n = [], 0
+        if parts:
+            yield block(parts)
+
     return df.withColumn(name, run(F.col(segment), F.struct(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"c{k}") for k, c in enumerate(columns)])))

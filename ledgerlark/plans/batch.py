@@ -35,7 +35,7 @@ class Engine:
 def _fraud(df: DataFrame, art: dict, get: registry.Parameters) -> Tables:
     bands = get("seuils_segments", {"faible": 10, "moyen": 100, "eleve": 1000})
     x = anomalies.segmented(df, (bands["faible"], bands["moyen"], bands["eleve"]))
-    x = stored(anomalies.score(features.imputed(x, art["medians"]), art["models"], art["FEATURE_COLS"], get("budget_alertes_jour", 200)))
+    x = stored(anomalies.score(features.imputed(x, art["medians"]), art["models"], art["FEATURE_COLS"], get("budget_alertes_jour", 200), keep=["TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "SEGMENT"]))
     level = features.risk_level(F.col("RISK_SCORE")).alias("RISK_LEVEL")
     alerts = x.where("ALERTE = 1").select("TRANSFER_ID", "CREATED_ON", "SENDER_USER_ID", "TRANSACTION_AMOUNT", "SERVICE_TYPE", "SEGMENT", "RISK_SCORE", level, "RAISON")
     return {"alertes": alerts.orderBy(F.col("RISK_SCORE").desc()), "scores": x.select("TRANSFER_ID", "SEGMENT", "RISK_SCORE", "ALERTE")}
